@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "mutascope.plans.protein_queries",
     "mutascope.plans.table_queries",
+    "mutascope.plans.eval_queries",
 ]
 
 
