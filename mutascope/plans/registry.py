@@ -8,6 +8,7 @@ _MODULES = [
     "mutascope.plans.protein_queries",
     "mutascope.plans.table_queries",
     "mutascope.plans.eval_queries",
+    "mutascope.plans.io_queries",
 ]
 
 
