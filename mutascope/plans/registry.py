@@ -9,6 +9,7 @@ _MODULES = [
     "mutascope.plans.table_queries",
     "mutascope.plans.eval_queries",
     "mutascope.plans.io_queries",
+    "mutascope.plans.model_queries",
 ]
 
 
