@@ -56,8 +56,8 @@ def with_ordinal(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0))) \
                     .drop("_cnt")
     out = _join_small(ranged, offsets, ["_pid", *group])
-    return out.withColumn(name, F.col("_before") + (F.col("_mid") - F.col("_first")) + 1) \
-              .drop("_pid", "_mid", "_first", "_before")
+    return out.select(*df.columns,
+                      (F.col("_before") + (F.col("_mid") - F.col("_first")) + 1).alias(name))
 
 
 def with_prefix_sum(df: DataFrame, order: Sequence[str], weight: str,
@@ -77,7 +77,7 @@ def with_prefix_sum(df: DataFrame, order: Sequence[str], weight: str,
         if group else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_before", F.coalesce(F.sum("_psum").over(w), F.lit(0))).drop("_psum")
     out = _join_small(local, offsets, ["_pid", *group])
-    return out.withColumn(name, F.col("_before") + F.col("_local")).drop("_pid", "_local", "_before")
+    return out.select(*df.columns, (F.col("_before") + F.col("_local")).alias(name))
 
 
 def rank_targets(n: int, qs: Sequence[float], method: str) -> dict[float, list[int]]:
@@ -132,4 +132,4 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str =
     ranked = with_prefix_sum(counts, [value], "_cnt", by, name="_below", partitions=partitions)
     ranked = ranked.select(*by, value, (F.col("_below") + (F.col("_cnt") + 1) / 2.0).alias(name))
     ranked = materialize(ranked)
-    return _join_small(df, ranked, [*by, value])
+    return _join_small(df, ranked, [*by, value]).select(*df.columns, name)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mutascope.functions.heads import default_head
-from mutascope.functions.numeric import half_even_div_sql, mean6_sql, to_micro_sql
+from mutascope.functions.numeric import half_even_div_sql, mean6_sql, to_micro, to_micro_sql
 from mutascope.functions.residues import ALPHABET, FEATURE_NAMES, MAX_RESIDUES, sequence_features
 from mutascope.operators import scan as S
 from mutascope.operators.validate import parse_positions, validate_sequences
@@ -153,8 +153,19 @@ def _long(df, *cols):
     return df
 
 
-def q_scan_mutants(spark, sf):
-    return _long(S.mutations(_scan_positions(spark, sf)), "position")
+def q_scan_mutant_classes(spark, sf):
+    """Exact digest of the whole mutation table (19-20 rows per residue).
+
+    The table itself has 19 x sum(length) rows; every row is counted here per
+    protein and (wild-type, mutant) pair: count, min/max delta, exact sum of
+    deltas in micro-units and beneficial count. The full table is
+    ``scan()``; ``write_mutations`` writes it out.
+    """
+    m = S.mutations(_scan_positions(spark, sf))
+    return m.groupBy("protein_id", "wildtype_aa", "mutant_aa").agg(
+        F.count(F.lit(1)).alias("n"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"),
+        F.sum(to_micro(F.col("delta"))).alias("sum_delta_micro"),
+        F.count_if(F.col("delta") < 0).alias("n_beneficial"))
 
 
 def q_scan_top(spark, sf):
@@ -218,7 +229,11 @@ MUTANTS_CTE = {
       FROM mp""",
 }
 
-SQL_SCAN_MUTANTS = with_views("SELECT * FROM mutants", **MUTANTS_CTE)
+SQL_SCAN_MUTANT_CLASSES = with_views(f"""
+SELECT protein_id, wildtype_aa, mutant_aa, count(*) AS n, min(delta) AS min_delta, max(delta) AS max_delta,
+  CAST(sum({to_micro_sql('delta')}) AS BIGINT) AS sum_delta_micro,
+  count(*) FILTER (WHERE delta < 0) AS n_beneficial
+FROM mutants GROUP BY protein_id, wildtype_aa, mutant_aa""", **MUTANTS_CTE)
 
 SQL_SCAN_TOP = with_views(f"""
 SELECT * FROM (
@@ -263,7 +278,7 @@ QUERIES = {
     "seq_features": q_seq_features,
     "validate_sequences": q_validate_sequences,
     "position_spec": q_position_spec,
-    "scan_mutants": q_scan_mutants,
+    "scan_mutant_classes": q_scan_mutant_classes,
     "scan_top": q_scan_top,
     "scan_positions": q_scan_positions,
     "scan_top_positions": q_scan_top_positions,
@@ -275,7 +290,7 @@ ORACLES = {
     "seq_features": SQL_SEQ_FEATURES,
     "validate_sequences": SQL_VALIDATE,
     "position_spec": SQL_POSITION_SPEC,
-    "scan_mutants": SQL_SCAN_MUTANTS,
+    "scan_mutant_classes": SQL_SCAN_MUTANT_CLASSES,
     "scan_top": SQL_SCAN_TOP,
     "scan_positions": SQL_SCAN_POSITIONS,
     "scan_top_positions": SQL_SCAN_TOP_POSITIONS,
