@@ -119,11 +119,12 @@ def scan_positions(df: DataFrame, id_col: str = "protein_id", seq_col: str = "se
     if not generic:
         chunks = chunks.select("*", _mutant_table(head).alias("_lut"),
                                _round6(F.col("wt_score").cast("double")).alias("predicted_wildtype"))
+        chunks = chunks.withColumn("_slut", F.transform("_lut", _summarise))
     rows = (chunks
             .select("*", F.explode(F.arrays_zip(F.col("pos").alias("position"),
                                                 F.col("wt").alias("wildtype_aa"))).alias("_z"))
             .select(*[c for c in carry if isinstance(c, str)],
-                    *(["window"] if generic else ["_lut", "predicted_wildtype"]),
+                    *(["window"] if generic else ["_lut", "_slut", "predicted_wildtype"]),
                     F.col("_z.position").alias("position"),
                     F.col("_z.wildtype_aa").alias("wildtype_aa")))
     if not generic:
@@ -182,10 +183,15 @@ def _pick_mutants(rows: DataFrame) -> DataFrame:
                             lambda a: F.struct(a.alias("mutant_aa"),
                                                F.col("predicted_wildtype").alias("predicted_mutant"),
                                                F.lit(0.0).alias("delta")))
-    muts = F.when(F.col("position") <= F.col("win_length"), F.element_at(F.col("_lut"), cls)) \
-            .otherwise(unchanged)
-    return rows.select("protein_id", "position", "wildtype_aa", "predicted_wildtype",
-                       muts.alias("mutants"))
+    inside = F.col("position") <= F.col("win_length")
+    muts = F.when(inside, F.element_at(F.col("_lut"), F.col("_cls"))).otherwise(unchanged)
+    flat = F.struct(F.lit(0.0).alias("mean_delta"), F.lit(0.0).alias("min_delta"),
+                    F.lit(0.0).alias("max_delta"), F.lit(0).alias("n_beneficial"),
+                    F.when(wt == "A", F.lit("C")).otherwise(F.lit("A")).alias("best_substitution"))
+    summary = F.when(inside, F.element_at(F.col("_slut"), F.col("_cls"))).otherwise(flat)
+    return rows.withColumn("_cls", cls).select(
+        "protein_id", "position", "wildtype_aa", "predicted_wildtype",
+        muts.alias("mutants"), summary.alias("summary"))
 
 
 def _generic_mutants(rows: DataFrame, scorer: Callable) -> DataFrame:
@@ -281,23 +287,34 @@ def top_mutations(mut: DataFrame, n: int = 20, by: str = "protein_id") -> DataFr
     return mut.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def _summarise(muts) -> F.Column:
+    """mean/min/max delta, beneficial count and best substitution of one mutant list."""
+    deltas = F.transform(muts, lambda m: m["delta"])
+    total = F.aggregate(F.transform(deltas, to_micro), F.lit(0).cast("long"), lambda acc, d: acc + d)
+    best = F.array_min(F.transform(muts, lambda m: F.struct(m["delta"].alias("d"),
+                                                            m["mutant_aa"].alias("aa"))))
+    return F.struct(mean6(total, F.size(muts)).alias("mean_delta"),
+                    F.array_min(deltas).alias("min_delta"),
+                    F.array_max(deltas).alias("max_delta"),
+                    F.size(F.filter(deltas, lambda d: d < 0)).alias("n_beneficial"),
+                    best["aa"].alias("best_substitution"))
+
+
 def position_summary(scan_pos: DataFrame) -> DataFrame:
     """Per position: mean/min/max delta, count beneficial, best substitution.
 
-    Computed from the position's own mutant array: no shuffle.
+    No shuffle. With the additive scorer the summary of every in-window
+    position is a lookup into 21 per-class summaries computed once per chunk;
+    otherwise it is computed from the position's own mutant array.
     """
-    deltas = F.transform("mutants", lambda m: m["delta"])
-    best = F.array_min(F.transform("mutants", lambda m: F.struct(m["delta"].alias("d"),
-                                                                 m["mutant_aa"].alias("aa"))))
-    total = F.aggregate(F.transform(deltas, to_micro), F.lit(0).cast("long"),
-                        lambda acc, d: acc + d)
-    return scan_pos.select(
-        "protein_id", "position", "wildtype_aa",
-        mean6(total, F.size("mutants")).alias("mean_delta"),
-        F.array_min(deltas).alias("min_delta"),
-        F.array_max(deltas).alias("max_delta"),
-        F.size(F.filter(deltas, lambda d: d < 0)).alias("n_beneficial"),
-        best["aa"].alias("best_substitution"))
+    if "summary" in scan_pos.columns:
+        s = F.col("summary")
+    else:
+        s = _summarise(F.col("mutants"))
+    return scan_pos.select("protein_id", "position", "wildtype_aa",
+                           s["mean_delta"].alias("mean_delta"), s["min_delta"].alias("min_delta"),
+                           s["max_delta"].alias("max_delta"), s["n_beneficial"].alias("n_beneficial"),
+                           s["best_substitution"].alias("best_substitution"))
 
 
 def top_positions(pos_summary: DataFrame, k: int = 15, by: str = "protein_id") -> DataFrame:
