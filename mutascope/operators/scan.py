@@ -78,16 +78,15 @@ def _position_array(positions_col: str | None) -> F.Column:
     return F.when(req.isNull(), every).otherwise(F.array_sort(F.array_distinct(kept)))
 
 
-def scan_positions(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
-                   positions_col: str | None = None, head: CompositionHead | None = None,
-                   scorer: str | Callable = "additive", max_len: int = MAX_RESIDUES,
-                   chunk: int = 1024, partitions: int | None = None) -> DataFrame:
-    """Position-level scan: one row per scanned position with all its mutants.
+_STATS = ["protein_id", "length", "win_length", "n_standard", "residue_sum", "wt_score"]
 
-    Columns: protein_id, position, wildtype_aa, predicted_wildtype,
-    mutants array<struct<mutant_aa, predicted_mutant, delta>> (alphabetical).
-    """
-    head = head or default_head()
+
+def _chunk_rows(df: DataFrame, id_col: str, seq_col: str, positions_col: str | None,
+                head: CompositionHead, max_len: int, chunk: int, partitions: int | None,
+                keep_window: bool = False) -> DataFrame:
+    """Chunks of <= ``chunk`` scanned positions with their protein's window stats,
+    hash-shuffled on (protein, chunk): one long protein spreads over many tasks
+    and only the positions and their residues cross the shuffle."""
     base = df
     carry_in = []
     if positions_col:
@@ -104,32 +103,47 @@ def scan_positions(df: DataFrame, id_col: str = "protein_id", seq_col: str = "se
             F.slice("_pos", c * chunk + 1, chunk).alias("pos"),
             F.transform(F.slice("_pos", c * chunk + 1, chunk),
                         lambda p: F.element_at(chars, p)).alias("wt")))
-    carry = ["protein_id", "length", "win_length", "n_standard", "residue_sum", "wt_score"]
-    generic = not (isinstance(scorer, str) and scorer == "additive")
-    if generic:
-        carry.append(F.substring("sequence", 1, max_len).alias("window"))
+    extra = [F.substring("sequence", 1, max_len).alias("window")] if keep_window else []
     chunks = (stats.withColumn("_pos", pos)
               .withColumn("_chars", F.split(F.col("sequence"), ""))
-              .select(*carry, F.explode(chunk_structs).alias("_ch"))
+              .select(*_STATS, *extra, F.explode(chunk_structs).alias("_ch"))
               .select("*", F.col("_ch.chunk").alias("chunk"),
                       F.col("_ch.pos").alias("pos"), F.col("_ch.wt").alias("wt"))
               .drop("_ch"))
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = chunks.repartition(n_parts, "protein_id", "chunk")
-    if not generic:
-        chunks = chunks.select("*", _mutant_table(head).alias("_lut"),
-                               _round6(F.col("wt_score").cast("double")).alias("predicted_wildtype"))
-        chunks = chunks.withColumn("_slut", F.transform("_lut", _summarise))
-    rows = (chunks
-            .select("*", F.explode(F.arrays_zip(F.col("pos").alias("position"),
-                                                F.col("wt").alias("wildtype_aa"))).alias("_z"))
-            .select(*[c for c in carry if isinstance(c, str)],
-                    *(["window"] if generic else ["_lut", "_slut", "predicted_wildtype"]),
-                    F.col("_z.position").alias("position"),
+    return chunks.repartition(n_parts, "protein_id", "chunk")
+
+
+def _explode_positions(chunks: DataFrame, keep: list[str]) -> DataFrame:
+    return (chunks.select(*keep, F.explode(F.arrays_zip(F.col("pos").alias("position"),
+                                                        F.col("wt").alias("wildtype_aa"))).alias("_z"))
+            .select(*keep, F.col("_z.position").alias("position"),
                     F.col("_z.wildtype_aa").alias("wildtype_aa")))
-    if not generic:
-        return _pick_mutants(rows)
-    return _generic_mutants(rows, scorer)
+
+
+def scan_positions(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
+                   positions_col: str | None = None, head: CompositionHead | None = None,
+                   scorer: str | Callable = "additive", max_len: int = MAX_RESIDUES,
+                   chunk: int = 1024, partitions: int | None = None) -> DataFrame:
+    """Position-level scan: one row per scanned position with all its mutants.
+
+    Columns: protein_id, position, wildtype_aa, predicted_wildtype,
+    mutants array<struct<mutant_aa, predicted_mutant, delta>> (alphabetical)
+    [, summary struct for the additive scorer].
+    """
+    head = head or default_head()
+    generic = not (isinstance(scorer, str) and scorer == "additive")
+    chunks = _chunk_rows(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions,
+                         keep_window=generic)
+    if generic:
+        return _generic_mutants(_explode_positions(chunks, _STATS + ["window"]), scorer)
+    # Per chunk (before the per-position explode): the 21 mutant lists and
+    # their summaries; each position is then a lookup.
+    chunks = chunks.select("*", _mutant_table(head).alias("_lut"),
+                           _round6(F.col("wt_score").cast("double")).alias("predicted_wildtype"))
+    chunks = chunks.withColumn("_slut", F.transform("_lut", _summarise))
+    rows = _explode_positions(chunks, _STATS + ["_lut", "_slut", "predicted_wildtype"])
+    return _pick_mutants(rows)
 
 
 def _alphabet_structs(head: CompositionHead) -> F.Column:
@@ -143,53 +157,75 @@ def _alphabet_structs(head: CompositionHead) -> F.Column:
 _CLASSES = list(ALPHABET) + ["*"]
 
 
+def _class_structs(head: CompositionHead) -> F.Column:
+    integral = all(float(v).is_integer() for v in head.k.values())
+    kv = (lambda aa: int(head.k[aa])) if integral else (lambda aa: float(head.k[aa]))
+    return F.array(*[F.struct(F.lit(c).alias("aa"),
+                              (F.lit(kv(c)) if c != "*" else F.lit(0 if integral else 0.0)).alias("k"),
+                              F.lit(c != "*").alias("std"))
+                     for c in _CLASSES])
+
+
+def _mutants_of(head: CompositionHead, w) -> F.Column:
+    """Mutant list (alphabetical) for wild-type class struct ``w`` of a protein.
+
+    Standard wild type: S - k[wt] + k[mut], same standard count.
+    Non-standard wild type: S + k[mut], standard count + 1 (20 mutants).
+    """
+    wt_d = F.col("wt_score").cast("double")
+
+    def one(m):
+        s_new = F.when(w["std"], F.col("residue_sum") - w["k"] + m["k"]) \
+                 .otherwise(F.col("residue_sum") + m["k"])
+        n_new = F.when(w["std"], F.col("n_standard")).otherwise(F.col("n_standard") + 1)
+        score = head.score(s_new, n_new, F.col("win_length")).cast("float").cast("double")
+        return F.struct(m["aa"].alias("mutant_aa"),
+                        _round6(score).alias("predicted_mutant"),
+                        _round6(score - wt_d).alias("delta"))
+    return F.transform(F.filter(_alphabet_structs(head), lambda m: m["aa"] != w["aa"]), one)
+
+
 def _mutant_table(head: CompositionHead) -> F.Column:
     """Per protein, the 21 possible mutant lists (one per wild-type class).
 
     A mutant's score depends only on the protein's window stats, the wild-type
     class and the new residue, so 21 x 20 scores cover every position inside
     the model window; each position then just picks its list.
-    Standard wild type: S - k[wt] + k[mut], same standard count.
-    Non-standard wild type: S + k[mut], standard count + 1 (20 mutants).
     """
-    integral = all(float(v).is_integer() for v in head.k.values())
-    kv = (lambda aa: int(head.k[aa])) if integral else (lambda aa: float(head.k[aa]))
-    wt_d = F.col("wt_score").cast("double")
-    classes = F.array(*[F.struct(F.lit(c).alias("aa"),
-                                 (F.lit(kv(c)) if c != "*" else F.lit(0 if integral else 0.0)).alias("k"),
-                                 F.lit(c != "*").alias("std"))
-                        for c in _CLASSES])
+    return F.transform(_class_structs(head), lambda w: _mutants_of(head, w))
 
-    def mutants_of(w):
-        def one(m):
-            s_new = F.when(w["std"], F.col("residue_sum") - w["k"] + m["k"]) \
-                     .otherwise(F.col("residue_sum") + m["k"])
-            n_new = F.when(w["std"], F.col("n_standard")).otherwise(F.col("n_standard") + 1)
-            score = head.score(s_new, n_new, F.col("win_length")).cast("float").cast("double")
-            return F.struct(m["aa"].alias("mutant_aa"),
-                            _round6(score).alias("predicted_mutant"),
-                            _round6(score - wt_d).alias("delta"))
-        return F.transform(F.filter(_alphabet_structs(head), lambda m: m["aa"] != w["aa"]), one)
 
-    return F.transform(classes, mutants_of)
+def _class_index(wt) -> F.Column:
+    cls = F.instr(F.lit(ALPHABET), wt)
+    return F.when((cls > 0) & (F.length(wt) == 1), cls).otherwise(F.lit(len(_CLASSES)))
+
+
+def _unchanged(wt) -> F.Column:
+    """Past the model window a substitution cannot change the score: delta 0."""
+    return F.transform(F.filter(F.array(*[F.lit(a) for a in ALPHABET]), lambda a: a != wt),
+                       lambda a: F.struct(a.alias("mutant_aa"),
+                                          F.col("predicted_wildtype").alias("predicted_mutant"),
+                                          F.lit(0.0).alias("delta")))
+
+
+def _row_mutants(rows: DataFrame, head: CompositionHead) -> DataFrame:
+    """Mutant list of each row's own class (for few rows: groups, candidates)."""
+    wt = F.col("wildtype_aa")
+    w = F.element_at(_class_structs(head), _class_index(wt))
+    rows = rows.withColumn("predicted_wildtype", _round6(F.col("wt_score").cast("double")))
+    return rows.withColumn("mutants", F.when(F.col("in_window"), _mutants_of(head, w))
+                           .otherwise(_unchanged(wt)))
 
 
 def _pick_mutants(rows: DataFrame) -> DataFrame:
     wt = F.col("wildtype_aa")
-    cls = F.instr(F.lit(ALPHABET), wt)
-    cls = F.when((cls > 0) & (F.length(wt) == 1), cls).otherwise(F.lit(len(_CLASSES)))
-    # Past the model window a substitution cannot change the score: delta 0.
-    unchanged = F.transform(F.filter(F.array(*[F.lit(a) for a in ALPHABET]), lambda a: a != wt),
-                            lambda a: F.struct(a.alias("mutant_aa"),
-                                               F.col("predicted_wildtype").alias("predicted_mutant"),
-                                               F.lit(0.0).alias("delta")))
     inside = F.col("position") <= F.col("win_length")
-    muts = F.when(inside, F.element_at(F.col("_lut"), F.col("_cls"))).otherwise(unchanged)
+    muts = F.when(inside, F.element_at(F.col("_lut"), F.col("_cls"))).otherwise(_unchanged(wt))
     flat = F.struct(F.lit(0.0).alias("mean_delta"), F.lit(0.0).alias("min_delta"),
                     F.lit(0.0).alias("max_delta"), F.lit(0).alias("n_beneficial"),
                     F.when(wt == "A", F.lit("C")).otherwise(F.lit("A")).alias("best_substitution"))
     summary = F.when(inside, F.element_at(F.col("_slut"), F.col("_cls"))).otherwise(flat)
-    return rows.withColumn("_cls", cls).select(
+    return rows.withColumn("_cls", _class_index(wt)).select(
         "protein_id", "position", "wildtype_aa", "predicted_wildtype",
         muts.alias("mutants"), summary.alias("summary"))
 
@@ -233,8 +269,10 @@ def head_scorer(head: CompositionHead | None = None, max_len: int = MAX_RESIDUES
 
 def mutations(scan_pos: DataFrame) -> DataFrame:
     """Flat mutation table (one row per single-point mutant)."""
+    # explode_outer: mutant lists are never empty; avoids an inferred
+    # size(mutants) > 0 filter being evaluated separately.
     return scan_pos.select("protein_id", "position", "wildtype_aa", "predicted_wildtype",
-                           F.explode("mutants").alias("m")) \
+                           F.explode_outer("mutants").alias("m")) \
         .select("protein_id", "position", "wildtype_aa", F.col("m.mutant_aa").alias("mutant_aa"),
                 "predicted_wildtype", F.col("m.predicted_mutant").alias("predicted_mutant"),
                 F.col("m.delta").alias("delta"))
@@ -340,6 +378,10 @@ def residue_summary(mut: DataFrame, by: str = "protein_id") -> DataFrame:
     per_value = (mut.withColumn("_u", to_micro(F.col("delta")))
                  .groupBy(by, "mutant_aa", "_u")
                  .agg(F.count(F.lit(1)).alias("_n")))
+    return _residue_summary_from_counts(per_value, by)
+
+
+def _residue_summary_from_counts(per_value: DataFrame, by: str) -> DataFrame:
     agg = per_value.groupBy(by, "mutant_aa").agg(
         F.sum(F.col("_u") * F.col("_n")).alias("_sum_u"),
         F.sum("_n").alias("n_positions_tested"),
@@ -352,7 +394,102 @@ def residue_summary(mut: DataFrame, by: str = "protein_id") -> DataFrame:
         (F.bround(sorted_median(F.col("_hist"), F.col("n_positions_tested")), 0)
          / F.lit(float(MICRO))).alias("median_delta"),
         (F.col("_min_u").cast("double") / F.lit(float(MICRO))).alias("min_delta"),
-        "n_positions_tested", F.col("n_beneficial").cast("long").alias("n_beneficial"))
+        F.col("n_positions_tested").cast("long").alias("n_positions_tested"),
+        F.col("n_beneficial").cast("long").alias("n_beneficial"))
+
+
+# ---------------------------------------------------------------------------
+# Additive-scorer fast paths: work O(positions), not O(19 x positions)
+# ---------------------------------------------------------------------------
+
+def _positions_for_groups(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions):
+    rows = _explode_positions(_chunk_rows(df, id_col, seq_col, positions_col, head, max_len,
+                                          chunk, partitions), _STATS)
+    return rows.withColumn("in_window", F.col("position") <= F.col("win_length"))
+
+
+def scan_groups(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
+                positions_col: str | None = None, head: CompositionHead | None = None,
+                max_len: int = MAX_RESIDUES, chunk: int = 1024,
+                partitions: int | None = None) -> DataFrame:
+    """Positions per (protein, wild-type residue, inside/outside the model window),
+    each with that group's mutant list. Every mutant of the scan belongs to
+    exactly one group and has the group's delta, so group rows x ``n`` are an
+    exact, compact form of the whole mutation table."""
+    head = head or default_head()
+    rows = _positions_for_groups(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions)
+    groups = rows.groupBy(*_STATS, "wildtype_aa", "in_window").agg(F.count(F.lit(1)).alias("n"))
+    return _row_mutants(groups, head)
+
+
+def _group_mutant_rows(groups: DataFrame) -> DataFrame:
+    # explode_outer: lists are never empty, and a plain explode makes Catalyst
+    # infer size(mutants) > 0 and push it below the aggregate (per position).
+    return groups.select("protein_id", "wildtype_aa", "n", F.explode_outer("mutants").alias("m")).select(
+        "protein_id", "wildtype_aa", "n", F.col("m.mutant_aa").alias("mutant_aa"),
+        F.col("m.delta").alias("delta"))
+
+
+def mutant_classes(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
+                   head: CompositionHead | None = None, **kw) -> DataFrame:
+    """Per protein and (wild type, mutant) pair over the whole mutation table:
+    count, min/max delta, exact micro-unit delta sum, beneficial count."""
+    g = _group_mutant_rows(scan_groups(df, id_col, seq_col, head=head, **kw))
+    u = to_micro(F.col("delta"))
+    return g.groupBy("protein_id", "wildtype_aa", "mutant_aa").agg(
+        F.sum("n").alias("n"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"),
+        F.sum(u * F.col("n")).alias("sum_delta_micro"),
+        F.sum(F.when(F.col("delta") < 0, F.col("n")).otherwise(0)).alias("n_beneficial"))
+
+
+def residue_summary_additive(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
+                             head: CompositionHead | None = None, **kw) -> DataFrame:
+    """``residue_summary`` of the full scan, from the group form (same result)."""
+    g = _group_mutant_rows(scan_groups(df, id_col, seq_col, head=head, **kw))
+    per_value = (g.withColumn("_u", to_micro(F.col("delta")))
+                 .groupBy("protein_id", "mutant_aa", "_u").agg(F.sum("n").alias("_n")))
+    return _residue_summary_from_counts(per_value, "protein_id")
+
+
+def top_mutations_additive(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
+                           n: int = 20, positions_col: str | None = None,
+                           head: CompositionHead | None = None, max_len: int = MAX_RESIDUES,
+                           chunk: int = 1024, partitions: int | None = None) -> DataFrame:
+    """``top_mutations(scan(df), n)`` without building the full table.
+
+    Within a (protein, wild type, window side) group every position has the
+    same mutant deltas and ties rank by position, so:
+    1. group the positions and build each group's mutant list (<= 42 x 20
+       (group, mutant) pairs per protein, each with a delta and a count);
+    2. keep the pairs whose strictly smaller deltas cover fewer than ``n``
+       rows -- no other pair can reach the top ``n``;
+    3. take the first ``n`` positions of each kept group (a group limit before
+       the shuffle), pair them with the kept mutants and rank.
+    """
+    head = head or default_head()
+    rows = _positions_for_groups(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions)
+    keys = ["protein_id", "wildtype_aa", "in_window"]
+    groups = _row_mutants(rows.groupBy(*_STATS, "wildtype_aa", "in_window")
+                          .agg(F.count(F.lit(1)).alias("n")), head)
+    pairs = groups.select(*keys, "n", "predicted_wildtype", F.explode_outer("mutants").alias("m")) \
+        .select(*keys, "n", "predicted_wildtype", F.col("m.mutant_aa").alias("mutant_aa"),
+                F.col("m.predicted_mutant").alias("predicted_mutant"), F.col("m.delta").alias("delta"))
+    # rows with a strictly smaller delta = running total up to this delta
+    # minus this delta's own total (both windows share one exchange)
+    w_n = F.least("n", F.lit(n))
+    upto = Window.partitionBy("protein_id").orderBy("delta") \
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("protein_id", "delta")
+    kept = pairs.withColumn("_below", F.sum(w_n).over(upto) - F.sum(w_n).over(same)) \
+        .where(F.col("_below") < n).drop("_below")
+    first = Window.partitionBy(*keys).orderBy("position")
+    cand_pos = (rows.select(*keys, "position")
+                .join(kept.select(*keys).distinct(), keys, "left_semi")
+                .withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n).drop("_r"))
+    cand = cand_pos.join(kept.drop("n"), keys).select(
+        "protein_id", "position", "wildtype_aa", "mutant_aa", "predicted_wildtype",
+        "predicted_mutant", "delta")
+    return top_mutations(cand, n)
 
 
 def sorted_median(hist: F.Column, n: F.Column) -> F.Column:

@@ -161,16 +161,14 @@ def q_scan_mutant_classes(spark, sf):
     deltas in micro-units and beneficial count. The full table is
     ``scan()``; ``write_mutations`` writes it out.
     """
-    m = S.mutations(_scan_positions(spark, sf))
-    return m.groupBy("protein_id", "wildtype_aa", "mutant_aa").agg(
-        F.count(F.lit(1)).alias("n"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"),
-        F.sum(to_micro(F.col("delta"))).alias("sum_delta_micro"),
-        F.count_if(F.col("delta") < 0).alias("n_beneficial"))
+    p = proteins(spark, sf)
+    return S.mutant_classes(p, "design_name", "full_sequence", head=HEAD)
 
 
 def q_scan_top(spark, sf):
-    m = S.mutations(_scan_positions(spark, sf))
-    return _long(S.top_mutations(m, TOP_N), "position", "rank")
+    p = proteins(spark, sf)
+    top = S.top_mutations_additive(p, "design_name", "full_sequence", n=TOP_N, head=HEAD)
+    return _long(top, "position", "rank")
 
 
 def q_scan_positions(spark, sf):
@@ -184,7 +182,8 @@ def q_scan_top_positions(spark, sf):
 
 
 def q_scan_aa(spark, sf):
-    return S.residue_summary(S.mutations(_scan_positions(spark, sf)))
+    p = proteins(spark, sf)
+    return S.residue_summary_additive(p, "design_name", "full_sequence", head=HEAD)
 
 
 def q_scan_plan(spark, sf):
