@@ -179,20 +179,26 @@ SQL_MODEL_COMPARE = metrics_sql(_stacked_sql(), ["model"])
 
 
 def q_metric_upsert(spark, sf):
-    existing = M.compare_models(_stacked(spark, sf), round_to=R)
+    """Metric CSV written (W7), read back (S8), refreshed idempotently."""
+    from mutascope.session import scratch_path
+    from mutascope.sources.sinks import write_metrics_csv
+    from mutascope.sources.tables import read_metrics_csv
+    path = scratch_path(spark, "metrics")
+    write_metrics_csv(M.compare_models(_stacked(spark, sf), round_to=R).drop("n"), path)
+    existing = read_metrics_csv(spark, path)
     li = table(spark, sf, "lineitem")
     refit = li.select(F.lit("linear_q_refit").alias("model"),
                       (F.col("l_extendedprice") / F.lit(100000.0)).alias("y"),
                       (F.col("l_quantity") * F.lit(0.021)).alias("p"))
-    new = M.compare_models(refit, round_to=R)
+    new = M.compare_models(refit, round_to=R).drop("n")
     return M.upsert_metrics(existing, new, "^linear_q")
 
 
 SQL_METRIC_UPSERT = f"""
-SELECT * FROM ({metrics_sql(_stacked_sql(), ['model'])}) e WHERE NOT regexp_matches(model, '^linear_q')
+SELECT * EXCLUDE (n) FROM ({metrics_sql(_stacked_sql(), ['model'])}) e WHERE NOT regexp_matches(model, '^linear_q')
 UNION ALL
-{metrics_sql("SELECT 'linear_q_refit' AS model, l_extendedprice / CAST(100000.0 AS DOUBLE) AS y, "
-             "l_quantity * CAST(0.021 AS DOUBLE) AS p FROM lineitem", ['model'])}"""
+SELECT * EXCLUDE (n) FROM ({metrics_sql("SELECT 'linear_q_refit' AS model, l_extendedprice / CAST(100000.0 AS DOUBLE) AS y, "
+             "l_quantity * CAST(0.021 AS DOUBLE) AS p FROM lineitem", ['model'])}) r"""
 
 
 def q_best_model(spark, sf):

@@ -211,6 +211,11 @@ def q_gbt_fit(spark, sf):
     train = data.where(F.col("split") == "train")
     val = data.where(F.col("split") == "val")
     model, rounds, _ = MD.fit_gbt(train, "embedding", "y", val, patience=20, maxIter=60)
+    # persisted and loaded back
+    from pyspark.ml.regression import GBTRegressionModel
+    path = scratch_path(spark, "gbt-model")
+    model.write().overwrite().save(path)
+    model = GBTRegressionModel.load(path)
     imp = MD.feature_importances(spark, model, [f"e{j}" for j in range(64)], k=10)
     return imp.withColumn("rounds", F.lit(rounds).cast("long"))
 

@@ -75,6 +75,37 @@ b AS (
 SELECT * FROM a UNION ALL SELECT * FROM b"""
 
 
+def q_csv_conform(spark, sf):
+    """The same two descriptor files written as CSV, read back with type
+    inference (the text column stays a string and goes through the
+    non-strict cast), conformed and unioned: equal to ``conform_union``."""
+    from mutascope.session import scratch_path
+    from mutascope.sources.tables import read_descriptor_csv
+    docs = table(spark, sf, "documents").select(
+        F.substring(F.md5("text"), 1, 16).alias("design_name"),
+        _clean(F.col("text")).alias("full_sequence"),
+        F.col("n_chars").cast("double").alias("target"),
+        F.length(_clean(F.col("text"))).cast("double").alias("num_residues"),
+        F.col("lang").alias("energy_total"), F.col("doc_id").alias("row_id"))
+    bench = table(spark, sf, "benchmark").select(
+        F.substring(F.md5("text"), 1, 16).alias("design_name"),
+        _clean(F.col("text")).alias("full_sequence"),
+        F.length("text").cast("double").alias("target"), F.col("item_id").alias("row_id"))
+    base = scratch_path(spark, "descriptors")
+    docs.write.option("header", True).csv(f"{base}/a")
+    bench.write.option("header", True).csv(f"{base}/b")
+    a = read_descriptor_csv(spark, f"{base}/a")
+    b = read_descriptor_csv(spark, f"{base}/b")
+    # CSV has no empty-vs-null distinction: an empty sequence reads back as NULL
+    a = a.withColumn("full_sequence", F.coalesce("full_sequence", F.lit("")))
+    b = b.withColumn("full_sequence", F.coalesce("full_sequence", F.lit("")))
+    ca = P.conform(a, CONFORMED, "docs", "design_name", ["row_id"], numeric_text_cols=["energy_total"],
+                   required=["target", "full_sequence"], seq_col="full_sequence")
+    cb = P.conform(b, CONFORMED, "bench", "design_name", ["row_id"], numeric_text_cols=["energy_total"],
+                   required=["target", "full_sequence"], seq_col="full_sequence")
+    return P.union_sources(ca, cb).withColumn("seq_length", F.col("seq_length").cast("long"))
+
+
 # ---------------------------------------------------------------------------
 # keep_first: D3 on events, first row per user by (ts, event_id)
 # ---------------------------------------------------------------------------
@@ -176,7 +207,11 @@ def _orders_split(spark, sf):
 
 
 def q_strat_split(spark, sf):
-    return _orders_split(spark, sf).select("o_orderkey", F.col("stratum").cast("long").alias("stratum"),
+    """Split written as one Parquet folder per split, read back."""
+    from mutascope.session import scratch_path
+    path = scratch_path(spark, "splits")
+    SP.write_splits(_orders_split(spark, sf).select("o_orderkey", "stratum", "split"), path)
+    return spark.read.parquet(path).select("o_orderkey", F.col("stratum").cast("long").alias("stratum"),
                                            "split")
 
 
@@ -267,6 +302,7 @@ FROM proteins""")
 
 QUERIES = {
     "conform_union": q_conform_union,
+    "csv_conform": q_csv_conform,
     "keep_first": q_keep_first,
     "target_summary": q_target_summary,
     "length_summary": q_length_summary,
@@ -281,6 +317,7 @@ QUERIES = {
 
 ORACLES = {
     "conform_union": SQL_CONFORM_UNION,
+    "csv_conform": SQL_CONFORM_UNION,
     "keep_first": SQL_KEEP_FIRST,
     "target_summary": SQL_TARGET_SUMMARY,
     "length_summary": SQL_LENGTH_SUMMARY,

@@ -47,3 +47,30 @@ def test_score_requests_batches(spark):
     assert "exceeds the maximum of 64" in got[("big", None)]["batch_error"]
     assert "invalid character" in got[("bad", None)]["batch_error"]
     assert "at least 1" in got[("empty", None)]["batch_error"]
+
+
+def test_scan_fasta_writes_one_folder_per_protein(spark, tmp_dir):
+    from mutascope.operators.jobs import scan_fasta
+    path = os.path.join(tmp_dir, "in.fasta")
+    with open(path, "w") as fh:
+        fh.write(">sp|P1|x desc\nmkv\nla\n>p/2\nACW\n>long\n" + "A" * 600 + "\n")
+    out = os.path.join(tmp_dir, "out")
+    res = scan_fasta(spark, path, out, positions_spec="1-3", confirm_long=False)
+    folders = sorted(d for d in os.listdir(out) if d.startswith("safe_id="))
+    assert folders == ["safe_id=p_2", "safe_id=sp_P1_x"]
+    back = spark.read.option("header", True).csv(out)
+    assert back.count() == 2 * 3 * 19
+    assert [r["protein_id"] for r in res["skipped"].collect()] == ["long"]
+    assert res["top"].where("protein_id = 'p/2'").count() == 20
+
+
+def test_score_request_stream(spark, tmp_dir):
+    from mutascope.streaming.requests import score_request_stream
+    rows = [("b1", [{"id": "a", "sequence": "MKV"}, {"id": "b", "sequence": " wwa "}]),
+            ("b2", [{"id": "c", "sequence": "MKB"}])]
+    spark.createDataFrame(rows, RQ.SCORE_REQUEST_SCHEMA).write.json(os.path.join(tmp_dir, "in"))
+    out = os.path.join(tmp_dir, "out")
+    score_request_stream(spark, os.path.join(tmp_dir, "in"), out, os.path.join(tmp_dir, "ck")).awaitTermination()
+    got = {(r["batch_id"], r["protein_id"]): r for r in read_results(spark, out).collect()}
+    assert got[("b1", "b")]["sequence_length"] == 3 and got[("b1", "a")]["predicted"] is not None
+    assert "invalid character" in got[("b2", None)]["batch_error"]
