@@ -86,39 +86,55 @@ def _chunk_rows(df: DataFrame, id_col: str, seq_col: str, positions_col: str | N
                 keep_window: bool = False) -> DataFrame:
     """Chunks of <= ``chunk`` scanned positions with their protein's window stats,
     hash-shuffled on (protein, chunk): one long protein spreads over many tasks
-    and only the positions and their residues cross the shuffle."""
+    and only the chunk's residues (plus requested positions) cross the shuffle.
+
+    A full scan has contiguous positions: a chunk is a slice of the residue
+    array and a start offset. Requested positions carry their own list.
+    """
     base = df
     carry_in = []
     if positions_col:
         base = df.withColumn("_req", F.col(positions_col))
         carry_in = ["_req"]
     stats = protein_stats(base, id_col, seq_col, head, max_len, carry=carry_in)
-    pos = _position_array("_req" if positions_col else None)
     chars = F.col("_chars")
-    n_chunks = F.ceil(F.size("_pos") / F.lit(chunk)).cast("int")
+    if positions_col:
+        pos = _position_array("_req")
+        n_items = F.size("_pos")
+        def make(c):
+            sl = F.slice("_pos", c * chunk + 1, chunk)
+            return F.struct(c.alias("chunk"), sl.alias("pos"),
+                            F.transform(sl, lambda p: F.element_at(chars, p)).alias("wt"))
+    else:
+        pos = None
+        n_items = F.col("length")
+        def make(c):
+            return F.struct(c.alias("chunk"), (c * chunk).alias("start"),
+                            F.slice(chars, c * chunk + 1, chunk).alias("wt"))
+    n_chunks = F.ceil(n_items / F.lit(chunk)).cast("int")
     chunk_structs = F.transform(
         F.when(n_chunks > 0, F.sequence(F.lit(0), n_chunks - 1)).otherwise(F.array().cast("array<int>")),
-        lambda c: F.struct(
-            c.alias("chunk"),
-            F.slice("_pos", c * chunk + 1, chunk).alias("pos"),
-            F.transform(F.slice("_pos", c * chunk + 1, chunk),
-                        lambda p: F.element_at(chars, p)).alias("wt")))
+        make)
     extra = [F.substring("sequence", 1, max_len).alias("window")] if keep_window else []
-    chunks = (stats.withColumn("_pos", pos)
-              .withColumn("_chars", F.split(F.col("sequence"), ""))
-              .select(*_STATS, *extra, F.explode(chunk_structs).alias("_ch"))
-              .select("*", F.col("_ch.chunk").alias("chunk"),
-                      F.col("_ch.pos").alias("pos"), F.col("_ch.wt").alias("wt"))
+    staged = stats.withColumn("_chars", F.split(F.col("sequence"), ""))
+    if pos is not None:
+        staged = staged.withColumn("_pos", pos)
+    chunks = (staged.select(*_STATS, *extra, F.explode(chunk_structs).alias("_ch"))
+              .select("*", *[F.col(f"_ch.{f}").alias(f) for f in
+                             (["chunk", "pos", "wt"] if pos is not None else ["chunk", "start", "wt"])])
               .drop("_ch"))
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return chunks.repartition(n_parts, "protein_id", "chunk")
 
 
 def _explode_positions(chunks: DataFrame, keep: list[str]) -> DataFrame:
-    return (chunks.select(*keep, F.explode(F.arrays_zip(F.col("pos").alias("position"),
-                                                        F.col("wt").alias("wildtype_aa"))).alias("_z"))
-            .select(*keep, F.col("_z.position").alias("position"),
-                    F.col("_z.wildtype_aa").alias("wildtype_aa")))
+    if "pos" in chunks.columns:
+        return (chunks.select(*keep, F.explode(F.arrays_zip(F.col("pos").alias("position"),
+                                                            F.col("wt").alias("wildtype_aa"))).alias("_z"))
+                .select(*keep, F.col("_z.position").alias("position"),
+                        F.col("_z.wildtype_aa").alias("wildtype_aa")))
+    return (chunks.select(*keep, "start", F.posexplode("wt").alias("_i", "wildtype_aa"))
+            .select(*keep, (F.col("start") + F.col("_i") + 1).alias("position"), "wildtype_aa"))
 
 
 def scan_positions(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
