@@ -101,7 +101,8 @@ class KmerHashEncoder:
 
 
 def embed(df: DataFrame, encoder, id_col: str = "protein_id", seq_col: str = "sequence",
-          batch_size: int = 8, max_len: int | None = MAX_RESIDUES) -> DataFrame:
+          batch_size: int = 8, max_len: int | None = MAX_RESIDUES,
+          carry: list[str] | None = None) -> DataFrame:
     """``(id, embedding array<float>)`` for every row, in Arrow batches.
 
     Sequences longer than ``max_len`` are truncated (filter them first for the
@@ -115,10 +116,14 @@ def embed(df: DataFrame, encoder, id_col: str = "protein_id", seq_col: str = "se
             for i in range(0, len(seqs), batch_size):
                 vecs.extend(encoder.encode(seqs[i:i + batch_size]))
             import pandas as pd
-            yield pd.DataFrame({"id": pdf[id_col].astype(str).values,
-                                "embedding": [v.tolist() for v in vecs]})
+            out = {"id": pdf[id_col].astype(str).values, "embedding": [v.tolist() for v in vecs]}
+            for c in carry or []:
+                out[c] = pdf[c].values
+            yield pd.DataFrame(out)
 
-    return df.select(id_col, seq_col).mapInPandas(run, "id string, embedding array<float>")
+    types = dict(df.dtypes)
+    schema = "id string, embedding array<float>" + "".join(f", {c} {types[c]}" for c in carry or [])
+    return df.select(id_col, seq_col, *(carry or [])).mapInPandas(run, schema)
 
 
 def mean_pool(df: DataFrame, tokens_col: str, length_col: str, out: str = "embedding") -> DataFrame:
@@ -155,17 +160,19 @@ def pending(df: DataFrame, done: DataFrame, id_col: str) -> DataFrame:
 
 def embed_job(df: DataFrame, encoder, store: str, id_col: str = "protein_id",
               seq_col: str = "sequence", max_len: int = MAX_RESIDUES, batch_size: int = 8,
-              partitions: int | None = None) -> dict:
+              partitions: int | None = None, split_col: str | None = None) -> dict:
     """Resumable embedding of a table into a Parquet store; returns a run report.
 
     pending (anti-join on stored ids) -> length cap (skip) -> range-partition
     and sort by length (homogeneous batches) -> encode -> append.
     Re-running adds nothing; a failed run leaves whole files only, and the
-    next run embeds what is missing.
+    next run embeds what is missing. With ``split_col`` all splits run in one
+    job and the store is partitioned by split.
     """
     spark = df.sparkSession
     t0 = time.time()
-    base = df.select(F.col(id_col).alias("_id"), F.col(seq_col).alias("_seq")) \
+    extra = [F.col(split_col).alias("split")] if split_col else []
+    base = df.select(F.col(id_col).alias("_id"), F.col(seq_col).alias("_seq"), *extra) \
              .withColumn("_len", F.length("_seq"))
     counts = base.agg(F.count(F.lit(1)).alias("total")).first()
     todo = pending(base, stored_ids(spark, store), "_id")
@@ -176,9 +183,12 @@ def embed_job(df: DataFrame, encoder, store: str, id_col: str = "protein_id",
     stats = todo.agg(F.count(F.lit(1)).alias("pending"),
                      F.count_if(F.col("_len") > max_len).alias("skipped")).first()
     obs = Observation("embed_job")
-    emb = embed(ordered, encoder, "_id", "_seq", batch_size, max_len).observe(
-        obs, F.count(F.lit(1)).alias("embedded"))
-    emb.write.mode("append").parquet(store)
+    emb = embed(ordered, encoder, "_id", "_seq", batch_size, max_len, carry=["split"] if split_col else [])
+    emb = emb.observe(obs, F.count(F.lit(1)).alias("embedded"))
+    writer = emb.write.mode("append")
+    if split_col:
+        writer = writer.partitionBy("split")
+    writer.parquet(store)
     embedded = obs.get["embedded"]
     stored = spark.read.parquet(store).count()
     secs = max(time.time() - t0, 1e-9)

@@ -6,7 +6,7 @@ from __future__ import annotations
 import logging
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,4 +143,4 @@ def round_cols(df: DataFrame, cols: Sequence[str], scale: int) -> DataFrame:
 
 __all__ = ["safe_cast", "drop_missing", "keep_first", "with_source", "conform_schema",
            "union_sources", "conform", "count_by", "null_report", "describe_numeric",
-           "length_summary", "round_cols", "Column"]
+           "length_summary", "round_cols"]

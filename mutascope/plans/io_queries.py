@@ -7,8 +7,6 @@ back with the library's readers.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from mutascope.functions.residues import ALPHABET, MAX_RESIDUES
@@ -211,4 +209,3 @@ ORACLES = {
     "job_retention": SQL_JOB_RETENTION,
 }
 
-__all__ = ["QUERIES", "ORACLES", "json"]

@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mutascope.functions.heads import default_head
-from mutascope.functions.numeric import half_even_div_sql, mean6_sql, to_micro, to_micro_sql
+from mutascope.functions.numeric import mean6_sql, to_micro_sql
 from mutascope.functions.residues import ALPHABET, FEATURE_NAMES, MAX_RESIDUES, sequence_features
 from mutascope.operators import scan as S
 from mutascope.operators.validate import parse_positions, validate_sequences
-from mutascope.plans.sqltext import count_sql, counts_select, d, f32, features_select, strip_upper_sql
+from mutascope.plans.sqltext import counts_select, features_select, strip_upper_sql
 from mutascope.plans.views import proteins, table, with_views
 
 HEAD = default_head()
@@ -297,4 +297,3 @@ ORACLES = {
     "scan_plan": SQL_SCAN_PLAN,
 }
 
-__all__ = ["QUERIES", "ORACLES", "count_sql", "d", "f32", "half_even_div_sql"]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from mutascope.functions.residues import MAX_RESIDUES
 from mutascope.operators import prep as P
 from mutascope.operators import split as SP
-from mutascope.operators.ordinal import exact_quantiles
 from mutascope.operators.validate import overlength
 from mutascope.plans.views import proteins, table, with_views
 
@@ -330,4 +329,3 @@ ORACLES = {
     "overlength_report": SQL_OVERLENGTH_REPORT,
 }
 
-__all__ = ["QUERIES", "ORACLES", "exact_quantiles"]

@@ -7,7 +7,6 @@ setting is absent (local tests and benchmarks).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -79,9 +78,4 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def local_fs_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-__all__ = ["get_session", "ensure_checkpoint_dir", "checkpoint_dir", "scratch_path",
-           "materialize", "local_fs_path", "os"]
+__all__ = ["get_session", "ensure_checkpoint_dir", "checkpoint_dir", "scratch_path", "materialize"]

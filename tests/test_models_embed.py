@@ -83,3 +83,14 @@ def test_gbt_patience(spark):
     model, rounds, rmse = MD.fit_gbt(df, "x", "y", df, patience=3, maxIter=12, maxDepth=2)
     assert 1 <= rounds <= 12 and len(rmse) == 12
     assert model.getNumTrees == rounds
+
+
+def test_embed_job_partitioned_by_split(spark, tmp_dir):
+    df = spark.createDataFrame([("a", "MKV", "train"), ("b", "WWA", "val"), ("c", "AC", "test")],
+                               "id string, s string, split string")
+    store = f"{tmp_dir}/store"
+    rep = E.embed_job(df, E.ResidueScaleEncoder(), store, "id", "s", split_col="split")
+    assert rep["embedded"] == 3
+    assert sorted(d for d in __import__("os").listdir(store) if d.startswith("split=")) == \
+        ["split=test", "split=train", "split=val"]
+    assert E.embed_job(df, E.ResidueScaleEncoder(), store, "id", "s", split_col="split")["embedded"] == 0
