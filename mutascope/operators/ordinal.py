@@ -8,7 +8,9 @@ keys runs in one task. Instead:
 3. cut lineage (reliable checkpoint) -- the frame is read twice;
 4. count rows per (partition, group): a table of at most partitions + groups
    rows, whose exclusive running sums are each partition's offset;
-5. join offsets back (broadcast when the table is small, checked) and add.
+5. join offsets back and add. Adaptive execution turns this join into a
+   broadcast at run time only when the measured size of the offsets table is
+   below the broadcast threshold (a measured bound, not a guess).
 
 Every step is distributed; only the offsets table is small.
 """
@@ -23,17 +25,18 @@ from pyspark.sql import functions as F
 
 from mutascope.session import materialize
 
-BROADCAST_ROWS = 1_000_000
-
-
 def _n_parts(df: DataFrame, partitions: int | None) -> int:
     return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _join_small(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Broadcast ``small`` only when its row count is below the bound."""
-    n = small.count()
-    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on)
+    """Equi-join to a table that is usually small (offsets, distinct values).
+
+    No broadcast hint: with adaptive execution the join is re-planned as a
+    broadcast only if the measured size of ``small`` is under the threshold,
+    and stays a shuffle join (skew-split if needed) when it is not.
+    """
+    return big.join(small, on)
 
 
 def with_ordinal(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
@@ -63,12 +66,18 @@ def with_ordinal(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
 def with_prefix_sum(df: DataFrame, order: Sequence[str], weight: str,
                     group: Sequence[str] = (), name: str = "before",
                     partitions: int | None = None) -> DataFrame:
-    """Exclusive running sum of ``weight`` within group, in ``order`` (unique)."""
+    """Exclusive running sum of ``weight`` within group, in ``order`` (unique).
+
+    The ranged frame is read twice (local running sums, per-partition totals).
+    With unique keys it is deterministic -- range bounds come from seeded
+    sampling and every key lands in one partition -- so both reads (and any
+    recomputation after a lost executor) agree, and the exchange is reused;
+    no checkpoint is needed, unlike ``with_ordinal``'s generated row ids.
+    """
     group, order = list(group), list(order)
     keys = group + order
     ranged = (df.repartitionByRange(_n_parts(df, partitions), *keys)
                 .withColumn("_pid", F.spark_partition_id()))
-    ranged = materialize(ranged)
     local_w = Window.partitionBy("_pid", *group).orderBy(*order) \
                     .rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_local", F.coalesce(F.sum(weight).over(local_w), F.lit(0)))
@@ -131,5 +140,4 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str =
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
     ranked = with_prefix_sum(counts, [value], "_cnt", by, name="_below", partitions=partitions)
     ranked = ranked.select(*by, value, (F.col("_below") + (F.col("_cnt") + 1) / 2.0).alias(name))
-    ranked = materialize(ranked)
     return _join_small(df, ranked, [*by, value]).select(*df.columns, name)
