@@ -75,7 +75,7 @@ def union_sources(*dfs: DataFrame) -> DataFrame:
 def conform(df: DataFrame, schema, source: str, key: str, order: Sequence[str],
             numeric_text_cols: Sequence[str] = (), required: Sequence[str] = (),
             seq_col: str | None = None, length_col: str = "seq_length") -> DataFrame:
-    """The per-file pipeline: safe casts, required non-nulls, keep-first by key,
+    """Per-file preparation: safe casts, required non-nulls, keep-first by key,
     source label, character length, fixed schema."""
     out = safe_cast(df, numeric_text_cols)
     out = drop_missing(out, required)

@@ -109,8 +109,9 @@ def _chunk_rows(df: DataFrame, id_col: str, seq_col: str, positions_col: str | N
         pos = None
         n_items = F.col("length")
         def make(c):
+            # the chunk travels as a string (~1 byte per residue in the shuffle)
             return F.struct(c.alias("chunk"), (c * chunk).alias("start"),
-                            F.slice(chars, c * chunk + 1, chunk).alias("wt"))
+                            F.array_join(F.slice(chars, c * chunk + 1, chunk), "").alias("piece"))
     n_chunks = F.ceil(n_items / F.lit(chunk)).cast("int")
     chunk_structs = F.transform(
         F.when(n_chunks > 0, F.sequence(F.lit(0), n_chunks - 1)).otherwise(F.array().cast("array<int>")),
@@ -121,7 +122,7 @@ def _chunk_rows(df: DataFrame, id_col: str, seq_col: str, positions_col: str | N
         staged = staged.withColumn("_pos", pos)
     chunks = (staged.select(*_STATS, *extra, F.explode(chunk_structs).alias("_ch"))
               .select("*", *[F.col(f"_ch.{f}").alias(f) for f in
-                             (["chunk", "pos", "wt"] if pos is not None else ["chunk", "start", "wt"])])
+                             (["chunk", "pos", "wt"] if pos is not None else ["chunk", "start", "piece"])])
               .drop("_ch"))
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return chunks.repartition(n_parts, "protein_id", "chunk")
@@ -133,7 +134,7 @@ def _explode_positions(chunks: DataFrame, keep: list[str]) -> DataFrame:
                                                             F.col("wt").alias("wildtype_aa"))).alias("_z"))
                 .select(*keep, F.col("_z.position").alias("position"),
                         F.col("_z.wildtype_aa").alias("wildtype_aa")))
-    return (chunks.select(*keep, "start", F.posexplode("wt").alias("_i", "wildtype_aa"))
+    return (chunks.select(*keep, "start", F.posexplode(F.split("piece", "")).alias("_i", "wildtype_aa"))
             .select(*keep, (F.col("start") + F.col("_i") + 1).alias("position"), "wildtype_aa"))
 
 
@@ -500,7 +501,6 @@ def top_mutations_additive(df: DataFrame, id_col: str = "protein_id", seq_col: s
         .where(F.col("_below") < n).drop("_below")
     first = Window.partitionBy(*keys).orderBy("position")
     cand_pos = (rows.select(*keys, "position")
-                .join(kept.select(*keys).distinct(), keys, "left_semi")
                 .withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n).drop("_r"))
     cand = cand_pos.join(kept.drop("n"), keys).select(
         "protein_id", "position", "wildtype_aa", "mutant_aa", "predicted_wildtype",

@@ -1,4 +1,4 @@
-"""Request records (JSON lines): schemas, readers and the batch request pipeline.
+"""Request records (JSON lines): schemas, readers and batch request handling.
 
 A scan request carries ``job_id, submitted_at, sequence, top_n, positions``;
 a score request ``batch_id, sequences: [{id, sequence}]``. Both are processed

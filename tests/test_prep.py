@@ -18,7 +18,7 @@ def _descriptors(spark):
                                        "evoef2_total string, extra double, row_id int")
 
 
-def test_conform_pipeline(spark):
+def test_conform_steps(spark):
     df = _descriptors(spark)
     out = P.conform(df, SCHEMA, "af2", "design_name", ["row_id"], numeric_text_cols=["evoef2_total"],
                     required=["aggrescan3d_avg_value", "full_sequence"], seq_col="full_sequence")
