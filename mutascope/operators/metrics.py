@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutascope.operators.ordinal import average_rank
+from mutascope.operators.ordinal import rank_table
 
 METRIC_COLS = ["R2", "RMSE", "MAE", "Pearson_r", "Spearman_rho"]
 LENGTH_EDGES = [0, 100, 300, 500, 1000]
@@ -42,8 +42,10 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = (),
     base = df.select(*by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")) \
              .where(F.col("_y").isNotNull() & F.col("_p").isNotNull())
     if spearman:
-        base = average_rank(base, "_y", by, name="_ry")
-        base = average_rank(base, "_p", by, name="_rp")
+        # both rank tables come from the same rows (not chained), then join
+        ry = rank_table(base, "_y", by, name="_ry")
+        rp = rank_table(base, "_p", by, name="_rp")
+        base = base.join(ry, [*by, "_y"]).join(rp, [*by, "_p"])
     err = F.col("_p") - F.col("_y")
     aggs = [F.count(F.lit(1)).alias("n"),
             F.sum(err * err).alias("_ss_res"),

@@ -129,15 +129,22 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str =
     return out
 
 
-def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",
-                 partitions: int | None = None) -> DataFrame:
-    """Average rank (ties share the mean of their positions) of ``value`` per group.
+def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",
+               partitions: int | None = None) -> DataFrame:
+    """Distinct ``(by..., value)`` with the average rank of ``value`` in its group.
 
-    Ranks are computed on the distinct values with their counts
-    (rank = values before + (count + 1) / 2), then joined back.
+    Ties share the mean of their positions: rank = values before + (count + 1) / 2,
+    from a distributed prefix sum over the distinct values and their counts.
     """
     by = list(by)
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
     ranked = with_prefix_sum(counts, [value], "_cnt", by, name="_below", partitions=partitions)
-    ranked = ranked.select(*by, value, (F.col("_below") + (F.col("_cnt") + 1) / 2.0).alias(name))
+    return ranked.select(*by, value, (F.col("_below") + (F.col("_cnt") + 1) / 2.0).alias(name))
+
+
+def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",
+                 partitions: int | None = None) -> DataFrame:
+    """Each row of ``df`` with the average rank of ``value`` within its group."""
+    by = list(by)
+    ranked = rank_table(df, value, by, name, partitions)
     return _join_small(df, ranked, [*by, value]).select(*df.columns, name)
