@@ -124,8 +124,11 @@ def _chunk_rows(df: DataFrame, id_col: str, seq_col: str, positions_col: str | N
               .select("*", *[F.col(f"_ch.{f}").alias(f) for f in
                              (["chunk", "pos", "wt"] if pos is not None else ["chunk", "start", "piece"])])
               .drop("_ch"))
-    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return chunks.repartition(n_parts, "protein_id", "chunk")
+    # Without an explicit count, adaptive execution sizes the partitions from
+    # the measured shuffle volume (coalescing small ones).
+    if partitions:
+        return chunks.repartition(partitions, "protein_id", "chunk")
+    return chunks.repartition("protein_id", "chunk")
 
 
 def _explode_positions(chunks: DataFrame, keep: list[str]) -> DataFrame:

@@ -35,8 +35,8 @@ def read_fasta(spark: SparkSession, path: str | list[str], upper_case: bool = Fa
     # The first chunk of each file: least id within the file's first block.
     firsts = (raw.where(F.col("_block") == 0).groupBy("file")
               .agg(F.min("record").alias("record")).withColumn("_first", F.lit(True)))
-    # one row per input file: small enough to broadcast
-    tagged = raw.join(F.broadcast(firsts), ["file", "record"], "left")
+    # one row per input file; adaptive execution broadcasts it when it is small
+    tagged = raw.join(firsts, ["file", "record"], "left")
     first = F.coalesce(F.col("_first"), F.lit(False))
     value = F.col("value")
     keep = ~first | value.startswith(">")
