@@ -2,21 +2,26 @@
 
 Plan shape (all proteins in one job):
 
-    proteins -> per-protein stats (wild-type score)            narrow
-             -> chunks of <= ``chunk`` positions               narrow (explode)
-             -> hash shuffle on (protein, chunk)               splits long proteins
-             -> positions -> array of 19/20 mutant structs     narrow
-             -> {mutation table | position summary}            narrow
-             -> residue summary / top-N                        partial agg / group limit
+    proteins -> per-protein window stats (wild-type score)        narrow
+             -> chunks of <= ``chunk`` positions (as strings)      narrow (explode)
+             -> hash shuffle on (protein, chunk)                   splits long proteins
+             -> per chunk: 21 mutant lists + 21 summaries          narrow
+             -> per position: lookups                              narrow
+             -> mutation table | position summary                  narrow
+             -> residue summary / pair digest / top-N              group counts, group limit
 
-A protein holding a third of all residues is spread over ``total/chunk``
-tasks; the sequence text never travels past the chunk shuffle.
+A protein holding a third of all residues is spread over ``length/chunk``
+tasks; the sequence text crosses one shuffle at about one byte per residue.
 
 Two scorers:
 * ``"additive"`` (default): for a linear composition head the mutant score
-  follows from the wild-type residue sum, so no mutant string is built.
+  follows from the wild-type residue sum, so no mutant string is built, and
+  every mutant of a (protein, wild-type residue, window side) group has the
+  same score -- the fast paths below work on those groups.
 * a callable ``scorer(df, seq_col) -> df + score`` over mutant sequences
-  (truncated to ``max_len``), e.g. an encoder + head via ``mapInPandas``.
+  (truncated to ``max_len``), e.g. an encoder + head via ``mapInPandas``;
+  the full-table functions (``scan``, ``top_mutations``, ``residue_summary``)
+  work for any scorer.
 """
 
 from __future__ import annotations
