@@ -124,42 +124,71 @@ GBT_DEFAULTS = dict(maxDepth=6, maxIter=500, stepSize=0.05, subsamplingRate=0.8,
                     cacheNodeIds=True, checkpointInterval=10)
 
 
+def _patience_stop(rmse: list[float], patience: int) -> tuple[int, bool]:
+    """(best round count, whether the patience rule fired within ``rmse``)."""
+    best, best_i, since = float("inf"), 0, 0
+    for i, r in enumerate(rmse):
+        if r < best:
+            best, best_i, since = r, i, 0
+        else:
+            since += 1
+            if since >= patience:
+                return best_i + 1, True
+    return best_i + 1, False
+
+
 def fit_gbt(train: DataFrame, features: str | Sequence[str], label: str,
-            val: DataFrame | None = None, patience: int = 20, **params):
+            val: DataFrame | None = None, patience: int = 20,
+            target_partition_bytes: int = 128 << 20, **params):
     """Gradient-boosted regression trees with patience-based early stopping.
 
-    Fits all rounds, reads the validation RMSE of every prefix of the
-    ensemble, keeps the round count with the best RMSE if ``patience`` later
-    rounds brought no improvement, and refits with that many rounds (same
-    seed). Returns ``(model, best_rounds, val_rmse_per_round)``.
+    Tree k depends only on its seed (seed + k) and the trees before it, so a
+    k-round fit is the prefix of any longer fit. Rounds are fitted in growing
+    batches (2 x patience, doubling, capped at ``maxIter``); after each, the
+    validation RMSE of every prefix is read (``evaluateEachIteration``) and
+    the patience rule applied; the model is then refitted with the best
+    number of rounds. Training rows are cached in partitions of about
+    ``target_partition_bytes`` of feature vectors, so small inputs do not pay
+    for hundreds of tiny tasks per tree level and large inputs stay spread.
+    Returns ``(model, best_rounds, val_rmse_per_round)``.
     """
     p = dict(GBT_DEFAULTS)
     p.update(params)
     from mutascope.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(train.sparkSession)
-    tr = _vector(train, features).select("_features", F.col(label).cast("double").alias("_y")).cache()
-    gbt = GBTRegressor(featuresCol="_features", labelCol="_y", **p)
-    model = gbt.fit(tr)
+    tr = _vector(train, features).select("_features", F.col(label).cast("double").alias("_y"))
+    first = tr.first()
+    n_rows = tr.count()
+    dim = first["_features"].size if first is not None else 1
+    per_part = max(1000, target_partition_bytes // max(1, 8 * dim))
+    n_parts = max(1, min(tr.rdd.getNumPartitions(), -(-n_rows // per_part)))
+    tr = tr.repartition(n_parts).cache() if n_parts != tr.rdd.getNumPartitions() else tr.cache()
+    max_iter = p["maxIter"]
+
+    def fit(rounds):
+        q = dict(p)
+        q["maxIter"] = rounds
+        return GBTRegressor(featuresCol="_features", labelCol="_y", **q).fit(tr)
+
     if val is None:
-        return model, p["maxIter"], []
-    va = _vector(val, features).select("_features", F.col(label).cast("double").alias("_y"))
-    # squared-error loss of every ensemble prefix = mean (y - f_k)^2
-    losses = model.evaluateEachIteration(va, "squared")
-    rmse = [math.sqrt(v) for v in losses]
-    best, best_i, since = float("inf"), 0, 0
-    for i, r in enumerate(rmse):
-        if r < best:
-            best, best_i, since = r, i, 0
-        else:
-            since += 1
-            if since >= patience:
-                break
-    rounds = best_i + 1
-    if rounds < p["maxIter"]:
-        p["maxIter"] = rounds
-        model = GBTRegressor(featuresCol="_features", labelCol="_y", **p).fit(tr)
+        model = fit(max_iter)
+        tr.unpersist()
+        return model, max_iter, []
+    va = _vector(val, features).select("_features", F.col(label).cast("double").alias("_y")).cache()
+    rounds = min(max_iter, max(2 * patience, 1))
+    while True:
+        model = fit(rounds)
+        # squared-error loss of every ensemble prefix = mean (y - f_k)^2
+        rmse = [math.sqrt(v) for v in model.evaluateEachIteration(va, "squared")]
+        best, fired = _patience_stop(rmse, patience)
+        if fired or rounds >= max_iter:
+            break
+        rounds = min(max_iter, rounds * 2)
+    if best < rounds:
+        model = fit(best)
     tr.unpersist()
-    return model, rounds, rmse
+    va.unpersist()
+    return model, best, rmse
 
 
 def score_model(model, df: DataFrame, features: str | Sequence[str], out: str = "prediction") -> DataFrame:

@@ -81,8 +81,18 @@ def test_gbt_patience(spark):
     rows = [(list(map(float, rng.normal(size=3))), float(i % 2)) for i in range(120)]
     df = spark.createDataFrame(rows, "x array<double>, y double")
     model, rounds, rmse = MD.fit_gbt(df, "x", "y", df, patience=3, maxIter=12, maxDepth=2)
-    assert 1 <= rounds <= 12 and len(rmse) == 12
+    assert 1 <= rounds <= 12 and len(rmse) >= rounds
     assert model.getNumTrees == rounds
+    assert MD._patience_stop([5, 4, 4.5, 4.6, 4.7, 3], 3) == (2, True)
+    assert MD._patience_stop([5, 4, 3], 3) == (3, False)
+    # a shorter fit is the prefix of a longer one (same seed, same partitions)
+    from pyspark.ml.regression import GBTRegressor
+    tr = MD._vector(df, "x").select("_features", "y").repartition(1).cache()
+    p = dict(MD.GBT_DEFAULTS, maxDepth=2)
+    long = GBTRegressor(featuresCol="_features", labelCol="y", **dict(p, maxIter=6)).fit(tr)
+    short = GBTRegressor(featuresCol="_features", labelCol="y", **dict(p, maxIter=3)).fit(tr)
+    body = lambda t: t.toDebugString.split("\n", 1)[1]      # drop the uid line
+    assert [body(t) for t in short.trees] == [body(t) for t in long.trees[:3]]
 
 
 def test_embed_job_partitioned_by_split(spark, tmp_dir):
