@@ -84,6 +84,9 @@ def _position_array(positions_col: str | None) -> F.Column:
 
 
 _STATS = ["protein_id", "length", "win_length", "n_standard", "residue_sum", "wt_score"]
+# Above this length a chunk is cut from a residue array (linear in length)
+# instead of by substring (whose cost grows with the offset).
+_SUBSTRING_MAX = 1_000_000
 
 
 def _chunk_rows(df: DataFrame, id_col: str, seq_col: str, positions_col: str | None,
@@ -115,20 +118,24 @@ def _chunk_rows(df: DataFrame, id_col: str, seq_col: str, positions_col: str | N
         n_items = F.col("length")
         def make(c):
             # the chunk travels as a string (~1 byte per residue in the shuffle)
-            return F.struct(c.alias("chunk"), (c * chunk).alias("start"),
-                            F.array_join(F.slice(chars, c * chunk + 1, chunk), "").alias("piece"))
+            piece = F.when(F.col("length") <= _SUBSTRING_MAX,
+                           F.substring("sequence", c * chunk + 1, chunk)) \
+                     .otherwise(F.array_join(F.slice(chars, c * chunk + 1, chunk), ""))
+            return F.struct(c.alias("chunk"), (c * chunk).alias("start"), piece.alias("piece"))
     n_chunks = F.ceil(n_items / F.lit(chunk)).cast("int")
     chunk_structs = F.transform(
         F.when(n_chunks > 0, F.sequence(F.lit(0), n_chunks - 1)).otherwise(F.array().cast("array<int>")),
         make)
     extra = [F.substring("sequence", 1, max_len).alias("window")] if keep_window else []
-    staged = stats.withColumn("_chars", F.split(F.col("sequence"), ""))
+    split_all = F.split(F.col("sequence"), "")
+    staged = stats.withColumn("_chars", split_all if positions_col else
+                              F.when(F.col("length") > _SUBSTRING_MAX, split_all))
     if pos is not None:
         staged = staged.withColumn("_pos", pos)
-    chunks = (staged.select(*_STATS, *extra, F.explode(chunk_structs).alias("_ch"))
+    chunks = (staged.select(*_STATS, "sequence", *extra, F.explode(chunk_structs).alias("_ch"))
               .select("*", *[F.col(f"_ch.{f}").alias(f) for f in
                              (["chunk", "pos", "wt"] if pos is not None else ["chunk", "start", "piece"])])
-              .drop("_ch"))
+              .drop("_ch", "sequence"))
     # Without an explicit count, adaptive execution sizes the partitions from
     # the measured shuffle volume (coalescing small ones).
     if partitions:
