@@ -156,7 +156,7 @@ def _explode_positions(chunks: DataFrame, keep: list[str]) -> DataFrame:
 def scan_positions(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
                    positions_col: str | None = None, head: CompositionHead | None = None,
                    scorer: str | Callable = "additive", max_len: int = MAX_RESIDUES,
-                   chunk: int = 1024, partitions: int | None = None) -> DataFrame:
+                   chunk: int = 4096, partitions: int | None = None) -> DataFrame:
     """Position-level scan: one row per scanned position with all its mutants.
 
     Columns: protein_id, position, wildtype_aa, predicted_wildtype,
@@ -313,7 +313,7 @@ def mutations(scan_pos: DataFrame) -> DataFrame:
 def scan(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
          positions_col: str | None = None, head: CompositionHead | None = None,
          scorer: str | Callable = "additive", max_len: int = MAX_RESIDUES,
-         chunk: int = 1024) -> DataFrame:
+         chunk: int = 4096) -> DataFrame:
     """Mutation table for every protein; see ``scan_positions``."""
     return mutations(scan_positions(df, id_col, seq_col, positions_col, head, scorer,
                                     max_len, chunk))
@@ -442,7 +442,7 @@ def _positions_for_groups(df, id_col, seq_col, positions_col, head, max_len, chu
 
 def scan_groups(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
                 positions_col: str | None = None, head: CompositionHead | None = None,
-                max_len: int = MAX_RESIDUES, chunk: int = 1024,
+                max_len: int = MAX_RESIDUES, chunk: int = 4096,
                 partitions: int | None = None) -> DataFrame:
     """Positions per (protein, wild-type residue, inside/outside the model window),
     each with that group's mutant list. Every mutant of the scan belongs to
@@ -486,7 +486,7 @@ def residue_summary_additive(df: DataFrame, id_col: str = "protein_id", seq_col:
 def top_mutations_additive(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
                            n: int = 20, positions_col: str | None = None,
                            head: CompositionHead | None = None, max_len: int = MAX_RESIDUES,
-                           chunk: int = 1024, partitions: int | None = None) -> DataFrame:
+                           chunk: int = 4096, partitions: int | None = None) -> DataFrame:
     """``top_mutations(scan(df), n)`` without building the full table.
 
     Within a (protein, wild type, window side) group every position has the
