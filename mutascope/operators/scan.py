@@ -168,7 +168,13 @@ def scan_positions(df: DataFrame, id_col: str = "protein_id", seq_col: str = "se
     chunks = _chunk_rows(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions,
                          keep_window=generic)
     if generic:
-        return _generic_mutants(_explode_positions(chunks, _STATS + ["window"]), scorer)
+        # the wild type is scored by the same scorer, once per protein
+        wins = protein_stats(df, id_col, seq_col, head, max_len).select(
+            "protein_id", F.substring("sequence", 1, max_len).alias("_wt_window"))
+        wt = scorer(wins, "_wt_window").select("protein_id", F.col("score").cast("float").alias("_wt"))
+        rows = _explode_positions(chunks, _STATS + ["window"]).join(wt, "protein_id") \
+            .withColumn("wt_score", F.col("_wt")).drop("_wt")
+        return _generic_mutants(rows, scorer)
     # Per chunk (before the per-position explode): the 21 mutant lists and
     # their summaries; each position is then a lookup.
     chunks = chunks.select("*", _mutant_table(head).alias("_lut"),

@@ -51,3 +51,33 @@ def score(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
                     F.col("length").cast("long").alias("sequence_length"),
                     F.lit(version).alias("model_version"),
                     *(["error"] if err is not None else []))
+
+
+def encoder_head_scorer(encoder, weights: DataFrame, batch_size: int = 8):
+    """Scorer ``(df, seq_col) -> df + score`` = encoder, then a dense head.
+
+    One ``mapInPandas``: each Arrow batch is encoded in sub-batches of
+    ``batch_size`` (the encoder is built once per Python worker) and passed
+    through the network (batch-norm folded, exact GELU). The weight table is
+    small and collected once. Usable for table scoring and as the generic
+    scorer of ``scan_positions`` (every mutant window is scored).
+    """
+    from mutascope.operators.models import fold_layers, mlp_forward
+    layers = fold_layers([r.asDict(recursive=True) for r in weights.collect()])
+
+    def scorer(df: DataFrame, seq_col: str) -> DataFrame:
+        def run(batches):
+            import numpy as np
+            for pdf in batches:
+                seqs = pdf[seq_col].fillna("").tolist()
+                vecs = [encoder.encode(seqs[i:i + batch_size]) for i in range(0, len(seqs), batch_size)]
+                x = np.concatenate(vecs) if vecs else np.zeros((0, 1))
+                pdf = pdf.copy()
+                pdf["score"] = mlp_forward(x, layers) if len(pdf) else np.zeros(0, dtype=np.float32)
+                yield pdf
+
+        from pyspark.sql import types as T
+        schema = T.StructType(list(df.schema.fields) + [T.StructField("score", T.FloatType())])
+        return df.mapInPandas(run, schema)
+
+    return scorer

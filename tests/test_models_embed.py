@@ -104,3 +104,22 @@ def test_embed_job_partitioned_by_split(spark, tmp_dir):
     assert sorted(d for d in __import__("os").listdir(store) if d.startswith("split=")) == \
         ["split=test", "split=train", "split=val"]
     assert E.embed_job(df, E.ResidueScaleEncoder(), store, "id", "s", split_col="split")["embedded"] == 0
+
+
+def test_scan_with_encoder_and_dense_head(spark):
+    from mutascope.operators import scan as S
+    from mutascope.operators.score import encoder_head_scorer
+    from mutascope.plans.model_queries import toy_mlp_weights
+    enc = E.ResidueScaleEncoder()
+    weights = toy_mlp_weights(spark, dims=(enc.dim, 4, 1))
+    layers = MD.fold_layers([r.asDict(recursive=True) for r in weights.collect()])
+    scorer = encoder_head_scorer(enc, weights)
+    seq = "MKVXA"
+    df = spark.createDataFrame([("p", seq)], "id string, seq string")
+    rows = {(r["position"], r["mutant_aa"]): r for r in S.scan(df, "id", "seq", scorer=scorer).collect()}
+    f = lambda s: float(MD.mlp_forward(enc.encode([s]), layers)[0])
+    wt = f(seq)
+    assert len(rows) == 19 * 4 + 20
+    for (pos, m), r in rows.items():
+        mut = seq[:pos - 1] + m + seq[pos:]
+        assert r["delta"] == pytest.approx(round(f(mut) - wt, 6), abs=1.1e-6)
