@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mutascope.operators.ordinal import rank_table
+from mutascope.session import materialize
 
 METRIC_COLS = ["R2", "RMSE", "MAE", "Pearson_r", "Spearman_rho"]
 LENGTH_EDGES = [0, 100, 300, 500, 1000]
@@ -42,6 +43,9 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = (),
     base = df.select(*by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")) \
              .where(F.col("_y").isNotNull() & F.col("_p").isNotNull())
     if spearman:
+        # The rows are read three times (two rank tables, one join): cut them
+        # once so an expensive upstream (model scoring, joins) runs once.
+        base = materialize(base)
         # both rank tables come from the same rows (not chained), then join
         ry = rank_table(base, "_y", by, name="_ry")
         rp = rank_table(base, "_p", by, name="_rp")
