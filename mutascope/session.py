@@ -46,13 +46,21 @@ def get_session(master: str | None = None, app: str = "mutascope",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a private one only if unset."""
+    """Use the cluster's ``spark.checkpoint.dir``.
+
+    A private folder is created only in local mode (tests, benchmarks); on a
+    cluster a missing setting is an error, since a driver-local folder is not
+    visible to executors and does not survive their loss.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or an "
+                               "object store): ordinal helpers, GBT and round trips write there")
         conf_dir = tempfile.mkdtemp(prefix="mutascope-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
