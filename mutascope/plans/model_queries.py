@@ -234,6 +234,16 @@ def toy_mlp_weights(spark, dims=(64, 16, 8, 1), seed: int = 42):
     return spark.createDataFrame(rows, MD.MLP_WEIGHTS_SCHEMA)
 
 
+def q_score_encoder_head(spark, sf):
+    """Predict path of the service: model window -> encoder -> dense head, per protein."""
+    from mutascope.operators.score import encoder_head_scorer, score
+    enc = E.ResidueScaleEncoder()
+    weights = toy_mlp_weights(spark, dims=(enc.dim, 16, 8, 1))
+    p = proteins(spark, sf)
+    return score(p, "design_name", "full_sequence", scorer=encoder_head_scorer(enc, weights),
+                 version="residue_scale+dense_v1")
+
+
 def q_mlp_score(spark, sf):
     emb = table(spark, sf, "embeddings")
     return MD.score_mlp(emb, "embedding", toy_mlp_weights(spark), "vec_id")
@@ -253,6 +263,7 @@ QUERIES = {
     "ridge_fit": q_ridge_fit,
     "gbt_fit": q_gbt_fit,
     "mlp_score": q_mlp_score,
+    "score_encoder_head": q_score_encoder_head,
 }
 
 ORACLES = {

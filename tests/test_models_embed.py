@@ -123,3 +123,18 @@ def test_scan_with_encoder_and_dense_head(spark):
     for (pos, m), r in rows.items():
         mut = seq[:pos - 1] + m + seq[pos:]
         assert r["delta"] == pytest.approx(round(f(mut) - wt, 6), abs=1.1e-6)
+
+
+def test_score_with_encoder_head_truncates_window(spark):
+    from mutascope.operators.score import encoder_head_scorer, score
+    from mutascope.plans.model_queries import toy_mlp_weights
+    enc = E.ResidueScaleEncoder()
+    weights = toy_mlp_weights(spark, dims=(enc.dim, 4, 1))
+    layers = MD.fold_layers([r.asDict(recursive=True) for r in weights.collect()])
+    seqs = [("a", "MKVLAG"), ("b", "W" * 1030)]
+    df = spark.createDataFrame(seqs, "id string, seq string")
+    got = {r["protein_id"]: r for r in score(df, "id", "seq", scorer=encoder_head_scorer(enc, weights)).collect()}
+    for pid, s in seqs:
+        want = float(MD.mlp_forward(enc.encode([s[:1022]]), layers)[0])
+        assert got[pid]["predicted"] == pytest.approx(round(want, 6), abs=1.1e-6)
+        assert got[pid]["sequence_length"] == len(s)
