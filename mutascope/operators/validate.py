@@ -111,9 +111,11 @@ def validate_scan_requests(df: DataFrame, seq_col: str = "sequence", top_n_col:
                           F.format_string("positions out of range for sequence of length %d: ",
                                           F.col("length")),
                           F.array_join(F.slice(F.array_sort(F.array_distinct(above)), 1, 10), ", ")))))
-    return (v.withColumn(top_n_col, top)
-             .withColumn(positions_col, F.when(pos.isNotNull(), F.array_sort(F.array_distinct(pos))))
-             .withColumn("error", err))
+    # the error is computed on the positions as requested (order kept in the
+    # message), then the list is replaced by its sorted distinct form
+    return (v.withColumn("error", err)
+             .withColumn(top_n_col, top)
+             .withColumn(positions_col, F.when(pos.isNotNull(), F.array_sort(F.array_distinct(pos)))))
 
 
 def validate_batches(df: DataFrame, batch_col: str, max_batch: int = 64) -> DataFrame:

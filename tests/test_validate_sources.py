@@ -58,3 +58,18 @@ def test_empty_header_is_an_error_row(spark, tmp_dir):
     rows = read_fasta(spark, path).orderBy("record").collect()
     assert rows[0]["protein_id"] is None and rows[0]["error"]
     assert (rows[1]["protein_id"], rows[1]["sequence"], rows[1]["error"]) == ("ok", "AA", None)
+
+
+def test_validate_scan_requests(spark):
+    from mutascope.operators.validate import validate_scan_requests
+    rows = [("ok", "mkvl", None, [3, 1, 3]), ("top0", "MKVL", 0, None), ("top501", "MKVL", 501, None),
+            ("neg", "MKVL", 5, [0, -2, 1]), ("far", "MKVL", 5, [9, 2, 7, 9]), ("long", "A" * 1023, 5, None)]
+    df = spark.createDataFrame(rows, "id string, sequence string, top_n int, positions array<int>")
+    v = {r["id"]: r for r in validate_scan_requests(df).collect()}
+    assert v["ok"]["error"] is None and v["ok"]["top_n"] == 20 and v["ok"]["positions"] == [1, 3]
+    assert v["ok"]["sequence"] == "MKVL"
+    assert v["top0"]["error"] == "top_n must be between 1 and 500; got 0"
+    assert "got 501" in v["top501"]["error"]
+    assert v["neg"]["error"] == "positions must be >= 1; got 0, -2"
+    assert v["far"]["error"] == "positions out of range for sequence of length 4: 7, 9"
+    assert v["long"]["error"].startswith("sequence length 1023 exceeds")
