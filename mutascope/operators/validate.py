@@ -84,7 +84,9 @@ def parse_positions(df: DataFrame, spec_col: str, len_col: str,
               .withColumn(out_col, F.when(F.col("_bad").isNull(), positions)
                           .otherwise(F.array().cast("array<int>")))
               .withColumn("error", F.when(F.col("_bad").isNotNull(), F.concat(
-                  F.lit("invalid position: '"), F.col("_bad.t"), F.lit("'"))))
+                  F.when(F.instr(F.col("_bad.t"), "-") > 0, F.lit("invalid position range: '"))
+                   .otherwise(F.lit("invalid position: '")),
+                  F.col("_bad.t"), F.lit("'"))))
               .drop("_bad"))
 
 

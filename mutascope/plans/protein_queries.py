@@ -119,7 +119,8 @@ SELECT design_name, spec,
   CASE WHEN bad IS NULL THEN CAST(len(list_distinct(flatten(
          list_transform(parsed, lambda x: CASE WHEN greatest(x.a, 1) <= least(x.b, len)
               THEN generate_series(greatest(x.a, 1), least(x.b, len)) ELSE [] END)))) AS BIGINT) ELSE 0 END AS n_positions,
-  CASE WHEN bad IS NOT NULL THEN 'invalid position: ''' || bad || '''' END AS error
+  CASE WHEN bad IS NOT NULL THEN (CASE WHEN strpos(bad, '-') > 0 THEN 'invalid position range: '''
+                                       ELSE 'invalid position: ''' END) || bad || '''' END AS error
 FROM (
   SELECT *, (list_filter(list_transform(parsed, lambda x: CASE WHEN x.a IS NULL OR x.b IS NULL THEN x.t END),
                          lambda y: y IS NOT NULL))[1] AS bad
