@@ -73,13 +73,6 @@ class CompositionHead:
                 + F.lit(float(self.length_weight)) * length.cast("double")
                 + F.lit(float(self.intercept)))
 
-    def k_map(self) -> Column:
-        integral = all(float(v).is_integer() for v in self.k.values())
-        pairs = []
-        for aa in ALPHABET:
-            pairs += [F.lit(aa), F.lit(int(self.k[aa]) if integral else float(self.k[aa]))]
-        return F.create_map(*pairs)
-
     # -- SQL text (used by oracle queries) ---------------------------------
     def residue_sum_sql(self, count_prefix: str) -> str:
         integral = all(float(v).is_integer() for v in self.k.values())

@@ -1,4 +1,4 @@
-"""Numeric helpers: half-even rounding, exact means of 6-dp values, safe ratios."""
+"""Numeric helpers: exact means of 6-dp values with half-even rounding."""
 
 from __future__ import annotations
 
@@ -44,8 +44,3 @@ def mean6_sql(sum_micro: str, n: str) -> str:
 
 def to_micro_sql(x: str) -> str:
     return f"CAST(round(({x}) * CAST({MICRO} AS DOUBLE)) AS BIGINT)"
-
-
-def safe_ratio(num: Column, den: Column) -> Column:
-    """``num / den``, NULL when ``den`` is 0 (ANSI mode would raise)."""
-    return F.when(den != 0, num / den)

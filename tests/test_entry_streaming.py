@@ -74,3 +74,32 @@ def test_score_request_stream(spark, tmp_dir):
     got = {(r["batch_id"], r["protein_id"]): r for r in read_results(spark, out).collect()}
     assert got[("b1", "b")]["sequence_length"] == 3 and got[("b1", "a")]["predicted"] is not None
     assert "invalid character" in got[("b2", None)]["batch_error"]
+
+
+def test_public_api_smoke(spark, tmp_dir):
+    from mutascope.functions.residues import FEATURE_NAMES, feature_vector, sequence_features
+    from mutascope.operators import scan as S
+    from mutascope.operators.models import fit_gbt, score_model
+    from mutascope.operators.validate import validate_batches
+    from mutascope.sources.sinks import write_json, write_parquet
+    from mutascope.sources.tables import read_store
+
+    df = spark.createDataFrame([("a", "MKVLAG", "train"), ("b", "WWAC", "val")], "id string, seq string, split string")
+    fv = feature_vector(sequence_features(df, "seq")).first()["features"]
+    assert len(fv) == len(FEATURE_NAMES)
+    write_parquet(df, f"{tmp_dir}/pq", partition_by=["split"])
+    assert sorted(r["id"] for r in read_store(spark, f"{tmp_dir}/pq", ["id"]).collect()) == ["a", "b"]
+    docs = S.scan_documents(S.scan_positions(df, "id", "seq"), top_n=3)
+    write_json(docs, f"{tmp_dir}/docs")
+    back = spark.read.json(f"{tmp_dir}/docs").collect()
+    assert len(back) == 2 and all(len(r["result"]["top_mutations"]) == 3 for r in back)
+    assert all(len(r["result"]["position_summary"]) in (6, 4) for r in back)
+    rows = [(f"b{i // 70}", f"s{i}") for i in range(75)]
+    vb = validate_batches(spark.createDataFrame(rows, "batch string, id string"), "batch")
+    assert vb.where("batch_error IS NOT NULL").select("batch").distinct().collect()[0]["batch"] == "b0"
+    req = spark.createDataFrame([("j1", "MKV", 3, None)], "job_id string, sequence string, top_n int, positions array<int>")
+    req.write.json(f"{tmp_dir}/req")
+    assert RQ.read_scan_requests(spark, f"{tmp_dir}/req").first()["job_id"] == "j1"
+    tr = spark.createDataFrame([([float(i), float(i % 3)], float(i % 2)) for i in range(40)], "x array<double>, y double")
+    model, _, _ = fit_gbt(tr, "x", "y", maxIter=3, maxDepth=2)
+    assert score_model(model, tr, "x").where("prediction IS NULL").count() == 0
