@@ -17,8 +17,7 @@ items with equal ids count once, a null id reads ``null``; an empty benchmark hi
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -200,10 +199,6 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without any hit, with all their columns."""
-    names = docs.columns
-    found = occurrences(docs, benchmark, keep=tuple(names), width=width)
-    return found.where(F.size("hit_words") == 0).select(*names)
-
-
-def items_digest(items: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(set(items))).encode()).hexdigest()
+    rows, back = X.hidden(docs, "text")
+    found = occurrences(rows, benchmark, keep=tuple(rows.columns), width=width)
+    return found.where(F.size("hit_words") == 0).select(*back)

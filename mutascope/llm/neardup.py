@@ -206,4 +206,4 @@ def near_duplicates(docs: DataFrame, width: int = 4, ratio: int = 80) -> DataFra
 def keep_one(docs: DataFrame, width: int = 5, ratio: int = 80) -> DataFrame:
     """One document of each group (the smallest id), with all columns."""
     gone = near_duplicates(docs, width, ratio).where("not kept").select("doc_id")
-    return docs.join(X.written(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(X.written(gone, "copies"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -260,8 +260,8 @@ def mask(docs: DataFrame) -> DataFrame:
     The texts are read twice: once for training, once for masking; they are neither stored nor shuffled.
     """
     weights = train(X.written(with_candidates(docs.select("text")).drop("text"), "pii"))
-    names = docs.columns
-    found = with_candidates(docs, "_candidates")
+    rows, back = X.hidden(docs, "text")
+    found = with_candidates(rows, "_candidates")
     spans = F.array_sort(F.transform(accepted(F.col("_candidates"), weights),
                                      lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
     found = found.withColumn("_spans", spans)
@@ -276,4 +276,4 @@ def mask(docs: DataFrame) -> DataFrame:
 
     clean = F.aggregate("_spans", zero, step,
                         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(text)).select(*names)
+    return found.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(text)).select(*back)

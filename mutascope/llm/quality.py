@@ -128,7 +128,6 @@ def keep_good(docs: DataFrame, r: Rules = Rules()) -> DataFrame:
     Texts are measured twice: once for the host rates, once beside the rows that are kept, so the
     texts themselves are neither shuffled nor stored.
     """
-    names = docs.columns
-    stats = X.written(measures(docs, ("source",)), "quality")
-    hosts = host_verdicts(stats, r)
-    return judged(measures(docs, tuple(names)), hosts, r).where("kept").select(*names)
+    hosts = host_verdicts(X.written(measures(docs, ("source",)), "quality"), r)
+    rows, back = X.hidden(docs, "text", "source")
+    return judged(measures(rows, tuple(rows.columns)), hosts, r).where("kept").select(*back)

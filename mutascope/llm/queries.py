@@ -1,10 +1,11 @@
-"""Registered queries of the training-data operators, and SQL where it can express them."""
+"""Registered queries of the training-data operators (``ORACLES``: SQL where it can express them)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from mutascope.llm import bpe, decontam, html, lattice, licenses, neardup, pii, quality, secrets, urlrules
+from mutascope.llm.oracles import ORACLES
 from mutascope.llm.text import documents
 
 
@@ -56,4 +57,6 @@ def op10_secrets(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_decontamination, op4_lattice_score, op5_html_text,
                                    op6_url_filter, op7_near_duplicates, op8_licences, op9_bpe, op10_secrets)}
 
-ORACLES: dict[str, str] = {}
+
+
+__all__ = ["QUERIES", "ORACLES"]

@@ -153,6 +153,14 @@ def map_rows(df: DataFrame, keep: list[str], fields: str, compute: Callable[[],
     return df.select(*need).mapInArrow(run, schema)
 
 
+def hidden(df: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all but the ``needed`` columns under neutral names, and the columns that undo it. Stages that
+    pass whole rows on use it, so that no extra column can clash with a name of their own."""
+    alias = {c: c if c in needed else f"_c{i}" for i, c in enumerate(df.columns)}
+    return (df.select(*[F.col(f"`{c}`").alias(a) for c, a in alias.items()]),
+            [F.col(a).alias(c) for c, a in alias.items()])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
