@@ -109,6 +109,6 @@ def judge(pages: DataFrame, rules=RULES, support: float = SUPPORT, confidence: f
     mined = mine(labelled, support, confidence)
     open_urls = (known.where("known is null and host != ''").select("url", "host", "path").distinct()
                  .select("url", tokens().alias("tokens")))
-    found = match(open_urls, mined).where("mined = 'block'")
+    found = match(open_urls, mined.where("verdict != 'open'")).where("mined = 'block'")
     out = known.join(X.small(X.written(found, "verdicts"), RULES_BROADCAST), "url", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("known", "mined", F.lit("allow")).alias("verdict"))
