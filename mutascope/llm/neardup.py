@@ -8,9 +8,12 @@
    have the longest common prefixes and become candidates (``REACH`` on each side). A region of more than
    ``REGION`` classes is cut by a longer prefix, level by level; what is still larger at the full signature is
    compared with its smallest class. No region is collected, no region's pairs are enumerated.
-3. Candidates are confirmed on the full shingle sets (100 * intersection >= 100 * similarity * union), built
+3. Candidates whose signatures agree widely enough are confirmed on the full shingle sets (100 * intersection >= 100 * similarity * union), built
    again from the texts of candidate classes only.
 4. Links become components by alternating large-star and small-star steps with written tables between.
+5. In a crowded region a class may be similar to the group's centre alone and have nearer neighbours in every
+   order. So each class is compared once more with the best-linked class of each of its regions, if that is
+   in another component, and new links join the components.
 
 A pair at similarity 0.8 shares a region of some tree with probability 1 - (1 - 0.8**3)**24, over 0.9999999.
 
@@ -29,9 +32,12 @@ from pyspark.sql import functions as F
 
 from mutascope.llm import text as X
 
-TREES, STEP, REACH, REGION = 24, 3, 2, 2048
-DEPTHS = (STEP, 8, 24, TREES * STEP)
-HEAVY_BROADCAST = 100_000  # region keys (8 bytes each) that may be broadcast
+TREES, STEP, REACH, REGION = 24, 3, 4, 8192
+AGREE = 40  # of 72 signature values: below, similarity 0.8 has a chance under 1e-6, and sets are not compared
+ORDER = 3  # sort columns after the prefix; each holds four signature values
+DEPTHS = (STEP, 6, 12, 24, TREES * STEP)
+HEAVY_BROADCAST = 100_000   # region keys (8 bytes each) that may be broadcast
+IDS_BROADCAST = 1_000_000   # ids of candidate classes (8 bytes each) that may be broadcast
 SEEDS = np.random.default_rng(20).integers(1, 1 << 63, TREES * STEP, dtype=np.uint64) * X.U(2) + X.U(1)
 
 
@@ -81,33 +87,44 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return X.map_rows(docs, ["doc_id"], "n_shingles long, f1 long, f2 long, signature array<int>", lambda: work)
 
 
-def candidates(classes: DataFrame, reach: int = REACH, region: int = REGION, ratio: int = 80) -> DataFrame:
-    """Candidate pairs (a < b) of classes (rep, n, signature), sizes already compatible."""
+def _forest(classes: DataFrame) -> DataFrame:
+    """One row per class and tree."""
+    return classes.select("rep", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+
+
+def _key(depth: int):
+    """The region of a row at a depth: its tree and the first values of the tree's order."""
     ring = F.concat("signature", "signature")
-    rows = classes.select("rep", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    return F.xxhash64("tree", F.slice(ring, F.col("tree") * STEP + 1, depth))
+
 
-    def key(depth: int):
-        return F.xxhash64("tree", F.slice(ring, F.col("tree") * STEP + 1, depth))
+def candidates(classes: DataFrame, reach: int = REACH, region: int = REGION, ratio: int = 80) -> DataFrame:
+    """Candidate pairs (a < b) of classes (rep, n, signature), sizes already compatible."""
+    rows = _forest(classes)
 
     def following(depth: int, k: int):
-        """Values 2k and 2k+1 after the prefix, packed into one sortable number."""
-        at = F.col("tree") * STEP + depth + 2 * k
-        return F.shiftleft(F.get(ring, at % (2 * TREES * STEP)).cast("long"), 32) + F.get(ring, (at + 1) % (2 * TREES * STEP))
+        """Values 4k to 4k+3 after the prefix (16 bits of each), packed into one sortable number."""
+        out = F.lit(0).cast("long")
+        for j in range(4):
+            value = F.get("signature", (F.col("tree") * STEP + depth + 4 * k + j) % (TREES * STEP))
+            out = F.shiftleft(out, 16) + value.bitwiseAND(F.lit(0xFFFF))
+        return out
 
     found, parents = [], None
     for level, depth in enumerate(DEPTHS):
         here = rows
         if parents is not None:
-            here = here.withColumn("parent", key(DEPTHS[level - 1])).join(parents, "parent", "left_semi")
-        here = here.select("rep", "n", "tree", "signature", key(depth).alias("key"))
+            here = here.withColumn("parent", _key(DEPTHS[level - 1])).join(parents, "parent", "left_semi")
+        here = here.select("rep", "n", "tree", "signature", _key(depth).alias("key"))
         heavy = X.written(here.groupBy("key").count().where(F.col("count") > region).select("key"), "regions")
         any_heavy = bool(heavy.take(1))
         light = here
         if any_heavy:
             heavy = X.small(heavy, HEAVY_BROADCAST)
             light = here.join(heavy, "key", "left_anti")
-        light = light.select("key", following(depth, 0).alias("o1"), following(depth, 1).alias("o2"), "rep", "n")
-        order = Window.partitionBy("key").orderBy("o1", "o2", "rep")
+        sort = [f"o{k}" for k in range(ORDER)]
+        light = light.select("key", *[following(depth, k).alias(o) for k, o in enumerate(sort)], "rep", "n")
+        order = Window.partitionBy("key").orderBy(*sort, "rep")
         near = light.select("rep", "n", *[F.lead(F.struct(F.col("rep").alias("other"), F.col("n").alias("m")), k)
                                           .over(order).alias(f"next{k}") for k in range(1, reach + 1)])
         found.append(near.select("rep", "n", F.explode(F.array(*[f"next{k}" for k in range(1, reach + 1)])).alias("x"))
@@ -128,10 +145,19 @@ def candidates(classes: DataFrame, reach: int = REACH, region: int = REGION, rat
             .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
 
 
+def promising(pairs: DataFrame, classes: DataFrame, agree: int = AGREE) -> DataFrame:
+    """Pairs whose signatures agree in at least ``agree`` places (a short column, so that the long sets of
+    clearly different classes are not moved)."""
+    left = classes.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
+    right = classes.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))
+    return pairs.join(left, "a").join(right, "b").where(same >= agree).select("a", "b")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, ratio: int = 80) -> DataFrame:
     """Pairs whose full shingle sets have 100 * intersection >= ratio * union, with both numbers."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    ids = X.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    texts = docs.select("doc_id", "text").join(X.small(ids, IDS_BROADCAST), "doc_id", "left_semi")
 
     def work(part: pa.RecordBatch) -> list:
         grams, of = shingles(part, width)
@@ -162,6 +188,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, ratio: int = 80) ->
             .where(100 * F.col("common") >= ratio * F.col("total")))
 
 
+def centre_candidates(classes: DataFrame, links: DataFrame, labels: DataFrame, ratio: int = 80) -> DataFrame:
+    """Pairs (a < b) of a class and the best-linked class of one of its regions, in different components."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+    known = classes.join(labels, classes.rep == labels.node, "left").select(
+        "rep", "n", "signature", F.coalesce("component", "rep").alias("component"))
+    known = X.written(known.join(ends, "rep", "left"), "centres")
+    rows = known.select("rep", "n", "signature", "component", "degree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select("rep", "n", "component", "degree", _key(STEP).alias("key"))
+    centres = (rows.where("degree is not null").groupBy("key")
+               .agg(F.max(F.struct("degree", "rep", "n", "component")).alias("x"))
+               .select("key", F.col("x.rep").alias("other"), F.col("x.n").alias("m"), F.col("x.component").alias("far")))
+    met = rows.select("key", "rep", "n", "component").join(centres, "key")
+    return (met.where((F.col("component") != F.col("far")) & (100 * F.least("n", "m") >= ratio * F.greatest("n", "m")))
+            .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the edges (a, b).
 
@@ -193,8 +235,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, ratio: int = 80) -> DataFra
     linked = sk.where("n_shingles > 0 and doc_id is not null")
     sets = ["f1", "f2", "n_shingles"]
     classes = X.written(linked.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    pairs = X.written(candidates(classes.select("rep", F.col("n_shingles").alias("n"), "signature"), ratio=ratio), "pairs")
-    labels = components(confirmed(pairs, docs, width, ratio))
+    sized = classes.select("rep", F.col("n_shingles").alias("n"), "signature")
+    pairs = X.written(promising(candidates(sized, ratio=ratio), sized), "pairs")
+    links = X.written(confirmed(pairs, docs, width, ratio).select("a", "b"), "links")
+    labels = components(links)
+    again = X.written(promising(centre_candidates(sized, links, labels, ratio), sized), "again")
+    more = X.written(confirmed(again, docs, width, ratio).select("a", "b"), "more")
+    if more.take(1):
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = (classes.join(labels, classes.rep == labels.node, "left")
              .select(*sets, F.coalesce("component", "rep").alias("component_id")))
     out = sk.drop("signature").join(named, sets, "left")
