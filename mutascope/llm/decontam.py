@@ -17,6 +17,7 @@ items with equal ids count once, a null id reads ``null``; an empty benchmark hi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -118,10 +119,10 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (
     out, first = docs, True
     carried = list(dict.fromkeys([*keep, "text"]))
     for items in _shards(benchmark, shard_bytes):
-        shared = sc.broadcast(items)
+        shared, name = sc.broadcast(items), uuid.uuid4().hex
 
-        def compute(shared=shared, first=first):
-            automaton = _automaton(shared, width)
+        def compute(shared=shared, name=name, first=first):
+            automaton = _automaton(shared, name, width)
 
             def work(part: pa.RecordBatch) -> list:
                 n = part.num_rows
@@ -153,16 +154,17 @@ def _step(df: DataFrame, carried: list[str], first: bool, compute) -> DataFrame:
     return X.map_rows(renamed, [*carried, "_w", "_i"], fields, again).drop("_w", "_i")
 
 
-_built: dict[tuple[int, int], Automaton] = {}
+_built: dict[str, Automaton] = {}
+KEPT = 4  # automata a Python worker keeps, so that chained shards of one query do not rebuild in turn
 
 
-def _automaton(shared, width: int) -> Automaton:
-    """Built once per Python worker and shard; only the latest stays."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), width)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton(shared.value, width)
-    return _built[key]
+def _automaton(shared, name: str, width: int) -> Automaton:
+    """Built once per Python worker, by the shard's own name."""
+    if name not in _built:
+        while len(_built) >= KEPT:
+            _built.pop(next(iter(_built)))
+        _built[name] = Automaton(shared.value, width)
+    return _built[name]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

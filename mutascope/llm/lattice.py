@@ -160,7 +160,8 @@ def score(docs: DataFrame, path: str | None = None, hot: int = HOT) -> DataFrame
     spark = docs.sparkSession
     counts = X.written(token_counts(docs), "counts")
     model, n, v = train(counts, path)
-    frequent = {r.token: r.c for r in counts.where(F.col("c") * hot >= n).toLocalIterator()} if n else {}
+    often = (F.col("c") * hot >= n) | (F.col("token") == END)
+    frequent = {r.token: r.c for r in counts.where(often).toLocalIterator()}
     shared = spark.sparkContext.broadcast((model, frequent))
     divisor = math.log10(n + 0.1 * (v + 1))
 

@@ -33,8 +33,8 @@ a as (select *, base_failed or 100 * n_symbols > {r.max_symbol_percent} * word_c
              or 100 * n_dup_lines > {r.max_dup_line_per_100_words} * n_words
              or word_chars < {r.min_word_chars} * n_words or word_chars > {r.max_word_chars} * n_words as any_failed from f),
 h as (select source, count(*) as n, sum(any_failed::int) as k from a where source is not null group by source),
-m as (select sum(k) / sum(n) as m from h),
-v as (select m, avg((k / n - m) * (k / n - m) - m * (1 - m) / n) as v from h, m group by m),
+m as (select sum(k) / sum(n) as m, sum(n) as nn, sum(n::double * n) as sq, count(*) as hs from h),
+v as (select m, (sum(n * (k / n - m) * (k / n - m)) - (hs - 1) * m * (1 - m)) / nullif(nn - sq / nn, 0) as v from h, m group by m, nn, sq, hs),
 p as (select source, case when v > 0 then (k + m * greatest(m * (1 - m) / v - 1, 0)) / (n + greatest(m * (1 - m) / v - 1, 0)) else m end
              > {r.max_rate} as poor from h, v)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -88,18 +88,21 @@ def rule_failed(r: Rules) -> Column:
 def host_verdicts(stats: DataFrame, r: Rules = Rules(), host: str = "source") -> DataFrame:
     """(host, n, failed, rate, poor): failure rates by host, shrunk with an empirical beta prior.
 
-    With mean m and between-host variance v of the rates (sampling variance taken off), the prior
-    strength is m(1-m)/v - 1; no spread means full shrinkage to m. Sums are exact integers.
+    The mean m is that of all documents; the between-host variance v is the spread of the host rates, weighted
+    by documents, less what sampling alone would give. The prior's strength is m(1-m)/v - 1; no spread
+    means full shrinkage to m. Sums are exact integers.
     """
     hosts = (stats.where(F.col(host).isNotNull()).groupBy(host)
              .agg(F.count(F.lit(1)).alias("n"), F.sum(rule_failed(r).cast("long")).alias("failed")))
     hosts = X.written(hosts, "hosts")
-    rate = F.col("failed") / F.col("n")
-    one = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("k"), F.count(F.lit(1)).alias("h")).first()
+    one = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("k"), F.count(F.lit(1)).alias("h"),
+                    F.sum(F.col("n").cast("double") * F.col("n")).alias("nn")).first()
     m = one.k / one.n if one.h else 0.0
-    var = hosts.agg(F.avg((rate - m) * (rate - m) - F.lit(m * (1 - m)) / F.col("n")).alias("v")).first().v
-    strength = m * (1 - m) / var - 1 if var is not None and var > 0 else float("inf")
-    strength = max(strength, 0.0)
+    gap = F.col("failed") / F.col("n") - m
+    spread = hosts.agg(F.sum(F.col("n") * gap * gap).alias("s")).first().s
+    room = one.n - one.nn / one.n if one.h else 0.0
+    var = (spread - (one.h - 1) * m * (1 - m)) / room if room > 0 else 0.0
+    strength = max(m * (1 - m) / var - 1, 0.0) if var > 0 else float("inf")
     if strength == float("inf"):
         shrunk = F.lit(float(m))
     else:
