@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 
 from mutascope.llm import text as X
 
+SHORT, NEVER = 40, 1 << 30
 FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-CACHE = 200_000  # words remembered by a Python worker
+CACHE = 600_000  # words remembered by a Python worker
 PAIRS = 4_000_000  # pair verdicts remembered by a Python worker
 
 
@@ -68,7 +69,9 @@ class Coder:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
         self.bytes = _byte_chars()
-        self.longest = max(map(len, self.vocab))
+        self.reach: dict[str, int] = {}  # longest token with the same first three characters
+        for token in self.vocab:
+            self.reach[token[:3]] = max(self.reach.get(token[:3], 0), len(token))
         self.token_ok = np.zeros(max(self.names) + 1, np.int8)  # 0 unknown, 1 stays, 2 does not
         self.pairs, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
         self.known: dict[str, tuple[bytes, str, int]] = {}
@@ -100,8 +103,8 @@ class Coder:
     # ---- exact merging -----------------------------------------------------------------------
     def merge(self, symbols: list[str]) -> list[str]:
         """Apply the lowest-ranked merge, leftmost first, until none is left."""
-        if len(symbols) < 2:
-            return symbols
+        if len(symbols) <= SHORT:
+            return self._merge_short(symbols)
         n = len(symbols)
         sym: list[str | None] = list(symbols)
         nxt, prv = [*range(1, n), -1], [*range(-1, n - 1)]
@@ -122,6 +125,23 @@ class Coder:
                     heapq.heappush(heap, (r, left, sym[left], sym[right]))
         return [s for s in sym if s is not None]
 
+    def _merge_short(self, symbols: list[str]) -> list[str]:
+        """The same for few symbols, without a heap."""
+        parts, get = list(symbols), self.ranks.get
+        ranks = [get(pair, NEVER) for pair in zip(parts, parts[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == NEVER:
+                break
+            i = ranks.index(low)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), NEVER)
+        return parts
+
     def _parts(self, token: str) -> list[str]:
         """The starting symbols of a token's string."""
         if token.endswith(self.end) and len(token) > len(self.end):
@@ -133,10 +153,10 @@ class Coder:
     # ---- speculation ---------------------------------------------------------------------------
     def propose(self, symbols: list[str]) -> list[int] | None:
         """Greedy longest match; None if some symbol is in no token."""
-        vocab, joined, n, at, out = self.vocab, "".join(symbols), len(symbols), 0, []
-        size, tail = len(joined), len(self.end)
+        vocab, reach, joined, n, at, out = self.vocab, self.reach, "".join(symbols), len(symbols), 0, []
+        size = len(joined)
         while at < n:
-            for stop in range(min(n, at + self.longest), at, -1):
+            for stop in range(min(n, at + max(reach.get(joined[at:at + 3], 2), 1)), at, -1):
                 token = vocab.get(joined[at:size if stop == n else stop])
                 if token is not None:
                     out.append(token)
@@ -144,7 +164,6 @@ class Coder:
                     break
             else:
                 return None
-        assert size == n + tail
         return out
 
     def _stays(self, tokens: np.ndarray) -> np.ndarray:
