@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from mutascope.llm import text as X
 
-TREES, STEP, REACH, REGION = 24, 3, 4, 8192
+TREES, STEP, REACH, REGION = 24, 3, 2, 8192
+CENTRE = 2  # values of a prefix that make the wider regions in which centres are sought
 AGREE = 40  # of 72 signature values: below, similarity 0.8 has a chance under 1e-6, and sets are not compared
 ORDER = 3  # sort columns after the prefix; each holds four signature values
 DEPTHS = (STEP, 6, 12, 24, TREES * STEP)
@@ -195,7 +196,7 @@ def centre_candidates(classes: DataFrame, links: DataFrame, labels: DataFrame, r
         "rep", "n", "signature", F.coalesce("component", "rep").alias("component"))
     known = X.written(known.join(ends, "rep", "left"), "centres")
     rows = known.select("rep", "n", "signature", "component", "degree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.select("rep", "n", "component", "degree", _key(STEP).alias("key"))
+    rows = rows.select("rep", "n", "component", "degree", _key(CENTRE).alias("key"))
     centres = (rows.where("degree is not null").groupBy("key")
                .agg(F.max(F.struct("degree", "rep", "n", "component")).alias("x"))
                .select("key", F.col("x.rep").alias("other"), F.col("x.n").alias("m"), F.col("x.component").alias("far")))
