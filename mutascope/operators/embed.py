@@ -17,17 +17,21 @@ import time
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mutascope.functions.residues import ALPHABET, KYTE_DOOLITTLE, MAX_RESIDUES
 
 SENTINEL = 1.0e6        # value of marker/padding tokens; must never reach a pooled vector
-_CODE = {aa: i + 1 for i, aa in enumerate(ALPHABET)}     # 0 = non-standard
+_CODE = np.zeros(256, dtype=np.int64)     # 0 = non-standard
+_CODE[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(1, len(ALPHABET) + 1)
 
 
 def _codes(seq: str) -> np.ndarray:
-    return np.fromiter((_CODE.get(c, 0) for c in seq), dtype=np.int64, count=len(seq))
+    """Residue codes through a byte table; characters beyond one byte are non-standard."""
+    points = np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(points < 256, _CODE[points & 0xFF], 0)
 
 
 def pool_tokens(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -100,6 +104,20 @@ class KmerHashEncoder:
         return out
 
 
+_ENCODERS: dict[str, object] = {}
+
+
+def worker_encoder(encoder):
+    """An encoder as it is; or, from a factory (any callable without ``encode``), one built once per Python
+    worker and kept under the factory's name, so that heavy weights are loaded there and not pickled per task."""
+    if hasattr(encoder, "encode"):
+        return encoder
+    name = f"{encoder.__module__}.{encoder.__qualname__}"
+    if name not in _ENCODERS:
+        _ENCODERS[name] = encoder()
+    return _ENCODERS[name]
+
+
 def embed(df: DataFrame, encoder, id_col: str = "protein_id", seq_col: str = "sequence",
           batch_size: int = 8, max_len: int | None = MAX_RESIDUES,
           carry: list[str] | None = None) -> DataFrame:
@@ -110,11 +128,12 @@ def embed(df: DataFrame, encoder, id_col: str = "protein_id", seq_col: str = "se
     callers order cheap filters before this step.
     """
     def run(batches):
+        enc = worker_encoder(encoder)
         for pdf in batches:
             seqs = [s if max_len is None else s[:max_len] for s in pdf[seq_col].fillna("").tolist()]
             vecs = []
             for i in range(0, len(seqs), batch_size):
-                vecs.extend(encoder.encode(seqs[i:i + batch_size]))
+                vecs.extend(enc.encode(seqs[i:i + batch_size]))
             import pandas as pd
             out = {"id": pdf[id_col].astype(str).values, "embedding": [v.tolist() for v in vecs]}
             for c in carry or []:
@@ -145,17 +164,27 @@ def group_mean(df: DataFrame, group: str, vec_col: str) -> DataFrame:
               .groupBy(group, "dim").agg(F.avg(F.col("v").cast("double")).alias("mean")))
 
 
-def stored_ids(spark, store: str, id_col: str = "id") -> DataFrame:
-    """Ids already in the store; empty if the store does not exist yet."""
+def stored_ids(spark, store: str, id_col: str = "id", split: str | None = None) -> DataFrame:
+    """Ids (and splits, if ``split`` names the column) already in the store; empty if there is no store yet.
+
+    Only a missing path counts as an empty store; any other failure is raised.
+    """
+    keys = {"_done": F.col(id_col)} | ({"_done_split": F.col(split).cast("string")} if split else {})
     try:
-        return spark.read.parquet(store).select(F.col(id_col).alias("_done")).distinct()
-    except Exception:  # noqa: BLE001 - a missing store means nothing is done
-        return spark.createDataFrame([], "_done string")
+        stored = spark.read.parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ", ".join(f"{k} string" for k in keys))
+    return stored.select(*[c.alias(k) for k, c in keys.items()]).distinct()
 
 
-def pending(df: DataFrame, done: DataFrame, id_col: str) -> DataFrame:
-    """Rows whose id is not stored yet (anti-join)."""
-    return df.join(done, F.col(id_col).cast("string") == F.col("_done"), "left_anti")
+def pending(df: DataFrame, done: DataFrame, id_col: str, split_col: str | None = None) -> DataFrame:
+    """Rows whose id (in its split, if given) is not stored yet (anti-join)."""
+    same = F.col(id_col).cast("string") == F.col("_done")
+    if split_col:
+        same = same & (F.col(split_col).cast("string") == F.col("_done_split"))
+    return df.join(done, same, "left_anti")
 
 
 def embed_job(df: DataFrame, encoder, store: str, id_col: str = "protein_id",
@@ -175,7 +204,7 @@ def embed_job(df: DataFrame, encoder, store: str, id_col: str = "protein_id",
     base = df.select(F.col(id_col).alias("_id"), F.col(seq_col).alias("_seq"), *extra) \
              .withColumn("_len", F.length("_seq"))
     counts = base.agg(F.count(F.lit(1)).alias("total")).first()
-    todo = pending(base, stored_ids(spark, store), "_id")
+    todo = pending(base, stored_ids(spark, store, split="split" if split_col else None), "_id", "split" if split_col else None)
     kept = todo.where(F.col("_len") <= max_len)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = kept.repartitionByRange(n_parts, "_len", "_id").sortWithinPartitions("_len", "_id")

@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutascope.operators.ordinal import rank_table
+from mutascope.operators.ordinal import rank_table, with_rank
 from mutascope.session import materialize
 
 METRIC_COLS = ["R2", "RMSE", "MAE", "Pearson_r", "Spearman_rho"]
@@ -49,7 +49,7 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = (),
         # both rank tables come from the same rows (not chained), then join
         ry = rank_table(base, "_y", by, name="_ry")
         rp = rank_table(base, "_p", by, name="_rp")
-        base = base.join(ry, [*by, "_y"]).join(rp, [*by, "_p"])
+        base = with_rank(materialize(with_rank(base, ry, "_y", by, "_ry")), rp, "_p", by, "_rp")
     err = F.col("_p") - F.col("_y")
     aggs = [F.count(F.lit(1)).alias("n"),
             F.sum(err * err).alias("_ss_res"),
@@ -186,9 +186,9 @@ def axis_limits(df: DataFrame, y: str, p: str, margin: float = 0.05) -> DataFram
 
 
 def compare_models(preds: DataFrame, y: str = "y", p: str = "p", model: str = "model",
-                   round_to: int | None = None) -> DataFrame:
+                   round_to: int | None = None, spearman: bool = True) -> DataFrame:
     """Side-by-side metrics from stacked predictions (id, model, y, p)."""
-    return regression_metrics(preds, y, p, [model], round_to=round_to)
+    return regression_metrics(preds, y, p, [model], spearman=spearman, round_to=round_to)
 
 
 def upsert_metrics(existing: DataFrame, new: DataFrame, pattern: str, model: str = "model") -> DataFrame:

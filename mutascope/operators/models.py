@@ -10,9 +10,10 @@ import math
 from typing import Sequence
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,21 +24,26 @@ from pyspark.sql import types as T
 # ---------------------------------------------------------------------------
 
 def join_labels(emb: DataFrame, labels: DataFrame, key: str, order: str | None = None,
-                on_duplicate: str = "last", how: str = "inner") -> DataFrame:
+                on_duplicate: str = "last", how: str = "inner", strict: bool = False) -> DataFrame:
     """Attach label rows to vectors by key.
 
-    ``last``: duplicate label keys resolve to the last row in ``order``
-    (aggregated with ``max_by``, partial on the map side); ``expand``: every
-    duplicate multiplies the vector row (plain equi-join).
+    ``last``: duplicate label keys resolve to the last row in ``order``, which
+    is required (aggregated with ``max_by``, partial on the map side);
+    ``expand``: every duplicate multiplies the vector row (plain equi-join).
+    ``strict``: a vector without a label is an error (one anti-join is run).
     """
     if on_duplicate == "last":
+        if order is None:
+            raise ValueError("on_duplicate='last' needs an order column")
         rest = [c for c in labels.columns if c != key]
-        ordering = F.col(order) if order else F.monotonically_increasing_id()
-        labels = labels.withColumn("_ord", ordering).groupBy(key).agg(
-            F.max_by(F.struct(*rest), F.col("_ord")).alias("_r")).select(
+        labels = labels.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(
             key, *[F.col(f"_r.{c}").alias(c) for c in rest])
     elif on_duplicate != "expand":
         raise ValueError(f"unknown duplicate policy {on_duplicate}")
+    if strict:
+        lost = [r[key] for r in missing_labels(emb, labels, key).select(key).limit(3).collect()]
+        if lost:
+            raise ValueError(f"vectors without a label, for example {lost}")
     return emb.join(labels, key, how)
 
 
@@ -117,8 +123,8 @@ def score_linear(df: DataFrame, features: str | Sequence[str], weights: Sequence
 # Boosted trees
 # ---------------------------------------------------------------------------
 
-# depth 6, 500 rounds, learning rate 0.05, row/column sampling 0.8, seed 42;
-# node ids cached and checkpointed every 10 rounds (long lineages at scale).
+# Depth 6, 500 rounds, learning rate 0.05, row/column sampling 0.8, seed 42.
+# Node ids are cached and checkpointed every 10 rounds (long lineages at scale).
 GBT_DEFAULTS = dict(maxDepth=6, maxIter=500, stepSize=0.05, subsamplingRate=0.8,
                     featureSubsetStrategy="0.8", seed=42, maxBins=256,
                     cacheNodeIds=True, checkpointInterval=10)
@@ -137,32 +143,40 @@ def _patience_stop(rmse: list[float], patience: int) -> tuple[int, bool]:
     return best_i + 1, False
 
 
-def fit_gbt(train: DataFrame, features: str | Sequence[str], label: str,
-            val: DataFrame | None = None, patience: int = 20,
-            target_partition_bytes: int = 128 << 20, **params):
+def _prefix(model, rounds: int):
+    """The model of the first ``rounds`` trees of a fitted one (no refit)."""
+    trees, weights = model._java_obj.trees(), model._java_obj.treeWeights()
+    jvm = SparkContext._active_spark_context._jvm
+    short = jvm.org.apache.spark.ml.regression.GBTRegressionModel(
+        model.uid, jvm.java.util.Arrays.copyOf(trees, rounds), jvm.java.util.Arrays.copyOf(weights, rounds), model.numFeatures)
+    return GBTRegressionModel(model._java_obj.copyValues(short, model._java_obj.extractParamMap()))
+
+
+def fit_gbt(train: DataFrame, features: str | Sequence[str], label: str, key: str,
+            val: DataFrame | None = None, patience: int = 20, num_partitions: int = 8, **params):
     """Gradient-boosted regression trees with patience-based early stopping.
 
     Tree k depends only on its seed (seed + k) and the trees before it, so a
     k-round fit is the prefix of any longer fit. Rounds are fitted in growing
-    batches (2 x patience, doubling, capped at ``maxIter``); after each, the
-    validation RMSE of every prefix is read (``evaluateEachIteration``) and
-    the patience rule applied; the model is then refitted with the best
-    number of rounds. Training rows are cached in partitions of about
-    ``target_partition_bytes`` of feature vectors, so small inputs do not pay
-    for hundreds of tiny tasks per tree level and large inputs stay spread.
+    batches (2 x patience, doubling, up to ``maxIter``); after each, the
+    validation RMSE of every prefix is read (``evaluateEachIteration``) and the
+    patience rule applied; the result is the best prefix of the longest fit.
+
+    Row sampling is drawn per partition in row order, so training rows are dealt
+    into ``num_partitions`` partitions by ``key`` (unique) and sorted by it: the
+    same rows give the same model however the input was partitioned. Raise
+    ``num_partitions`` with the data; it is a parameter of the model.
     Returns ``(model, best_rounds, val_rmse_per_round)``.
     """
     p = dict(GBT_DEFAULTS)
     p.update(params)
     from mutascope.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(train.sparkSession)
-    tr = _vector(train, features).select("_features", F.col(label).cast("double").alias("_y"))
-    first = tr.first()
-    n_rows = tr.count()
-    dim = first["_features"].size if first is not None else 1
-    per_part = max(1000, target_partition_bytes // max(1, 8 * dim))
-    n_parts = max(1, min(tr.rdd.getNumPartitions(), -(-n_rows // per_part)))
-    tr = tr.repartition(n_parts).cache() if n_parts != tr.rdd.getNumPartitions() else tr.cache()
+
+    def rows(df: DataFrame) -> DataFrame:
+        return _vector(df, features).select(F.col(key).alias("_key"), "_features", F.col(label).cast("double").alias("_y"))
+
+    tr = rows(train).repartition(num_partitions, "_key").sortWithinPartitions("_key").cache()
     max_iter = p["maxIter"]
 
     def fit(rounds):
@@ -174,7 +188,7 @@ def fit_gbt(train: DataFrame, features: str | Sequence[str], label: str,
         model = fit(max_iter)
         tr.unpersist()
         return model, max_iter, []
-    va = _vector(val, features).select("_features", F.col(label).cast("double").alias("_y")).cache()
+    va = rows(val).cache()
     rounds = min(max_iter, max(2 * patience, 1))
     while True:
         model = fit(rounds)
@@ -185,7 +199,7 @@ def fit_gbt(train: DataFrame, features: str | Sequence[str], label: str,
             break
         rounds = min(max_iter, rounds * 2)
     if best < rounds:
-        model = fit(best)
+        model = _prefix(model, best)
     tr.unpersist()
     va.unpersist()
     return model, best, rmse
@@ -219,12 +233,31 @@ MLP_WEIGHTS_SCHEMA = T.StructType([
     T.StructField("bn_var", T.ArrayType(T.DoubleType())),
 ])
 BN_EPS = 1e-5
+MAX_WEIGHTS = 50_000_000
+
+
+# Rational coefficients of erf (W. J. Cody 1969) on |x| < 0.5, 0.5..4 and above; fixed values.
+_ERF_A = (1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3)
+_ERF_B = (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3)
+_ERF_C = (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2,
+          8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3)
+_ERF_D = (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3,
+          3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3)
+_ERF_P = (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4)
+_ERF_Q = (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3)
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
-    """Exact error function, element-wise."""
-    from math import erf
-    return np.vectorize(erf, otypes=[np.float64])(x)
+    """Error function to double precision, whole arrays at a time."""
+    a = np.abs(x)
+    low, mid = np.minimum(a, 0.5), np.clip(a, 0.46875, 4.0)
+    high = np.clip(a, 4.0, 6.5)
+    small = low * np.polyval(_ERF_A, low * low) / np.polyval(_ERF_B, low * low)
+    middle = 1.0 - np.exp(-mid * mid) * np.polyval(_ERF_C, mid) / np.polyval(_ERF_D, mid)
+    z = 1.0 / (high * high)
+    tail = z * np.polyval(_ERF_P, z) / np.polyval(_ERF_Q, z)
+    large = 1.0 - np.exp(-high * high) / high * (1.0 / math.sqrt(math.pi) - tail)
+    return np.sign(x) * np.where(a <= 0.46875, small, np.where(a <= 4.0, middle, large))
 
 
 def fold_layers(weights: list[dict]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
@@ -256,9 +289,13 @@ def score_mlp(df: DataFrame, features: str, weights: DataFrame, id_col: str,
               out: str = "prediction") -> DataFrame:
     """Score an array<float> column with a dense network given as a weight table.
 
-    The weight table is small (one row per layer) and is collected once and
-    shipped with the task closure; rows stream through in Arrow batches.
+    The weight table has one row per layer; it is collected and shipped with the
+    task closure after a check of its size (``MAX_WEIGHTS`` numbers). Rows stream
+    through in Arrow batches.
     """
+    size = weights.agg(F.sum(F.size(F.flatten("weight"))).alias("n")).first().n or 0
+    if size > MAX_WEIGHTS:
+        raise ValueError(f"dense head of {size} weights; the limit is {MAX_WEIGHTS}")
     rows = [r.asDict(recursive=True) for r in weights.collect()]
     layers = fold_layers(rows)
 

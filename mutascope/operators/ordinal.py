@@ -1,18 +1,19 @@
 """Global ordinals, prefix sums, exact order statistics and average ranks.
 
 A global ``row_number()`` over a window without (or with very few) partition
-keys runs in one task. Instead:
-
-1. range-partition on (group, order) and sort within partitions;
-2. tag rows with their partition id and a per-partition monotone id;
-3. cut lineage (reliable checkpoint) -- the frame is read twice;
-4. count rows per (partition, group): a table of at most partitions + groups
-   rows, whose exclusive running sums are each partition's offset;
-5. join offsets back and add. Adaptive execution turns this join into a
-   broadcast at run time only when the measured size of the offsets table is
-   below the broadcast threshold (a measured bound, not a guess).
-
-Every step is distributed; only the offsets table is small.
+keys runs in one task. Instead rows get an ordered ``bucket`` that is a pure
+function of the row -- literal cut points, or the leading digits of a hash --
+so every read of the frame, and every recomputation after a lost executor,
+puts a row in the same bucket:
+
+1. running sums inside each (group, bucket): one hash exchange;
+2. totals per (group, bucket): at most buckets x groups rows, whose exclusive
+   running sums are each bucket's offset;
+3. a null-safe join adds the offsets (rows of a NULL group stay). Adaptive
+   execution broadcasts the offsets when their measured size is small.
+
+Ties never meet in one task: ranks and quantiles work on distinct values with
+their counts, which are aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -20,73 +21,77 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mutascope.session import materialize
+BUCKETS = 64       # ordered buckets per group; raise it with the data
+ACCURACY = 10_000  # of the approximate quantiles that serve as cut points
 
-def _n_parts(df: DataFrame, partitions: int | None) -> int:
-    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+def value_bucket(df: DataFrame, col: str, buckets: int = BUCKETS) -> Column:
+    """Bucket number of ``col``, from cut points read once (``buckets - 1`` numbers).
 
-def _join_small(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Equi-join to a table that is usually small (offsets, distinct values).
-
-    No broadcast hint: with adaptive execution the join is re-planned as a
-    broadcast only if the measured size of ``small`` is under the threshold,
-    and stays a shuffle join (skew-split if needed) when it is not.
+    The cut points are approximate quantiles: their error changes how even the
+    buckets are, never a result.
     """
-    return big.join(small, on)
+    shares = [k / buckets for k in range(1, buckets)]
+    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), shares, ACCURACY).alias("c")).first().c
+    cuts = sorted({float(c) for c in cuts or [] if c is not None and not math.isnan(c)})
+    if not cuts:
+        return F.lit(0)
+    v = F.col(col).cast("double")
 
+    def search(lo: int, hi: int) -> Column:
+        """Cut points not above the value, by bisection over literals."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(v < F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
 
-def with_ordinal(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
-                 name: str = "ordinal", partitions: int | None = None) -> DataFrame:
-    """1-based position of each row within its group under ``order``.
+    return F.when(v.isNull(), F.lit(-1)).otherwise(search(0, len(cuts)))
 
-    ``order`` should make rows unique (append a key) for a deterministic result.
-    """
-    group, order = list(group), list(order)
-    keys = group + order
-    ranged = (df.repartitionByRange(_n_parts(df, partitions), *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = materialize(ranged)
-    counts = ranged.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_cnt"),
-                                                F.min("_mid").alias("_first"))
-    w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) \
-        if group else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0))) \
-                    .drop("_cnt")
-    out = _join_small(ranged, offsets, ["_pid", *group])
-    return out.select(*df.columns,
-                      (F.col("_before") + (F.col("_mid") - F.col("_first")) + 1).alias(name))
-
-
-def with_prefix_sum(df: DataFrame, order: Sequence[str], weight: str,
-                    group: Sequence[str] = (), name: str = "before",
-                    partitions: int | None = None) -> DataFrame:
-    """Exclusive running sum of ``weight`` within group, in ``order`` (unique).
-
-    The ranged frame is read twice (local running sums, per-partition totals).
-    With unique keys it is deterministic -- range bounds come from seeded
-    sampling and every key lands in one partition -- so both reads (and any
-    recomputation after a lost executor) agree, and the exchange is reused;
-    no checkpoint is needed, unlike ``with_ordinal``'s generated row ids.
+
+def hex_bucket(col: str, buckets: int = BUCKETS) -> Column:
+    """Bucket number of an evenly spread hexadecimal text (md5), in text order."""
+    head = F.conv(F.substring(col, 1, 8), 16, 10).cast("double")
+    return F.floor(head * F.lit(buckets / 4294967296.0)).cast("int")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``on`` where NULL equals NULL; the right side's key columns are dropped."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = None
+    for c in on:
+        one = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        cond = one if cond is None else cond & one
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
+def with_prefix_sum(df: DataFrame, order: Sequence[str], weight: str, group: Sequence[str] = (),
+                    name: str = "before", bucket: Column | None = None) -> DataFrame:
+    """Exclusive running sum of ``weight`` within group, in ``order`` (unique rows).
+
+    ``bucket`` must not decrease along ``order``; by default it is cut from the
+    first (numeric) order column.
     """
     group, order = list(group), list(order)
-    keys = group + order
-    ranged = (df.repartitionByRange(_n_parts(df, partitions), *keys)
-                .withColumn("_pid", F.spark_partition_id()))
-    local_w = Window.partitionBy("_pid", *group).orderBy(*order) \
-                    .rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_local", F.coalesce(F.sum(weight).over(local_w), F.lit(0)))
-    sums = ranged.groupBy("_pid", *group).agg(F.sum(weight).alias("_psum"))
-    w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) \
-        if group else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_before", F.coalesce(F.sum("_psum").over(w), F.lit(0))).drop("_psum")
-    out = _join_small(local, offsets, ["_pid", *group])
-    return out.select(*df.columns, (F.col("_before") + F.col("_local")).alias(name))
+    rows = df.withColumn("_bucket", value_bucket(df, order[0]) if bucket is None else bucket)
+    keys = [*group, "_bucket"]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    totals = rows.groupBy(*keys).agg(F.sum(weight).alias("_total"))
+    # without a group this window holds one row per bucket
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    out = _null_safe(local, offsets, keys)
+    return out.select(*df.columns, (F.col("_offset") + F.col("_local")).alias(name))
+
+
+def with_ordinal(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
+                 name: str = "ordinal", bucket: Column | None = None) -> DataFrame:
+    """1-based position of each row within its group under ``order`` (unique rows)."""
+    counted = with_prefix_sum(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", group, "_before", bucket)
+    return counted.select(*df.columns, (F.col("_before") + 1).alias(name))
 
 
 def rank_targets(n: int, qs: Sequence[float], method: str) -> dict[float, list[int]]:
@@ -103,21 +108,25 @@ def rank_targets(n: int, qs: Sequence[float], method: str) -> dict[float, list[i
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str = "linear",
-                    partitions: int | None = None) -> dict[float, float | None]:
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str = "linear") -> dict[float, float | None]:
     """Exact quantiles of a column (NULLs ignored): ``linear`` or ``nearest``.
 
-    Only the 1-2 rows per quantile at the needed ranks reach the driver.
+    Works on distinct values and counts, so a frequent value is one row. Only
+    the 1-2 values per quantile reach the driver.
     """
-    vals = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
-    n = vals.count()
+    counts = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(
+        F.count(F.lit(1)).alias("_cnt"))
+    n = counts.agg(F.sum("_cnt").alias("n")).first().n or 0
     if n == 0:
         return {q: None for q in qs}
     targets = rank_targets(n, qs, method)
-    wanted = sorted({r + 1 for rs in targets.values() for r in rs})
-    picked = with_ordinal(vals, ["_v"], partitions=partitions) \
-        .where(F.col("ordinal").isin(wanted)).select("ordinal", "_v").collect()
-    at = {r["ordinal"] - 1: r["_v"] for r in picked}
+    wanted = sorted({r for rs in targets.values() for r in rs})
+    placed = with_prefix_sum(counts, ["_v"], "_cnt", name="_below")
+    hit = F.lit(False)
+    for r in wanted:
+        hit = hit | ((F.col("_below") <= r) & (F.col("_below") + F.col("_cnt") > r))
+    found = placed.where(hit).select("_v", "_below", "_cnt").collect()
+    at = {r: row["_v"] for r in wanted for row in found if row["_below"] <= r < row["_below"] + row["_cnt"]}
     out = {}
     for q in qs:
         if method == "nearest":
@@ -129,22 +138,30 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str =
     return out
 
 
-def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",
-               partitions: int | None = None) -> DataFrame:
-    """Distinct ``(by..., value)`` with the average rank of ``value`` in its group.
+def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+    """Distinct ``(by..., value)`` with the average rank of ``value`` in its group and its count ``{name}_n``.
 
     Ties share the mean of their positions: rank = values before + (count + 1) / 2,
     from a distributed prefix sum over the distinct values and their counts.
     """
     by = list(by)
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    ranked = with_prefix_sum(counts, [value], "_cnt", by, name="_below", partitions=partitions)
-    return ranked.select(*by, value, (F.col("_below") + (F.col("_cnt") + 1) / 2.0).alias(name))
+    ranked = with_prefix_sum(counts, [value], "_cnt", by, name="_below")
+    return ranked.select(*by, value, (F.col("_below") + (F.col("_cnt") + 1) / 2.0).alias(name),
+                         F.col("_cnt").alias(f"{name}_n"))
 
 
-def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",
-                 partitions: int | None = None) -> DataFrame:
-    """Each row of ``df`` with the average rank of ``value`` within its group."""
-    by = list(by)
-    ranked = rank_table(df, value, by, name, partitions)
-    return _join_small(df, ranked, [*by, value]).select(*df.columns, name)
+def with_rank(df: DataFrame, ranked: DataFrame, value: str, by: Sequence[str], name: str, hot: int = 1000) -> DataFrame:
+    """Rows of ``df`` (read twice: materialise it) with their rank from ``rank_table``.
+
+    A (group, value) that holds at least 1/``hot`` of all rows would be a hot
+    join key. There are at most ``hot`` of them, so their ranks are broadcast;
+    the others are joined by shuffle.
+    """
+    keys = [*by, value]
+    n = df.count()
+    often = ranked.where(F.col(f"{name}_n") * hot >= n).select(*keys, name)
+    rest = ranked.where(F.col(f"{name}_n") * hot < n).select(*keys, name)
+    marked = _null_safe(df, F.broadcast(often), keys, "left")
+    return (marked.where(F.col(name).isNotNull())
+            .unionByName(_null_safe(marked.where(F.col(name).isNull()).drop(name), rest, keys)))

@@ -130,9 +130,15 @@ def describe_numeric(df: DataFrame, col: str, quantile: str = "nearest",
 
 
 def length_summary(df: DataFrame, length_col: str) -> DataFrame:
-    """min, max, mean and (interpolated) median of a length column."""
-    return df.agg(F.min(length_col).alias("min"), F.max(length_col).alias("max"),
-                  F.avg(length_col).alias("mean"), F.median(length_col).alias("median"))
+    """min, max, mean and (interpolated) median of a length column.
+
+    The median comes from the distinct lengths and their counts, not from a
+    buffer of values."""
+    from mutascope.operators.ordinal import exact_quantiles
+
+    median = exact_quantiles(df, length_col, (0.5,))[0.5]
+    return df.agg(F.min(length_col).alias("min"), F.max(length_col).alias("max"), F.avg(length_col).alias("mean")) \
+        .withColumn("median", F.lit(median).cast("double"))
 
 
 def round_cols(df: DataFrame, cols: Sequence[str], scale: int) -> DataFrame:

@@ -72,6 +72,13 @@ def protein_stats(df: DataFrame, id_col: str, seq_col: str,
     return out.drop(win, *[f"{pre}{aa}" for aa in ALPHABET])
 
 
+def record_id(id_col: str, *key: str) -> F.Column:
+    """An id for records whose ids may repeat (several files, united sources): a struct of the key columns
+    and the id. Every function here takes the protein id as an opaque key, so such records stay apart;
+    unpack it with ``protein_id.<field>``."""
+    return F.struct(*[F.col(c) for c in (*key, id_col)])
+
+
 def _position_array(positions_col: str | None) -> F.Column:
     """Requested positions (1-based), defaulting to every residue."""
     every = F.when(F.col("length") > 0, F.sequence(F.lit(1), F.col("length"))) \
@@ -84,9 +91,6 @@ def _position_array(positions_col: str | None) -> F.Column:
 
 
 _STATS = ["protein_id", "length", "win_length", "n_standard", "residue_sum", "wt_score"]
-# Above this length a chunk is cut from a residue array (linear in length)
-# instead of by substring (whose cost grows with the offset).
-_SUBSTRING_MAX = 1_000_000
 
 
 def _chunk_rows(df: DataFrame, id_col: str, seq_col: str, positions_col: str | None,
@@ -118,20 +122,17 @@ def _chunk_rows(df: DataFrame, id_col: str, seq_col: str, positions_col: str | N
         n_items = F.col("length")
         def make(c):
             # the chunk travels as a string (~1 byte per residue in the shuffle)
-            piece = F.when(F.col("length") <= _SUBSTRING_MAX,
-                           F.substring("sequence", c * chunk + 1, chunk)) \
-                     .otherwise(F.array_join(F.slice(chars, c * chunk + 1, chunk), ""))
-            return F.struct(c.alias("chunk"), (c * chunk).alias("start"), piece.alias("piece"))
+            return F.struct(c.alias("chunk"), (c * chunk).alias("start"), F.get("_pieces", c).alias("piece"))
     n_chunks = F.ceil(n_items / F.lit(chunk)).cast("int")
     chunk_structs = F.transform(
         F.when(n_chunks > 0, F.sequence(F.lit(0), n_chunks - 1)).otherwise(F.array().cast("array<int>")),
         make)
     extra = [F.substring("sequence", 1, max_len).alias("window")] if keep_window else []
-    split_all = F.split(F.col("sequence"), "")
-    staged = stats.withColumn("_chars", split_all if positions_col else
-                              F.when(F.col("length") > _SUBSTRING_MAX, split_all))
     if pos is not None:
-        staged = staged.withColumn("_pos", pos)
+        staged = stats.withColumn("_chars", F.split(F.col("sequence"), "")).withColumn("_pos", pos)
+    else:
+        # one linear cut for every length
+        staged = stats.withColumn("_pieces", F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)))
     chunks = (staged.select(*_STATS, "sequence", *extra, F.explode(chunk_structs).alias("_ch"))
               .select("*", *[F.col(f"_ch.{f}").alias(f) for f in
                              (["chunk", "pos", "wt"] if pos is not None else ["chunk", "start", "piece"])])
@@ -453,10 +454,36 @@ def scan_groups(df: DataFrame, id_col: str = "protein_id", seq_col: str = "seque
     """Positions per (protein, wild-type residue, inside/outside the model window),
     each with that group's mutant list. Every mutant of the scan belongs to
     exactly one group and has the group's delta, so group rows x ``n`` are an
-    exact, compact form of the whole mutation table."""
+    exact, compact form of the whole mutation table.
+
+    A full scan counts letters on the sequence itself: the 20 residues by
+    ``length - length(replace)``, other letters from what remains without them. No
+    row per residue is made, and only records with other letters aggregate those.
+    """
     head = head or default_head()
-    rows = _positions_for_groups(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions)
-    groups = rows.groupBy(*_STATS, "wildtype_aa", "in_window").agg(F.count(F.lit(1)).alias("n"))
+    if positions_col is not None:
+        rows = _positions_for_groups(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions)
+        groups = rows.groupBy(*_STATS, "wildtype_aa", "in_window").agg(F.count(F.lit(1)).alias("n"))
+        return _row_mutants(groups, head)
+    stats = protein_stats(df, id_col, seq_col, head, max_len)
+    sides = stats.select(*_STATS, F.substring("sequence", 1, max_len).alias("_in"),
+                         F.regexp_replace("sequence", f"(?s)^.{{0,{max_len}}}", "").alias("_out"))
+    counted = sides.select(*_STATS, "_in", "_out", *count_columns("_in", "_i_"), *count_columns("_out", "_o_"))
+    others = [F.regexp_replace(c, f"[{ALPHABET}]", "") for c in ("_in", "_out")]
+    known = [F.struct(F.lit(aa).alias("wildtype_aa"), F.lit(inside).alias("in_window"), F.col(f"{p}{aa}").cast("long").alias("n"))
+             for p, inside in (("_i_", True), ("_o_", False)) for aa in ALPHABET]
+    listed = counted.select(*_STATS, F.array(*known).alias("_known"), others[0].alias("_oi"), others[1].alias("_oo"))
+
+    def letters(column: str, inside: bool) -> F.Column:
+        text = F.col(column)
+
+        def one(c):
+            return F.struct(c.alias("wildtype_aa"), F.lit(inside).alias("in_window"),
+                            (F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("long").alias("n"))
+        return F.transform(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != ""), one)
+
+    every = F.filter(F.concat("_known", letters("_oi", True), letters("_oo", False)), lambda g: g["n"] > 0)
+    groups = listed.select(*_STATS, F.explode(every).alias("_g")).select(*_STATS, "_g.wildtype_aa", "_g.in_window", "_g.n")
     return _row_mutants(groups, head)
 
 
@@ -507,8 +534,7 @@ def top_mutations_additive(df: DataFrame, id_col: str = "protein_id", seq_col: s
     head = head or default_head()
     rows = _positions_for_groups(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions)
     keys = ["protein_id", "wildtype_aa", "in_window"]
-    groups = _row_mutants(rows.groupBy(*_STATS, "wildtype_aa", "in_window")
-                          .agg(F.count(F.lit(1)).alias("n")), head)
+    groups = scan_groups(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions)
     pairs = groups.select(*keys, "n", "predicted_wildtype", F.explode_outer("mutants").alias("m")) \
         .select(*keys, "n", "predicted_wildtype", F.col("m.mutant_aa").alias("mutant_aa"),
                 F.col("m.predicted_mutant").alias("predicted_mutant"), F.col("m.delta").alias("delta"))

@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mutascope.operators.ordinal import exact_quantiles, with_ordinal
+from mutascope.operators.ordinal import exact_quantiles, hex_bucket, with_ordinal
 
 SPLITS = ("train", "val", "test")
 
@@ -44,8 +44,8 @@ def stratified_split(df: DataFrame, target: str, key: str,
     edges = list(edges) if edges is not None else quartile_edges(df, target)
     staged = df.withColumn("stratum", stratum_expr(target, edges)) \
                .withColumn("_shuffle", shuffle_key(key, seed))
-    ordered = with_ordinal(staged, ["_shuffle", key], ["stratum"], name="_ord")
-    sizes = ordered.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
+    ordered = with_ordinal(staged, ["_shuffle", key], ["stratum"], "_ord", hex_bucket("_shuffle"))
+    sizes = staged.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
     train_f, val_f = fractions
     sizes = sizes.select("stratum",
                          F.floor(F.col("_n") * F.lit(float(train_f))).alias("_n_train"),

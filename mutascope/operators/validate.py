@@ -67,7 +67,7 @@ def parse_positions(df: DataFrame, spec_col: str, len_col: str,
     def parse(t):
         has_dash = F.instr(t, "-") > 0
         first = F.substring_index(t, "-", 1)
-        rest = F.substring(t, F.instr(t, "-") + 1, 1 << 30)
+        rest = F.regexp_replace(t, "^[^-]*-", "")
         a = F.when(has_dash, _strip(first).try_cast("int")).otherwise(t.try_cast("int"))
         b = F.when(has_dash, _strip(rest).try_cast("int")).otherwise(t.try_cast("int"))
         return F.struct(t.alias("t"), a.alias("a"), b.alias("b"))
@@ -92,9 +92,12 @@ def parse_positions(df: DataFrame, spec_col: str, len_col: str,
 
 def validate_scan_requests(df: DataFrame, seq_col: str = "sequence", top_n_col: str = "top_n",
                            positions_col: str = "positions", max_len: int = MAX_RESIDUES,
-                           default_top_n: int = 20, max_top_n: int = 500) -> DataFrame:
+                           default_top_n: int = 20, max_top_n: int = 500,
+                           show_below: int = 5, show_above: int = 10) -> DataFrame:
     """Scan-request checks V1-V4, V6-V8: sequence, top_n range, positions.
 
+    An error text names the first ``show_below`` / ``show_above`` offending positions.
+
     Adds ``sequence``, ``length``, ``top_n`` (defaulted), ``positions`` (sorted
     distinct, or NULL = every position) and ``error``.
     """
@@ -108,22 +111,13 @@ def validate_scan_requests(df: DataFrame, seq_col: str = "sequence", top_n_col:
                           "top_n must be between 1 and %d; got %d", F.lit(max_top_n), top)),
                       F.when(F.size(below) > 0, F.concat(
                           F.lit("positions must be >= 1; got "),
-                          F.array_join(F.slice(below, 1, 5), ", "))),
+                          F.array_join(F.slice(below, 1, show_below), ", "))),
                       F.when(F.size(above) > 0, F.concat(
                           F.format_string("positions out of range for sequence of length %d: ",
                                           F.col("length")),
-                          F.array_join(F.slice(F.array_sort(F.array_distinct(above)), 1, 10), ", ")))))
+                          F.array_join(F.slice(F.array_sort(F.array_distinct(above)), 1, show_above), ", ")))))
     # the error is computed on the positions as requested (order kept in the
     # message), then the list is replaced by its sorted distinct form
     return (v.withColumn("error", err)
              .withColumn(top_n_col, top)
              .withColumn(positions_col, F.when(pos.isNotNull(), F.array_sort(F.array_distinct(pos)))))
-
-
-def validate_batches(df: DataFrame, batch_col: str, max_batch: int = 64) -> DataFrame:
-    """Batch-size guard (1..max_batch items per batch) as a per-row error."""
-    sizes = df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("_batch_size"))
-    return (df.join(sizes, batch_col)
-              .withColumn("batch_error", F.when(F.col("_batch_size") > max_batch, F.format_string(
-                  "batch of %d sequences exceeds the maximum of %d", F.col("_batch_size"),
-                  F.lit(max_batch)))))

@@ -150,17 +150,13 @@ FROM (SELECT least(min(y), min(p)) AS vmin, greatest(max(y), max(p)) AS vmax, av
 # Model comparison (M9), upsert (U3), best model (T8), validation/test tables (U4)
 # ---------------------------------------------------------------------------
 
-def _stacked(spark, sf, li=None):
+def _stacked(spark, sf, li=None, carry=()):
+    """Predictions of all models from one scan: one array of (model, p) per row."""
     li = li if li is not None else table(spark, sf, "lineitem")
-    parts = []
-    for name, expr in MODELS:
-        parts.append(li.select("l_orderkey", "l_linenumber", F.lit(name).alias("model"),
-                               (F.col("l_extendedprice") / F.lit(100000.0)).alias("y"),
-                               F.expr(expr).cast("double").alias("p")))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    each = F.array(*[F.struct(F.lit(name).alias("model"), F.expr(expr).cast("double").alias("p")) for name, expr in MODELS])
+    return (li.select("l_orderkey", "l_linenumber", *carry, (F.col("l_extendedprice") / F.lit(100000.0)).alias("y"),
+                      F.explode(each).alias("m"))
+            .select("l_orderkey", "l_linenumber", *carry, "m.model", "y", "m.p"))
 
 
 def _stacked_sql(src: str = "lineitem") -> str:
@@ -202,7 +198,7 @@ SELECT * EXCLUDE (n) FROM ({metrics_sql("SELECT 'linear_q_refit' AS model, l_ext
 
 
 def q_best_model(spark, sf):
-    m = M.compare_models(_stacked(spark, sf), round_to=R)
+    m = M.compare_models(_stacked(spark, sf), round_to=R, spearman=False)
     order = F.when(F.col("model") == "linear_q", 0).when(F.col("model") == "linear_qd", 1).otherwise(2)
     return M.best_model(m.withColumn("ord", order), "RMSE", "ord")
 
@@ -223,13 +219,11 @@ def q_eval_tables(spark, sf):
     split = SP.stratified_split(orders, "o_totalprice", "o_orderkey").select(
         F.col("o_orderkey").alias("l_orderkey"), "split")
     li = table(spark, sf, "lineitem").join(split, "l_orderkey")
-    out = None
-    for s_name, tag in [("val", "validation"), ("test", "test")]:
-        part = _stacked(spark, sf, li.where(F.col("split") == s_name))
-        m = M.compare_models(part, round_to=R).select(
-            F.lit(tag).alias("split"), F.lit(f"{s_name}.parquet").alias("source_file"), "*")
-        out = m if out is None else out.unionByName(m)
-    return out
+    part = _stacked(spark, sf, li.where(F.col("split").isin("val", "test")), ["split"])
+    m = M.regression_metrics(part, "y", "p", ["split", "model"], round_to=R)
+    return m.select(F.when(F.col("split") == "val", "validation").otherwise("test").alias("split"),
+                    F.concat("split", F.lit(".parquet")).alias("source_file"),
+                    *[c for c in m.columns if c != "split"])
 
 
 _SPLIT_SQL = """SELECT l.*, s.split FROM lineitem l JOIN (

@@ -22,11 +22,14 @@ KMER = E.KmerHashEncoder(k=3, dim=64)
 # ---------------------------------------------------------------------------
 
 def q_embed_kmers(spark, sf):
+    """Non-zero dimensions; a sequence without any k-mer has one row with dim -1."""
     p = proteins(spark, sf)
     emb = E.embed(p, KMER, "design_name", "full_sequence", batch_size=8, max_len=None)
-    return (emb.select(F.col("id").alias("design_name"), F.posexplode("embedding").alias("dim", "value"))
-               .where(F.col("value") > 0)
-               .withColumn("dim", F.col("dim").cast("long")))
+    used = F.filter(F.transform("embedding", lambda v, i: F.struct(i.cast("long").alias("dim"), v.alias("value"))),
+                    lambda x: x["value"] > 0)
+    none = F.array(F.struct(F.lit(-1).cast("long").alias("dim"), F.lit(0.0).cast("float").alias("value")))
+    return (emb.select(F.col("id").alias("design_name"), F.explode(F.when(F.size(used) > 0, used).otherwise(none)).alias("x"))
+               .select("design_name", "x.dim", "x.value"))
 
 
 SQL_EMBED_KMERS = with_views(f"""
@@ -37,7 +40,9 @@ FROM (
   FROM (SELECT design_name, string_split(full_sequence, '') AS ch, length(full_sequence) - 2 AS n,
                unnest(range(1, length(full_sequence) - 1)) AS i
         FROM proteins WHERE length(full_sequence) >= 3) t) u
-GROUP BY design_name, b""")
+GROUP BY design_name, b
+UNION ALL
+SELECT design_name, -1, CAST(0 AS FLOAT) FROM proteins WHERE length(full_sequence) < 3""")
 
 
 # ---------------------------------------------------------------------------
@@ -61,24 +66,25 @@ GROUP BY label, dim"""
 # ---------------------------------------------------------------------------
 
 def q_emb_label_join(spark, sf):
+    """Every vector with its last label: a second batch revises a third of the labels; none is NULL."""
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    labels = table(spark, sf, "labels")
-    j = MD.join_labels(emb, labels, "doc_id", on_duplicate="last")
+    labels = table(spark, sf, "labels").withColumn("batch", F.lit(1))
+    revised = labels.where(F.col("doc_id") % 3 == 0).withColumn("quality", 1 - F.col("quality")).withColumn("batch", F.lit(2))
+    j = MD.join_labels(emb, labels.unionByName(revised), "doc_id", order="batch", how="left")
     return j.select(F.col("doc_id").alias("vec_id"), "label", "quality", "toxic")
 
 
 SQL_EMB_LABEL_JOIN = """
-SELECT e.vec_id, e.label, l.quality, l.toxic FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id"""
+SELECT e.vec_id, e.label, CASE WHEN l.doc_id % 3 = 0 THEN 1 - l.quality ELSE l.quality END AS quality, l.toxic
+FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id"""
 
 
 def q_label_coverage(spark, sf):
-    """Vectors and how many lack a label (strict joins fail when > 0)."""
+    """Vectors and how many lack a label (strict joins fail when > 0): one left join, one aggregate."""
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    labels = table(spark, sf, "labels")
-    n_missing = MD.missing_labels(emb, labels, "doc_id").agg(F.count(F.lit(1)).alias("n_missing"))
-    n_vectors = emb.agg(F.count(F.lit(1)).alias("n_vectors"))
-    # two one-row aggregates side by side
-    return n_vectors.withColumn("_k", F.lit(1)).join(n_missing.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    known = table(spark, sf, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
+    return emb.join(known, "doc_id", "left").agg(F.count(F.lit(1)).alias("n_vectors"),
+                                                 F.count_if(F.col("known").isNull()).alias("n_missing"))
 
 
 SQL_LABEL_COVERAGE = """
@@ -201,7 +207,7 @@ def q_ridge_fit(spark, sf):
     m = regression_metrics(val, "y", "prediction").first()
     rows = [("intercept", float(fit["intercept"]))] + \
            [(f"w{j}", float(w)) for j, w in enumerate(fit["weights"])] + \
-           [(f"val_{k}", float(m[k]) if m[k] is not None else None) for k in ("R2", "RMSE", "MAE")]
+           [(f"val_{k}", float(m[k]) if m[k] is not None else None) for k in ("R2", "RMSE", "MAE", "Pearson_r", "Spearman_rho")]
     return spark.createDataFrame(rows, "term string, value double")
 
 
@@ -210,7 +216,7 @@ def q_gbt_fit(spark, sf):
     data = _emb_split(spark, sf)
     train = data.where(F.col("split") == "train")
     val = data.where(F.col("split") == "val")
-    model, rounds, _ = MD.fit_gbt(train, "embedding", "y", val, patience=20, maxIter=60)
+    model, rounds, _ = MD.fit_gbt(train, "embedding", "y", "vec_id", val, patience=20)
     # persisted and loaded back
     from pyspark.ml.regression import GBTRegressionModel
     path = scratch_path(spark, "gbt-model")

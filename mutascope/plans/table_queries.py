@@ -26,17 +26,22 @@ def _clean(c):
 # (by row id) removes them within each file, not across files.
 # ---------------------------------------------------------------------------
 
+def _energy():
+    """A text column in which a quarter of the values are numbers."""
+    return F.when(F.col("doc_id") % 4 == 0, F.concat((F.col("doc_id") * 2).cast("string"), F.lit(".5"))).otherwise(F.col("lang"))
+
+
 def q_conform_union(spark, sf):
     docs = table(spark, sf, "documents").select(
         F.substring(F.md5("text"), 1, 16).alias("design_name"),
-        _clean(F.col("text")).alias("full_sequence"),
-        F.col("n_chars").cast("double").alias("target"),
+        F.when(F.col("doc_id") % 13 != 0, F.nullif(_clean(F.col("text")), F.lit(""))).alias("full_sequence"),
+        F.when(F.col("doc_id") % 11 != 0, F.col("n_chars")).cast("double").alias("target"),
         F.length(_clean(F.col("text"))).cast("double").alias("num_residues"),
-        F.col("lang").alias("energy_total"),          # text column: non-strict cast
+        _energy().alias("energy_total"),          # text column: non-strict cast
         F.col("doc_id").alias("row_id"), "lang")
     bench = table(spark, sf, "benchmark").select(
         F.substring(F.md5("text"), 1, 16).alias("design_name"),
-        _clean(F.col("text")).alias("full_sequence"),
+        F.nullif(_clean(F.col("text")), F.lit("")).alias("full_sequence"),
         F.length("text").cast("double").alias("target"),
         F.col("item_id").alias("row_id"))
     a = P.conform(docs, CONFORMED, "docs", "design_name", ["row_id"],
@@ -51,10 +56,10 @@ def q_conform_union(spark, sf):
 SQL_CONFORM_UNION = """
 WITH a0 AS (
   SELECT substr(md5(text), 1, 16) AS design_name,
-         upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS full_sequence,
-         CAST(n_chars AS DOUBLE) AS target,
+         CASE WHEN doc_id % 13 <> 0 THEN nullif(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '') END AS full_sequence,
+         CASE WHEN doc_id % 11 <> 0 THEN CAST(n_chars AS DOUBLE) END AS target,
          CAST(length(upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))) AS DOUBLE) AS num_residues,
-         TRY_CAST(lang AS DOUBLE) AS energy_total, doc_id AS row_id
+         TRY_CAST(CASE WHEN doc_id % 4 = 0 THEN CAST(doc_id * 2 AS VARCHAR) || '.5' ELSE lang END AS DOUBLE) AS energy_total, doc_id AS row_id
   FROM documents),
 a AS (
   SELECT design_name, full_sequence, CAST(length(full_sequence) AS BIGINT) AS seq_length, 'docs' AS source,
@@ -63,7 +68,7 @@ a AS (
         FROM a0 WHERE target IS NOT NULL AND full_sequence IS NOT NULL) t WHERE rn = 1),
 b0 AS (
   SELECT substr(md5(text), 1, 16) AS design_name,
-         upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS full_sequence,
+         nullif(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '') AS full_sequence,
          CAST(length(text) AS DOUBLE) AS target, item_id AS row_id
   FROM benchmark),
 b AS (
@@ -82,22 +87,20 @@ def q_csv_conform(spark, sf):
     from mutascope.sources.tables import read_descriptor_csv
     docs = table(spark, sf, "documents").select(
         F.substring(F.md5("text"), 1, 16).alias("design_name"),
-        _clean(F.col("text")).alias("full_sequence"),
-        F.col("n_chars").cast("double").alias("target"),
+        F.when(F.col("doc_id") % 13 != 0, F.nullif(_clean(F.col("text")), F.lit(""))).alias("full_sequence"),
+        F.when(F.col("doc_id") % 11 != 0, F.col("n_chars")).cast("double").alias("target"),
         F.length(_clean(F.col("text"))).cast("double").alias("num_residues"),
-        F.col("lang").alias("energy_total"), F.col("doc_id").alias("row_id"))
+        _energy().alias("energy_total"), F.col("doc_id").alias("row_id"))
     bench = table(spark, sf, "benchmark").select(
         F.substring(F.md5("text"), 1, 16).alias("design_name"),
-        _clean(F.col("text")).alias("full_sequence"),
+        F.nullif(_clean(F.col("text")), F.lit("")).alias("full_sequence"),
         F.length("text").cast("double").alias("target"), F.col("item_id").alias("row_id"))
     base = scratch_path(spark, "descriptors")
     docs.write.option("header", True).csv(f"{base}/a")
     bench.write.option("header", True).csv(f"{base}/b")
     a = read_descriptor_csv(spark, f"{base}/a")
     b = read_descriptor_csv(spark, f"{base}/b")
-    # CSV has no empty-vs-null distinction: an empty sequence reads back as NULL
-    a = a.withColumn("full_sequence", F.coalesce("full_sequence", F.lit("")))
-    b = b.withColumn("full_sequence", F.coalesce("full_sequence", F.lit("")))
+    # CSV has no empty-vs-null distinction: an empty sequence reads back as NULL and its row is dropped
     ca = P.conform(a, CONFORMED, "docs", "design_name", ["row_id"], numeric_text_cols=["energy_total"],
                    required=["target", "full_sequence"], seq_col="full_sequence")
     cb = P.conform(b, CONFORMED, "bench", "design_name", ["row_id"], numeric_text_cols=["energy_total"],
@@ -262,15 +265,13 @@ FROM sp GROUP BY split""", **_SPLIT_CTE)
 # ---------------------------------------------------------------------------
 
 def q_overlength_policies(spark, sf):
+    """The three policies side by side: one projection per policy over one scan."""
     p = proteins(spark, sf).select("design_name", "full_sequence")
-    t = overlength(p, "full_sequence", "truncate").select(
-        "design_name", F.length("full_sequence").cast("long").alias("truncated_length"))
-    r = overlength(p, "full_sequence", "reject").select(
-        "design_name", F.length("full_sequence").cast("long").alias("length"), "error")
-    kept = overlength(p, "full_sequence", "skip").select("design_name", F.lit(True).alias("kept"))
-    return (r.join(t, "design_name").join(kept, "design_name", "left")
-             .select("design_name", "length", "truncated_length",
-                     F.coalesce("kept", F.lit(False)).alias("kept"), "error"))
+    rejected = overlength(p.withColumn("cut", F.col("full_sequence")), "full_sequence", "reject")
+    cut = overlength(rejected, "cut", "truncate")
+    return cut.select("design_name", F.length("full_sequence").cast("long").alias("length"),
+                      F.length("cut").cast("long").alias("truncated_length"),
+                      F.col("error").isNull().alias("kept"), "error")
 
 
 SQL_OVERLENGTH = with_views(f"""

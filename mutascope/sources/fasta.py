@@ -40,12 +40,12 @@ def read_fasta(spark: SparkSession, path: str | list[str], upper_case: bool = Fa
     first = F.coalesce(F.col("_first"), F.lit(False))
     value = F.col("value")
     keep = ~first | value.startswith(">")
-    body = F.when(first, F.substring(value, 2, 1 << 30)).otherwise(value)
+    body = F.when(first, F.regexp_replace(value, "^>", "")).otherwise(value)
     lines = F.split(body, "\n")
     header = _rstrip(F.element_at(lines, 1))
     tokens = F.filter(F.split(F.regexp_replace(header, r"(?U)^\s+", ""), r"(?U)\s+"),
                       lambda t: t != "")
-    rest = F.filter(F.transform(F.slice(lines, 2, 1 << 30), _rstrip),
+    rest = F.filter(F.transform(F.slice(lines, F.lit(2), F.size(lines)), _rstrip),
                     lambda l: (l != "") & ~l.startswith(";"))
     seq = F.array_join(rest, "")
     if upper_case:

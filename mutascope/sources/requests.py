@@ -33,7 +33,6 @@ SCORE_REQUEST_SCHEMA = T.StructType([
 
 MUTATE_BATCH = 8
 SEC_PER_BATCH = 15.0
-MAX_BATCH = 64
 RETAIN_JOBS = 256
 
 
@@ -50,8 +49,13 @@ def plan_scan_requests(req: DataFrame) -> DataFrame:
 
     Output: job_id, submitted_at, sequence, length, top_n, positions (NULL =
     every position), num_mutations (positions x 19), estimated_seconds, error.
+    Of several requests with one job id the first submitted is taken, the others
+    are errors, so valid requests have a job id of their own.
     """
     v = validate_scan_requests(req)
+    first = Window.partitionBy("job_id").orderBy("submitted_at", "sequence", "top_n", F.to_json("positions"))
+    v = v.withColumn("_n", F.row_number().over(first)).withColumn(
+        "error", F.coalesce("error", F.when(F.col("_n") > 1, F.lit("job id is already in use")))).drop("_n")
     n_pos = F.when(F.col("positions").isNull(), F.col("length")).otherwise(F.size("positions"))
     n_mut = (n_pos * F.lit(19)).cast("long")
     est = F.ceil(n_mut / F.lit(MUTATE_BATCH)).cast("double") * F.lit(SEC_PER_BATCH)
@@ -61,7 +65,8 @@ def plan_scan_requests(req: DataFrame) -> DataFrame:
                     F.when(ok, est).alias("estimated_seconds"), "error")
 
 
-def answer_scan_requests(planned: DataFrame, head: CompositionHead | None = None) -> DataFrame:
+def answer_scan_requests(planned: DataFrame, head: CompositionHead | None = None,
+                         max_top_n: int = 500) -> DataFrame:
     """Run every valid request's scan in one job; one result row per request.
 
     Validated sequences are at most 1022 residues, so each nested document
@@ -72,10 +77,9 @@ def answer_scan_requests(planned: DataFrame, head: CompositionHead | None = None
     sp = S.scan_positions(valid.select("job_id", "sequence", "positions"), "job_id", "sequence",
                           positions_col="positions", head=head, max_len=MAX_RESIDUES)
     mut = S.mutations(sp)
-    tops = planned.select(F.col("job_id").alias("protein_id"), "top_n")
-    ranked = (mut.join(tops, "protein_id")
-                 .withColumn("rank", F.row_number().over(
-                     Window.partitionBy("protein_id").orderBy(*S.rank_order())))
+    tops = valid.select(F.col("job_id").alias("protein_id"), "top_n")
+    # the literal limit is a group limit before the shuffle; each request's own limit follows
+    ranked = (S.top_mutations(mut, max_top_n).join(tops, "protein_id")
                  .where(F.col("rank") <= F.col("top_n")))
     top = ranked.groupBy("protein_id").agg(F.array_sort(F.collect_list(F.struct(
         "rank", "position", "wildtype_aa", "mutant_aa", "predicted_mutant", "delta"))).alias("_top"))
@@ -103,14 +107,16 @@ def answer_scan_requests(planned: DataFrame, head: CompositionHead | None = None
     results = doc.select(F.col("protein_id").alias("job_id"), result.alias("result"))
     return (planned.join(results, "job_id", "left")
             .select("job_id", F.when(F.col("error").isNull(), F.lit("done")).otherwise(F.lit("failed"))
-                    .alias("status"), "submitted_at", "estimated_seconds", "result", "error"))
+                    .alias("status"), "submitted_at", "estimated_seconds",
+                    F.when(F.col("error").isNull(), F.col("result")).alias("result"), "error"))
 
 
-def answer_score_requests(req: DataFrame, head: CompositionHead | None = None) -> DataFrame:
+def answer_score_requests(req: DataFrame, head: CompositionHead | None = None,
+                          max_batch: int | None = None) -> DataFrame:
     """Batch scoring requests: one prediction row per item, or an error row.
 
-    A batch of 0 or more than 64 items fails as a whole; a bad item fails its
-    batch (the request is rejected), matching request-level validation.
+    An empty batch fails, and one of more than ``max_batch`` items if that guard is
+    set; a bad item fails its batch (the request is rejected).
     """
     head = head or default_head()
     n_items = F.size(F.coalesce("sequences", F.array()))
@@ -124,8 +130,8 @@ def answer_score_requests(req: DataFrame, head: CompositionHead | None = None) -
                  F.when(F.col("error").isNotNull(), F.col("idx"))).alias("_item_err"),
         F.first("n_items").alias("n_items"))
     err = (F.when(F.col("n_items") == 0, F.lit("batch must contain at least 1 sequence"))
-           .when(F.col("n_items") > MAX_BATCH, F.format_string(
-               "batch of %d sequences exceeds the maximum of %d", F.col("n_items"), F.lit(MAX_BATCH)))
+           .when(F.col("n_items") > F.lit(max_batch).cast("int"), F.format_string(
+               "batch of %d sequences exceeds the maximum of %d", F.col("n_items"), F.lit(max_batch or 0)))
            .otherwise(F.col("_item_err")))
     batch_err = batch_err.select("batch_id", err.alias("batch_error"))
     ok_items = v.join(batch_err.where(F.col("batch_error").isNull()), "batch_id", "left_semi")

@@ -39,14 +39,21 @@ def safe_id(col: str) -> F.Column:
     return F.regexp_replace(F.col(col), r"[^\p{L}\p{N}_.-]", "_")
 
 
-def write_mutations(df: DataFrame, path: str, id_col: str = "protein_id") -> None:
-    """Mutation tables, one folder per protein (``safe_id=...``), fixed field order.
+def write_mutations(df: DataFrame, path: str, id_col: str = "protein_id", buckets: int = 64) -> None:
+    """Mutation tables in ``buckets`` folders (``bucket=...``), fixed field order, a protein's rows together.
 
-    The protein id stays in the rows, so two ids that sanitise alike share a
-    folder without overwriting each other.
+    Rows are dealt by (bucket, id) before the write, so a task opens few files and the number of folders does
+    not grow with the proteins; a reader prunes to the bucket of an id with ``mutation_bucket``.
     """
-    (df.select(safe_id(id_col).alias("safe_id"), F.col(id_col).alias("protein_id"), *MUTATION_FIELDS)
-       .write.mode("overwrite").option("header", True).partitionBy("safe_id").csv(path))
+    rows = df.select(mutation_bucket(id_col, buckets).alias("bucket"), safe_id(id_col).alias("safe_id"),
+                     F.col(id_col).alias("protein_id"), *MUTATION_FIELDS)
+    (rows.repartition("bucket", "protein_id").sortWithinPartitions("bucket", "protein_id", "position", "mutant_aa")
+         .write.mode("overwrite").option("header", True).partitionBy("bucket").csv(path))
+
+
+def mutation_bucket(id_col: str, buckets: int = 64) -> F.Column:
+    """Folder number of a protein id."""
+    return F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int")
 
 
 def write_metrics_csv(df: DataFrame, path: str) -> None:

@@ -20,13 +20,19 @@ def read_descriptor_csv(spark: SparkSession, path: str, schema: T.StructType | N
     """Header CSV of per-design descriptors.
 
     With a schema the read is typed and single-pass. Without one, types are
-    inferred from a sample (``samplingRatio`` sized for ``sample_rows``); text
-    sentinels then leave a column as string, to be fixed with ``safe_cast``.
+    inferred from the first ``sample_rows`` lines (one small job) and the file is
+    read once with them; a later value that does not fit its column is NULL, as
+    unparseable text is after ``safe_cast``.
     """
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", True).option("samplingRatio", 1.0).csv(path)
+    if schema is None:
+        head = spark.read.text(path).limit(sample_rows)
+        lines = [r.value for r in head.collect()]
+        # several part files each start with the header line
+        sample = lines[:1] + [x for x in lines[1:] if x != lines[0]]
+        schema = spark.read.option("header", True).option("inferSchema", True).csv(
+            spark.sparkContext.parallelize(sample, 1)).schema
+    return reader.schema(schema).csv(path)
 
 
 def read_metrics_csv(spark: SparkSession, path: str, extra: T.StructType | None = None) -> DataFrame:

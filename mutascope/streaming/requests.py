@@ -1,14 +1,19 @@
 """Request streams: scan and score requests arriving as JSON files.
 
 Each micro-batch is validated and answered as a table (see
-``mutascope.sources.requests``) and written to ``out_dir/epoch=<id>`` with
-overwrite: a replayed epoch after a failure rewrites its own folder, so the
-result table never holds duplicates. Polling a job = reading that table.
+``mutascope.sources.requests``). Jobs that already have a stored result are not
+answered again, whichever stream or epoch answered them, and results are written
+to ``out_dir/run=<name of the checkpoint>/epoch=<id>`` with overwrite: a replayed
+epoch rewrites its own folder, and a stream with a new checkpoint on the same
+``out_dir`` leaves finished results alone. Polling a job = reading that table.
 The checkpoint location makes restarts resume where they stopped.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +24,26 @@ from mutascope.sources.requests import (
 )
 
 
-def _run(stream: DataFrame, handle, out_dir: str, checkpoint: str, available_now: bool):
+def _stored(spark: SparkSession, out_dir: str, key: str, run: str, epoch: int) -> DataFrame | None:
+    """Keys answered outside this run's epoch; None if there are no results yet."""
+    try:
+        found = spark.read.parquet(out_dir)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    own = (F.col("run").cast("string") == run) & (F.col("epoch") == epoch)
+    return found.where(~own).select(key).distinct()
+
+
+def _run(stream: DataFrame, handle, key: str, out_dir: str, checkpoint: str, available_now: bool):
+    run = "r" + hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
     def process(batch: DataFrame, epoch_id: int) -> None:
-        out = handle(batch).withColumn("finished_at", F.current_timestamp())
-        out.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/epoch={epoch_id}")
+        done = _stored(batch.sparkSession, out_dir, key, run, epoch_id)
+        fresh = batch if done is None else batch.join(done, key, "left_anti").select(*batch.columns)
+        out = handle(fresh).withColumn("finished_at", F.current_timestamp())
+        out.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/run={run}/epoch={epoch_id}")
 
     w = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -38,13 +59,14 @@ def scan_request_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoi
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(in_dir)
     return _run(stream, lambda b: answer_scan_requests(plan_scan_requests(b), head),
-                out_dir, checkpoint, available_now)
+                "job_id", out_dir, checkpoint, available_now)
 
 
 def score_request_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                         head: CompositionHead | None = None, available_now: bool = True):
+                         head: CompositionHead | None = None, available_now: bool = True,
+                         max_batch: int | None = None):
     stream = spark.readStream.schema(SCORE_REQUEST_SCHEMA).json(in_dir)
-    return _run(stream, lambda b: answer_score_requests(b, head), out_dir, checkpoint, available_now)
+    return _run(stream, lambda b: answer_score_requests(b, head, max_batch), "batch_id", out_dir, checkpoint, available_now)
 
 
 def read_results(spark: SparkSession, out_dir: str) -> DataFrame:

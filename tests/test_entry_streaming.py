@@ -41,7 +41,7 @@ def test_score_requests_batches(spark):
     items = [{"id": f"s{i}", "sequence": "MKV"} for i in range(65)]
     rows = [("ok", items[:2]), ("big", items), ("bad", [{"id": "x", "sequence": "MKB"}]), ("empty", [])]
     df = spark.createDataFrame(rows, RQ.SCORE_REQUEST_SCHEMA)
-    out = RQ.answer_score_requests(df)
+    out = RQ.answer_score_requests(df, max_batch=64)
     got = {(r["batch_id"], r["protein_id"]): r for r in out.collect()}
     assert got[("ok", "s0")]["predicted"] is not None and got[("ok", "s1")]["sequence_length"] == 3
     assert "exceeds the maximum of 64" in got[("big", None)]["batch_error"]
@@ -56,9 +56,9 @@ def test_scan_fasta_writes_one_folder_per_protein(spark, tmp_dir):
         fh.write(">sp|P1|x desc\nmkv\nla\n>p/2\nACW\n>long\n" + "A" * 600 + "\n")
     out = os.path.join(tmp_dir, "out")
     res = scan_fasta(spark, path, out, positions_spec="1-3", confirm_long=False)
-    folders = sorted(d for d in os.listdir(out) if d.startswith("safe_id="))
-    assert folders == ["safe_id=p_2", "safe_id=sp_P1_x"]
     back = spark.read.option("header", True).csv(out)
+    assert {r["safe_id"] for r in back.select("safe_id").distinct().collect()} == {"p_2", "sp_P1_x"}
+    assert all(r["n"] == 1 for r in back.groupBy("protein_id").agg(F.countDistinct("bucket").alias("n")).collect())
     assert back.count() == 2 * 3 * 19
     assert [r["protein_id"] for r in res["skipped"].collect()] == ["long"]
     assert res["top"].where("protein_id = 'p/2'").count() == 20
@@ -80,7 +80,6 @@ def test_public_api_smoke(spark, tmp_dir):
     from mutascope.functions.residues import FEATURE_NAMES, feature_vector, sequence_features
     from mutascope.operators import scan as S
     from mutascope.operators.models import fit_gbt, score_model
-    from mutascope.operators.validate import validate_batches
     from mutascope.sources.sinks import write_json, write_parquet
     from mutascope.sources.tables import read_store
 
@@ -94,12 +93,54 @@ def test_public_api_smoke(spark, tmp_dir):
     back = spark.read.json(f"{tmp_dir}/docs").collect()
     assert len(back) == 2 and all(len(r["result"]["top_mutations"]) == 3 for r in back)
     assert all(len(r["result"]["position_summary"]) in (6, 4) for r in back)
-    rows = [(f"b{i // 70}", f"s{i}") for i in range(75)]
-    vb = validate_batches(spark.createDataFrame(rows, "batch string, id string"), "batch")
-    assert vb.where("batch_error IS NOT NULL").select("batch").distinct().collect()[0]["batch"] == "b0"
     req = spark.createDataFrame([("j1", "MKV", 3, None)], "job_id string, sequence string, top_n int, positions array<int>")
     req.write.json(f"{tmp_dir}/req")
     assert RQ.read_scan_requests(spark, f"{tmp_dir}/req").first()["job_id"] == "j1"
-    tr = spark.createDataFrame([([float(i), float(i % 3)], float(i % 2)) for i in range(40)], "x array<double>, y double")
-    model, _, _ = fit_gbt(tr, "x", "y", maxIter=3, maxDepth=2)
+    tr = spark.createDataFrame([([float(i), float(i % 3)], float(i % 2), i) for i in range(40)], "x array<double>, y double, id long")
+    model, _, _ = fit_gbt(tr, "x", "y", "id", maxIter=3, maxDepth=2)
     assert score_model(model, tr, "x").where("prediction IS NULL").count() == 0
+
+
+def test_equal_ids_of_two_sources_stay_apart(spark):
+    """Two records named p1: with a record key each keeps its own rankings and summaries."""
+    from mutascope.operators import scan as S
+    df = spark.createDataFrame([("a", "p1", "MKVLAGWW"), ("b", "p1", "ACDEFGHIKL"), ("b", "p2", "MMM")], "source string, id string, seq string")
+    keyed = df.select(S.record_id("id", "source").alias("id"), "seq")
+    top = S.top_mutations_additive(keyed, "id", "seq", n=20)
+    assert top.groupBy("protein_id").count().where("count <> 20").count() == 0 and top.select("protein_id").distinct().count() == 3
+    assert S.residue_summary_additive(keyed, "id", "seq").count() == 20 + 20 + 19
+    generic = S.scan(keyed, "id", "seq", scorer=S.head_scorer())
+    assert generic.count() == S.scan(keyed, "id", "seq").count() == 19 * (8 + 10 + 3)
+
+
+def test_equal_job_ids_are_rejected_not_mixed(spark):
+    rows = [("j1", 1, "MKVL", 3, None), ("j1", 2, "ACDE", 3, None), ("j2", 1, "WWWW", 2, [1, 2])]
+    req = spark.createDataFrame(rows, "job_id string, t long, sequence string, top_n int, positions array<int>") \
+        .withColumn("submitted_at", F.timestamp_seconds("t")).drop("t")
+    out = RQ.answer_scan_requests(RQ.plan_scan_requests(req)).collect()
+    assert sorted((r["job_id"], r["status"]) for r in out) == [("j1", "done"), ("j1", "failed"), ("j2", "done")]
+    done = next(r for r in out if r["job_id"] == "j1" and r["status"] == "done")
+    assert len(done["result"]["position_summary"]) == 4 and len(done["result"]["top_mutations"]) == 3
+
+
+def test_new_checkpoint_keeps_results_and_answers_no_job_twice(spark, tmp_dir):
+    from mutascope.streaming.requests import scan_request_stream
+    out = os.path.join(tmp_dir, "out")
+
+    def put(job, seq):
+        spark.createDataFrame([(job, seq, 2)], "job_id string, sequence string, top_n int").write.mode("append").json(os.path.join(tmp_dir, "in"))
+
+    put("j1", "MKV")
+    scan_request_stream(spark, os.path.join(tmp_dir, "in"), out, os.path.join(tmp_dir, "ck1")).awaitTermination()
+    put("j2", "ACD")
+    scan_request_stream(spark, os.path.join(tmp_dir, "in"), out, os.path.join(tmp_dir, "ck2")).awaitTermination()
+    put("j2", "WWW")
+    scan_request_stream(spark, os.path.join(tmp_dir, "in"), out, os.path.join(tmp_dir, "ck2")).awaitTermination()
+    assert sorted(r["job_id"] for r in read_results(spark, out).collect()) == ["j1", "j2"]
+
+
+def test_batch_guard_is_a_parameter(spark):
+    rows = [("b", [{"id": f"s{i}", "sequence": "MKV"} for i in range(65)])]
+    req = spark.createDataFrame(rows, RQ.SCORE_REQUEST_SCHEMA)
+    assert RQ.answer_score_requests(req).count() == 65
+    assert "exceeds the maximum of 64" in RQ.answer_score_requests(req, max_batch=64).first()["batch_error"]

@@ -35,7 +35,7 @@ def test_score_request_batch_sizes(spark):
     item = {"id": "x", "sequence": "MKV"}
     rows = [("one", [item]), ("max", [dict(item, id=f"s{i}") for i in range(64)]),
             ("over", [dict(item, id=f"s{i}") for i in range(65)]), ("zero", [])]
-    out = RQ.answer_score_requests(spark.createDataFrame(rows, RQ.SCORE_REQUEST_SCHEMA))
+    out = RQ.answer_score_requests(spark.createDataFrame(rows, RQ.SCORE_REQUEST_SCHEMA), max_batch=64)
     ok = out.where(F.col("batch_error").isNull()).groupBy("batch_id").count()
     assert {r["batch_id"]: r["count"] for r in ok.collect()} == {"one": 1, "max": 64}
     bad = {r["batch_id"] for r in out.where(F.col("batch_error").isNotNull()).collect()}

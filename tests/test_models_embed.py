@@ -78,9 +78,9 @@ def test_join_labels_last_wins_and_expand(spark):
 
 def test_gbt_patience(spark):
     rng = np.random.default_rng(1)
-    rows = [(list(map(float, rng.normal(size=3))), float(i % 2)) for i in range(120)]
-    df = spark.createDataFrame(rows, "x array<double>, y double")
-    model, rounds, rmse = MD.fit_gbt(df, "x", "y", df, patience=3, maxIter=12, maxDepth=2)
+    rows = [(list(map(float, rng.normal(size=3))), float(i % 2), i) for i in range(120)]
+    df = spark.createDataFrame(rows, "x array<double>, y double, id long")
+    model, rounds, rmse = MD.fit_gbt(df, "x", "y", "id", df, patience=3, maxIter=12, maxDepth=2)
     assert 1 <= rounds <= 12 and len(rmse) >= rounds
     assert model.getNumTrees == rounds
     assert MD._patience_stop([5, 4, 4.5, 4.6, 4.7, 3], 3) == (2, True)
@@ -138,3 +138,44 @@ def test_score_with_encoder_head_truncates_window(spark):
         want = float(MD.mlp_forward(enc.encode([s[:1022]]), layers)[0])
         assert got[pid]["predicted"] == pytest.approx(round(want, 6), abs=1.1e-6)
         assert got[pid]["sequence_length"] == len(s)
+
+
+def test_gbt_does_not_depend_on_input_partitions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(list(map(float, rng.normal(size=4))), float(rng.normal()), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "x array<double>, y double, id long")
+    fits = [MD.fit_gbt(df.repartition(n), "x", "y", "id", df, patience=2, maxIter=8, maxDepth=3) for n in (2, 16)]
+    assert fits[0][1] == fits[1][1] == fits[0][0].getNumTrees and fits[0][2] == pytest.approx(fits[1][2], rel=1e-9)
+    a, b = ({r["id"]: r["prediction"] for r in MD.score_model(f[0], df, "x").collect()} for f in fits)
+    assert a == pytest.approx(b, rel=1e-6)
+    assert MD.score_model(fits[0][0], df, "x").where("prediction IS NULL").count() == 0
+
+
+def test_strict_join_and_required_order(spark):
+    emb = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    lab = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "id long, y long, o long")
+    with pytest.raises(ValueError, match="order"):
+        MD.join_labels(emb, lab, "id")
+    with pytest.raises(ValueError, match="2"):
+        MD.join_labels(emb, lab, "id", order="o", strict=True)
+    assert MD.join_labels(emb.where("id = 1"), lab, "id", order="o", strict=True).first()["y"] == 6
+
+
+def test_store_errors_are_not_an_empty_store(spark, tmp_dir):
+    import os
+    os.makedirs(f"{tmp_dir}/bad")
+    with open(f"{tmp_dir}/bad/part-0.parquet", "wb") as f:
+        f.write(b"not parquet at all")
+    with pytest.raises(Exception):
+        E.stored_ids(spark, f"{tmp_dir}/bad").collect()
+    assert E.stored_ids(spark, f"{tmp_dir}/missing").collect() == []
+
+
+def test_one_id_in_two_splits_is_embedded_in_both(spark, tmp_dir):
+    rows = [("p1", "MKVLA", "train"), ("p1", "MKVLA", "test"), ("p2", "ACD", "train")]
+    df = spark.createDataFrame(rows, "protein_id string, sequence string, split string")
+    store = f"{tmp_dir}/store"
+    enc = E.ResidueScaleEncoder()
+    assert E.embed_job(df.where("split = 'train'"), enc, store, split_col="split")["embedded"] == 2
+    assert E.embed_job(df, enc, store, split_col="split")["embedded"] == 1
+    assert E.embed_job(df, enc, store, split_col="split")["embedded"] == 0

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mutascope.operators import metrics as M
-from mutascope.operators.ordinal import average_rank, exact_quantiles, with_ordinal
+from mutascope.operators.ordinal import exact_quantiles, rank_table, value_bucket, with_ordinal, with_rank
 from mutascope.operators.split import split_summary, stratified_split
 from tests import reference_model as ref
 
@@ -21,7 +21,7 @@ def _data(spark, n=997, seed=3):
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_with_ordinal_equals_row_number(spark, parts):
     df = _data(spark)
-    got = with_ordinal(df, ["v", "id"], ["g"], partitions=parts)
+    got = with_ordinal(df, ["v", "id"], ["g"], bucket=value_bucket(df, "v", parts))
     want = df.withColumn("ordinal", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
@@ -38,10 +38,12 @@ def test_exact_quantiles(spark):
         assert v == s[int(math.floor((len(s) - 1) * k + 0.5))]
 
 
-def test_average_rank(spark):
+@pytest.mark.parametrize("hot", [1, 5, 1000])
+def test_average_rank(spark, hot):
+    """Ranks by broadcast (frequent values) and by shuffle agree with the brute force."""
     df = _data(spark, 200)
     rows = df.collect()
-    got = {r["id"]: r["rank"] for r in average_rank(df, "v", ["g"]).collect()}
+    got = {r["id"]: r["rank"] for r in with_rank(df, rank_table(df, "v", ["g"]), "v", ["g"], "rank", hot).collect()}
     for g in "abc":
         sub = [r for r in rows if r["g"] == g]
         want = ref.average_ranks([r["v"] for r in sub])
@@ -49,6 +51,32 @@ def test_average_rank(spark):
             assert got[r["id"]] == w
 
 
+def test_ranks_do_not_depend_on_exchange_reuse(spark):
+    """400,000 distinct values, with and without exchange reuse."""
+    df = spark.range(400_000).select(F.xxhash64("id").cast("double").alias("v"), F.col("id"))
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        r = rank_table(df, "v").agg(F.countDistinct("rank").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).first()
+        assert (r.n, r.lo, r.hi) == (400_000, 1.0, 400_000.0)
+    spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_a_value_holding_half_the_rows_is_one_counted_row(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    q = exact_quantiles(df, "v", (0.25, 0.5, 0.75))
+    vals = np.sort(np.array([0.0 if i % 2 == 0 else float(i) for i in range(20_000)]))
+    assert all(v == pytest.approx(np.quantile(vals, k)) for k, v in q.items())
+
+
+def test_null_group_is_kept(spark):
+    from mutascope.operators.metrics import regression_metrics
+    rows = [(None if i % 3 == 0 else "a", float(i % 7), float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, y double, p double")
+    out = {r.g: r for r in regression_metrics(df, "y", "p", ["g"]).collect()}
+    assert set(out) == {None, "a"} and out[None].n == 20 and out[None].Spearman_rho is not None
+    assert with_ordinal(df.withColumn("id", F.monotonically_increasing_id()), ["y", "id"], ["g"]).count() == 60
+
+
 def test_stratified_split_sizes_and_determinism(spark):
     df = _data(spark, 1003)
     a = stratified_split(df, "v", "id")

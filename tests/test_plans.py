@@ -39,7 +39,7 @@ def test_ordinal_has_no_single_partition_exchange(spark):
     df = spark.range(5000).withColumn("g", F.col("id") % 3).withColumn("v", F.col("id") % 17)
     out = with_ordinal(df, ["v", "id"], ["g"])
     out.collect()
-    assert "SinglePartition" not in _plan(out)
+    assert "SinglePartition" not in _plan(out) and "rangepartitioning" not in _plan(out)
 
 
 def test_keep_first_aggregates_before_the_shuffle(spark):
