@@ -6,9 +6,11 @@ score is the log of its (smoothed) share of all pieces and document ends. A word
 over every path through its lattice of pieces, by forward recursion in log space; a text's is the product
 over its words and one end. Characters that are no piece are spelled with the byte pieces.
 
-The base score is an add-0.1 unigram model over words. Its counts are joined, not collected: words that
-make up at least 1/HOT of all training tokens (at most HOT words, by definition) are broadcast, all other
-words of a document are joined to the count table by shuffle, so no join key is hot.
+The base score is an add-0.1 unigram model over words. Counts and word probabilities are worked out once
+per distinct word and joined, not collected: words that make up at least 1/HOT of all training tokens (at most
+HOT words, by definition) are broadcast, all other words of a document are joined to the table by shuffle. No
+training document makes such a key hot; a word that is frequent only in held-out documents could be, which
+the skew split of the join covers.
 
 Defined cases: null and empty texts consist of one end; no training documents give N = V = 0; a null
 doc_id counts as the empty text in the fold rule; rows with equal ids are scored separately; words of any
@@ -29,7 +31,6 @@ from pyspark.sql import types as T
 from mutascope.llm import text as X
 
 HOT = 300_000
-CACHE = 150_000   # word scores remembered by a Python worker
 ALPHA = 0.1       # added to every piece count
 END = ""          # the end token in count tables; words are never empty
 MARK = "▁"   # word beginning in the vocabulary
@@ -57,19 +58,23 @@ def _words(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, c) over the training documents; slices are counted before the shuffle."""
-    training = docs.where(~held_out()).select("text")
+    """(token, c) of every token of every document, where c counts training documents only (0: held out only).
+    Slices are counted before the shuffle."""
+    marked = docs.select("text", held_out().alias("held"))
 
     def count(batches):
         for batch in batches:
             for part in X.slices(batch, size=8 * X.SLICE):
-                words, _ = _words(part.column("text"))
-                found = pc.value_counts(words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([found.field("values").cast(pa.string()), pa.array([END])]),
-                     pa.concat_arrays([found.field("counts"), pa.array([part.num_rows], pa.int64())])], names=["token", "c"])
+                held = part.column("held").to_numpy(zero_copy_only=False).astype(bool)
+                for weight, rows in ((1, np.flatnonzero(~held)), (0, np.flatnonzero(held))):
+                    words, _ = _words(part.column("text").take(pa.array(rows)))
+                    found = pc.value_counts(words)
+                    n = pa.array(found.field("counts").to_numpy(zero_copy_only=False) * weight, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.concat_arrays([found.field("values").cast(pa.string()), pa.array([END])]),
+                         pa.concat_arrays([n, pa.array([len(rows) * weight], pa.int64())])], names=["token", "c"])
 
-    return training.mapInArrow(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return marked.mapInArrow(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def piece_counts(counts: DataFrame, path: str) -> DataFrame:
@@ -86,7 +91,7 @@ def piece_counts(counts: DataFrame, path: str) -> DataFrame:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "c"])
 
-    words = counts.where(F.col("token") != END)
+    words = counts.where((F.col("token") != END) & (F.col("c") > 0))
     return words.mapInArrow(cut, "piece int, c long").groupBy("piece").agg(F.sum("c").alias("c"))
 
 
@@ -105,7 +110,9 @@ class Model:
 
     def __init__(self, scores: dict[str, float], byte_scores: list[float], end: float):
         self.scores, self.bytes, self.end = scores, byte_scores, end
-        self.longest = max(map(len, scores), default=1)
+        self.reach: dict[str, int] = {}  # longest piece with the same first two characters
+        for piece in scores:
+            self.reach[piece[:2]] = max(self.reach.get(piece[:2], 0), len(piece))
 
     @classmethod
     def trained(cls, counts: dict[int, int], ends: int, path: str, alpha: float = ALPHA) -> "Model":
@@ -119,7 +126,7 @@ class Model:
 
     def word(self, word: str) -> float:
         """Log of the summed probability of all segmentations of one word."""
-        s, scores, longest = MARK + word, self.scores, self.longest
+        s, scores, reach = MARK + word, self.scores, self.reach
         n = len(s)
         best: list[list[float]] = [[] for _ in range(n + 1)]
         best[0] = [0.0]
@@ -134,7 +141,7 @@ class Model:
             best[i] = []
             one = scores.get(s[i])
             best[i + 1].append(here + (one if one is not None else sum(self.bytes[b] for b in s[i].encode())))
-            for j in range(i + 2, min(n, i + longest) + 1):
+            for j in range(i + 2, min(n, i + reach.get(s[i:i + 2], 0)) + 1):
                 piece = scores.get(s[i:j])
                 if piece is not None:
                     best[j].append(here + piece)
@@ -148,70 +155,76 @@ def train(counts: DataFrame, path: str) -> tuple[Model, int, int]:
     What reaches the driver is one row per vocabulary piece (its size is fixed by the vocabulary) and one
     row of totals.
     """
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     pieces = {r.piece: r.c for r in piece_counts(counts, path).collect()}
     ends = counts.where(F.col("token") == END).agg(F.sum("c").alias("c")).first().c or 0
     return Model.trained(pieces, ends, path), int(total.n or 0), int(total.v)
 
 
+def scored_tokens(counts: DataFrame, model: Model) -> DataFrame:
+    """``counts`` with ``lattice``, each token's log probability: every distinct token is segmented once."""
+    shared = counts.sparkSession.sparkContext.broadcast(model)
+
+    def work(part: pa.RecordBatch) -> list:
+        m = shared.value
+        return [[m.word(w) if w != END else m.end for w in part.column("token").to_pylist()]]
+
+    return X.map_rows(counts, ["token", "c"], "lattice double", lambda: work, column="token")
+
+
 def score(docs: DataFrame, path: str | None = None, hot: int = HOT) -> DataFrame:
     """Base and lattice log10 probabilities of every row."""
     path = path or vocabulary_file()
     spark = docs.sparkSession
     counts = X.written(token_counts(docs), "counts")
     model, n, v = train(counts, path)
-    often = (F.col("c") * hot >= n) | (F.col("token") == END)
-    frequent = {r.token: r.c for r in counts.where(often).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((model, frequent))
+    tokens = X.written(scored_tokens(counts, model), "tokens")
+    often = (F.col("c") * hot >= n) & (F.col("c") > 0) | (F.col("token") == END)
+    frequent = {r.token: (r.c, r.lattice) for r in tokens.where(often).toLocalIterator()}
+    shared = spark.sparkContext.broadcast((frequent, model.end))
     divisor = math.log10(n + 0.1 * (v + 1))
 
     def compute():
-        model, frequent = shared.value
-        known: dict[str, tuple[float, int]] = {}
-        end_count = frequent.get(END, 0)
-
-        def look(word: str) -> tuple[float, int]:
-            """Lattice score and training count (0: look it up by join)."""
-            if word not in known:
-                known[word] = (model.word(word), frequent.get(word, 0))
-            return known[word]
+        frequent, end = shared.value
+        end_count = frequent.get(END, (0, end))[0]
+        none = (0, 0.0)
 
         def work(part: pa.RecordBatch) -> list:
-            if len(known) > CACHE:
-                known.clear()
             flat, sizes = _words(part.column("text"))
             coded = flat.dictionary_encode()
-            words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            pairs = [look(w) for w in words]
-            lattice = np.array([p[0] for p in pairs], float)
-            c = np.array([p[1] for p in pairs], np.int64)
-            edges = np.concatenate([[0], np.cumsum(sizes)])
+            found = [frequent.get(w, none) for w in coded.dictionary.to_pylist()]
+            index = coded.indices.to_numpy()
+            c = np.array([x[0] for x in found], np.int64)
+            lattice = np.array([x[1] for x in found], float)
+            logs = np.where(c > 0, np.log10(c + 0.1), 0.0)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
 
             def by_text(values: np.ndarray) -> np.ndarray:
-                run = np.concatenate([[0], np.cumsum(values)])
-                return run[edges[1:]] - run[edges[:-1]]
+                return np.bincount(owner, weights=values, minlength=len(sizes))
 
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            value = np.bincount(owner, weights=lattice[index], minlength=len(sizes)) + model.end
-            logs = np.bincount(owner, weights=np.log10(c + 0.1)[index], minlength=len(sizes)) + math.log10(end_count + 0.1)
             rare = c[index] == 0
-            rest = by_text(rare.astype(np.int64))
+            rest = np.bincount(owner[rare], minlength=len(sizes))
             names = coded.dictionary.cast(pa.string()).take(pa.array(index[rare]))
-            return [pa.array(sizes + 1, pa.int64()), pa.array(by_text((~rare).astype(np.int64)) + (end_count > 0), pa.int64()),
-                    pa.array(logs), pa.array(value / math.log(10)),
+            return [pa.array(sizes + 1, pa.int64()), pa.array(sizes - rest + (end_count > 0), pa.int64()),
+                    pa.array(by_text(logs[index]) + math.log10(end_count + 0.1)), pa.array(by_text(lattice[index]) + end),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rest)]), pa.int32()), names)]
         return work
 
-    fields = "n_tokens long, hot_known long, hot_logs double, score double, rare array<string>"
+    fields = "n_tokens long, hot_known long, hot_logs double, hot_lattice double, rare array<string>"
     rows = X.map_rows(docs.select("doc_id", "text"), ["doc_id"], fields, compute, size=2 * X.SLICE)
     rows = X.written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    # rare words: log10(c + 0.1) + 1 more than the log10(0.1) already summed
     rare = rows.select("row", F.explode("rare").alias("token"))
-    few = counts.where((F.col("c") * hot < n) & (F.col("token") != END))
+    few = tokens.where(~often)
     gained = (rare.join(few, "token").groupBy("row")
-              .agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 0.1) + 1).alias("gain")))
+              .agg(F.count_if(F.col("c") > 0).alias("more"), F.sum(F.log10(F.col("c") + 0.1)).alias("logs"),
+                   F.sum("lattice").alias("lattice")))
     out = rows.drop("rare").join(gained, "row", "left")
+
+    def plus(column: str, extra: str, zero):
+        return F.col(column) + F.coalesce(extra, F.lit(zero))
+
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens",
-                      (F.col("hot_known") + F.coalesce("more", F.lit(0))).cast(T.LongType()).alias("n_known"),
+                      plus("hot_known", "more", 0).cast(T.LongType()).alias("n_known"),
                       F.lit(n).cast(T.LongType()).alias("train_tokens"),
-                      (F.col("hot_logs") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * divisor).alias("base_score"), "score")
+                      (plus("hot_logs", "logs", 0.0) - F.col("n_tokens") * divisor).alias("base_score"),
+                      (plus("hot_lattice", "lattice", 0.0) / math.log(10)).alias("score"))
