@@ -404,6 +404,31 @@ def top_positions(pos_summary: DataFrame, k: int = 15, by: str = "protein_id") -
     return pos_summary.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_positions_additive(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence", k: int = 15,
+                           head: CompositionHead | None = None, max_len: int = MAX_RESIDUES, chunk: int = 4096,
+                           partitions: int | None = None) -> DataFrame:
+    """``top_positions(position_summary(scan))`` without ranking every position.
+
+    All positions of a (protein, wild type, window side) group share their
+    summary. Groups are ranked first; only groups that fewer than ``k`` better
+    positions precede give positions, and each its first ``k`` at most.
+    """
+    head = head or default_head()
+    keys = ["protein_id", "wildtype_aa", "in_window"]
+    groups = scan_groups(df, id_col, seq_col, None, head, max_len, chunk, partitions).withColumn("_s", _summarise(F.col("mutants")))
+    groups = groups.select(*keys, "n", *[F.col(f"_s.{c}").alias(c) for c in
+                                         ("mean_delta", "min_delta", "max_delta", "n_beneficial", "best_substitution")])
+    upto = Window.partitionBy("protein_id").orderBy("mean_delta", "min_delta").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("protein_id", "mean_delta", "min_delta")
+    size = F.least("n", F.lit(k))
+    kept = groups.withColumn("_before", F.sum(size).over(upto) - F.sum(size).over(same)).where(F.col("_before") < k).drop("_before", "n")
+    rows = _positions_for_groups(df, id_col, seq_col, None, head, max_len, chunk, partitions).select(*keys, "position")
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("position"))).where(F.col("_r") <= k).drop("_r")
+    found = first.join(kept, keys).drop("in_window")
+    return top_positions(found.select("protein_id", "position", "wildtype_aa", "mean_delta", "min_delta", "max_delta",
+                                      "n_beneficial", "best_substitution"), k)
+
+
 def residue_summary(mut: DataFrame, by: str = "protein_id") -> DataFrame:
     """Per protein and mutant residue: mean, median, min delta, counts.
 

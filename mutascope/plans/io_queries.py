@@ -39,6 +39,19 @@ def q_fasta_roundtrip(spark, sf):
 SQL_FASTA_ROUNDTRIP = f"SELECT 'b' || CAST(item_id AS VARCHAR) AS protein_id, {_CLEAN_SQL} AS sequence FROM benchmark"
 
 
+def q_fasta_case(spark, sf):
+    """Every document as a FASTA record with CRLF ends, a description and a comment line; case is kept."""
+    docs = table(spark, sf, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
+    body = F.regexp_replace("seq", "(.{70})(?=.)", "$1\r\n")
+    path = scratch_path(spark, "fasta-case")
+    docs.select(F.concat(F.lit(">"), "id", F.lit(" some text\r\n; a comment\r\n"), body, F.lit("\r")).alias("value")).write.text(path)
+    return read_fasta(spark, path).select("protein_id", "sequence")
+
+
+SQL_FASTA_CASE = """SELECT 'd' || CAST(doc_id AS VARCHAR) AS protein_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS sequence FROM documents"""
+
+
 # ---------------------------------------------------------------------------
 # score_table (G1, G2, M7) and csv_roundtrip (prediction CSV writer)
 # ---------------------------------------------------------------------------
@@ -279,6 +292,7 @@ ORDER BY ts DESC, event_id DESC LIMIT {RQ.RETAIN_JOBS}"""
 
 QUERIES = {
     "fasta_roundtrip": q_fasta_roundtrip,
+    "fasta_case": q_fasta_case,
     "score_table": q_score_table,
     "csv_roundtrip": q_csv_roundtrip,
     "requests_batch": q_requests_batch,
@@ -291,6 +305,7 @@ QUERIES = {
 
 ORACLES = {
     "fasta_roundtrip": SQL_FASTA_ROUNDTRIP,
+    "fasta_case": SQL_FASTA_CASE,
     "score_table": SQL_SCORE_TABLE,
     "csv_roundtrip": SQL_CSV_ROUNDTRIP,
     "requests_batch": SQL_REQUESTS_BATCH,

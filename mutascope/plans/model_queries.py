@@ -61,6 +61,41 @@ SELECT label, dim, round_even(avg(CAST(v AS DOUBLE)), {R}) AS mean FROM (
 GROUP BY label, dim"""
 
 
+def q_masked_pool(spark, sf):
+    """Masked mean pool of per-residue tokens (code, hydropathy) between markers that must not leak in."""
+    p = proteins(spark, sf).select("design_name", "full_sequence")
+    mark = F.array(F.array(F.lit(E.SENTINEL), F.lit(E.SENTINEL)))
+    chars = F.filter(F.split("full_sequence", ""), lambda c: c != "")
+    token = F.transform(chars, lambda c: F.array(F.instr(F.lit(ALPHABET), c).cast("double"), F.ascii(c).cast("double")))
+    rows = p.withColumn("n", F.length("full_sequence")).withColumn("tokens", F.concat(mark, token, mark, mark))
+    pooled = E.mean_pool(rows, "tokens", "n")
+    return pooled.select("design_name", F.get("embedding", F.lit(0)).alias("code"), F.get("embedding", F.lit(1)).alias("letter"))
+
+
+SQL_MASKED_POOL = with_views(f"""
+SELECT design_name, CAST(coalesce(avg(instr('{ALPHABET}', c)), 0) AS FLOAT) AS code, CAST(coalesce(avg(ascii(c)), 0) AS FLOAT) AS letter
+FROM (SELECT design_name, unnest(CASE WHEN full_sequence = '' THEN [NULL] ELSE string_split(full_sequence, '') END) AS c FROM proteins) t
+GROUP BY design_name""")
+
+
+def q_embed_splits(spark, sf):
+    """Several splits in one store; an id in two splits is embedded in both, a second run adds nothing."""
+    p = proteins(spark, sf).withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("doc_id") % 3 + 1).cast("int")))
+    both = p.unionByName(p.where(F.col("doc_id") % 5 == 0).withColumn("split", F.lit("extra")))
+    store = scratch_path(spark, "embedding-splits")
+    E.embed_job(p, KMER, store, "design_name", "full_sequence", split_col="split")
+    for _ in range(2):
+        E.embed_job(both, KMER, store, "design_name", "full_sequence", split_col="split")
+    return spark.read.parquet(store).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
+SQL_EMBED_SPLITS = with_views(f"""
+SELECT split, count(*) AS n, count(DISTINCT design_name) AS ids FROM (
+  SELECT design_name, ['train', 'val', 'test'][doc_id % 3 + 1] AS split, full_sequence FROM proteins
+  UNION ALL SELECT design_name, 'extra', full_sequence FROM proteins WHERE doc_id % 5 = 0) t
+WHERE length(full_sequence) <= {MAX_RESIDUES} GROUP BY split""")
+
+
 # ---------------------------------------------------------------------------
 # Joins: J1 (last label wins), J2 (expand), coverage, J3/S7 resume anti-join
 # ---------------------------------------------------------------------------
@@ -258,6 +293,8 @@ def q_mlp_score(spark, sf):
 QUERIES = {
     "embed_kmers": q_embed_kmers,
     "mean_pool": q_mean_pool,
+    "masked_pool": q_masked_pool,
+    "embed_splits": q_embed_splits,
     "emb_label_join": q_emb_label_join,
     "label_coverage": q_label_coverage,
     "emb_meta_join": q_emb_meta_join,
@@ -275,6 +312,8 @@ QUERIES = {
 ORACLES = {
     "embed_kmers": SQL_EMBED_KMERS,
     "mean_pool": SQL_MEAN_POOL,
+    "masked_pool": SQL_MASKED_POOL,
+    "embed_splits": SQL_EMBED_SPLITS,
     "emb_label_join": SQL_EMB_LABEL_JOIN,
     "label_coverage": SQL_LABEL_COVERAGE,
     "emb_meta_join": SQL_EMB_META_JOIN,

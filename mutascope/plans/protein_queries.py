@@ -178,8 +178,47 @@ def q_scan_positions(spark, sf):
 
 
 def q_scan_top_positions(spark, sf):
-    ps = S.position_summary(_scan_positions(spark, sf))
-    return _long(S.top_positions(ps, TOP_POSITIONS), "position", "n_beneficial", "rank")
+    top = S.top_positions_additive(proteins(spark, sf), "design_name", "full_sequence", TOP_POSITIONS, HEAD)
+    return _long(top, "position", "n_beneficial", "rank")
+
+
+def _items(spark, sf):
+    """Benchmark passages as sequences; ids of the two halves repeat (equal ids, different records)."""
+    return table(spark, sf, "benchmark").select(
+        F.when(F.col("item_id") % 2 == 0, F.lit("even")).otherwise(F.lit("odd")).alias("source"),
+        F.concat(F.lit("b"), F.floor(F.col("item_id") / 2).cast("string")).alias("item"),
+        F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"))
+
+
+def q_scan_full(spark, sf):
+    """Every mutant of every passage with its sequence, scored by the generic scorer; two records share each id."""
+    p = _items(spark, sf).select(S.record_id("item", "source").alias("id"), "sequence")
+    scored = S.scan(p, "id", "sequence", head=HEAD, scorer=S.head_scorer(HEAD))
+    built = S.single_mutants(p, "id", "sequence").select("protein_id", "position", "mutant_aa", F.md5("mutant_sequence").alias("mutant_md5"))
+    out = scored.join(built, ["protein_id", "position", "mutant_aa"])
+    return out.select("protein_id.source", "protein_id.item", F.col("position").cast("long").alias("position"), "wildtype_aa", "mutant_aa",
+                      "predicted_wildtype", "predicted_mutant", "delta", "mutant_md5")
+
+
+def q_scan_top_keyed(spark, sf):
+    """Top mutations of records whose ids repeat between two sources."""
+    p = _items(spark, sf).select(S.record_id("item", "source").alias("id"), "sequence")
+    top = S.top_mutations_additive(p, "id", "sequence", n=TOP_N, head=HEAD)
+    return _long(top.select("protein_id.source", "protein_id.item", *[c for c in top.columns if c != "protein_id"]), "position", "rank")
+
+
+def q_scan_fasta(spark, sf):
+    """Passages as a FASTA file, scanned at given positions and written per bucket, then read back."""
+    from mutascope.operators.jobs import scan_fasta
+    from mutascope.session import scratch_path
+    from mutascope.sources.fasta import write_fasta
+    base = scratch_path(spark, "scan-fasta")
+    write_fasta(_items(spark, sf).withColumn("id", F.concat("source", F.lit("|"), "item")), f"{base}/in", "id", "sequence")
+    scan_fasta(spark, f"{base}/in", f"{base}/out", positions_spec="1-3,10", head=HEAD)
+    back = spark.read.option("header", True).csv(f"{base}/out", schema=(
+        "safe_id string, protein_id string, position long, wildtype_aa string, mutant_aa string, predicted_wildtype double, "
+        "predicted_mutant double, delta double"))
+    return back.select("safe_id", "protein_id", "position", "wildtype_aa", "mutant_aa", "predicted_wildtype", "predicted_mutant", "delta")
 
 
 def q_scan_aa(spark, sf):
@@ -274,6 +313,31 @@ SELECT design_name AS protein_id, CAST(length(full_sequence) AS BIGINT) AS lengt
 FROM proteins""")
 
 
+# Mutants built as strings and counted from scratch, unlike the operators.
+_STRING_CTE = f"""it AS (SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source,
+    'b' || CAST(CAST(floor(item_id / 2) AS BIGINT) AS VARCHAR) AS item, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark),
+wt AS (SELECT *, length(substr(seq, 1, {MAX_RESIDUES})) AS win_len, {counts_select(f'substr(seq, 1, {MAX_RESIDUES})', 'c_')} FROM it),
+wts AS (SELECT source, item, seq, win_len, CAST({HEAD.score_sql(HEAD.residue_sum_sql('c_'), _N_STD, 'win_len')} AS FLOAT) AS wt_f FROM wt),
+ps AS (SELECT *, unnest(range(1, length(seq) + 1)) AS position FROM wts),
+al AS (SELECT unnest({_ALPHA_LIST}) AS mutant_aa),
+mu AS (SELECT ps.*, substr(seq, position, 1) AS wildtype_aa, mutant_aa,
+         substr(seq, 1, position - 1) || mutant_aa || substr(seq, position + 1) AS mutant
+       FROM ps JOIN al ON al.mutant_aa <> substr(seq, position, 1)),
+mc AS (SELECT *, {counts_select(f'substr(mutant, 1, {MAX_RESIDUES})', 'm_')} FROM mu),
+ms AS (SELECT *, CAST({HEAD.score_sql(HEAD.residue_sum_sql('m_'), _N_STD_M, 'win_len')} AS FLOAT) AS mut_f FROM mc),
+mutants AS (SELECT source, item, CAST(position AS BIGINT) AS position, wildtype_aa, mutant_aa,
+         round_even(CAST(wt_f AS DOUBLE), 6) AS predicted_wildtype, round_even(CAST(mut_f AS DOUBLE), 6) AS predicted_mutant,
+         round_even(CAST(mut_f AS DOUBLE) - CAST(wt_f AS DOUBLE), 6) AS delta, md5(mutant) AS mutant_md5 FROM ms)"""
+
+SQL_SCAN_FULL = f"WITH {_STRING_CTE} SELECT * FROM mutants"
+SQL_SCAN_TOP_KEYED = f"""WITH {_STRING_CTE}
+SELECT * EXCLUDE (mutant_md5) FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source, item ORDER BY delta, position, mutant_aa) AS BIGINT) AS rank
+  FROM mutants) t WHERE rank <= {TOP_N}"""
+SQL_SCAN_FASTA = f"""WITH {_STRING_CTE}
+SELECT source || '_' || item AS safe_id, source || '|' || item AS protein_id, position, wildtype_aa, mutant_aa, predicted_wildtype,
+  predicted_mutant, delta FROM mutants WHERE position IN (1, 2, 3, 10)"""
+
+
 QUERIES = {
     "seq_features": q_seq_features,
     "validate_sequences": q_validate_sequences,
@@ -284,6 +348,9 @@ QUERIES = {
     "scan_top_positions": q_scan_top_positions,
     "scan_aa": q_scan_aa,
     "scan_plan": q_scan_plan,
+    "scan_full": q_scan_full,
+    "scan_top_keyed": q_scan_top_keyed,
+    "scan_fasta": q_scan_fasta,
 }
 
 ORACLES = {
@@ -296,5 +363,8 @@ ORACLES = {
     "scan_top_positions": SQL_SCAN_TOP_POSITIONS,
     "scan_aa": SQL_SCAN_AA,
     "scan_plan": SQL_SCAN_PLAN,
+    "scan_full": SQL_SCAN_FULL,
+    "scan_top_keyed": SQL_SCAN_TOP_KEYED,
+    "scan_fasta": SQL_SCAN_FASTA,
 }
 
