@@ -6,10 +6,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from mutascope.functions.residues import ALPHABET, MAX_RESIDUES
+from mutascope.functions.residues import ALPHABET, KYTE_DOOLITTLE, MAX_RESIDUES
 from mutascope.operators import embed as E
 from mutascope.operators import models as MD
 from mutascope.operators import split as SP
+from mutascope.plans.sqltext import count_sql
 from mutascope.plans.views import proteins, table, with_views
 from mutascope.session import scratch_path
 
@@ -246,6 +247,29 @@ def q_ridge_fit(spark, sf):
     return spark.createDataFrame(rows, "term string, value double")
 
 
+def q_ridge_normal(spark, sf):
+    """The normal equations at the fitted weights: per feature sum (y - f)(x - m)/s - alpha w s, and sum (y - f).
+    They vanish only if the weights solve the ridge problem."""
+    train = _emb_split(spark, sf).where(F.col("split") == "train")
+    fit = MD.fit_ridge(train, "embedding", "y", alpha=1.0)
+    dot = F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), F.array(*[F.lit(w) for w in fit["weights"]]), lambda a, b: a * b),
+                      F.lit(0.0), lambda acc, v: acc + v)
+    rest = train.select("embedding", (F.col("y") - dot - F.lit(fit["intercept"])).alias("r"))
+    w = F.element_at(F.array(*[F.lit(x) for x in fit["weights"]]), F.col("dim") + 1)
+    per = (rest.select("r", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double")).groupBy("dim")
+           .agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.sum(F.col("r") * F.col("x")).alias("rx"), F.sum("r").alias("sr")))
+    gradient = (F.col("rx") - F.col("m") * F.col("sr")) / F.col("s") - F.lit(fit["alpha"]) * w * F.col("s")
+    terms = per.select(F.concat(F.lit("w"), F.col("dim").cast("string")).alias("term"), gradient.alias("g"))
+    terms = terms.unionByName(rest.agg(F.sum("r").alias("g")).select(F.lit("intercept").alias("term"), "g"))
+    return terms.select("term", (F.bround("g", 6) + 0.0).alias("gradient"))
+
+
+SQL_RIDGE_NORMAL = """
+SELECT 'w' || CAST(j AS VARCHAR) AS term, CAST(0 AS DOUBLE) AS gradient
+FROM (SELECT DISTINCT unnest(range(0, len(embedding))) AS j FROM embeddings) t
+UNION ALL SELECT 'intercept', CAST(0 AS DOUBLE)"""
+
+
 def q_gbt_fit(spark, sf):
     """Boosted trees with 20-round patience; top-10 importances + rounds kept."""
     data = _emb_split(spark, sf)
@@ -261,8 +285,7 @@ def q_gbt_fit(spark, sf):
     return imp.withColumn("rounds", F.lit(rounds).cast("long"))
 
 
-def toy_mlp_weights(spark, dims=(64, 16, 8, 1), seed: int = 42):
-    """A deterministic small dense network in the weight-table layout."""
+def _toy_layers(dims=(64, 16, 8, 1), seed: int = 42) -> list[tuple]:
     rng = np.random.default_rng(seed)
     rows = []
     for i, (a, b) in enumerate(zip(dims[:-1], dims[1:])):
@@ -272,7 +295,39 @@ def toy_mlp_weights(spark, dims=(64, 16, 8, 1), seed: int = 42):
         bn = None if last else [rng.uniform(0.5, 1.5, b).tolist(), (rng.standard_normal(b) * 0.1).tolist(),
                                 (rng.standard_normal(b) * 0.1).tolist(), rng.uniform(0.5, 2.0, b).tolist()]
         rows.append((i, w, bias, *(bn if bn else [None] * 4)))
-    return spark.createDataFrame(rows, MD.MLP_WEIGHTS_SCHEMA)
+    return rows
+
+
+def toy_mlp_weights(spark, dims=(64, 16, 8, 1), seed: int = 42):
+    """A deterministic small dense network in the weight-table layout."""
+    return spark.createDataFrame(_toy_layers(dims, seed), MD.MLP_WEIGHTS_SCHEMA)
+
+
+def _dense_ctes(source: str, dims, seed: int = 42) -> tuple[str, str]:
+    """CTEs that run the toy network in SQL over ``source`` (id, x DOUBLE[]), layer by layer, and the last
+    one's name (id, y). erf is its series of positive terms, exp(-x^2) * sum 2^n x^(2n+1) / (2n+1)!!."""
+    def nums(v):
+        return "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in v) + "]"
+
+    terms, c = [], 1.0
+    for n in range(120):
+        terms.append(c)
+        c *= 2.0 / (2 * n + 3)
+    ctes, prev = [f"co AS (SELECT {nums(terms)} AS c)"], source
+    layers = _toy_layers(dims, seed)
+    for k, w, b, g, beta, mean, var in layers:
+        rows = "[" + ", ".join(nums(r) for r in w) + "]"
+        ctes.append(f"w{k} AS (SELECT {rows} AS w, {nums(b)} AS b"
+                    + (f", {nums(g)} AS g, {nums(beta)} AS be, {nums(mean)} AS mu, {nums(var)} AS va" if g else "") + ")")
+        ctes.append(f"z{k} AS (SELECT id, j, list_dot_product(w[j], x) + b[j] AS z{', g[j] AS g, be[j] AS be, mu[j] AS mu, va[j] AS va' if g else ''} "
+                    f"FROM (SELECT id, x, unnest(range(1, {len(w) + 1})) AS j FROM {prev}) t, w{k})")
+        if not g:
+            return ",\n".join(ctes), f"z{k}"
+        ctes.append(f"n{k} AS (SELECT id, j, (z - mu) / sqrt(va + CAST({MD.BN_EPS!r} AS DOUBLE)) * g + be AS h FROM z{k})")
+        ctes.append(f"e{k} AS (SELECT id, j, h, CASE WHEN abs(h) > 8 THEN sign(h) ELSE CAST({float(2 / np.sqrt(np.pi))!r} AS DOUBLE) * exp(-h * h / 2) * list_sum("
+                    f"list_transform(range(0, 120), lambda n: c[n + 1] * pow(h / sqrt(CAST(2 AS DOUBLE)), 2 * n + 1))) END AS f FROM n{k}, co)")
+        ctes.append(f"x{k} AS (SELECT id, list(CAST(0.5 AS DOUBLE) * h * (1 + f) ORDER BY j) AS x FROM e{k} GROUP BY id)")
+        prev = f"x{k}"
 
 
 def q_score_encoder_head(spark, sf):
@@ -290,6 +345,27 @@ def q_mlp_score(spark, sf):
     return MD.score_mlp(emb, "embedding", toy_mlp_weights(spark), "vec_id")
 
 
+_MLP_CTES, _MLP_LAST = _dense_ctes("src", (64, 16, 8, 1))
+SQL_MLP_SCORE = f"""
+WITH src AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+{_MLP_CTES}
+SELECT id AS vec_id, CAST(z AS FLOAT) AS prediction FROM {_MLP_LAST}"""
+
+_WIN = f"substr(full_sequence, 1, {MAX_RESIDUES})"
+_POOLED = ([f"CAST(CAST({count_sql('w', aa)} AS DOUBLE) / greatest(length(w), 1) AS FLOAT)" for aa in ALPHABET]
+           + ["CAST((" + " + ".join(f"{count_sql('w', aa)} * CAST(CAST({KYTE_DOOLITTLE[aa]!r} AS FLOAT) AS DOUBLE)" for aa in ALPHABET)
+              + ") / greatest(length(w), 1) AS FLOAT)"])
+_ENC_CTES, _ENC_LAST = _dense_ctes("src", (len(ALPHABET) + 1, 16, 8, 1))
+SQL_ENCODER_HEAD = with_views(f"""
+SELECT p.design_name AS protein_id, round_even(CAST(CAST(z AS FLOAT) AS DOUBLE), 6) AS predicted,
+  CAST(length(p.full_sequence) AS BIGINT) AS sequence_length, 'residue_scale+dense_v1' AS model_version
+FROM {_ENC_LAST} JOIN proteins p ON p.design_name = id""").replace(
+    "\nSELECT p.design_name", f""",
+src AS (SELECT design_name AS id, CAST([{', '.join(_POOLED)}] AS DOUBLE[]) AS x FROM (SELECT design_name, {_WIN} AS w FROM proteins) t),
+{_ENC_CTES}
+SELECT p.design_name""", 1)
+
+
 QUERIES = {
     "embed_kmers": q_embed_kmers,
     "mean_pool": q_mean_pool,
@@ -304,6 +380,7 @@ QUERIES = {
     "ridge_1d": q_ridge_1d,
     "ridge_score": q_ridge_score,
     "ridge_fit": q_ridge_fit,
+    "ridge_normal": q_ridge_normal,
     "gbt_fit": q_gbt_fit,
     "mlp_score": q_mlp_score,
     "score_encoder_head": q_score_encoder_head,
@@ -322,4 +399,7 @@ ORACLES = {
     "standardize": SQL_STANDARDIZE,
     "ridge_1d": SQL_RIDGE_1D,
     "ridge_score": SQL_RIDGE_SCORE,
+    "ridge_normal": SQL_RIDGE_NORMAL,
+    "mlp_score": SQL_MLP_SCORE,
+    "score_encoder_head": SQL_ENCODER_HEAD,
 }
