@@ -179,8 +179,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """A written table with a broadcast hint if it holds at most ``rows`` rows, else as it is (shuffle join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A written table (its rows are counted) with a broadcast hint if it holds at most ``rows`` rows, else as it
+    is (shuffle join)."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def lower_ascii(c: Column) -> Column:
