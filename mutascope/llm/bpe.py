@@ -23,6 +23,7 @@ import heapq
 import json
 import re
 import unicodedata
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from mutascope.llm import text as X
 
 SHORT, NEVER = 40, 1 << 30
 FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-CACHE = 600_000  # words remembered by a Python worker
+CACHE = 300_000  # words remembered by a Python worker
 PAIRS = 4_000_000  # pair verdicts remembered by a Python worker
 
 
@@ -56,15 +57,15 @@ class Coder:
     """Encoder and decoder for a word-end BPE file of the tokenizers library."""
 
     def __init__(self, path: str, cache: int = CACHE):
-        from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.end = spec["model"]["end_of_word_suffix"]
         self.ranks = {tuple(m): i for i, m in enumerate(spec["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
+        by_id = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
+        self.names = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
@@ -72,12 +73,21 @@ class Coder:
         self.reach: dict[str, int] = {}  # longest token with the same first three characters
         for token in self.vocab:
             self.reach[token[:3]] = max(self.reach.get(token[:3], 0), len(token))
-        self.token_ok = np.zeros(max(self.names) + 1, np.int8)  # 0 unknown, 1 stays, 2 does not
+        self.token_ok = np.zeros(len(self.names), np.int8)  # 0 unknown, 1 stays, 2 does not
         self.pairs, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.known: dict[str, tuple[bytes, str, int]] = {}
+        self.known: dict[str, bytes] = {}  # ids of words seen, as little-endian 32-bit integers
+        self.older: dict[str, bytes] = {}  # the generation before
         self.cache = cache
         self.speculated = self.failed = 0
 
+    @property
+    def library(self):
+        """The tokenizers library's object, for normalising and splitting texts beyond the fast path."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     # ---- words -------------------------------------------------------------------------------
     def split(self, text: str) -> list[str]:
         """Words of the text in order; a special token stands as itself."""
@@ -96,7 +106,7 @@ class Coder:
         return [bytes(back[c] for c in w).decode("utf-8") for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def symbols(self, word: str) -> list[str]:
-        s = [self.bytes[b] for b in word.encode("utf-8")]
+        s = list(word) if word.isascii() and word.isprintable() else [self.bytes[b] for b in word.encode("utf-8")]
         s[-1] += self.end
         return s
 
@@ -210,24 +220,30 @@ class Coder:
             ids = proposals[i]
             if i in bad:
                 ids = [self.vocab[s] for s in self.merge(symbols[i]) if s in self.vocab]
-            self.known[w] = (np.array(ids, "<u4").tobytes(), " ".join(self.names[t] for t in ids), len(ids))
+            self.known[w] = pack(f"<{len(ids)}I", *ids)
         for w in words:
             if w in self.special:
-                self.known[w] = (np.array([self.special[w]], "<u4").tobytes(), w, 1)
+                self.known[w] = pack("<I", self.special[w])
 
     def encode_slice(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
         split = [self.split(t) for t in texts]
         distinct = set().union(*split) if split else set()
-        if len(self.known) + len(distinct) > self.cache:
-            self.known = {w: v for w in distinct if (v := self.known.get(w))}
-        new = [w for w in distinct if w not in self.known]
+        if 2 * len(self.known) > self.cache:
+            self.known, self.older = {}, self.known
+        new = []
+        for w in distinct.difference(self.known):  # words in use move to the young generation
+            found = self.older.get(w)
+            if found is None:
+                new.append(w)
+            else:
+                self.known[w] = found
         if new:
             self.learn(new)
-        known, out = self.known, []
+        known, names, out = self.known, self.names, []
         for words in split:
-            rows = [known[w] for w in words]
-            out.append((b"".join([r[0] for r in rows]), " ".join([r[1] for r in rows if r[2]])))
+            ids = b"".join([known[w] for w in words])
+            out.append((ids, " ".join([names[t] for t in memoryview(ids).cast("I")])))
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -235,7 +251,7 @@ class Coder:
 
     def decode(self, ids) -> str:
         """Token strings with one space between them; the file names no decoder."""
-        return " ".join(self.names[int(i)] for i in ids if int(i) in self.names)
+        return " ".join(self.names[i] for i in map(int, ids) if i < len(self.names))
 
 
 _coders: dict[str, Coder] = {}

@@ -73,6 +73,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.concat_arrays([found.field("values").cast(pa.string()), pa.array([END])]),
                          pa.concat_arrays([n, pa.array([len(rows) * weight], pa.int64())])], names=["token", "c"])
+            X.tidy()
 
     return marked.mapInArrow(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -211,7 +212,7 @@ def score(docs: DataFrame, path: str | None = None, hot: int = HOT) -> DataFrame
         return work
 
     fields = "n_tokens long, hot_known long, hot_logs double, hot_lattice double, rare array<string>"
-    rows = X.map_rows(docs.select("doc_id", "text"), ["doc_id"], fields, compute, size=2 * X.SLICE)
+    rows = X.map_rows(docs.select("doc_id", "text"), ["doc_id"], fields, compute, size=4 * X.SLICE)
     rows = X.written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("token"))
     few = tokens.where(~often)

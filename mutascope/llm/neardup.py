@@ -183,6 +183,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, ratio: int = 80) ->
                 out = pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common, pa.int64()),
                                                   pa.array(union, pa.int64())], names=["a", "b", "common", "total"])
                 yield out
+            X.tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (both.select("a", "b", "sa", "sb").mapInArrow(compare, f"a {kind}, b {kind}, common long, total long")

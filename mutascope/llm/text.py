@@ -11,6 +11,7 @@ memory is bounded by a slice or by the longest single document.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from mutascope.session import ensure_checkpoint_dir
 
-SLICE = 1 << 21
+SLICE = 1 << 20
 U = np.uint64
 
 #: word characters as byte tables: everything but ASCII white space / ASCII letters, digits and all non-ASCII
@@ -39,6 +40,7 @@ LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
+_libc = ctypes.CDLL(None)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -110,6 +112,15 @@ def keyed(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(h ^ mix(doc.astype(U) + U(1)))
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Arrow's and malloc's pools would keep it for the worker's life, which
+    later stages of the same executor have to live with."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Row slices of about ``size`` text bytes, of one row at least."""
     if not batch.num_rows:
@@ -149,6 +160,7 @@ def map_rows(df: DataFrame, keep: list[str], fields: str, compute: Callable[[],
                 yield pa.RecordBatch.from_arrays(
                     [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow)],
                     schema=arrow)
+            tidy()
 
     return df.select(*need).mapInArrow(run, schema)
 
