@@ -165,17 +165,11 @@ def scan_positions(df: DataFrame, id_col: str = "protein_id", seq_col: str = "se
     [, summary struct for the additive scorer].
     """
     head = head or default_head()
-    generic = not (isinstance(scorer, str) and scorer == "additive")
-    chunks = _chunk_rows(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions,
-                         keep_window=generic)
-    if generic:
-        # the wild type is scored by the same scorer, once per protein
-        wins = protein_stats(df, id_col, seq_col, head, max_len).select(
-            "protein_id", F.substring("sequence", 1, max_len).alias("_wt_window"))
-        wt = scorer(wins, "_wt_window").select("protein_id", F.col("score").cast("float").alias("_wt"))
-        rows = _explode_positions(chunks, _STATS + ["window"]).join(wt, "protein_id") \
-            .withColumn("wt_score", F.col("_wt")).drop("_wt")
-        return _generic_mutants(rows, scorer)
+    if not (isinstance(scorer, str) and scorer == "additive"):
+        flat = _generic_mutations(df, id_col, seq_col, positions_col, head, scorer, max_len, chunk, partitions)
+        return (flat.groupBy("protein_id", "position", "wildtype_aa", "predicted_wildtype")
+                .agg(F.array_sort(F.collect_list(F.struct("mutant_aa", "predicted_mutant", "delta"))).alias("mutants")))
+    chunks = _chunk_rows(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions)
     # Per chunk (before the per-position explode): the 21 mutant lists and
     # their summaries; each position is then a lookup.
     chunks = chunks.select("*", _mutant_table(head).alias("_lut"),
@@ -269,25 +263,29 @@ def _pick_mutants(rows: DataFrame) -> DataFrame:
         muts.alias("mutants"), summary.alias("summary"))
 
 
-def _generic_mutants(rows: DataFrame, scorer: Callable) -> DataFrame:
-    """Build each mutant window and hand it to ``scorer`` (O(L) per mutant)."""
+def _generic_mutations(df: DataFrame, id_col: str, seq_col: str, positions_col: str | None, head: CompositionHead,
+                       scorer: Callable, max_len: int, chunk: int, partitions: int | None) -> DataFrame:
+    """Flat mutation table of any scorer: each mutant window inside the model window is built and handed to
+    ``scorer`` (O(L) per mutant); past it no mutant differs from the wild type, so those rows are not scored."""
+    chunks = _chunk_rows(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions, keep_window=True)
+    # the wild type is scored by the same scorer, once per distinct protein id
+    wins = protein_stats(df, id_col, seq_col, head, max_len).select(
+        "protein_id", F.substring("sequence", 1, max_len).alias("_wt_window"))
+    wt = scorer(wins, "_wt_window").select("protein_id", F.col("score").cast("float").alias("_wt"))
+    rows = _explode_positions(chunks, _STATS + ["window"]).join(wt, "protein_id").withColumn("wt_score", F.col("_wt")).drop("_wt")
     alpha = F.array(*[F.lit(a) for a in ALPHABET])
-    m = (rows.select("*", F.explode(F.filter(alpha, lambda a: a != F.col("wildtype_aa")))
-                     .alias("mutant_aa"))
-         .withColumn("mutant_window",
-                     F.when(F.col("position") <= F.col("win_length"),
-                            F.overlay(F.col("window"), F.col("mutant_aa"), F.col("position"), F.lit(1)))
-                      .otherwise(F.col("window"))))
-    scored = scorer(m, "mutant_window")
+    every = rows.select("*", F.explode(F.filter(alpha, lambda a: a != F.col("wildtype_aa"))).alias("mutant_aa"))
     wt_d = F.col("wt_score").cast("double")
+    inside = every.where(F.col("position") <= F.col("win_length")).withColumn(
+        "mutant_window", F.overlay(F.col("window"), F.col("mutant_aa"), F.col("position"), F.lit(1)))
     score = F.col("score").cast("float").cast("double")
-    flat = scored.select("protein_id", "position", "wildtype_aa",
-                         _round6(wt_d).alias("predicted_wildtype"),
-                         F.col("mutant_aa"), _round6(score).alias("predicted_mutant"),
-                         _round6(score - wt_d).alias("delta"))
-    return (flat.groupBy("protein_id", "position", "wildtype_aa", "predicted_wildtype")
-            .agg(F.array_sort(F.collect_list(F.struct("mutant_aa", "predicted_mutant", "delta")))
-                 .alias("mutants")))
+
+    def table(part: DataFrame, mutant, delta) -> DataFrame:
+        return part.select("protein_id", "position", "wildtype_aa", "mutant_aa", _round6(wt_d).alias("predicted_wildtype"),
+                           mutant.alias("predicted_mutant"), delta.alias("delta"))
+
+    return table(scorer(inside, "mutant_window"), _round6(score), _round6(score - wt_d)).unionByName(
+        table(every.where(F.col("position") > F.col("win_length")), _round6(wt_d), F.lit(0.0)))
 
 
 def head_scorer(head: CompositionHead | None = None, max_len: int = MAX_RESIDUES):
@@ -322,6 +320,8 @@ def scan(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
          scorer: str | Callable = "additive", max_len: int = MAX_RESIDUES,
          chunk: int = 4096) -> DataFrame:
     """Mutation table for every protein; see ``scan_positions``."""
+    if not (isinstance(scorer, str) and scorer == "additive"):
+        return _generic_mutations(df, id_col, seq_col, positions_col, head or default_head(), scorer, max_len, chunk, None)
     return mutations(scan_positions(df, id_col, seq_col, positions_col, head, scorer,
                                     max_len, chunk))
 
@@ -611,38 +611,27 @@ def scan_plan(df: DataFrame, id_col: str = "protein_id", length_col: str = "leng
         (F.col(length_col) > long_threshold).alias("is_long"))
 
 
-def scan_documents(scan_pos: DataFrame, top_n: int = 20) -> DataFrame:
-    """Nested result per protein: wild-type score, counts, top-N, position summary.
+def scan_documents(scan_pos: DataFrame, top_n: int = 20, limits: DataFrame | None = None) -> DataFrame:
+    """Per protein: ``top_mutations`` and ``position_summary`` lists, the wild-type score and the number of mutants.
 
-    Meant for validated proteins (length <= 1022), so the position list of a
-    document is bounded. The mutation list itself is cut to ``top_n`` by a
-    group limit before the shuffle.
+    Meant for validated proteins (length <= 1022), so a document is bounded. The mutations are cut to ``top_n`` by a
+    group limit before the shuffle; ``limits`` (protein_id, top_n) may lower that per protein.
     """
-    mut = mutations(scan_pos)
-    top = (top_mutations(mut, top_n)
-           .groupBy("protein_id")
-           .agg(F.array_sort(F.collect_list(F.struct(
-               "rank", "position", "wildtype_aa", "mutant_aa", "predicted_mutant", "delta")))
-               .alias("top_mutations")))
-    ps = position_summary(scan_pos)
-    per_protein = (ps.groupBy("protein_id").agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.col("mean_delta").alias("avg_delta"), F.col("min_delta").alias("_min"),
-            "position", "wildtype_aa", "best_substitution"))).alias("_ps"),
-        F.first("position").alias("_any")))
-    head = (scan_pos.groupBy("protein_id").agg(
-        F.first("predicted_wildtype").alias("wildtype_predicted"),
-        F.sum(F.size("mutants")).alias("num_mutations_scanned")))
-    doc = head.join(per_protein, "protein_id").join(top, "protein_id", "left")
-    position_items = F.transform("_ps", lambda s: F.struct(
-        s["position"].alias("position"), s["wildtype_aa"].alias("wildtype_aa"),
-        s["avg_delta"].alias("avg_delta"), s["best_substitution"].alias("best_substitution")))
-    top_items = F.transform(F.coalesce("top_mutations", F.array()), lambda t: F.struct(
-        t["position"].alias("position"), t["wildtype_aa"].alias("wildtype_aa"),
-        t["mutant_aa"].alias("mutant_aa"), t["predicted_mutant"].alias("predicted_mutant"),
-        t["delta"].alias("delta")))
+    ranked = top_mutations(mutations(scan_pos), top_n)
+    if limits is not None:
+        ranked = ranked.join(limits.select("protein_id", F.col("top_n").alias("_limit")), "protein_id").where(F.col("rank") <= F.col("_limit"))
+    top = ranked.groupBy("protein_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "position", "wildtype_aa", "mutant_aa", "predicted_mutant", "delta"))).alias("_top"))
+    per = scan_pos.select("protein_id", "predicted_wildtype", F.size("mutants").alias("_n"))
+    head = per.groupBy("protein_id").agg(F.first("predicted_wildtype").alias("wildtype_predicted"), F.sum("_n").alias("num_mutations_scanned"))
+    ps = position_summary(scan_pos).groupBy("protein_id").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("mean_delta").alias("avg_delta"), "min_delta", "position", "wildtype_aa", "best_substitution"))).alias("_ps"))
+    doc = head.join(ps, "protein_id").join(top, "protein_id", "left")
     return doc.select("protein_id", F.struct(
-        F.col("wildtype_predicted").alias("wildtype_predicted"),
-        F.col("num_mutations_scanned").alias("num_mutations_scanned"),
-        top_items.alias("top_mutations"),
-        position_items.alias("position_summary")).alias("result"))
+        "wildtype_predicted", "num_mutations_scanned",
+        F.transform(F.coalesce("_top", F.array()), lambda t: F.struct(
+            t["position"].alias("position"), t["wildtype_aa"].alias("wildtype_aa"), t["mutant_aa"].alias("mutant_aa"),
+            t["predicted_mutant"].alias("predicted_mutant"), t["delta"].alias("delta"))).alias("top_mutations"),
+        F.transform("_ps", lambda s: F.struct(
+            s["position"].alias("position"), s["wildtype_aa"].alias("wildtype_aa"), s["avg_delta"].alias("avg_delta"),
+            s["best_substitution"].alias("best_substitution"))).alias("position_summary")).alias("result"))

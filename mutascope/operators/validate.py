@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mutascope.functions import messages as MSG
 from mutascope.functions.residues import (
     LONG_SEQUENCE, MAX_RESIDUES, NON_STANDARD_PATTERN, non_standard_residues, strip_upper,
 )
@@ -18,11 +19,10 @@ from mutascope.functions.residues import (
 def sequence_error(seq, max_len: int = MAX_RESIDUES):
     """Error text for a cleaned sequence (checks in order: empty, length, alphabet)."""
     n = F.length(seq)
-    return (F.when(n == 0, F.lit("sequence must not be empty"))
-            .when(n > max_len, F.format_string(
-                "sequence length %d exceeds the maximum of %d", n, F.lit(max_len)))
+    return (F.when(n == 0, F.lit(MSG.EMPTY))
+            .when(n > max_len, F.concat(n.cast("string"), F.lit(MSG.LONG.format(max_len))))
             .when(seq.rlike(NON_STANDARD_PATTERN), F.concat(
-                F.lit("sequence contains invalid character(s): "),
+                F.lit(MSG.LETTERS),
                 F.array_join(non_standard_residues(seq), ", "))))
 
 
@@ -45,8 +45,7 @@ def overlength(df: DataFrame, seq_col: str, policy: str = "truncate",
     if policy == "truncate":
         return df.withColumn(seq_col, F.substring(seq_col, 1, max_len))
     if policy == "reject":
-        return df.withColumn("error", F.when(n > max_len, F.format_string(
-            "sequence length %d exceeds the maximum of %d", n, F.lit(max_len))))
+        return df.withColumn("error", F.when(n > max_len, F.concat(n.cast("string"), F.lit(MSG.LONG.format(max_len)))))
     raise ValueError(f"unknown over-length policy: {policy}")
 
 
@@ -84,9 +83,9 @@ def parse_positions(df: DataFrame, spec_col: str, len_col: str,
               .withColumn(out_col, F.when(F.col("_bad").isNull(), positions)
                           .otherwise(F.array().cast("array<int>")))
               .withColumn("error", F.when(F.col("_bad").isNotNull(), F.concat(
-                  F.when(F.instr(F.col("_bad.t"), "-") > 0, F.lit("invalid position range: '"))
-                   .otherwise(F.lit("invalid position: '")),
-                  F.col("_bad.t"), F.lit("'"))))
+                  F.when(F.instr(F.col("_bad.t"), "-") > 0, F.lit(MSG.BAD_RANGE))
+                   .otherwise(F.lit(MSG.BAD_POSITION)),
+                  F.col("_bad.t"))))
               .drop("_bad"))
 
 
@@ -107,14 +106,13 @@ def validate_scan_requests(df: DataFrame, seq_col: str = "sequence", top_n_col:
     below = F.filter(pos, lambda p: p < 1)
     above = F.filter(pos, lambda p: p > F.col("length"))
     err = (F.coalesce(F.col("error"),
-                      F.when(~top.between(1, max_top_n), F.format_string(
-                          "top_n must be between 1 and %d; got %d", F.lit(max_top_n), top)),
+                      F.when(~top.between(1, max_top_n), F.concat(
+                          F.lit(MSG.TOP_N[0]), top.cast("string"), F.lit(MSG.TOP_N[1].format(max_top_n)))),
                       F.when(F.size(below) > 0, F.concat(
-                          F.lit("positions must be >= 1; got "),
+                          F.lit(MSG.BELOW),
                           F.array_join(F.slice(below, 1, show_below), ", "))),
                       F.when(F.size(above) > 0, F.concat(
-                          F.format_string("positions out of range for sequence of length %d: ",
-                                          F.col("length")),
+                          F.lit(MSG.ABOVE[0]), F.col("length").cast("string"), F.lit(MSG.ABOVE[1]),
                           F.array_join(F.slice(F.array_sort(F.array_distinct(above)), 1, show_above), ", ")))))
     # the error is computed on the positions as requested (order kept in the
     # message), then the list is replaced by its sorted distinct form

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mutascope.functions import messages as MSG
 from mutascope.functions.numeric import mean6_sql, to_micro_sql
 from mutascope.functions.residues import ALPHABET, MAX_RESIDUES, NON_STANDARD_PATTERN
 from mutascope.operators.score import score
@@ -131,9 +132,9 @@ _ALPHA_CLASS = f"[^{ALPHABET}]"
 
 
 def _sequence_error_sql(seq: str) -> str:
-    return f"""CASE WHEN length({seq}) = 0 THEN 'sequence must not be empty'
-         WHEN length({seq}) > {MAX_RESIDUES} THEN 'sequence length ' || CAST(length({seq}) AS VARCHAR) || ' exceeds the maximum of {MAX_RESIDUES}'
-         WHEN regexp_matches({seq}, '{_ALPHA_CLASS}') THEN 'sequence contains invalid character(s): '
+    return f"""CASE WHEN length({seq}) = 0 THEN '{MSG.EMPTY}'
+         WHEN length({seq}) > {MAX_RESIDUES} THEN CAST(length({seq}) AS VARCHAR) || '{MSG.LONG.format(MAX_RESIDUES)}'
+         WHEN regexp_matches({seq}, '{_ALPHA_CLASS}') THEN '{MSG.LETTERS}'
               || array_to_string(list_sort(list_distinct(regexp_extract_all({seq}, '({_ALPHA_CLASS})', 1))), ', ') END"""
 
 
@@ -151,11 +152,11 @@ planned AS (
   SELECT job_id, seq, CAST(length(seq) AS BIGINT) AS length, top_n,
     CASE WHEN raw_pos IS NOT NULL THEN list_sort(list_distinct(raw_pos)) END AS positions,
     coalesce({_sequence_error_sql('seq')},
-      CASE WHEN top_n < 1 OR top_n > 500 THEN 'top_n must be between 1 and 500; got ' || CAST(top_n AS VARCHAR)
-         WHEN len(list_filter(raw_pos, lambda p: p < 1)) > 0 THEN 'positions must be >= 1; got '
+      CASE WHEN top_n < 1 OR top_n > 500 THEN '{MSG.TOP_N[0]}' || CAST(top_n AS VARCHAR) || '{MSG.TOP_N[1].format(500)}'
+         WHEN len(list_filter(raw_pos, lambda p: p < 1)) > 0 THEN '{MSG.BELOW}'
               || array_to_string(list_filter(raw_pos, lambda p: p < 1)[1:5], ', ')
-         WHEN len(list_filter(raw_pos, lambda p: p > length(seq))) > 0 THEN 'positions out of range for sequence of length '
-              || CAST(length(seq) AS VARCHAR) || ': '
+         WHEN len(list_filter(raw_pos, lambda p: p > length(seq))) > 0 THEN '{MSG.ABOVE[0]}'
+              || CAST(length(seq) AS VARCHAR) || '{MSG.ABOVE[1]}'
               || array_to_string(list_sort(list_distinct(list_filter(raw_pos, lambda p: p > length(seq))))[1:10], ', ')
       END) AS error
   FROM req),
@@ -245,11 +246,10 @@ _SCORE_VIEWS = {
               CASE WHEN i % 397 = 0 THEN piece || 'X' ELSE regexp_replace(piece, '{_ALPHA_CLASS}', '', 'g') END AS seq FROM win) t""",
     "proteins": "SELECT id AS design_name, seq AS full_sequence FROM items",
     "st": MUTANTS_CTE["st"], "st2": MUTANTS_CTE["st2"],
-    "bad": f"""SELECT batch_id, CASE WHEN any_value(size) > {MAX_BATCH} THEN 'batch of ' || CAST(any_value(size) AS VARCHAR)
-          || ' sequences exceeds the maximum of {MAX_BATCH}'
+    "bad": f"""SELECT batch_id, CASE WHEN any_value(size) > {MAX_BATCH} THEN CAST(any_value(size) AS VARCHAR) || '{MSG.MANY_ITEMS.format(MAX_BATCH)}'
         ELSE 'item ' || CAST(min(idx) FILTER (WHERE error IS NOT NULL) AS VARCHAR) || ': ' || arg_min(error, idx) FILTER (WHERE error IS NOT NULL) END AS batch_error
       FROM items GROUP BY batch_id HAVING any_value(size) > {MAX_BATCH} OR count(error) > 0
-      UNION ALL SELECT DISTINCT 'e' || CAST(CAST(floor(doc_id / 16) AS BIGINT) AS VARCHAR), 'batch must contain at least 1 sequence'
+      UNION ALL SELECT DISTINCT 'e' || CAST(CAST(floor(doc_id / 16) AS BIGINT) AS VARCHAR), '{MSG.NO_ITEMS}'
       FROM win WHERE CAST(floor(doc_id / 16) AS BIGINT) % 10 = 0""",
 }
 SQL_SCORE_REQUESTS = f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mutascope.functions import messages as MSG
 from mutascope.functions.heads import default_head
 from mutascope.functions.numeric import mean6_sql, to_micro_sql
 from mutascope.functions.residues import ALPHABET, FEATURE_NAMES, MAX_RESIDUES, sequence_features
@@ -55,10 +56,9 @@ WITH raw AS (
          {strip_upper_sql("regexp_replace(text, '[^A-Za-z ]', '', 'g')")} AS seq
   FROM documents)
 SELECT design_name, CAST(length(seq) AS BIGINT) AS length,
-  CASE WHEN length(seq) = 0 THEN 'sequence must not be empty'
-       WHEN length(seq) > {MAX_RESIDUES} THEN 'sequence length ' || CAST(length(seq) AS VARCHAR)
-            || ' exceeds the maximum of {MAX_RESIDUES}'
-       WHEN regexp_matches(seq, '{_ALPHA_CLASS}') THEN 'sequence contains invalid character(s): '
+  CASE WHEN length(seq) = 0 THEN '{MSG.EMPTY}'
+       WHEN length(seq) > {MAX_RESIDUES} THEN CAST(length(seq) AS VARCHAR) || '{MSG.LONG.format(MAX_RESIDUES)}'
+       WHEN regexp_matches(seq, '{_ALPHA_CLASS}') THEN '{MSG.LETTERS}'
             || array_to_string(list_sort(list_distinct(regexp_extract_all(seq, '({_ALPHA_CLASS})', 1))), ', ')
   END AS error,
   length(seq) > 500 AS is_long
@@ -119,8 +119,8 @@ SELECT design_name, spec,
   CASE WHEN bad IS NULL THEN CAST(len(list_distinct(flatten(
          list_transform(parsed, lambda x: CASE WHEN greatest(x.a, 1) <= least(x.b, len)
               THEN generate_series(greatest(x.a, 1), least(x.b, len)) ELSE [] END)))) AS BIGINT) ELSE 0 END AS n_positions,
-  CASE WHEN bad IS NOT NULL THEN (CASE WHEN strpos(bad, '-') > 0 THEN 'invalid position range: '''
-                                       ELSE 'invalid position: ''' END) || bad || '''' END AS error
+  CASE WHEN bad IS NOT NULL THEN (CASE WHEN strpos(bad, '-') > 0 THEN '{MSG.BAD_RANGE}'
+                                       ELSE '{MSG.BAD_POSITION}' END) || bad END AS error
 FROM (
   SELECT *, (list_filter(list_transform(parsed, lambda x: CASE WHEN x.a IS NULL OR x.b IS NULL THEN x.t END),
                          lambda y: y IS NOT NULL))[1] AS bad
@@ -136,7 +136,7 @@ FROM (
         list_filter(list_transform(string_split(spec, ','), lambda t: regexp_replace(t, '^\s+|\s+$', '', 'g')),
                     lambda t: t <> '') AS toks
       FROM (SELECT design_name, full_sequence, SPEC_EXPR AS spec FROM proteins) s0) s1) s2) s3
-""".replace("SPEC_EXPR", _spec_sql("doc_id")))
+""".replace("SPEC_EXPR", _spec_sql("doc_id")).replace("{MSG.BAD_RANGE}", MSG.BAD_RANGE).replace("{MSG.BAD_POSITION}", MSG.BAD_POSITION))
 
 
 # ---------------------------------------------------------------------------

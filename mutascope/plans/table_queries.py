@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mutascope.functions import messages as MSG
 from mutascope.functions.residues import MAX_RESIDUES
 from mutascope.operators import prep as P
 from mutascope.operators import split as SP
@@ -278,8 +279,7 @@ SQL_OVERLENGTH = with_views(f"""
 SELECT design_name, CAST(length(full_sequence) AS BIGINT) AS length,
   CAST(length(substr(full_sequence, 1, {MAX_RESIDUES})) AS BIGINT) AS truncated_length,
   length(full_sequence) <= {MAX_RESIDUES} AS kept,
-  CASE WHEN length(full_sequence) > {MAX_RESIDUES} THEN 'sequence length ' || CAST(length(full_sequence) AS VARCHAR)
-       || ' exceeds the maximum of {MAX_RESIDUES}' END AS error
+  CASE WHEN length(full_sequence) > {MAX_RESIDUES} THEN CAST(length(full_sequence) AS VARCHAR) || '{MSG.LONG.format(MAX_RESIDUES)}' END AS error
 FROM proteins""")
 
 

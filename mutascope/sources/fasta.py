@@ -53,7 +53,7 @@ def read_fasta(spark: SparkSession, path: str | list[str], upper_case: bool = Fa
     out = tagged.where(keep).select(
         F.try_element_at(tokens, F.lit(1)).alias("protein_id"),
         seq.alias("sequence"), "file", "record",
-        F.when(F.size(tokens) == 0, F.lit("FASTA header without an identifier")).alias("error"))
+        F.when(F.size(tokens) == 0, F.lit("record header names no id")).alias("error"))
     return out
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mutascope.functions import messages as MSG
 from mutascope.functions.heads import CompositionHead, default_head
 from mutascope.functions.residues import MAX_RESIDUES
 from mutascope.operators import scan as S
@@ -76,34 +77,18 @@ def answer_scan_requests(planned: DataFrame, head: CompositionHead | None = None
     valid = planned.where(F.col("error").isNull())
     sp = S.scan_positions(valid.select("job_id", "sequence", "positions"), "job_id", "sequence",
                           positions_col="positions", head=head, max_len=MAX_RESIDUES)
-    mut = S.mutations(sp)
-    tops = valid.select(F.col("job_id").alias("protein_id"), "top_n")
-    # the literal limit is a group limit before the shuffle; each request's own limit follows
-    ranked = (S.top_mutations(mut, max_top_n).join(tops, "protein_id")
-                 .where(F.col("rank") <= F.col("top_n")))
-    top = ranked.groupBy("protein_id").agg(F.array_sort(F.collect_list(F.struct(
-        "rank", "position", "wildtype_aa", "mutant_aa", "predicted_mutant", "delta"))).alias("_top"))
-    ps = S.position_summary(sp).groupBy("protein_id").agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.col("mean_delta").alias("avg_delta"), "min_delta", "position", "wildtype_aa",
-            "best_substitution"))).alias("_ps"))
-    doc = valid.select(F.col("job_id").alias("protein_id"), "length", "num_mutations") \
-        .join(top, "protein_id", "left").join(ps, "protein_id", "left")
+    limits = valid.select(F.col("job_id").alias("protein_id"), "top_n")
+    docs = S.scan_documents(sp, max_top_n, limits).select("protein_id", F.col("result").alias("_doc"))
     wt = S.protein_stats(valid.select("job_id", "sequence"), "job_id", "sequence", head) \
         .select("protein_id", F.bround(F.col("wt_score").cast("double"), 6).alias("wildtype_predicted"))
-    doc = doc.join(wt, "protein_id")
+    # a request without positions has an empty document
+    doc = valid.select(F.col("job_id").alias("protein_id"), "length", "num_mutations").join(wt, "protein_id").join(docs, "protein_id", "left")
     result = F.struct(
         F.col("wildtype_predicted").alias("wildtype_predicted"),
         F.col("length").alias("sequence_length"),
         F.col("num_mutations").alias("num_mutations_scanned"),
-        F.transform(F.coalesce("_top", F.array()), lambda t: F.struct(
-            t["position"].alias("position"), t["wildtype_aa"].alias("wildtype_aa"),
-            t["mutant_aa"].alias("mutant_aa"), t["predicted_mutant"].alias("predicted_mutant"),
-            t["delta"].alias("delta"))).alias("top_mutations"),
-        F.transform(F.coalesce("_ps", F.array()), lambda s: F.struct(
-            s["position"].alias("position"), s["wildtype_aa"].alias("wildtype_aa"),
-            s["avg_delta"].alias("avg_delta"),
-            s["best_substitution"].alias("best_substitution"))).alias("position_summary"))
+        F.coalesce("_doc.top_mutations", F.array()).alias("top_mutations"),
+        F.coalesce("_doc.position_summary", F.array()).alias("position_summary"))
     results = doc.select(F.col("protein_id").alias("job_id"), result.alias("result"))
     return (planned.join(results, "job_id", "left")
             .select("job_id", F.when(F.col("error").isNull(), F.lit("done")).otherwise(F.lit("failed"))
@@ -129,9 +114,9 @@ def answer_score_requests(req: DataFrame, head: CompositionHead | None = None,
         F.min_by(F.concat(F.lit("item "), F.col("idx").cast("string"), F.lit(": "), F.col("error")),
                  F.when(F.col("error").isNotNull(), F.col("idx"))).alias("_item_err"),
         F.first("n_items").alias("n_items"))
-    err = (F.when(F.col("n_items") == 0, F.lit("batch must contain at least 1 sequence"))
-           .when(F.col("n_items") > F.lit(max_batch).cast("int"), F.format_string(
-               "batch of %d sequences exceeds the maximum of %d", F.col("n_items"), F.lit(max_batch or 0)))
+    err = (F.when(F.col("n_items") == 0, F.lit(MSG.NO_ITEMS))
+           .when(F.col("n_items") > F.lit(max_batch).cast("int"), F.concat(
+               F.col("n_items").cast("string"), F.lit(MSG.MANY_ITEMS.format(max_batch))))
            .otherwise(F.col("_item_err")))
     batch_err = batch_err.select("batch_id", err.alias("batch_error"))
     ok_items = v.join(batch_err.where(F.col("batch_error").isNull()), "batch_id", "left_semi")

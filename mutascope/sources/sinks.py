@@ -57,7 +57,8 @@ def mutation_bucket(id_col: str, buckets: int = 64) -> F.Column:
 
 
 def write_metrics_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    # a handful of rows, moved to one file after the upstream work has run in parallel
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -28,9 +28,9 @@ def test_request_stream_restart_no_duplicates(spark, tmp_dir):
     assert len(res) == 5 and read_results(spark, out).count() == 5
     assert res["j1"]["status"] == "done" and len(res["j1"]["result"]["top_mutations"]) == 3
     assert res["j1"]["result"]["num_mutations_scanned"] == 6 * 19
-    assert res["j2"]["status"] == "failed" and "invalid character" in res["j2"]["error"]
+    assert res["j2"]["status"] == "failed" and "unknown letters" in res["j2"]["error"]
     assert "top_n" in res["j3"]["error"]
-    assert "out of range" in res["j4"]["error"]
+    assert "beyond the last" in res["j4"]["error"]
     assert res["j5"]["status"] == "done" and res["j5"]["result"]["num_mutations_scanned"] == 0
     batch = RQ.answer_scan_requests(RQ.plan_scan_requests(spark.read.schema(RQ.SCAN_REQUEST_SCHEMA)
                                                           .json(os.path.join(tmp_dir, "in"))))
@@ -44,9 +44,9 @@ def test_score_requests_batches(spark):
     out = RQ.answer_score_requests(df, max_batch=64)
     got = {(r["batch_id"], r["protein_id"]): r for r in out.collect()}
     assert got[("ok", "s0")]["predicted"] is not None and got[("ok", "s1")]["sequence_length"] == 3
-    assert "exceeds the maximum of 64" in got[("big", None)]["batch_error"]
-    assert "invalid character" in got[("bad", None)]["batch_error"]
-    assert "at least 1" in got[("empty", None)]["batch_error"]
+    assert "at most 64 fit" in got[("big", None)]["batch_error"]
+    assert "unknown letters" in got[("bad", None)]["batch_error"]
+    assert "empty" in got[("empty", None)]["batch_error"]
 
 
 def test_scan_fasta_writes_one_folder_per_protein(spark, tmp_dir):
@@ -73,7 +73,7 @@ def test_score_request_stream(spark, tmp_dir):
     score_request_stream(spark, os.path.join(tmp_dir, "in"), out, os.path.join(tmp_dir, "ck")).awaitTermination()
     got = {(r["batch_id"], r["protein_id"]): r for r in read_results(spark, out).collect()}
     assert got[("b1", "b")]["sequence_length"] == 3 and got[("b1", "a")]["predicted"] is not None
-    assert "invalid character" in got[("b2", None)]["batch_error"]
+    assert "unknown letters" in got[("b2", None)]["batch_error"]
 
 
 def test_public_api_smoke(spark, tmp_dir):
@@ -143,4 +143,4 @@ def test_batch_guard_is_a_parameter(spark):
     rows = [("b", [{"id": f"s{i}", "sequence": "MKV"} for i in range(65)])]
     req = spark.createDataFrame(rows, RQ.SCORE_REQUEST_SCHEMA)
     assert RQ.answer_score_requests(req).count() == 65
-    assert "exceeds the maximum of 64" in RQ.answer_score_requests(req, max_batch=64).first()["batch_error"]
+    assert "at most 64 fit" in RQ.answer_score_requests(req, max_batch=64).first()["batch_error"]

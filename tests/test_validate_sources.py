@@ -23,10 +23,10 @@ def test_validate_sequences(spark):
     rows = [("a", "  mkv \n"), ("b", ""), ("c", "A" * 1023), ("d", "MKBXZ"), ("e", "MK V")]
     v = {r["id"]: r for r in validate_sequences(spark.createDataFrame(rows, "id string, s string"), "s").collect()}
     assert v["a"]["error"] is None and v["a"]["sequence"] == "MKV"
-    assert v["b"]["error"] == "sequence must not be empty"
-    assert v["c"]["error"] == "sequence length 1023 exceeds the maximum of 1022"
-    assert v["d"]["error"] == "sequence contains invalid character(s): B, X, Z"
-    assert v["e"]["error"] == "sequence contains invalid character(s):  "
+    assert v["b"]["error"] == "no residues given"
+    assert v["c"]["error"] == "1023 residues; at most 1022 are accepted"
+    assert v["d"]["error"] == "unknown letters: B, X, Z"
+    assert v["e"]["error"] == "unknown letters:  "
 
 
 FASTA = (";comment\npreamble\n>p1 some description\nMKV\nla  \n\n;inner\nGG\n>p2\r\nAC\r\nDE\r\n"
@@ -68,8 +68,8 @@ def test_validate_scan_requests(spark):
     v = {r["id"]: r for r in validate_scan_requests(df).collect()}
     assert v["ok"]["error"] is None and v["ok"]["top_n"] == 20 and v["ok"]["positions"] == [1, 3]
     assert v["ok"]["sequence"] == "MKVL"
-    assert v["top0"]["error"] == "top_n must be between 1 and 500; got 0"
-    assert "got 501" in v["top501"]["error"]
-    assert v["neg"]["error"] == "positions must be >= 1; got 0, -2"
-    assert v["far"]["error"] == "positions out of range for sequence of length 4: 7, 9"
-    assert v["long"]["error"].startswith("sequence length 1023 exceeds")
+    assert v["top0"]["error"] == "top_n 0 is not in 1..500"
+    assert "501 is not in" in v["top501"]["error"]
+    assert v["neg"]["error"] == "positions start at 1, not 0, -2"
+    assert v["far"]["error"] == "beyond the last residue (4): 7, 9"
+    assert v["long"]["error"].startswith("1023 residues")
