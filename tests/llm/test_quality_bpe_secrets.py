@@ -21,8 +21,30 @@ def measured(t):
     return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)]
 
 
-def key(r):
-    return (r["doc_id"] is None, r["doc_id"] or 0, *(str(x) for x in r))
+def brute_kept(rows, r=quality.Rules()):
+    """Per row: kept, from scratch."""
+    m = [measured(t) for _, t, _ in rows]
+    base = [n < r.min_words or 100 * rep > r.max_repeat_percent * n for n, _, _, _, rep in m]
+    some = [b or 100 * sym > r.max_symbol_percent * ch or 100 * dup > r.max_dup_line_per_100_words * n
+            or ch < r.min_word_chars * n or ch > r.max_word_chars * n for b, (n, ch, sym, dup, _) in zip(base, m)]
+    hosts = collections.defaultdict(list)
+    for (_, _, h), f in zip(rows, some):
+        if h is not None:
+            hosts[h].append(f)
+    total = sum(map(len, hosts.values()))
+    mean = sum(sum(v) for v in hosts.values()) / total
+    spread = sum(len(v) * (sum(v) / len(v) - mean) ** 2 for v in hosts.values()) - (len(hosts) - 1) * mean * (1 - mean)
+    room = total - sum(len(v) ** 2 for v in hosts.values()) / total
+    var = spread / room if room > 0 else 0
+    strength = max(mean * (1 - mean) / var - 1, 0) if var > 0 else float("inf")
+    poor = {h for h, v in hosts.items()
+            if (mean if strength == float("inf") else (sum(v) + mean * strength) / (len(v) + strength)) > r.max_rate}
+    return [not b and not (h in poor and f) for b, f, (_, _, h) in zip(base, some, rows)]
+
+
+def test_verdicts_match_brute_force(docs, corpus):
+    got = sorted(str((r.doc_id, r.n_words, r.kept)) for r in quality.quality(docs).collect())
+    assert got == sorted(str((i, measured(t)[0], k)) for (i, t, _), k in zip(corpus, brute_kept(corpus)))
 
 
 def test_quality_counts_match_brute_force(spark, docs, corpus):
