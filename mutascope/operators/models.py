@@ -145,10 +145,14 @@ def _patience_stop(rmse: list[float], patience: int) -> tuple[int, bool]:
 
 def _prefix(model, rounds: int):
     """The model of the first ``rounds`` trees of a fitted one (no refit)."""
-    trees, weights = model._java_obj.trees(), model._java_obj.treeWeights()
-    jvm = SparkContext._active_spark_context._jvm
-    short = jvm.org.apache.spark.ml.regression.GBTRegressionModel(
-        model.uid, jvm.java.util.Arrays.copyOf(trees, rounds), jvm.java.util.Arrays.copyOf(weights, rounds), model.numFeatures)
+    sc = SparkContext._active_spark_context
+    tree_class = sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    trees, weights = sc._gateway.new_array(tree_class, rounds), sc._gateway.new_array(sc._jvm.double, rounds)
+    for k, (tree, weight) in enumerate(zip(model._java_obj.trees(), model.treeWeights)):
+        if k == rounds:
+            break
+        trees[k], weights[k] = tree, float(weight)
+    short = sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(model.uid, trees, weights, model.numFeatures)
     return GBTRegressionModel(model._java_obj.copyValues(short, model._java_obj.extractParamMap()))
 
 

@@ -179,3 +179,18 @@ def test_one_id_in_two_splits_is_embedded_in_both(spark, tmp_dir):
     assert E.embed_job(df.where("split = 'train'"), enc, store, split_col="split")["embedded"] == 2
     assert E.embed_job(df, enc, store, split_col="split")["embedded"] == 1
     assert E.embed_job(df, enc, store, split_col="split")["embedded"] == 0
+
+
+def test_gbt_returns_the_best_prefix_without_a_refit(spark, tmp_dir):
+    """Noise labels: validation stops early, the result is a shorter model that scores, saves and loads."""
+    from pyspark.ml.regression import GBTRegressionModel
+    rng = np.random.default_rng(11)
+    rows = [(list(map(float, rng.normal(size=3))), float(rng.normal()), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "x array<double>, y double, id long")
+    model, best, rmse = MD.fit_gbt(df.where("id < 140"), "x", "y", "id", df.where("id >= 140"), patience=3, maxIter=30, maxDepth=3)
+    assert best < len(rmse) and model.getNumTrees == best and len(model.treeWeights) == best
+    scored = MD.score_model(model, df.where("id >= 140"), "x").collect()
+    assert np.sqrt(np.mean([(r["y"] - r["prediction"]) ** 2 for r in scored])) == pytest.approx(rmse[best - 1], rel=1e-4)
+    model.write().overwrite().save(f"{tmp_dir}/gbt")
+    assert GBTRegressionModel.load(f"{tmp_dir}/gbt").getNumTrees == best
+    assert MD.feature_importances(spark, model, ["a", "b", "c"]).count() == 3
