@@ -275,7 +275,7 @@ def q_gbt_fit(spark, sf):
     data = _emb_split(spark, sf)
     train = data.where(F.col("split") == "train")
     val = data.where(F.col("split") == "val")
-    model, rounds, _ = MD.fit_gbt(train, "embedding", "y", "vec_id", val, patience=20)
+    model, rounds, _ = MD.fit_gbt(train, "embedding", "y", "vec_id", val, patience=20, num_partitions=2)
     # persisted and loaded back
     from pyspark.ml.regression import GBTRegressionModel
     path = scratch_path(spark, "gbt-model")
