@@ -14,8 +14,13 @@
 5. In a crowded region a class may be similar to the group's centre alone and have nearer neighbours in every
    order. So each class is compared once more with the best-linked class of each of its regions, if that is
    in another component, and new links join the components.
+6. What the neighbours and centres of a crowded region still miss is found exactly: classes that stand in a region
+   of more than ``REACH + 1`` are joined on the prefixes of their sets, rarest shingles first, with length and
+   position filters that lose nothing. Pairs of one component are skipped: on each shingle only the classes
+   outside its largest component are paired with the others.
 
-A pair at similarity 0.8 shares a region of some tree with probability 1 - (1 - 0.8**3)**24, over 0.9999999.
+A pair at similarity 0.8 shares a region of some tree with probability 1 - (1 - 0.8**3)**24, over 0.9999999;
+smaller regions are compared whole, larger ones by step 6, so a pair that shares a region is never lost to crowding.
 
 Defined cases: null, empty and word-free texts have no set, link with nothing and are kept; fewer than
 ``width`` words form one shingle; a null doc_id cannot name a component: such rows are kept, with a null
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from mutascope.llm import text as X
 
-TREES, STEP, REACH, REGION = 24, 3, 2, 8192
+TREES, STEP, REACH, REGION = 24, 3, 4, 8192
 CENTRE = 2  # values of a prefix that make the wider regions in which centres are sought
 AGREE = 40  # of 72 signature values: below, similarity 0.8 has a chance under 1e-6, and sets are not compared
 ORDER = 3  # sort columns after the prefix; each holds four signature values
@@ -206,6 +211,56 @@ def centre_candidates(classes: DataFrame, links: DataFrame, labels: DataFrame, r
             .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
 
 
+def crowded(classes: DataFrame, reach: int = REACH) -> DataFrame:
+    """rep of the classes in a region of more than ``reach + 1``: smaller regions are compared whole."""
+    rows = _forest(classes).select("rep", _key(STEP).alias("key"))
+    full = X.written(rows.groupBy("key").count().where(F.col("count") > reach + 1).select("key"), "crowded")
+    return rows.join(X.small(full, HEAVY_BROADCAST), "key", "left_semi").select("rep").distinct()
+
+
+def prefix_candidates(reps: DataFrame, docs: DataFrame, labels: DataFrame, width: int, ratio: int = 80) -> DataFrame:
+    """All pairs (a < b) of the classes ``reps`` in different components that can reach the ratio.
+
+    Shingles are ordered by their frequency among these classes. A set of n needs ceil(ratio * n / 100) common
+    shingles, so similar sets share one of the first n - needed + 1; at the first common one, no more than the rest
+    of the shorter tail can be common. Shingles of one set only join nothing and are counted, not moved.
+    """
+    ids = X.written(reps.select(F.col("rep").alias("doc_id")), "ids")
+    texts = docs.select("doc_id", "text").join(X.small(ids, IDS_BROADCAST), "doc_id", "left_semi")
+
+    def work(part: pa.RecordBatch) -> list:
+        grams, of = shingles(part, width)
+        return [_lists(grams.view(np.int64), np.bincount(of, minlength=part.num_rows), pa.int64())]
+
+    sets = X.map_rows(texts, ["doc_id"], "grams array<long>", lambda: work).where(F.size("grams") > 0)
+    sets = X.written(sets.withColumn("row", F.monotonically_increasing_id()), "grams")
+    each = sets.select("row", F.explode("grams").alias("gram"))
+    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = (each.join(often, "gram").groupBy("row")
+              .agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("shared")))
+    heads = sets.select("row", F.col("doc_id").alias("rep"), F.size("grams").cast("long").alias("n")).join(shared, "row")
+    heads = heads.withColumn("alone", F.col("n") - F.size("shared"))  # they come first in the order
+    keep = (F.size("shared") - F.ceil(ratio * F.col("n") / 100) + 1).cast("int")
+    heads = heads.where(keep > 0).select("rep", "n", "alone", F.posexplode(F.slice("shared", 1, keep)).alias("at", "x"))
+    heads = heads.join(labels, F.col("rep") == F.col("node"), "left").select(
+        F.col("x.gram").alias("gram"), "rep", "n", F.coalesce("component", "rep").alias("component"),
+        (F.col("n") - F.col("alone") - F.col("at")).alias("left"))  # shingles from this one on
+    heads = X.written(heads, "heads")
+    sizes = heads.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("size"))
+    major = sizes.groupBy("gram").agg(F.max(F.struct("size", "component")).alias("x"), F.count(F.lit(1)).alias("parts"))
+    major = X.written(major.where("parts > 1").select("gram", F.col("x.component").alias("major")), "major")
+    open_ = X.written(heads.join(major, "gram"), "open")
+    few = open_.where(F.col("component") != F.col("major")).select(
+        "gram", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "left")])
+    total = F.col("n") + F.col("n2")
+    met = open_.join(few, "gram").where(
+        (F.col("component") != F.col("component2"))
+        & ((F.col("component") == F.col("major")) | (F.col("rep") < F.col("rep2")))
+        & (100 * F.least("n", "n2") >= ratio * F.greatest("n", "n2"))
+        & ((100 + ratio) * F.least("left", "left2") >= ratio * total))
+    return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the edges (a, b).
 
@@ -245,6 +300,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, ratio: int = 80) -> DataFra
     more = X.written(confirmed(again, docs, width, ratio).select("a", "b"), "more")
     if more.take(1):
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    rest = X.written(prefix_candidates(crowded(sized), docs, labels, width, ratio), "rest")
+    last = X.written(confirmed(rest, docs, width, ratio).select("a", "b"), "last")
+    if last.take(1):
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(last))
     named = (classes.join(labels, classes.rep == labels.node, "left")
              .select(*sets, F.coalesce("component", "rep").alias("component_id")))
     out = sk.drop("signature").join(named, sets, "left")

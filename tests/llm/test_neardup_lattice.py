@@ -81,6 +81,48 @@ def test_crowded_regions_are_cut_and_nothing_is_lost(spark, monkeypatch):
     assert got(neardup.near_duplicates(make(spark, rows))) == brute_components(rows)
 
 
+def families(rng, n_bases=12, n_copies=30):
+    """Families of copies that are similar to their own base only, while all bases crowd the same regions."""
+    root, rows = prose(rng, 120).split(), []
+    for _ in range(n_bases):
+        base = list(root)
+        for k in rng.sample(range(4, 116), 4):
+            base[k] = f"b{rng.randrange(10 ** 6)}"
+        rows.append(base)
+        for _ in range(n_copies):
+            w = list(base)
+            for k in rng.sample(range(4, 116), 3):
+                w[k] = f"v{rng.randrange(10 ** 6)}"
+            rows.append(w)
+    rng.shuffle(rows)
+    return [(k, " ".join(w), "s") for k, w in enumerate(rows)]
+
+
+def test_links_of_crowded_regions_are_exact(spark, monkeypatch):
+    """With one neighbour on each side and no centres, links are missed; the join on prefixes finds them all."""
+    near, centre, full = neardup.candidates, neardup.centre_candidates, getattr(neardup, "crowded", None)
+    monkeypatch.setattr(neardup, "candidates", lambda c, **k: near(c, reach=1, **k))
+    monkeypatch.setattr(neardup, "crowded", lambda c: full(c, reach=1), raising=False)
+    monkeypatch.setattr(neardup, "centre_candidates", lambda *a, **k: centre(*a, **k).limit(0))
+    rows = families(random.Random(12))
+    assert got(neardup.near_duplicates(make(spark, rows))) == brute_components(rows)
+
+
+def test_prefix_join_loses_no_pair(spark):
+    """Every similar pair of different components is a candidate, none of one component is."""
+    rows = families(random.Random(13), 3, 12) + [(900 + k, t, "s") for k, t in enumerate(["a b c d e", "a b c d e f", "a b", "", None])]
+    docs = make(spark, rows)
+    sets = {i: shingle_set(t, 4) for i, t, _ in rows}
+    similar = {(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    reps = docs.selectExpr("doc_id as rep")
+    none = spark.createDataFrame([], "node long, component long")
+    assert similar and similar <= {tuple(r) for r in neardup.prefix_candidates(reps, docs, none, 4).collect()}
+    label = {i: i // 5 * 5 for i in sets}
+    labels = spark.createDataFrame(list(label.items()), "node long, component long")
+    pairs = {tuple(r) for r in neardup.prefix_candidates(reps, docs, labels, 4).collect()}
+    assert {(a, b) for a, b in similar if label[a] != label[b]} <= pairs and all(label[a] != label[b] for a, b in pairs)
+
+
 def test_candidate_count_is_linear_in_a_group(spark):
     rng = random.Random(4)
     base = prose(rng, 100).split()
