@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 METRICS_SCHEMA = T.StructType([
@@ -20,9 +21,9 @@ def read_descriptor_csv(spark: SparkSession, path: str, schema: T.StructType | N
     """Header CSV of per-design descriptors.
 
     With a schema the read is typed and single-pass. Without one, types are
-    inferred from the first ``sample_rows`` lines (one small job) and the file is
-    read once with them; a later value that does not fit its column is NULL, as
-    unparseable text is after ``safe_cast``.
+    inferred from the first ``sample_rows`` lines (one small job). A longer file
+    is then parsed once to count the rows that do not fit them; if there are any,
+    types are inferred from every row, so a column is widened and no value is lost.
     """
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if schema is None:
@@ -32,9 +33,19 @@ def read_descriptor_csv(spark: SparkSession, path: str, schema: T.StructType | N
         sample = lines[:1] + [x for x in lines[1:] if x != lines[0]]
         schema = spark.read.option("header", True).option("inferSchema", True).csv(
             spark.sparkContext.parallelize(sample, 1)).schema
+        if len(lines) == sample_rows and _misfits(spark, path, schema):
+            schema = spark.read.option("header", True).option("inferSchema", True).csv(path).schema
     return reader.schema(schema).csv(path)
 
 
+def _misfits(spark: SparkSession, path: str, schema: T.StructType) -> int:
+    """Rows with a value that ``schema`` cannot hold; every column is parsed, as unread ones are not checked."""
+    mark = "_misfit_record"
+    rows = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", mark)
+            .schema(T.StructType([*schema.fields, T.StructField(mark, T.StringType())])).csv(path))
+    return rows.agg(F.count(mark).alias("n"), *[F.count(f"`{c}`") for c in schema.names]).first().n
+
+
 def read_metrics_csv(spark: SparkSession, path: str, extra: T.StructType | None = None) -> DataFrame:
     """Metric table ``model,R2,RMSE,MAE,Pearson_r,Spearman_rho`` [+ extra columns]."""
     schema = METRICS_SCHEMA

@@ -73,3 +73,17 @@ def test_validate_scan_requests(spark):
     assert v["neg"]["error"] == "positions start at 1, not 0, -2"
     assert v["far"]["error"] == "beyond the last residue (4): 7, 9"
     assert v["long"]["error"].startswith("1023 residues")
+
+
+def test_csv_values_after_the_sample_are_widened(spark, tmp_path):
+    """Whole numbers in the sample, then a decimal and a text: no value becomes NULL."""
+    from mutascope.sources.tables import read_descriptor_csv
+    lines = ["id,a,b,c"] + [f"r{i},{i},{i},{i}" for i in range(50)] + ["late,0.5,n/a,7", "none,,,"]
+    (tmp_path / "long.csv").write_text("\n".join(lines) + "\n")
+    df = read_descriptor_csv(spark, str(tmp_path / "long.csv"), sample_rows=10)
+    assert dict(df.dtypes) == {"id": "string", "a": "double", "b": "string", "c": "int"}
+    rows = {r.id: r for r in df.collect()}
+    assert len(rows) == 52 and (rows["late"].a, rows["late"].b, rows["late"].c) == (0.5, "n/a", 7)
+    assert rows["r3"].b == "3" and rows["none"].a is None
+    (tmp_path / "fits.csv").write_text("\n".join(lines[:50]) + "\n")
+    assert dict(read_descriptor_csv(spark, str(tmp_path / "fits.csv"), sample_rows=10).dtypes)["b"] == "int"
