@@ -1,6 +1,7 @@
 """Licence notices by an exact set-similarity join of text blocks with notice templates.
 
-A block is a line; blocks and templates are sets of words. A block meets a template of size s if it
+A block is a line, or the words around the end of a line (``reach`` on each side, blank lines skipped), so that
+a notice wrapped over lines stands in one block; blocks and templates are sets of words. A block meets a template of size s if it
 contains at least ``ceil(threshold * s)`` of its words. Words are ordered by their frequency over all
 documents, rarest first. The join uses three filters that lose nothing: a block must hold a word of the
 template's prefix (its s - needed + 1 rarest words), at least ``needed`` template words in all (length), and
@@ -57,6 +58,28 @@ def lower_words(c: Column) -> Column:
     return F.filter(F.split(plain, BREAK), lambda w: w != "")
 
 
+def reach(templates=TEMPLATES, threshold: float = THRESHOLD) -> int:
+    """Words that a notice may span: the longest template, with room for words put in."""
+    return math.ceil(max(len(t.split()) for _, t in templates) / threshold - 1e-9)
+
+
+def _joined(lines: Column) -> Column:
+    """All words, each line that has some closed by a line end (which no word holds)."""
+    return F.flatten(F.transform(F.filter(lines, lambda ws: F.size(ws) > 0), lambda ws: F.concat(ws, F.array(F.lit("\n")))))
+
+
+def _around_ends(words: Column, known: Column, width: int) -> Column:
+    """Template words around each line end of a ``_joined`` column: a run of ``width`` words over line ends is whole in
+    the block of its first."""
+    def block(e: Column) -> Column:
+        before = F.slice(words, F.greatest(e - width, F.lit(0)) + 1, F.least(e, F.lit(width)))
+        after = F.slice(F.array_remove(F.slice(words, e + 2, 2 * width), "\n"), 1, width)
+        return F.array_intersect(F.concat(before, after), known)
+
+    ends = F.filter(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.get(words, i) == "\n")
+    return F.when(F.size(words) > 1, F.transform(ends, block)).otherwise(F.array().cast("array<array<string>>"))
+
+
 def _starts(words: Column, phrase: str) -> Column:
     parts = phrase.split()
 
@@ -77,8 +100,10 @@ def read_texts(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOL
     least = min(_needed(len(set(t.split())), threshold) for _, t in templates)
     known = F.array(*[F.lit(w) for w in vocab])
     df = docs.select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lower_words).alias("lines"))
+    df = df.select("doc_id", "lines", _joined(F.col("lines")).alias("joined"))  # a column, so lambdas do not build it again
     df = df.select("doc_id", F.flatten("lines").alias("words"),
-                   F.transform("lines", lambda ws: F.array_intersect(ws, known)).alias("hits"))
+                   F.concat(F.transform("lines", lambda ws: F.array_intersect(ws, known)),
+                            _around_ends(F.col("joined"), known, reach(templates, threshold))).alias("hits"))
     places = [_starts(F.col("words"), p).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)]
     df = df.select("doc_id", F.size("words").cast("long").alias("n_words"), "hits", *places)
     every = F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))])

@@ -139,6 +139,20 @@ def test_licences_match_brute_force(spark, corpus, no_docs):
     assert licenses.scan(no_docs).collect() == []
 
 
+WRAPPED = {
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation",
+    "bsd": "Copyright holders\n\n# Redistribution and use in source and binary forms, with or without\r\n#\n# modification, are permitted provided that",
+    "mpl-2": "/* This Source\n * Code Form\n * is subject\n * to the\n * terms of\n * the Mozilla\n * Public License,\n * v. 2.0. */"}
+
+
+def test_notices_wrapped_over_lines(spark):
+    rows = [(i, "some words first\n" + t, "s") for i, t in enumerate(WRAPPED.values())]
+    apart = "\n".join(f"{w} " + " ".join(f"x{k}" for k in range(40)) for w in dict(licenses.TEMPLATES)["bsd"].split())
+    out = {r.doc_id: (r.labels, r.score) for r in licenses.scan(make(spark, [*rows, (9, apart, "s"), (10, "\n\n", "s")])).collect()}
+    assert [out[i][0] for i in range(3)] == list(WRAPPED) and all(out[i][1] > 0.8 for i in range(3))
+    assert out[9] == out[10] == ("", 0.0)
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.65, 1.0])
 def test_filters_lose_no_block(spark, threshold):
     import random
