@@ -134,10 +134,91 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
 from d left join t on d.rid = t.rid"""
 
 
+def archived() -> str:
+    """Base32 of the digest: five hexadecimal digits are four letters."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    return f"""
+with p as (select page_id, encode(coalesce(html, '')) as raw from pages),
+d as (select page_id, octet_length(raw)::bigint as payload_bytes, sha1(raw) as hex from p),
+w as (select hex, max(page_id) as last from d group by hex),
+b as (select hex, last, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, (5 * i + 1)::int, 5))::int) as fives from w),
+e as (select hex, last, array_to_string(list_transform(range(0, 32), lambda j:
+             substr('{letters}', (1 + ((fives[1 + j // 4] >> (15 - 5 * (j % 4))::int) & 31))::int, 1)), '') as payload_digest from b)
+select page_id, payload_bytes, payload_digest, case when page_id is distinct from last then 'revisit' else 'response' end as record_type,
+       case when page_id is distinct from last then last end as refers_to
+from d join e using (hex)"""
+
+
+def filter_audit() -> str:
+    """Every order applied to every document's failures, without the lattice."""
+    letters = "values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)"
+    names = ("a", "b", "c", "d", "e")
+    tables = ", ".join(f"l {n}" for n in names)
+    apart = " and ".join(f"{x}.f <> {y}.f" for i, x in enumerate(names) for y in names[i + 1:])
+    return rf"""
+with w as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_SPACE}') as ws,
+                  min(doc_id) over (partition by coalesce(text, '')) as first from documents),
+m as (select doc_id, part, (len(ws) < 100)::int + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::int
+             + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::int
+             + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int as mask from w),
+q as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+s as (select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic
+      from m left join q using (doc_id) group by all),
+l(f, bit) as ({letters}),
+o as (select a.f || b.f || c.f || d.f || e.f as filter_order from {tables} where {apart}),
+k as (select filter_order, unnest(range(1, 6))::int as step from o),
+x as (select filter_order, step, bit, list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))) as before
+      from k join l on f = filter_order[step]),
+r as (select part, filter_order, step, bit, coalesce(before, 0)::int as before from x, (select distinct part from s) p),
+z as (select r.part, filter_order, step, bit,
+             sum(n) filter (mask & (before + bit) = 0) as kept, sum(n) filter (mask & bit > 0 and mask & before = 0) as removed,
+             sum(n) filter (mask & bit > 0 and mask & before > 0) as redundant, sum(n) filter (mask = bit) as unique_fails,
+             sum(good) filter (mask & bit > 0 and mask & before = 0) as good_lost,
+             sum(toxic) filter (mask & bit > 0 and mask & before = 0) as toxic_lost
+      from s join r on s.part = r.part group by all)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+       coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+       coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+       (sum(coalesce(removed, 0)) over (partition by part, bit))::bigint as shapley
+from z"""
+
+
+def spelling(min_length: int = 6, min_count: int = 5, every: int = 199, ratio: int = 5) -> str:
+    """Checksums by half bytes; near words by letters left out; forms followed recursively."""
+    table = []
+    for v in range(16):
+        for _ in range(4):
+            v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
+        table.append(v)
+    return rf"""
+with recursive r as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents),
+u as (select id, {_low('run')} as run, count(*) as c from r where length(run) >= {min_length} group by all),
+h as (select run, c, hex(encode(id || ':' || run)) as x from u),
+k as (select run, c, xor(list_reduce(list_concat([4294967295::ubigint], list_transform(range(0, length(x)),
+             lambda i: (strpos('0123456789ABCDEF', x[1 + xor(i, 1)]) - 1)::ubigint)),
+             lambda a, v: xor(a >> 4, ({table}::ubigint[])[(1 + (xor(a, v) & 15))::bigint])), 4294967295::ubigint)::bigint as h from h),
+t as (select c, case when h % {every} = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word from k),
+w as (select word, sum(c)::bigint as n from t where length(word) >= {min_length} group by word having sum(c) >= {min_count}),
+d as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select *, unnest(range(1, length(word) + 1)) as i from w)),
+p as (select x.word as a, y.word as b, y.n as n from d x join d y on x.rest = y.rest and x.i = y.i and x.word <> y.word
+      union select x.word, y.word, y.n from d x join w y on x.rest = y.word
+      union select y.word, x.word, x.n from d x join w y on x.rest = y.word),
+g as (select a, count(*) as n_near, max(n) as top from p group by a),
+b as (select p.a, g.n_near, g.top, min(b) as best from p join g on p.a = g.a and p.n = g.top group by all),
+f as (select word, n, coalesce(n_near, 0)::bigint as n_near, case when top >= {ratio} * n then best end as form, case when top >= {ratio} * n then top end as form_n
+      from w left join b on w.word = b.a),
+c as (select word, word as tip, 0 as depth from f union all select c.word, f.form, depth + 1 from c join f on c.tip = f.word where f.form is not null)
+select f.word, f.form, z.root, f.n, f.n_near, f.form_n
+from f join (select word, arg_max(tip, depth) as root from c group by word) z on f.word = z.word"""
+
+
 ORACLES = {
     "op2_quality_rules": quality(),
     "op3_decontamination": contamination(),
     "op7_near_duplicates": near_duplicates(),
     "op8_licences": licences(),
     "op10_secrets": secrets(),
+    "op11_warc": archived(),
+    "op12_filter_audit": filter_audit(),
+    "op13_spelling": spelling(),
 }

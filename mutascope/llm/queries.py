@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mutascope.llm import bpe, decontam, html, lattice, licenses, neardup, pii, quality, secrets, urlrules
+from mutascope.llm import (audit, bpe, decontam, html, lattice, licenses, neardup, pii, quality, secrets, spelling, urlrules,
+                           warc)
 from mutascope.llm.oracles import ORACLES
 from mutascope.llm.text import documents
 
@@ -54,9 +55,21 @@ def op10_secrets(spark, sf_dir):
     return secrets.digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_decontamination, op4_lattice_score, op5_html_text,
-                                   op6_url_filter, op7_near_duplicates, op8_licences, op9_bpe, op10_secrets)}
+def op11_warc(spark, sf_dir):
+    return warc.archived(spark, _table(spark, sf_dir, "pages"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return audit.audit(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
 
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_decontamination, op4_lattice_score, op5_html_text,
+                                   op6_url_filter, op7_near_duplicates, op8_licences, op9_bpe, op10_secrets, op11_warc, op12_filter_audit,
+                                   op13_spelling)}
 
 
 __all__ = ["QUERIES", "ORACLES"]
