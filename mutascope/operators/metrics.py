@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutascope.operators.ordinal import rank_table, with_rank
+from mutascope.operators.ordinal import cut_bucket, cut_points, rank_table, with_rank
 from mutascope.session import materialize
 
 METRIC_COLS = ["R2", "RMSE", "MAE", "Pearson_r", "Spearman_rho"]
@@ -26,10 +26,14 @@ def _guarded_corr(a: str, b: str) -> F.Column:
     """Pearson correlation, NULL when either side is constant.
 
     Written as covariance over the product of deviations: the built-in
-    ``corr`` raises DIVIDE_BY_ZERO under ANSI even when guarded.
+    ``corr`` raises DIVIDE_BY_ZERO under ANSI even when guarded. Constant means
+    min = max: a deviation merged from several tasks need not be exactly zero.
     """
-    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
-    return F.when((sa > 0) & (sb > 0), F.covar_pop(a, b) / (sa * sb))
+    return F.when(_varies(a) & _varies(b), F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
+
+
+def _varies(c: str) -> F.Column:
+    return F.min(c) < F.max(c)
 
 
 def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = (),
@@ -43,17 +47,17 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = (),
     base = df.select(*by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")) \
              .where(F.col("_y").isNotNull() & F.col("_p").isNotNull())
     if spearman:
-        # The rows are read three times (two rank tables, one join): cut them
-        # once so an expensive upstream (model scoring, joins) runs once.
+        # The rows are read several times (two rank tables, their cut points, the
+        # join): cut them once so an expensive upstream (model scoring, joins) runs once.
         base = materialize(base)
-        # both rank tables come from the same rows (not chained), then join
-        ry = rank_table(base, "_y", by, name="_ry")
-        rp = rank_table(base, "_p", by, name="_rp")
-        base = with_rank(materialize(with_rank(base, ry, "_y", by, "_ry")), rp, "_p", by, "_rp")
+        n, cuts = cut_points(base, ["_y", "_p"])
+        for value, name in (("_y", "_ry"), ("_p", "_rp")):
+            base = with_rank(base, rank_table(base, value, by, name, cut_bucket(value, cuts[value])), value, by, name, n=n)
     err = F.col("_p") - F.col("_y")
     aggs = [F.count(F.lit(1)).alias("n"),
             F.sum(err * err).alias("_ss_res"),
             (F.var_pop("_y") * F.count(F.lit(1))).alias("_ss_tot"),
+            _varies("_y").alias("_varies"),
             F.sqrt(F.avg(err * err)).alias("RMSE"),
             F.avg(F.abs(err)).alias("MAE"),
             _guarded_corr("_y", "_p").alias("Pearson_r")]
@@ -62,7 +66,7 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = (),
     else:
         aggs.append(F.lit(None).cast("double").alias("Spearman_rho"))
     g = base.groupBy(*by).agg(*aggs) if by else base.agg(*aggs)
-    r2 = F.when(F.col("_ss_tot") > 0, F.lit(1.0) - F.col("_ss_res") / F.col("_ss_tot")) \
+    r2 = F.when(F.col("_varies"), F.lit(1.0) - F.col("_ss_res") / F.col("_ss_tot")) \
           .when(F.col("_ss_res") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     out = g.select(*by, "n", r2.alias("R2"), "RMSE", "MAE", "Pearson_r", "Spearman_rho")
     if round_to is not None:

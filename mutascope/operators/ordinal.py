@@ -28,21 +28,25 @@ BUCKETS = 64       # ordered buckets per group; raise it with the data
 ACCURACY = 10_000  # of the approximate quantiles that serve as cut points
 
 
-def value_bucket(df: DataFrame, col: str, buckets: int = BUCKETS) -> Column:
-    """Bucket number of ``col``, from cut points read once (``buckets - 1`` numbers).
+def cut_points(df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS) -> tuple[int, dict[str, list[float]]]:
+    """Row count and, per column, at most ``buckets - 1`` approximate quantiles, from one aggregate.
 
-    The cut points are approximate quantiles: their error changes how even the
-    buckets are, never a result.
+    Their error changes how even the buckets are, never a result.
     """
     shares = [k / buckets for k in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), shares, ACCURACY).alias("c")).first().c
-    cuts = sorted({float(c) for c in cuts or [] if c is not None and not math.isnan(c)})
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.col(c).cast("double"), shares, ACCURACY).alias(f"c{i}")
+                                                 for i, c in enumerate(cols)]).first()
+    return row.n, {c: sorted({float(x) for x in row[f"c{i}"] or [] if x is not None and not math.isnan(x)})
+                   for i, c in enumerate(cols)}
+
+
+def cut_bucket(col: str, cuts: Sequence[float]) -> Column:
+    """How many of the cut points are not above the value (-1 for NULL), by bisection over literals."""
     if not cuts:
         return F.lit(0)
     v = F.col(col).cast("double")
 
     def search(lo: int, hi: int) -> Column:
-        """Cut points not above the value, by bisection over literals."""
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
@@ -51,6 +55,11 @@ def value_bucket(df: DataFrame, col: str, buckets: int = BUCKETS) -> Column:
     return F.when(v.isNull(), F.lit(-1)).otherwise(search(0, len(cuts)))
 
 
+def value_bucket(df: DataFrame, col: str, buckets: int = BUCKETS) -> Column:
+    """Bucket number of ``col``, from cut points read once."""
+    return cut_bucket(col, cut_points(df, [col], buckets)[1][col])
+
+
 def hex_bucket(col: str, buckets: int = BUCKETS) -> Column:
     """Bucket number of an evenly spread hexadecimal text (md5), in text order."""
     head = F.conv(F.substring(col, 1, 8), 16, 10).cast("double")
@@ -138,7 +147,8 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str =
     return out
 
 
-def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",
+               bucket: Column | None = None) -> DataFrame:
     """Distinct ``(by..., value)`` with the average rank of ``value`` in its group and its count ``{name}_n``.
 
     Ties share the mean of their positions: rank = values before + (count + 1) / 2,
@@ -146,22 +156,26 @@ def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "r
     """
     by = list(by)
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    ranked = with_prefix_sum(counts, [value], "_cnt", by, name="_below")
+    ranked = with_prefix_sum(counts, [value], "_cnt", by, name="_below", bucket=bucket)
     return ranked.select(*by, value, (F.col("_below") + (F.col("_cnt") + 1) / 2.0).alias(name),
                          F.col("_cnt").alias(f"{name}_n"))
 
 
-def with_rank(df: DataFrame, ranked: DataFrame, value: str, by: Sequence[str], name: str, hot: int = 1000) -> DataFrame:
-    """Rows of ``df`` (read twice: materialise it) with their rank from ``rank_table``.
+def with_rank(df: DataFrame, ranked: DataFrame, value: str, by: Sequence[str], name: str, hot: int = 1000,
+              n: int | None = None) -> DataFrame:
+    """Rows of ``df`` (``n`` of them) with their rank from ``rank_table``.
 
     A (group, value) that holds at least 1/``hot`` of all rows would be a hot
     join key. There are at most ``hot`` of them, so their ranks are broadcast;
-    the others are joined by shuffle.
+    the others are joined by shuffle, where rows that have their rank already
+    are dealt out by a salt and meet nothing.
     """
     keys = [*by, value]
-    n = df.count()
+    n = df.count() if n is None else n
     often = ranked.where(F.col(f"{name}_n") * hot >= n).select(*keys, name)
-    rest = ranked.where(F.col(f"{name}_n") * hot < n).select(*keys, name)
+    rest = ranked.where(F.col(f"{name}_n") * hot < n).select(*keys, F.col(name).alias("_rest"), F.lit(0).alias("_salt"))
     marked = _null_safe(df, F.broadcast(often), keys, "left")
-    return (marked.where(F.col(name).isNotNull())
-            .unionByName(_null_safe(marked.where(F.col(name).isNull()).drop(name), rest, keys)))
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(hot)).cast("int") + 1
+    marked = marked.withColumn("_salt", F.when(F.col(name).isNull(), 0).otherwise(spread))
+    joined = _null_safe(marked, rest, [*keys, "_salt"], "left")
+    return joined.withColumn(name, F.coalesce(name, "_rest")).drop("_rest", "_salt")

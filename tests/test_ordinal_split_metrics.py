@@ -128,3 +128,23 @@ def test_histogram_and_buckets(spark):
     b = {r["bucket"]: r["n"] for r in M.metrics_by_bucket(df, "y", "p", "n").collect()}
     assert b["1000+"] == sum(1 for *_, n in rows if n >= 1000)
     assert all(v >= 10 for v in b.values())
+
+
+def test_constant_columns_have_no_correlation_whatever_the_partitions(spark):
+    """Partial deviations of a constant need not merge to exactly zero."""
+    from mutascope.operators.metrics import compare_models
+    rows = [(m, float(i % 37) / 7, {"constant": 0.25, "large": 30000.5}.get(m, float(i % 5))) for i in range(3000) for m in ("constant", "large", "varied")]
+    df = spark.createDataFrame(rows, "model string, y double, p double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = set()
+    try:
+        for parts in (4, 64, 256):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            out = {r.model: r for r in compare_models(df.repartition(parts), round_to=9).collect()}
+            assert out["constant"].Pearson_r is None and out["constant"].Spearman_rho is None and out["large"].Spearman_rho is None
+            flipped = compare_models(df.where("model <> 'varied'").repartition(parts), y="p", p="y").collect()
+            assert all(r.R2 == 0.0 for r in flipped)
+            seen.add(tuple(out["varied"]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 1
