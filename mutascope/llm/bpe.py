@@ -1,11 +1,10 @@
 """BPE encoding and decoding by speculation and verification.
 
-For every distinct word a greedy longest match over the vocabulary proposes tokens. A proposal is
-the true BPE result exactly if each token is what its own string merges to and each adjacent pair
+For all new distinct words at once a greedy longest match over the vocabulary (one automaton) proposes tokens. A
+proposal is the true BPE result exactly if each token is what its own string merges to and each adjacent pair
 of tokens stays as it is when the two are merged together; a merge that crosses any boundary would
-show in that pair. The pairs of all new words of a slice are tested at once against a sorted table
-of known verdicts; only pairs never seen before, and words with a failing pair, go through the
-exact merge loop.
+show in that pair. All pairs are tested in whole arrays, by undoing the merges at the boundary; only words with a
+failing pair go through exact merging, many words a round.
 
 Normalisation and word splitting follow the tokenizer file: special tokens are cut out of the raw
 text, then NFC, lower case, and the split pattern. Texts with characters above U+024F use the
@@ -33,9 +32,10 @@ from pyspark.sql import DataFrame
 from mutascope.llm import text as X
 
 SHORT, NEVER = 40, 1 << 30
+STOP = "\u0100"  # the end of a word, beyond all byte characters
+GROUP = 20_000  # words proposed and verified at once
 FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 CACHE = 300_000  # words remembered by a Python worker
-PAIRS = 4_000_000  # pair verdicts remembered by a Python worker
 
 
 def vocabulary_file() -> str:
@@ -70,11 +70,8 @@ class Coder:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
         self.bytes = _byte_chars()
-        self.reach: dict[str, int] = {}  # longest token with the same first three characters
-        for token in self.vocab:
-            self.reach[token[:3]] = max(self.reach.get(token[:3], 0), len(token))
         self.token_ok = np.zeros(len(self.names), np.int8)  # 0 unknown, 1 stays, 2 does not
-        self.pairs, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self._tables()
         self.known: dict[str, bytes] = {}  # ids of words seen, as little-endian 32-bit integers
         self.older: dict[str, bytes] = {}  # the generation before
         self.cache = cache
@@ -161,20 +158,49 @@ class Coder:
         return list(token)
 
     # ---- speculation ---------------------------------------------------------------------------
-    def propose(self, symbols: list[str]) -> list[int] | None:
-        """Greedy longest match; None if some symbol is in no token."""
-        vocab, reach, joined, n, at, out = self.vocab, self.reach, "".join(symbols), len(symbols), 0, []
-        size = len(joined)
-        while at < n:
-            for stop in range(min(n, at + max(reach.get(joined[at:at + 3], 2), 1)), at, -1):
-                token = vocab.get(joined[at:size if stop == n else stop])
-                if token is not None:
-                    out.append(token)
-                    at = stop
-                    break
-            else:
-                return None
-        return out
+    def _tables(self) -> None:
+        """Merge tables as arrays over token ids, and one automaton of all tokens. Tokens are written as raw bytes (one
+        character each), the word end as ``STOP``."""
+        import ahocorasick
+        back = {c: chr(b) for b, c in enumerate(self.bytes)}
+
+        def raw(token: str) -> str:
+            body, end = (token[:-len(self.end)], STOP) if token.endswith(self.end) and len(token) > len(self.end) else (token, "")
+            return "".join(back.get(c, "") for c in body) + end
+
+        n = len(self.names)
+        self.size = np.zeros(n, np.int64)  # characters of a token, the word end included
+        self.first = np.full((2, 256), -1, np.int64)  # token of a byte inside a word and at its end
+        self.matcher = ahocorasick.Automaton()
+        for token, i in self.vocab.items():
+            plain = raw(token)
+            self.size[i] = len(plain)
+            self.matcher.add_word(plain, i)
+            if len(plain.rstrip(STOP)) == 1:
+                self.first[int(plain.endswith(STOP)), ord(plain[0])] = i
+        self.matcher.make_automaton()
+        self.rank = np.full(n, -1, np.int64)  # of the merge that makes a token; -1: a single byte
+        self.left, self.right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        made = np.zeros(len(self.ranks), np.int64)
+        codes = np.zeros(len(self.ranks), np.int64)
+        for (x, y), r in self.ranks.items():
+            t = self.vocab[x + y]
+            made[r], codes[r] = t, self.vocab[x] << 32 | self.vocab[y]
+            self.left[t], self.right[t] = self.vocab[x], self.vocab[y]
+            self.token_ok[t] = 2 if self.rank[t] >= 0 else 0  # two merges with one result are left to exact merging
+            self.rank[t] = r
+        self.made = np.append(made, -1)
+        self.order = np.argsort(codes)
+        self.codes = codes[self.order]
+        joined = self.rank >= 0
+        early = joined & ((self.rank[self.left] >= self.rank) | (self.rank[self.right] >= self.rank))
+        self.token_ok[early] = 2
+
+    def _merge_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of two tokens, ``NEVER`` if there is none (or a token is -1)."""
+        code = left << 32 | right
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.codes[at] == code), self.order[at], NEVER)
 
     def _stays(self, tokens: np.ndarray) -> np.ndarray:
         for t in np.unique(tokens[self.token_ok[tokens] == 0]):
@@ -183,48 +209,105 @@ class Coder:
         return self.token_ok[tokens] == 1
 
     def _compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        codes = left.astype(np.int64) << 32 | right
-        asked, back = np.unique(codes, return_inverse=True)
-        if len(self.pairs) > PAIRS:  # forget verdicts, so that memory stays bounded
-            self.pairs, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-        new = asked[~np.isin(asked, self.pairs, assume_unique=True)]
-        if len(new):
-            verdict = np.zeros(len(new), bool)
-            for k, code in enumerate(new.tolist()):
-                a, b = self.names[code >> 32], self.names[code & 0xFFFFFFFF]
-                verdict[k] = self.merge(self._parts(a) + self._parts(b)) == [a, b]
-            pairs, ok = np.concatenate([self.pairs, new]), np.concatenate([self.pair_ok, verdict])
-            order = np.argsort(pairs)
-            self.pairs, self.pair_ok = pairs[order], ok[order]
-        return self.pair_ok[np.searchsorted(self.pairs, asked)][back]
+        """Whether adjacent tokens stay apart when their letters are merged together.
+
+        Merging is undone from the boundary outwards, latest merge first. At each point the two tokens at the
+        boundary would have joined if their merge comes before the one that was undone last: strictly before
+        it on the left, where the tie goes to the pair further left, or not after it on the right.
+        """
+        ok = np.ones(len(left), bool)
+        at, l, r = np.arange(len(left)), left.astype(np.int64), right.astype(np.int64)
+        limit = np.full(len(left), NEVER, np.int64)
+        while len(at):
+            joins = self._merge_rank(l, r) < limit
+            ok[at[joins]] = False
+            a, b = self.rank[l], self.rank[r]
+            go = ~joins & ((a >= 0) | (b >= 0))
+            at, l, r, a, b = at[go], l[go], r[go], a[go], b[go]
+            undo = a > b
+            limit = np.where(undo, a, b + 1)
+            l, r = np.where(undo, self.right[l], l), np.where(undo, r, self.left[r])
+        return ok
+
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest match over all words at once: tokens, the word of each, and per word whether it is covered."""
+        plain = [w if w.isascii() else w.encode("utf-8").decode("latin-1") for w in words]
+        joined = STOP.join(plain) + STOP
+        ends = np.cumsum([len(w) + 1 for w in plain])
+        found = np.array(list(self.matcher.iter_long(joined)), np.int64).reshape(-1, 2)
+        last, tokens = found[:, 0] + 1, found[:, 1]
+        of = np.searchsorted(ends, last)
+        covered = np.bincount(of, self.size[tokens], len(words)) == np.diff(ends, prepend=0)
+        starts = last - self.size[tokens]
+        gap = np.flatnonzero(starts != np.concatenate([[0], last[:-1]]))
+        covered[of[gap]] = False
+        return tokens, of, covered
+
+    # ---- exact merging of many words ---------------------------------------------------------------
+    def merge_all(self, words: list[str]) -> list[np.ndarray]:
+        """``merge`` for many words: every round applies the lowest merge of each word still open."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+        raw = [w.encode("utf-8") for w in words]
+        short = [i for i, w in enumerate(raw) if len(w) <= SHORT]
+        for i in set(range(len(raw))).difference(short):
+            out[i] = np.array([self.vocab[x] for x in self.merge(self.symbols(words[i])) if x in self.vocab], np.int64)
+        if not short:
+            return out
+        sizes = np.array([len(raw[i]) for i in short])
+        inside = np.arange(sizes.max()) < sizes[:, None]
+        sym = np.full(inside.shape, -1, np.int64)
+        sym[inside] = self.first[0, np.frombuffer(b"".join([raw[i] for i in short]), np.uint8)]
+        rows = np.arange(len(short))
+        sym[rows, sizes - 1] = self.first[1, np.array([raw[i][-1] for i in short])]
+        sym = np.concatenate([sym, np.full((len(short), 1), -1)], axis=1)
+        rank = self._merge_rank(sym[:, :-1], sym[:, 1:])
+        while len(rows):
+            at = rank.argmin(1)
+            line = np.arange(len(rows))
+            low = rank[line, at]
+            for k in np.flatnonzero(low == NEVER):
+                out[short[rows[k]]] = sym[k][sym[k] >= 0]
+            go = low < NEVER
+            sym, rank, at, low, rows, line = sym[go], rank[go], at[go], low[go], rows[go], line[:int(go.sum())]
+            if not len(rows):
+                break
+            cols = np.arange(sym.shape[1] - 1)
+            shift = cols + (cols > at[:, None])
+            sym = np.take_along_axis(sym, np.concatenate([shift, np.full((len(rows), 1), sym.shape[1] - 1)], axis=1), 1)
+            sym[line, at] = self.made[low]
+            rank = np.take_along_axis(rank, np.minimum(shift, rank.shape[1] - 1), 1)
+            rank[:, -1] = NEVER
+            rank[line, at] = self._merge_rank(sym[line, at], sym[line, at + 1])
+            before = np.maximum(at - 1, 0)
+            rank[line, before] = np.where(at > 0, self._merge_rank(sym[line, before], sym[line, before + 1]), rank[line, before])
+        return out
 
     def learn(self, words: list[str]) -> None:
         """Encode new distinct words into the cache: propose, verify all pairs at once, repair failures."""
-        plain = [w for w in words if w not in self.special]
-        symbols = [self.symbols(w) for w in plain]
-        proposals = [self.propose(s) for s in symbols]
-        good = [i for i, p in enumerate(proposals) if p is not None]
-        sizes = np.array([len(proposals[i]) for i in good], np.int64)
-        bad = {i for i, p in enumerate(proposals) if p is None}
-        if good:
-            flat = np.concatenate([np.array(proposals[i], np.int64) for i in good])
-            owner = np.repeat(np.array(good), sizes)
-            bad.update(owner[~self._stays(flat)].tolist())
-            inner = owner[:-1] == owner[1:]
-            left, right, of = flat[:-1][inner], flat[1:][inner], owner[:-1][inner]
-            if len(of):
-                bad.update(of[~self._compatible(left, right)].tolist())
-        self.speculated += len(plain)
-        self.failed += len(bad)
-        for i, w in enumerate(plain):
-            ids = proposals[i]
-            if i in bad:
-                ids = [self.vocab[s] for s in self.merge(symbols[i]) if s in self.vocab]
-            self.known[w] = pack(f"<{len(ids)}I", *ids)
+        plain = [w for w in words if w and w not in self.special]
+        for first in range(0, len(plain), GROUP):
+            self._learn(plain[first:first + GROUP])
         for w in words:
             if w in self.special:
                 self.known[w] = pack("<I", self.special[w])
 
+    def _learn(self, words: list[str]) -> None:
+        tokens, of, good = self.propose(words)
+        good[of[~self._stays(tokens)]] = False
+        inner = np.flatnonzero((of[1:] == of[:-1]) & good[of[1:]])
+        good[of[inner[~self._compatible(tokens[inner], tokens[inner + 1])]]] = False
+        ids = tokens.astype("<u4").tobytes()
+        ends = 4 * np.searchsorted(of, np.arange(len(words)), side="right")
+        bad = np.flatnonzero(~good).tolist()
+        self.speculated += len(words)
+        self.failed += len(bad)
+        first = 0
+        for w, last in zip(words, ends.tolist()):
+            self.known[w] = ids[first:last]
+            first = last
+        for i, repaired in zip(bad, self.merge_all([words[i] for i in bad])):
+            self.known[words[i]] = repaired.astype("<u4").tobytes()
+
     def encode_slice(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
         split = [self.split(t) for t in texts]
