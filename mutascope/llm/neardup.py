@@ -7,7 +7,9 @@
    first ``STEP`` values share a region; sorted by the following values, the classes next to one another
    have the longest common prefixes and become candidates (``REACH`` on each side). A region of more than
    ``REGION`` classes is cut by a longer prefix, level by level; what is still larger at the full signature is
-   compared with its smallest class. No region is collected, no region's pairs are enumerated.
+   compared with its smallest class. No region is collected, no region's pairs are enumerated. The forest runs in two
+   rounds: next neighbours first, then, with the components found so far, those further off, where pairs of one
+   component are left out as they are made (such a pair cannot change a component).
 3. Candidates whose signatures agree widely enough are confirmed on the full shingle sets (100 * intersection >= 100 * similarity * union), built
    again from the texts of candidate classes only.
 4. Links become components by alternating large-star and small-star steps with written tables between.
@@ -93,9 +95,9 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return X.map_rows(docs, ["doc_id"], "n_shingles long, f1 long, f2 long, signature array<int>", lambda: work)
 
 
-def _forest(classes: DataFrame) -> DataFrame:
+def _forest(classes: DataFrame, *more: str) -> DataFrame:
     """One row per class and tree."""
-    return classes.select("rep", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    return classes.select("rep", "n", "signature", *more, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
 
 
 def _key(depth: int):
@@ -104,9 +106,26 @@ def _key(depth: int):
     return F.xxhash64("tree", F.slice(ring, F.col("tree") * STEP + 1, depth))
 
 
-def candidates(classes: DataFrame, reach: int = REACH, region: int = REGION, ratio: int = 80) -> DataFrame:
-    """Candidate pairs (a < b) of classes (rep, n, signature), sizes already compatible."""
-    rows = _forest(classes)
+def region_sizes(classes: DataFrame) -> DataFrame:
+    """key and count of the regions of more than two classes."""
+    sizes = _forest(classes).select(_key(STEP).alias("key")).groupBy("key").count()
+    return X.written(sizes.where("count > 2"), "regions")
+
+
+def candidates(classes: DataFrame, reach: int = REACH, region: int = REGION, ratio: int = 80, turn: int = 0,
+               sizes: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs (a < b) of classes (rep, n, signature), sizes already compatible: neighbours up to ``reach`` places
+    on, in turn 1 the next ones only, in turn 2 the others. Pairs of one ``component`` are left out where the
+    classes have such a column. ``sizes``: ``region_sizes`` of the classes, where known."""
+    hops = {0: range(1, reach + 1), 1: range(1, 2), 2: range(2, reach + 1)}[turn]
+    if "component" not in classes.columns:
+        classes = classes.withColumn("component", F.col("rep"))
+    if not hops:
+        return classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    sizes = region_sizes(classes) if sizes is None else sizes
+    rows = _forest(classes, "component")
+    if hops[0] > 1:  # a region of two has first neighbours only
+        rows = rows.withColumn("key", _key(STEP)).join(X.small(sizes.select("key"), HEAVY_BROADCAST), "key", "left_semi")
 
     def following(depth: int, k: int):
         """Values 4k to 4k+3 after the prefix (16 bits of each), packed into one sortable number."""
@@ -121,33 +140,33 @@ def candidates(classes: DataFrame, reach: int = REACH, region: int = REGION, rat
         here = rows
         if parents is not None:
             here = here.withColumn("parent", _key(DEPTHS[level - 1])).join(parents, "parent", "left_semi")
-        here = here.select("rep", "n", "tree", "signature", _key(depth).alias("key"))
-        heavy = X.written(here.groupBy("key").count().where(F.col("count") > region).select("key"), "regions")
+        here = here.select("rep", "n", "component", "tree", "signature", _key(depth).alias("key"))
+        heavy = (sizes if level == 0 else here.groupBy("key").count()).where(F.col("count") > region).select("key")
+        heavy = X.written(heavy, "heavy")
         any_heavy = bool(heavy.take(1))
         light = here
         if any_heavy:
             heavy = X.small(heavy, HEAVY_BROADCAST)
             light = here.join(heavy, "key", "left_anti")
         sort = [f"o{k}" for k in range(ORDER)]
-        light = light.select("key", *[following(depth, k).alias(o) for k, o in enumerate(sort)], "rep", "n")
+        light = light.select("key", *[following(depth, k).alias(o) for k, o in enumerate(sort)], "rep", "n", "component")
         order = Window.partitionBy("key").orderBy(*sort, "rep")
-        near = light.select("rep", "n", *[F.lead(F.struct(F.col("rep").alias("other"), F.col("n").alias("m")), k)
-                                          .over(order).alias(f"next{k}") for k in range(1, reach + 1)])
-        found.append(near.select("rep", "n", F.explode(F.array(*[f"next{k}" for k in range(1, reach + 1)])).alias("x"))
-                     .where("x is not null").select("rep", "n", "x.other", "x.m"))
+        ahead = F.struct(F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("far"))
+        near = light.select("rep", "n", "component", *[F.lead(ahead, k).over(order).alias(f"next{k}") for k in hops])
+        found.append(near.select("rep", "n", "component", F.explode(F.array(*[f"next{k}" for k in hops])).alias("x"))
+                     .where("x is not null").select("rep", "n", "component", "x.other", "x.m", "x.far"))
         if not any_heavy:
             break
-        if level == len(DEPTHS) - 1:
+        if level == len(DEPTHS) - 1 and hops[0] == 1:
             rest = here.join(heavy, "key", "left_semi")
-            first = rest.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("x"))
-            found.append(rest.join(first, "key").select("rep", "n", F.col("x.rep").alias("other"), F.col("x.n").alias("m")))
-        parents = heavy.select(F.col("key").alias("parent"))
-        if any_heavy:
-            parents = X.small(parents, HEAVY_BROADCAST)
+            first = rest.groupBy("key").agg(F.min(F.struct("rep", "n", "component")).alias("x"))
+            found.append(rest.join(first, "key").select("rep", "n", "component", F.col("x.rep").alias("other"),
+                                                        F.col("x.n").alias("m"), F.col("x.component").alias("far")))
+        parents = X.small(heavy.select(F.col("key").alias("parent")), HEAVY_BROADCAST)
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)
-    return (pairs.where((F.col("rep") != F.col("other")) & (100 * F.least("n", "m") >= ratio * F.greatest("n", "m")))
+    return (pairs.where((F.col("component") != F.col("far")) & (100 * F.least("n", "m") >= ratio * F.greatest("n", "m")))
             .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
 
 
@@ -195,12 +214,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, ratio: int = 80) ->
             .where(100 * F.col("common") >= ratio * F.col("total")))
 
 
+def placed(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``classes`` with their component so far."""
+    return classes.select("rep", "n", "signature").join(labels, F.col("rep") == F.col("node"), "left").select(
+        "rep", "n", "signature", F.coalesce("component", "rep").alias("component"))
+
+
 def centre_candidates(classes: DataFrame, links: DataFrame, labels: DataFrame, ratio: int = 80) -> DataFrame:
     """Pairs (a < b) of a class and the best-linked class of one of its regions, in different components."""
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-    known = classes.join(labels, classes.rep == labels.node, "left").select(
-        "rep", "n", "signature", F.coalesce("component", "rep").alias("component"))
-    known = X.written(known.join(ends, "rep", "left"), "centres")
+    known = X.written(placed(classes, labels).join(ends, "rep", "left"), "centres")
     rows = known.select("rep", "n", "signature", "component", "degree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     rows = rows.select("rep", "n", "component", "degree", _key(CENTRE).alias("key"))
     centres = (rows.where("degree is not null").groupBy("key")
@@ -292,18 +315,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, ratio: int = 80) -> DataFra
     linked = sk.where("n_shingles > 0 and doc_id is not null")
     sets = ["f1", "f2", "n_shingles"]
     classes = X.written(linked.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    sized = classes.select("rep", F.col("n_shingles").alias("n"), "signature")
-    pairs = X.written(promising(candidates(sized, ratio=ratio), sized), "pairs")
-    links = X.written(confirmed(pairs, docs, width, ratio).select("a", "b"), "links")
+    sized = classes.select("rep", F.col("n_shingles").alias("n"), "signature", F.col("rep").alias("component"))
+    regions = region_sizes(sized)
+
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        return X.written(confirmed(X.written(pairs, name), docs, width, ratio).select("a", "b"), f"{name}-links")
+
+    def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+        if not more.take(1):
+            return labels
+        return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+    links = links_of(promising(candidates(sized, ratio=ratio, turn=1, sizes=regions), sized), "next")
     labels = components(links)
-    again = X.written(promising(centre_candidates(sized, links, labels, ratio), sized), "again")
-    more = X.written(confirmed(again, docs, width, ratio).select("a", "b"), "more")
-    if more.take(1):
-        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    rest = X.written(prefix_candidates(crowded(sized), docs, labels, width, ratio), "rest")
-    last = X.written(confirmed(rest, docs, width, ratio).select("a", "b"), "last")
-    if last.take(1):
-        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(last))
+    wider = candidates(placed(sized, labels), ratio=ratio, turn=2, sizes=regions)
+    more = links_of(promising(wider, sized), "wider")
+    labels, links = joined(labels, more), links.union(more)
+    labels = joined(labels, links_of(promising(centre_candidates(sized, links, labels, ratio), sized), "centre"))
+    labels = joined(labels, links_of(prefix_candidates(crowded(sized), docs, labels, width, ratio), "rest"))
     named = (classes.join(labels, classes.rep == labels.node, "left")
              .select(*sets, F.coalesce("component", "rep").alias("component_id")))
     out = sk.drop("signature").join(named, sets, "left")
@@ -313,6 +342,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, ratio: int = 80) -> DataFra
 
 
 def keep_one(docs: DataFrame, width: int = 5, ratio: int = 80) -> DataFrame:
-    """One document of each group (the smallest id), with all columns."""
-    gone = near_duplicates(docs, width, ratio).where("not kept").select("doc_id")
-    return docs.join(X.written(gone, "copies"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group (the smallest id), with all columns. A document is an id with a text: where an id stands
+    on several texts, each is judged by itself; repeated rows of a document stay or go together. Rows without an id stay."""
+    rows, back = X.hidden(docs, "doc_id", "text")
+    rows = rows.withColumn("_text", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.coalesce("text", F.lit("")))))
+    named = rows.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_text")).alias("doc_id"), "text")
+    gone = near_duplicates(named, width, ratio).where("not kept").select(
+        F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._text").alias("_gone")).distinct()
+    gone = X.written(gone, "copies")
+    return rows.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_gone")), "left_anti").select(*back)

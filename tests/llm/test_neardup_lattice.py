@@ -136,6 +136,31 @@ def test_candidate_count_is_linear_in_a_group(spark):
     assert pairs <= 60 * neardup.REACH * neardup.TREES and pairs < 60 * 59 // 2 + 1
 
 
+def test_second_round_leaves_out_pairs_of_one_component(spark):
+    """Ten neighbours far below all pairs of a group of 400, and none of them inside a component already found."""
+    rng = random.Random(5)
+    base = prose(rng, 500).split()
+    rows = []
+    for k in range(400):
+        w = list(base)
+        w[k] = f"u{k}"
+        rows.append((k, " ".join(w), "s"))
+    sk = neardup.X.written(neardup.sketches(make(spark, rows), 4).selectExpr("doc_id as rep", "n_shingles as n", "signature"), "t")
+    first, second = (neardup.candidates(sk, turn=t) for t in (1, 2))
+    assert first.count() <= 400 * neardup.TREES < 400 * 399 // 2 > second.count()
+    assert neardup.candidates(sk.selectExpr("*", "0L as component"), turn=2).count() == 0
+    halves = neardup.candidates(sk.selectExpr("*", "rep % 2 as component"), turn=2).collect()
+    assert halves and all((r.a - r.b) % 2 for r in halves)
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a, "s"), (5, a, "s"), (5, b, "s"), (6, b, "s"), (7, c, "s"), (7, c, "s"), (8, c, "s"), (None, a, "s"), (None, a, "s")]
+    kept = sorted(((r.doc_id, r.text) for r in neardup.keep_one(make(spark, rows)).collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (7, c), (7, c), (None, a), (None, a)], key=str)
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs just at or above 0.8 are all found."""
     rng = random.Random(8)
