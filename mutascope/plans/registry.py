@@ -10,6 +10,7 @@ _MODULES = [
     "mutascope.plans.eval_queries",
     "mutascope.plans.io_queries",
     "mutascope.plans.model_queries",
+    "mutascope.plans.boost_queries",
 ]
 
 
