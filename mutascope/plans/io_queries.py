@@ -19,6 +19,8 @@ from mutascope.session import scratch_path
 from mutascope.sources import requests as RQ
 from mutascope.sources.fasta import read_fasta, write_fasta
 from mutascope.sources.sinks import write_predictions_csv
+from mutascope.sources.requests import read_scan_requests
+from mutascope.streaming.jobs import job_log_stream, read_jobs
 from mutascope.streaming.requests import read_results, scan_request_stream, score_request_stream
 
 _CLEAN_SQL = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
@@ -279,6 +281,25 @@ def q_score_requests_stream(spark, sf):
     return read_results(spark, f"{base}/out").drop("finished_at", "epoch", "run").withColumn("idx", F.col("idx").cast("long"))
 
 
+def q_job_log(spark, sf):
+    """The 256 latest scan requests with their status, kept by the stateful log from request files and result rows."""
+    base = scratch_path(spark, "job-log")
+    req = scan_requests_from_documents(spark, sf)
+    req.write.json(f"{base}/in")
+    planned = RQ.plan_scan_requests(read_scan_requests(spark, f"{base}/in"))
+    planned.select("job_id", F.when(F.col("error").isNull(), F.lit("done")).otherwise(F.lit("failed")).alias("status"), "submitted_at",
+                   F.current_timestamp().alias("finished_at"), "error").write.parquet(f"{base}/out")
+    job_log_stream(spark, f"{base}/in", f"{base}/out", f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    jobs = read_jobs(spark, f"{base}/log")
+    return jobs.select("job_id", "status", "error", (F.unix_timestamp("submitted_at") - 1704067200).alias("submitted"))
+
+
+SQL_JOB_LOG = f"""
+WITH {_REQUESTS_CTE}
+SELECT c.job_id, CASE WHEN c.error IS NULL THEN 'done' ELSE 'failed' END AS status, c.error, CAST(r.i AS BIGINT) AS submitted
+FROM counted c JOIN req r ON r.job_id = c.job_id ORDER BY r.i DESC, c.job_id DESC LIMIT {RQ.RETAIN_JOBS}"""
+
+
 def q_job_retention(spark, sf):
     ev = table(spark, sf, "events").select(F.col("event_id").alias("job_id"),
                                            F.col("ts").alias("submitted_at"), "event_type")
@@ -300,6 +321,7 @@ QUERIES = {
     "score_requests": q_score_requests,
     "requests_stream": q_requests_stream,
     "score_requests_stream": q_score_requests_stream,
+    "job_log": q_job_log,
     "job_retention": q_job_retention,
 }
 
@@ -313,6 +335,7 @@ ORACLES = {
     "score_requests": SQL_SCORE_REQUESTS,
     "requests_stream": SQL_SCAN_RESULT,
     "score_requests_stream": SQL_SCORE_REQUESTS,
+    "job_log": SQL_JOB_LOG,
     "job_retention": SQL_JOB_RETENTION,
 }
 

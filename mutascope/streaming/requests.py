@@ -1,11 +1,13 @@
 """Request streams: scan and score requests arriving as JSON files.
 
 Each micro-batch is validated and answered as a table (see
-``mutascope.sources.requests``). Jobs that already have a stored result are not
-answered again, whichever stream or epoch answered them, and results are written
+``mutascope.sources.requests``). Keyed state remembers the jobs seen, so none is
+answered twice and an epoch never reads the results stored before it; a new
+checkpoint starts from the jobs that have a stored result. Results are written
 to ``out_dir/run=<name of the checkpoint>/epoch=<id>`` with overwrite: a replayed
 epoch rewrites its own folder, and a stream with a new checkpoint on the same
-``out_dir`` leaves finished results alone. Polling a job = reading that table.
+``out_dir`` leaves finished results alone. Polling a job = reading that table, or
+the bounded log of ``mutascope.streaming.jobs``.
 The checkpoint location makes restarts resume where they stopped.
 """
 
@@ -22,30 +24,30 @@ from mutascope.sources.requests import (
     SCAN_REQUEST_SCHEMA, SCORE_REQUEST_SCHEMA, answer_scan_requests, answer_score_requests,
     plan_scan_requests,
 )
+from mutascope.session import materialize
+from mutascope.streaming.jobs import first_requests
 
 
-def _stored(spark: SparkSession, out_dir: str, key: str, run: str, epoch: int) -> DataFrame | None:
-    """Keys answered outside this run's epoch; None if there are no results yet."""
+def _answered(spark: SparkSession, out_dir: str, key: str) -> DataFrame | None:
+    """Keys with a stored result; None if there are no results yet."""
     try:
-        found = spark.read.parquet(out_dir)
+        return spark.read.parquet(out_dir).select(key).distinct()
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
-    own = (F.col("run").cast("string") == run) & (F.col("epoch") == epoch)
-    return found.where(~own).select(key).distinct()
 
 
 def _run(stream: DataFrame, handle, key: str, out_dir: str, checkpoint: str, available_now: bool):
     run = "r" + hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+    fresh = first_requests(stream, key, _answered(stream.sparkSession, out_dir, key))
 
     def process(batch: DataFrame, epoch_id: int) -> None:
-        done = _stored(batch.sparkSession, out_dir, key, run, epoch_id)
-        fresh = batch if done is None else batch.join(done, key, "left_anti").select(*batch.columns)
-        out = handle(fresh).withColumn("finished_at", F.current_timestamp())
+        # an answer reads its requests several times: they are written once per epoch
+        out = handle(materialize(batch)).withColumn("finished_at", F.current_timestamp())
         out.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/run={run}/epoch={epoch_id}")
 
-    w = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    w = fresh.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
