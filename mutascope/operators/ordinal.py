@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 64       # ordered buckets per group; raise it with the data
 ACCURACY = 10_000  # of the approximate quantiles that serve as cut points
+DIRECT = 50_000    # rows whose values may reach the driver in a selection
+GRID = 500         # cells a bracket is cut into
 
 
 def cut_points(df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS) -> tuple[int, dict[str, list[float]]]:
@@ -117,33 +119,82 @@ def rank_targets(n: int, qs: Sequence[float], method: str) -> dict[float, list[i
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str = "linear") -> dict[float, float | None]:
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str = "linear",
+                    more: Sequence[Column] = ()) -> dict:
     """Exact quantiles of a column (NULLs ignored): ``linear`` or ``nearest``.
 
-    Works on distinct values and counts, so a frequent value is one row. Only
-    the 1-2 values per quantile reach the driver.
+    Selection in narrow passes, without a shuffle of values or a window. The first pass counts the rows and brackets
+    every quantile by a sketch (error at most ``1 / ACCURACY``); while the brackets hold more than ``DIRECT`` rows, a
+    pass counts them exactly and brackets again inside; the last one counts the distinct values inside and the rows between
+    the brackets. At most ``DIRECT`` rows' values reach the driver, ties as one. ``more`` aggregates over the same
+    rows come with the first pass, under the key of their place.
     """
-    counts = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(
-        F.count(F.lit(1)).alias("_cnt"))
-    n = counts.agg(F.sum("_cnt").alias("n")).first().n or 0
-    if n == 0:
-        return {q: None for q in qs}
-    targets = rank_targets(n, qs, method)
+    rows = df.where(F.col(col).isNotNull())
+    v, off, ends = F.col(col), 2.0 / ACCURACY, [f"_m{i}" for i in range(len(more))]
+    shares = sorted({min(max(q + d, 0.0), 1.0) for q in qs for d in (-off, off)})
+    first = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(v, shares, ACCURACY).alias("c"),
+                     *[m.alias(e) for m, e in zip(more, ends)]).first()
+    out = {i: first[e] for i, e in enumerate(ends)}
+    if not first.n:
+        return out | {q: None for q in qs}
+    targets = rank_targets(first.n, qs, method)
     wanted = sorted({r for rs in targets.values() for r in rs})
-    placed = with_prefix_sum(counts, ["_v"], "_cnt", name="_below")
-    hit = F.lit(False)
-    for r in wanted:
-        hit = hit | ((F.col("_below") <= r) & (F.col("_below") + F.col("_cnt") > r))
-    found = placed.where(hit).select("_v", "_below", "_cnt").collect()
-    at = {r: row["_v"] for r in wanted for row in found if row["_below"] <= r < row["_below"] + row["_cnt"]}
-    out = {}
+    at = dict(zip(shares, first.c))
+    brackets = _merged([(at[min(max(q - off, 0.0), 1.0)], at[min(max(q + off, 0.0), 1.0)]) for q in qs])
+    expected = 2 * off * first.n * len(brackets)
+    while expected > DIRECT:
+        grid = [k / GRID for k in range(GRID + 1)]
+        inside = [v.between(F.lit(lo), F.lit(hi)) for lo, hi in brackets]
+        row = rows.agg(*[x for i, (lo, _) in enumerate(brackets) for x in (
+            F.count_if(v < F.lit(lo)).alias(f"b{i}"), F.count_if(inside[i]).alias(f"n{i}"),
+            F.percentile_approx(F.when(inside[i], v), grid, ACCURACY).alias(f"g{i}"))]).first()
+        tighter, expected = [], 0
+        for i, (lo, hi) in enumerate(brackets):
+            below, held, cells = row[f"b{i}"], row[f"n{i}"], row[f"g{i}"]
+            for r in wanted:
+                if below <= r < below + held:
+                    share = (r - below) / held
+                    place = (max(math.floor((share - off) * GRID), 0), min(math.ceil((share + off) * GRID), GRID))
+                    tighter.append((cells[place[0]], cells[place[1]]))
+                    expected += 0 if cells[place[0]] == cells[place[1]] else held * (place[1] - place[0]) / GRID
+        if len(tighter) < len(wanted) or _merged(tighter) == brackets:
+            break
+        brackets = _merged(tighter)
+    found = _selected(rows, v, brackets, wanted)
+    if len(found) < len(wanted):  # beyond the sketch's promise: count all distinct values
+        found = _selected(rows, v, [(rows.agg(F.min(v)).first()[0], rows.agg(F.max(v)).first()[0])], wanted)
     for q in qs:
-        if method == "nearest":
-            out[q] = at[targets[q][0]]
+        lo, hi = found[targets[q][0]], found[targets[q][-1]]
+        h = (first.n - 1) * q
+        out[q] = lo if method == "nearest" else lo + (h - math.floor(h)) * (hi - lo)
+    return out
+
+
+def _merged(brackets: list[tuple]) -> list[tuple]:
+    """Disjoint ascending brackets with the same cover."""
+    out: list[tuple] = []
+    for lo, hi in sorted(brackets):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
-            h = (n - 1) * q
-            lo, hi = at[int(math.floor(h))], at[int(math.ceil(h))]
-            out[q] = lo + (h - math.floor(h)) * (hi - lo)
+            out.append((lo, hi))
+    return out
+
+
+def _selected(rows: DataFrame, v: Column, brackets: list[tuple], wanted: list[int]) -> dict:
+    """The values at the 0-based ranks that lie in a bracket: one aggregate over (gap or bracket, value)."""
+    gap, value = F.lit(0), F.lit(None)
+    for lo, hi in brackets:
+        gap = gap + F.when(v > F.lit(hi), 1).otherwise(0)
+        value = F.when(v.between(F.lit(lo), F.lit(hi)), v).otherwise(value)
+    counts = rows.groupBy(gap.alias("gap"), value.alias("value")).agg(F.count(F.lit(1)).alias("n")).collect()
+    out, before, ranks = {}, 0, list(wanted)
+    for r in sorted(counts, key=lambda r: (r["gap"], r["value"] is not None, r["value"] if r["value"] is not None else 0)):
+        while ranks and ranks[0] < before + r["n"]:
+            if r["value"] is not None:
+                out[ranks[0]] = r["value"]
+            ranks.pop(0)
+        before += r["n"]
     return out
 
 

@@ -115,30 +115,29 @@ def describe_numeric(df: DataFrame, col: str, quantile: str = "nearest",
                      qs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """n, mean, sample std, population std, min, quantiles, max of non-NULL values.
 
-    Quantiles are exact order statistics found with the global ordinal
-    helper (one range shuffle of one column), not a buffer of all values.
+    Quantiles are exact order statistics from a selection in a few narrow passes,
+    the first of which gives the moments too.
     """
     from mutascope.operators.ordinal import exact_quantiles
 
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    moments = vals.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"),
-                       F.stddev_samp("v").alias("std"), F.stddev_pop("v").alias("std_pop"),
-                       F.min("v").alias("min"), F.max("v").alias("max"))
-    qv = exact_quantiles(vals, "v", qs, method=quantile)
-    cols = [F.lit(qv[q]).cast("double").alias(f"p{int(round(q * 100))}") for q in qs]
-    return moments.select("n", "mean", "std", "std_pop", "min", *cols, "max")
+    v = F.col(col).cast("double")
+    names = ["n", "mean", "std", "std_pop", "min", "max"]
+    got = exact_quantiles(df.select(v.alias("v")), "v", qs, method=quantile, more=[
+        F.count("v"), F.avg("v"), F.stddev_samp("v"), F.stddev_pop("v"), F.min("v"), F.max("v")])
+    row = dict(zip(names, (got[i] for i in range(len(names)))))
+    ps = [f"p{int(round(q * 100))}" for q in qs]
+    schema = ", ".join(["n long", *[f"{c} double" for c in ("mean", "std", "std_pop", "min", *ps, "max")]])
+    return df.sparkSession.createDataFrame([(row["n"], row["mean"], row["std"], row["std_pop"], row["min"], *[got[q] for q in qs], row["max"])], schema)
 
 
 def length_summary(df: DataFrame, length_col: str) -> DataFrame:
-    """min, max, mean and (interpolated) median of a length column.
-
-    The median comes from the distinct lengths and their counts, not from a
-    buffer of values."""
+    """min, max, mean and (interpolated) median of a length column, from two passes over it."""
     from mutascope.operators.ordinal import exact_quantiles
 
-    median = exact_quantiles(df, length_col, (0.5,))[0.5]
-    return df.agg(F.min(length_col).alias("min"), F.max(length_col).alias("max"), F.avg(length_col).alias("mean")) \
-        .withColumn("median", F.lit(median).cast("double"))
+    got = exact_quantiles(df, length_col, (0.5,), more=[F.min(length_col), F.max(length_col), F.avg(length_col)])
+    kind = df.schema[length_col].dataType.simpleString()
+    median = None if got[0.5] is None else float(got[0.5])
+    return df.sparkSession.createDataFrame([(got[0], got[1], got[2], median)], f"min {kind}, max {kind}, mean double, median double")
 
 
 def round_cols(df: DataFrame, cols: Sequence[str], scale: int) -> DataFrame:

@@ -148,3 +148,39 @@ def test_constant_columns_have_no_correlation_whatever_the_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(seen) == 1
+
+
+@pytest.mark.parametrize("direct", [10, 50_000])
+def test_selection_in_several_passes_is_exact(spark, monkeypatch, direct):
+    """Ties, long tails, integers and few rows; with a small bound the brackets are narrowed first."""
+    from mutascope.operators import ordinal
+    monkeypatch.setattr(ordinal, "DIRECT", direct)
+    rng = random.Random(2)
+    lists = [[rng.choice([0, 1, 2, 2, 2]) for _ in range(900)], [rng.lognormvariate(0, 4) for _ in range(3000)],
+             [rng.randint(-10**15, 10**15) for _ in range(2000)], [7], [1, 9], []]
+    for values in lists:
+        kind = "double" if any(isinstance(x, float) for x in values) else "long"
+        df = spark.createDataFrame([(x,) for x in [*values, None]], f"v {kind}").repartition(5)
+        got = exact_quantiles(df, "v", (0.0, 0.25, 0.5, 0.77, 1.0), more=[F.sum("v")])
+        near = exact_quantiles(df, "v", (0.25, 0.5), method="nearest")
+        if not values:
+            assert got == {0: None, 0.0: None, 0.25: None, 0.5: None, 0.77: None, 1.0: None} or got[0.5] is None
+            continue
+        s = np.sort(np.array(values, float))
+        for q in (0.25, 0.5, 0.77):
+            assert got[q] == pytest.approx(np.quantile(s, q), rel=1e-12)
+        assert near[0.25] == s[int(math.floor((len(s) - 1) * 0.25 + 0.5))]
+
+
+def test_split_equals_the_order_by_hash_and_moves_no_rows(spark):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 97 / 7.0).alias("y"), F.lit("payload" * 5).alias("text")).repartition(3)
+    out = stratified_split(df, "y", "id")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().split("+- Exchange RoundRobin")[0]
+    order = Window.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit("42|"), F.col("id").cast("string"))), "id")
+    rows = out.withColumn("r", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("stratum")))
+    want = (F.when(F.col("r") <= F.floor(F.col("n") * 0.8), "train")
+            .when(F.col("r") <= F.floor(F.col("n") * 0.8) + F.floor(F.col("n") * 0.1), "val").otherwise("test"))
+    assert rows.where(want != F.col("split")).count() == 0 and rows.select("stratum").distinct().count() == 4
+    tiny = stratified_split(df.where("id < 3"), "y", "id").collect()
+    assert len(tiny) == 3 and all(r.split == "test" for r in tiny)
+    assert stratified_split(df.where("id < 0"), "y", "id", edges=[1.0, 2.0, 3.0]).collect() == []
