@@ -415,7 +415,7 @@ def top_positions_additive(df: DataFrame, id_col: str = "protein_id", seq_col: s
     """
     head = head or default_head()
     keys = ["protein_id", "wildtype_aa", "in_window"]
-    groups = scan_groups(df, id_col, seq_col, None, head, max_len, chunk, partitions).withColumn("_s", _summarise(F.col("mutants")))
+    groups = scan_groups(df, id_col, seq_col, None, head, max_len, chunk, partitions, deal=True).withColumn("_s", _summarise(F.col("mutants")))
     groups = groups.select(*keys, "n", *[F.col(f"_s.{c}").alias(c) for c in
                                          ("mean_delta", "min_delta", "max_delta", "n_beneficial", "best_substitution")])
     upto = Window.partitionBy("protein_id").orderBy("mean_delta", "min_delta").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -475,7 +475,7 @@ def _positions_for_groups(df, id_col, seq_col, positions_col, head, max_len, chu
 def scan_groups(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
                 positions_col: str | None = None, head: CompositionHead | None = None,
                 max_len: int = MAX_RESIDUES, chunk: int = 4096,
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, deal: bool = False) -> DataFrame:
     """Positions per (protein, wild-type residue, inside/outside the model window),
     each with that group's mutant list. Every mutant of the scan belongs to
     exactly one group and has the group's delta, so group rows x ``n`` are an
@@ -484,6 +484,8 @@ def scan_groups(df: DataFrame, id_col: str = "protein_id", seq_col: str = "seque
     A full scan counts letters on the sequence itself: the 20 residues by
     ``length - length(replace)``, other letters from what remains without them. No
     row per residue is made, and only records with other letters aggregate those.
+    ``deal`` deals the groups (at most 42 short rows a protein) out by protein before the mutant lists are built, so that these
+    do not hang on how few tasks the scan has; what is grouped by protein later needs no other exchange.
     """
     head = head or default_head()
     if positions_col is not None:
@@ -509,6 +511,8 @@ def scan_groups(df: DataFrame, id_col: str = "protein_id", seq_col: str = "seque
 
     every = F.filter(F.concat("_known", letters("_oi", True), letters("_oo", False)), lambda g: g["n"] > 0)
     groups = listed.select(*_STATS, F.explode(every).alias("_g")).select(*_STATS, "_g.wildtype_aa", "_g.in_window", "_g.n")
+    if deal:
+        groups = groups.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "protein_id")
     return _row_mutants(groups, head)
 
 
@@ -524,7 +528,7 @@ def mutant_classes(df: DataFrame, id_col: str = "protein_id", seq_col: str = "se
                    head: CompositionHead | None = None, **kw) -> DataFrame:
     """Per protein and (wild type, mutant) pair over the whole mutation table:
     count, min/max delta, exact micro-unit delta sum, beneficial count."""
-    g = _group_mutant_rows(scan_groups(df, id_col, seq_col, head=head, **kw))
+    g = _group_mutant_rows(scan_groups(df, id_col, seq_col, head=head, deal=True, **kw))
     u = to_micro(F.col("delta"))
     return g.groupBy("protein_id", "wildtype_aa", "mutant_aa").agg(
         F.sum("n").alias("n"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"),
@@ -535,7 +539,7 @@ def mutant_classes(df: DataFrame, id_col: str = "protein_id", seq_col: str = "se
 def residue_summary_additive(df: DataFrame, id_col: str = "protein_id", seq_col: str = "sequence",
                              head: CompositionHead | None = None, **kw) -> DataFrame:
     """``residue_summary`` of the full scan, from the group form (same result)."""
-    g = _group_mutant_rows(scan_groups(df, id_col, seq_col, head=head, **kw))
+    g = _group_mutant_rows(scan_groups(df, id_col, seq_col, head=head, deal=True, **kw))
     per_value = (g.withColumn("_u", to_micro(F.col("delta")))
                  .groupBy("protein_id", "mutant_aa", "_u").agg(F.sum("n").alias("_n")))
     return _residue_summary_from_counts(per_value, "protein_id")
@@ -559,7 +563,7 @@ def top_mutations_additive(df: DataFrame, id_col: str = "protein_id", seq_col: s
     head = head or default_head()
     rows = _positions_for_groups(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions)
     keys = ["protein_id", "wildtype_aa", "in_window"]
-    groups = scan_groups(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions)
+    groups = scan_groups(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions, deal=True)
     pairs = groups.select(*keys, "n", "predicted_wildtype", F.explode_outer("mutants").alias("m")) \
         .select(*keys, "n", "predicted_wildtype", F.col("m.mutant_aa").alias("mutant_aa"),
                 F.col("m.predicted_mutant").alias("predicted_mutant"), F.col("m.delta").alias("delta"))
