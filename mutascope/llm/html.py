@@ -1,10 +1,11 @@
 """Main text of raw web pages by two-pass block rules.
 
 The markup is read once, tag by tag, into blocks (paragraphs, headings, list items, cells) with their
-length, link characters and place in the page. Pass 1 decides by stop-word density, length and link
-density; blocks in menus, footers, sidebars, adverts, notices, forms and reader comments are decided against.
-Pass 2 gives each ambiguous short block the label of its nearest decided neighbours.
-Unclosed tags, truncated pages and broken references are tolerated.
+length, link characters and place in the page. Pass 1 decides by stop-word density, length and link density; on a page whose language no list covers,
+length and sentence marks stand in for the density. Blocks in menus, footers, sidebars, adverts, notices, forms
+and reader comments are decided against. On a page with an ``article`` or ``main`` element the other blocks
+are decided against, and inside it a block that only its words speak against is ambiguous. Pass 2 gives each ambiguous block the label of its nearest
+decided neighbours. Unclosed tags, truncated pages and broken references are tolerated.
 
 Defined cases: null and empty pages give empty text; pages of any length are read whole; rows are
 independent, so repeated rows give repeated results and an empty table an empty result.
@@ -54,6 +55,8 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[^a-z]+")
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u061f\u06d4\u0964][\"')\]\u201d\u00bb\u300d]*\Z")
+_NOTICE = re.compile(r"(?:\u00a9|\(c\)|copyright\b|all rights reserved)", re.I)
 
 
 def _hinted(attributes: str) -> bool:
@@ -149,45 +152,64 @@ def stop_density(text: str) -> float:
     return sum(w in STOP for w in found) / len(found) if found else 0.0
 
 
-def _decide(b: Block, has_main: bool) -> str:
+def _decide(b: Block, density: float, known: bool, has_main: bool) -> str:
     """Pass 1: ``good``, ``bad``, or empty for ambiguous."""
     size = len(b.text)
     if b.zone == "out" or has_main and b.zone != "main" or b.links > LINK_HIGH * size:
         return "bad"
     if size < LENGTH_LOW:
-        return ""
-    density = stop_density(b.text)
-    if density >= STOP_HIGH:
-        return "good"
-    return "" if density >= STOP_LOW or b.zone == "main" else "bad"
+        label = "bad" if _NOTICE.match(b.text) else ""
+    elif not known:  # no list fits the page's language: length and sentence marks stand in
+        label = "good" if _SENTENCE.search(b.text) else ""
+    else:
+        label = "good" if density >= STOP_HIGH else "" if density >= STOP_LOW or _SENTENCE.search(b.text) else "bad"
+    return "" if b.zone == "main" and label == "bad" else label
 
 
 def classify(found: list[Block]) -> list[Block]:
-    """Label every block: decided ones by their own figures, ambiguous ones by their neighbours."""
+    """Label every block: decided ones by their own figures, ambiguous ones by their neighbours.
+
+    Votes come from blocks decided by their text (inside the article element, if there is one, from blocks
+    in it only), and from the page's ends, which count as bad and lie one block further off. A heading goes with what follows it.
+    """
     has_main = any(b.zone == "main" for b in found)
-    for b in found:
-        b.label = _decide(b, has_main)
-    zone = [i for i, b in enumerate(found) if not has_main or b.zone == "main"]
-    decided = [(i, found[i].label) for i in zone if found[i].label]
+    density = [stop_density(b.text) if b.zone != "out" and len(b.text) >= LENGTH_LOW and b.links <= LINK_HIGH * len(b.text) else 0.0
+               for b in found]
+    long = [(len(b.text), d) for b, d in zip(found, density)
+            if b.zone != "out" and len(b.text) >= LENGTH_LOW and b.links <= LINK_HIGH * len(b.text)]
+    known = sum(n * d for n, d in long) >= STOP_LOW * sum(n for n, _ in long)
+    for b, d in zip(found, density):
+        b.label = _decide(b, d, known, has_main)
+    _inherit([b for b in found if b.zone == "main"], False, False)
+    _inherit([b for b in found if b.zone == "other"], found[:1] and found[0].zone == "other", found[-1:] and found[-1].zone == "other")
+    return found
+
+
+def _inherit(part: list[Block], starts: bool, stops: bool) -> None:
+    """Pass 2 over the blocks of one zone; ``starts`` and ``stops`` say that no menu or footer element stands before or after it."""
+    decided = [(i, b.label) for i, b in enumerate(part) if b.label]
+    if decided or part and part[0].zone == "main":
+        decided = [(-2, "bad")] * bool(starts) + decided + [(len(part) + 1, "bad")] * bool(stops)
+    else:  # nothing but short blocks: sentences speak for themselves
+        decided = [(i, "good" if _SENTENCE.search(b.text) else "bad") for i, b in enumerate(part) if not b.heading]
+        for i, label in decided:
+            part[i].label = label
     at = 0
-    for i in zone:
-        b = found[i]
+    for i, b in enumerate(part):
         while at < len(decided) and decided[at][0] < i:
             at += 1
         if b.label:
             continue
         left = decided[at - 1] if at else None
         right = decided[at] if at < len(decided) else None
-        if left is None and right is None:
-            b.label = "good" if has_main else "bad"
-        elif left is None or right is None:
-            b.label = (left or right)[1]
-        elif left[1] == right[1]:
-            b.label = left[1]
+        if left is None or right is None:
+            b.label = (left or right or (0, "good" if b.zone == "main" else "bad"))[1]
+        elif left[1] == right[1] or b.heading:
+            b.label = right[1]
         else:
             near = (i - left[0]) - (right[0] - i)
-            b.label = left[1] if near < 0 else right[1] if near > 0 or b.heading else "good" if has_main else "bad"
-    return found
+            tie = "good" if b.zone == "main" or _SENTENCE.search(b.text) else "bad"
+            b.label = left[1] if near < 0 else right[1] if near > 0 else tie
 
 
 def main_text(page: str | None) -> str:

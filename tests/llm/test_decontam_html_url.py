@@ -122,6 +122,48 @@ def test_every_synthetic_page_gives_its_article(spark):
         assert html.main_text(r.html) == want
 
 
+def agreement(change):
+    """Share of the given pages whose text is the article's, after ``change`` to the markup."""
+    from html import unescape
+
+    import pyarrow.parquet as pq
+    good, pages = 0, pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()
+    for page in pages:
+        page = re.sub(r"<(script|style)\b.*?</\1>", "", page, flags=re.S)
+        want = " ".join(unescape(re.sub(r"<[^>]*(>|\Z)", " ", change(re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)[1]))).split())
+        good += html.main_text(change(page)) == want
+    return good / len(pages)
+
+
+def unnamed(page):
+    return re.sub(r"<(/?)article>", r"<\1div>", page)
+
+
+def ciphered(page):
+    """Every letter of the text replaced: a language that no stop-word list knows."""
+    def letters(m):
+        if m[0][0] in "<&":
+            return m[0]
+        return "".join(chr(0x430 + ord(c.lower()) * 7 % 32) if c.isalpha() else c for c in m[0])
+    return re.sub(r"<[^>]*>?|&[a-z]+;|[^<&]+", letters, page)
+
+
+def test_rules_decide_without_the_article_element():
+    assert agreement(unnamed) >= 0.95
+
+
+def test_language_without_a_list():
+    assert agreement(ciphered) >= 0.99
+    assert agreement(lambda page: unnamed(ciphered(page))) >= 0.95
+
+
+def test_link_lists_in_an_article_and_prose_beside_it():
+    links = "<ul>" + "<li><a href=x>Another story of the day that is to be read by all of them in the morning hours</a></li>" * 4 + "</ul>"
+    page = f"<body><div>{LONG}</div><div>{LONG}</div><article><p>{LONG}</p>{links}<h2>Line</h2><p>{LONG}</p><p>Short end.</p></article><div>{LONG}</div></body>"
+    assert html.main_text(page) == f"{LONG} Line {LONG} Short end."
+    assert html.main_text(f"<body><p>{LONG}</p><p>\u00a9 2020 the owner</p></body>") == LONG
+
+
 # ---- URLs ----------------------------------------------------------------------------------------------
 def ruled(url):
     if url is None or "://" not in url:
