@@ -1,11 +1,13 @@
 """Benchmark decontamination with one Aho-Corasick automaton over word sequences.
 
 Benchmark items and documents are normalised alike (A-Z to a-z, words of ASCII letters, digits and
-non-ASCII characters). Every window of ``width`` words of an item (or the whole item, if shorter) is a
-pattern. The automaton's symbols are the digits of word numbers, each digit place with an alphabet of its
-own, so that matches begin and end at words, no state has over ``RADIX`` successors, and the size follows
-the benchmark's words, not its letters. A run of words outside the benchmark is one reset symbol. Each document is scanned once; a pattern that ends at word i covers words i-len+1..i, and
-word numbers lead back to code points of the original text.
+non-ASCII characters). A window is ``width`` words of an item (or the whole item, if shorter). Every window of a long
+item holds one of the item's blocks of half a window that start at multiples of their length, so the automaton's
+patterns are those blocks and the short items: a tenth of the states that all windows would take. Its symbols are
+the digits of word numbers, each digit place with an alphabet of its own, so that matches begin and end at words
+and no state has over ``RADIX`` successors. A run of words outside the benchmark is one reset symbol. Each document is
+scanned once; the windows around a block found in it are looked up by fingerprint in the sorted table of all windows,
+and word numbers lead back to code points of the original text. Windows, their items and the lookups are NumPy arrays.
 
 The benchmark is read in shards of at most ``shard_bytes`` of text. One shard (the usual case) means one
 automaton and one pass; a larger benchmark adds one mapping step per shard in the same stage, each
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from mutascope.llm import text as X
 
 WIDTH = 10
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 RADIX = 64
 
 
@@ -39,32 +41,74 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return X.fingerprints(raw, starts, ends, X.LOWER), doc, starts, ends
 
 
+def _spread(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... below each of ``counts``, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 class Automaton:
-    """Patterns of one benchmark shard. Word number 0 is any word outside the shard."""
+    """Blocks, short items and windows of one benchmark shard. Word number 0 is any word outside the shard."""
 
     def __init__(self, items: list[tuple[str, str | None]], width: int = WIDTH):
+        self.width, self.block = width, (width + 1) // 2
+        self.names, owner_name = np.unique(np.array([i for i, _ in items], object), return_inverse=True)
         h, doc, _, _ = _words(pa.array([t for _, t in items], pa.string()))
         self.vocab = np.unique(h)
         ids = np.searchsorted(self.vocab, h) + 1
         self.places = 1
         while RADIX ** self.places <= len(self.vocab):
             self.places += 1
-        self.patterns: list[tuple[int, set[str]]] = []
+        counts = np.bincount(doc, minlength=len(items))
+        begin = np.cumsum(counts) - counts
+        long = np.flatnonzero(counts >= width)
+
+        # windows of long items, numbered by sorted fingerprint
+        places = counts[long] - width + 1
+        prints = self._prints(h, np.repeat(begin[long], places) + _spread(places))
+        self.windows, number = np.unique(prints, return_inverse=True)
+        window_of, item_of = [number], [np.repeat(owner_name[long], places)]
+
         self.search = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        seen: dict[tuple[int, ...], int] = {}
-        edges = np.searchsorted(doc, np.arange(len(items) + 1))
-        for k, (item, _) in enumerate(items):
-            words = ids[edges[k]:edges[k + 1]].tolist()
-            size = min(width, len(words))
-            for i in range(len(words) - size + 1 if words else 0):
-                key = tuple(words[i:i + size])
-                if key not in seen:
-                    seen[key] = len(self.patterns)
-                    self.patterns.append((size, set()))
-                    self.search.add_word(self._string(np.array(key))[0], seen[key])
-                self.patterns[seen[key]][1].add(item)
-        if self.patterns:
+        self.sizes, self.is_block, self.short = [], [], []
+        next_window = len(self.windows)
+        parts = counts[long] // self.block
+        blocks = np.repeat(begin[long], parts) + _spread(parts) * self.block
+        for size in np.unique(np.append(counts[(counts > 0) & (counts < width)], self.block if len(long) else 0)).tolist():
+            whole = np.flatnonzero(counts == size) if 0 < size < width else np.zeros(0, int)
+            starts = np.concatenate([begin[whole], blocks]) if size == self.block else begin[whole]
+            if not len(starts):
+                continue
+            rows, which = np.unique(ids[starts[:, None] + np.arange(size)], axis=0, return_inverse=True)
+            which = which.ravel()
+            found, index = np.unique(which[:len(whole)], return_inverse=True)
+            short = np.full(len(rows), -1)
+            short[found] = next_window + np.arange(len(found))
+            window_of.append(next_window + index)
+            item_of.append(owner_name[whole])
+            next_window += len(found)
+            is_block = np.zeros(len(rows), bool)
+            is_block[which[len(whole):]] = True
+            base, text = sum(map(len, self.sizes)), self._string(rows.ravel())[0]
+            step = size * self.places
+            for k in range(len(rows)):
+                self.search.add_word(text[k * step:(k + 1) * step], base + k)
+            self.sizes.append(np.full(len(rows), size))
+            self.is_block.append(is_block)
+            self.short.append(short)
+        self.any = bool(self.sizes)
+        if self.any:
             self.search.make_automaton()
+            self.sizes, self.is_block, self.short = map(np.concatenate, (self.sizes, self.is_block, self.short))
+        pairs = np.unique(np.concatenate(window_of).astype(np.int64) * max(len(self.names), 1) + np.concatenate(item_of))
+        self.items = (pairs % max(len(self.names), 1)).astype(np.int32)
+        self.offsets = np.searchsorted(pairs, np.arange(next_window + 1) * max(len(self.names), 1))
+
+    def _prints(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Fingerprints of the windows at ``starts``."""
+        out = np.zeros(len(starts), X.U)
+        for k in range(self.width):
+            out = X.mix(out * X.U(0xD6E8FEB86659FD93) + h[starts + k])
+        return out
 
     def _string(self, ids: np.ndarray) -> tuple[str, np.ndarray]:
         """The digits of word numbers as characters, and the index in ``ids`` of each character."""
@@ -75,12 +119,13 @@ class Automaton:
         index = np.broadcast_to(np.arange(len(ids))[:, None], used.shape)[used]
         return digits[used].astype(np.uint32).tobytes().decode("utf-32-le"), index
 
-    def scan(self, texts: pa.Array) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-        """Words per text, and (text, first word, last word, pattern) of every occurrence."""
+    def scan(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words per text; the texts and numbers of hit words; texts and items of occurring windows (both sorted, each once)."""
         h, doc, _, _ = _words(texts)
         counts = np.bincount(doc, minlength=len(texts))
-        if not self.patterns or not len(h):
-            return counts, []
+        none = np.zeros(0, int)
+        if not self.any or not len(h):
+            return counts, none, none, none, none
         at = np.searchsorted(self.vocab, h)
         at[at == len(self.vocab)] = 0
         ids = np.where(self.vocab[at] == h, at + 1, 0)
@@ -91,13 +136,35 @@ class Automaton:
         kept[0] = True
         kept[1:] |= ids[:-1] != 0
         text, index = self._string(ids[kept])
-        found = list(self.search.iter(text))
-        if not found:
-            return counts, []
-        ends = word[kept][index[[e for e, _ in found]]]
-        owner = doc[ends]
-        last = (ends - edges[owner]).tolist()
-        return counts, [(d, e - self.patterns[p][0] + 1, e, p) for d, e, (_, p) in zip(owner.tolist(), last, found)]
+        found = np.fromiter((x for pair in self.search.iter(text) for x in pair), np.int64).reshape(-1, 2)
+        if not len(found):
+            return counts, none, none, none, none
+        ends, pattern = word[kept][index[found[:, 0]]], found[:, 1]
+
+        whole = self.short[pattern] >= 0
+        first, last, window = [ends[whole] - self.sizes[pattern[whole]] + 1], [ends[whole]], [self.short[pattern[whole]]]
+        near = ends[self.is_block[pattern] & (self.sizes[pattern] == self.block)]
+        starts = np.unique(near[:, None] - self.block + 1 - np.arange(self.width - self.block + 1))
+        owner = doc[np.maximum(starts, 0)]
+        starts = starts[(starts >= edges[owner]) & (starts + self.width <= edges[owner + 1])]
+        if len(starts) and len(self.windows):
+            prints = self._prints(h, starts)
+            at = np.minimum(np.searchsorted(self.windows, prints), len(self.windows) - 1)
+            same = self.windows[at] == prints
+            first.append(starts[same])
+            last.append(starts[same] + self.width - 1)
+            window.append(at[same])
+        first, last, window = map(np.concatenate, (first, last, window))
+
+        depth = np.zeros(len(h) + 1, np.int64)
+        np.add.at(depth, first, 1)
+        np.add.at(depth, last + 1, -1)
+        hit = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+        occurring = np.unique(doc[first].astype(np.int64) * len(self.offsets) + window)
+        texts_of, window = occurring // len(self.offsets), occurring % len(self.offsets)
+        many = self.offsets[window + 1] - self.offsets[window]
+        pairs = np.unique(np.repeat(texts_of, many) * len(self.names) + self.items[np.repeat(self.offsets[window], many) + _spread(many)])
+        return counts, doc[hit], hit - edges[doc[hit]], pairs // len(self.names), pairs % len(self.names)
 
 
 def _shards(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -126,13 +193,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (
 
             def work(part: pa.RecordBatch) -> list:
                 n = part.num_rows
-                counts, found = automaton.scan(part.column("text"))
-                words = [set() if first else set(w) for w in ([()] * n if first else part.column("hit_words").to_pylist())]
-                names = [set() if first else set(s) for s in ([()] * n if first else part.column("items").to_pylist())]
-                for d, a, b, p in found:
-                    words[d].update(range(a, b + 1))
-                    names[d].update(automaton.patterns[p][1])
-                return [counts, [sorted(w) for w in words], [sorted(s) for s in names]]
+                counts, text, words, owner, item = automaton.scan(part.column("text"))
+                words = np.split(words, np.searchsorted(text, np.arange(1, n)))
+                names = np.split(automaton.names[item], np.searchsorted(owner, np.arange(1, n)))
+                if first:
+                    return [counts, words[:n], [x.tolist() for x in names[:n]]]
+                old = part.column("hit_words").to_pylist(), part.column("items").to_pylist()
+                return [counts, [np.union1d(x, w).astype(np.int32) for x, w in zip(old[0], words)],
+                        [sorted({*x, *w}) for x, w in zip(old[1], names)]]
             return work
 
         out = _step(out, carried, first, compute)
@@ -155,7 +223,7 @@ def _step(df: DataFrame, carried: list[str], first: bool, compute) -> DataFrame:
 
 
 _built: dict[str, Automaton] = {}
-KEPT = 4  # automata a Python worker keeps, so that chained shards of one query do not rebuild in turn
+KEPT = 2  # automata a Python worker keeps, so that chained shards of one query do not rebuild in turn
 
 
 def _automaton(shared, name: str, width: int) -> Automaton:

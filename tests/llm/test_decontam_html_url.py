@@ -56,6 +56,24 @@ def test_contamination_matches_brute_force(case, shard):
     assert got == brute(rows, items)
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 10])
+def test_blocks_find_every_window(width):
+    """Few words, many repeats: each window of each item against a plain search."""
+    import random
+
+    import pyarrow as pa
+    rng = random.Random(width)
+    text = lambda n: " ".join(rng.choice("ab" if width > 3 else "abcdef") for _ in range(n))
+    items = [(str(i % 30), text(rng.randint(0, 2 * width + 3))) for i in range(40)]
+    rows = [(i, text(rng.randint(0, 60)), "s") for i in range(60)] + [(60, "", "s"), (61, "zz " + items[7][1] + " zz", "s")]
+    a = decontam.Automaton(items, width)
+    counts, doc, word, owner, item = a.scan(pa.array([t for _, t, _ in rows]))
+    for d, n_words, n_hit, n_items, sha, _ in brute(rows, items, width):
+        names = sorted(a.names[item[owner == d]])
+        assert (counts[d], (doc == d).sum(), len(names)) == (n_words, n_hit, n_items)
+        assert hashlib.sha256(",".join(names).encode()).hexdigest() == sha
+
+
 def test_hit_spans_cover_the_original_words(case):
     docs, bench, rows, _ = case
     text = {d: t for d, t, _ in rows}
