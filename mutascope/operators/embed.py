@@ -118,12 +118,26 @@ def worker_encoder(encoder):
     return _ENCODERS[name]
 
 
+def sub_batches(lengths: list[int], batch_size: int, batch_tokens: int | None) -> list[tuple[int, int]]:
+    """Ranges of consecutive sequences for one encoder call."""
+    if batch_tokens is None:
+        return [(i, min(i + batch_size, len(lengths))) for i in range(0, len(lengths), batch_size)]
+    out, first, longest = [], 0, 0
+    for i, n in enumerate(lengths):
+        if i > first and (i - first + 1) * (max(longest, n) + 2) > batch_tokens:
+            out.append((first, i))
+            first, longest = i, 0
+        longest = max(longest, n)
+    return out + [(first, len(lengths))] if lengths else out
+
+
 def embed(df: DataFrame, encoder, id_col: str = "protein_id", seq_col: str = "sequence",
           batch_size: int = 8, max_len: int | None = MAX_RESIDUES,
-          carry: list[str] | None = None) -> DataFrame:
+          carry: list[str] | None = None, batch_tokens: int | None = None) -> DataFrame:
     """``(id, embedding array<float>)`` for every row, in Arrow batches.
 
-    Sequences longer than ``max_len`` are truncated (filter them first for the
+    The encoder gets ``batch_size`` sequences at a time or, with ``batch_tokens``, as many as fit that many
+    padded tokens (one at least), so short sequences fill a batch as well as long ones. Sequences longer than ``max_len`` are truncated (filter them first for the
     skip policy). Catalyst cannot push filters through the Python map, so
     callers order cheap filters before this step.
     """
@@ -132,8 +146,8 @@ def embed(df: DataFrame, encoder, id_col: str = "protein_id", seq_col: str = "se
         for pdf in batches:
             seqs = [s if max_len is None else s[:max_len] for s in pdf[seq_col].fillna("").tolist()]
             vecs = []
-            for i in range(0, len(seqs), batch_size):
-                vecs.extend(enc.encode(seqs[i:i + batch_size]))
+            for i, j in sub_batches([len(x) for x in seqs], batch_size, batch_tokens):
+                vecs.extend(enc.encode(seqs[i:j]))
             import pandas as pd
             out = {"id": pdf[id_col].astype(str).values, "embedding": [v.tolist() for v in vecs]}
             for c in carry or []:
@@ -167,13 +181,13 @@ def group_mean(df: DataFrame, group: str, vec_col: str) -> DataFrame:
 def stored_ids(spark, store: str, id_col: str = "id", split: str | None = None) -> DataFrame:
     """Ids (and splits, if ``split`` names the column) already in the store; empty if there is no store yet.
 
-    Only a missing path counts as an empty store; any other failure is raised.
+    Only a missing path, or one without a data file yet, counts as an empty store; any other failure is raised.
     """
     keys = {"_done": F.col(id_col)} | ({"_done_split": F.col(split).cast("string")} if split else {})
     try:
         stored = spark.read.parquet(store)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], ", ".join(f"{k} string" for k in keys))
     return stored.select(*[c.alias(k) for k, c in keys.items()]).distinct()
@@ -187,16 +201,86 @@ def pending(df: DataFrame, done: DataFrame, id_col: str, split_col: str | None =
     return df.join(done, same, "left_anti")
 
 
+BLOOM_BLOCKS = 1 << 18  # 64 bytes each: 16 MB, whatever the store holds
+
+
+def _bloom_block(*keys: str) -> F.Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BLOOM_BLOCKS)).cast("int")
+
+
+def _bloom_bit(j: int, *keys: str) -> F.Column:
+    """The bit of word ``j``: one of 64."""
+    return F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(keys)}, {j + 1}), 64) AS int))")
+
+
+def bloom(ids: DataFrame, *keys: str) -> DataFrame:
+    """Split-block Bloom filter of the keys: at most ``BLOOM_BLOCKS`` rows of eight 64-bit words, one bit a key in each word."""
+    return ids.groupBy(_bloom_block(*keys).alias("_block")).agg(
+        *[F.bit_or(_bloom_bit(j, *keys)).alias(f"_w{j}") for j in range(8)])
+
+
+def merge_bloom(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("_block").agg(*[F.bit_or(f"_w{j}").alias(f"_w{j}") for j in range(8)])
+
+
+def pending_bloom(df: DataFrame, done: DataFrame, filt: DataFrame, id_col: str, split_col: str | None = None) -> DataFrame:
+    """``pending`` that shuffles possible hits only: rows whose bits are not all set in ``filt`` are surely not stored and stay
+    where they are; the others take the exact anti-join. ``filt`` covers all of ``done`` and has a bounded size, so it is broadcast."""
+    keys = ["_k0"] + (["_k1"] if split_col else [])
+    keyed = df.withColumn("_k0", F.col(id_col).cast("string"))
+    if split_col:
+        keyed = keyed.withColumn("_k1", F.col(split_col).cast("string"))
+    bits = [_bloom_bit(j, *keys) for j in range(8)]
+    hit = F.lit(True)
+    for j, bit in enumerate(bits):
+        hit = hit & (F.col(f"_w{j}").bitwiseAND(bit) != 0)
+    tested = (keyed.withColumn("_block", _bloom_block(*keys)).join(F.broadcast(filt), "_block", "left")
+              .withColumn("_maybe", F.coalesce(hit, F.lit(False))).select(*df.columns, "_maybe"))
+    new = tested.where(~F.col("_maybe")).drop("_maybe")
+    return new.unionByName(pending(tested.where("_maybe").drop("_maybe"), done, id_col, split_col))
+
+
+def _read_bloom(spark, store: str) -> DataFrame | None:
+    try:
+        return merge_bloom(spark.read.parquet(f"{store}/_bloom"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def by_cost(df: DataFrame, len_col: str, id_col: str, parts: int, sizes: dict[int, int]) -> DataFrame:
+    """Rows in ``parts`` partitions of equal cost (squared padded length) and similar length, sorted by length.
+
+    ``sizes`` counts the rows of each length. Lengths are laid end to end by their cost; a row's place is spread over its
+    length's stretch by a hash of its id, so one very common length fills as many partitions as its cost asks for."""
+    if not sizes:
+        return df.coalesce(1)
+    lengths = sorted(sizes)
+    cost = np.array([sizes[n] * float(n + 2) ** 2 for n in lengths])
+    end = np.cumsum(cost) / cost.sum() * parts
+    start = np.concatenate([[0.0], end[:-1]])
+    at = F.array_position(F.array(*map(F.lit, lengths)), F.col(len_col)).cast("int")
+    begin, stop = (F.element_at(F.array(*[F.lit(float(x)) for x in edge]), at) for edge in (start, end))
+    spread = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    part = F.least(F.floor(begin + spread * (stop - begin)), F.lit(parts - 1)).cast("int")
+    return df.repartitionById(parts, part).sortWithinPartitions(len_col, id_col)
+
+
 def embed_job(df: DataFrame, encoder, store: str, id_col: str = "protein_id",
               seq_col: str = "sequence", max_len: int = MAX_RESIDUES, batch_size: int = 8,
-              partitions: int | None = None, split_col: str | None = None) -> dict:
+              partitions: int | None = None, split_col: str | None = None,
+              batch_tokens: int | None = 8 * (MAX_RESIDUES + 2)) -> dict:
     """Resumable embedding of a table into a Parquet store; returns a run report.
 
-    pending (anti-join on stored ids) -> length cap (skip) -> range-partition
-    and sort by length (homogeneous batches) -> encode -> append.
+    pending (Bloom filter, then anti-join of possible hits) -> length cap (skip) -> partitions of
+    equal cost, sorted by length (homogeneous batches) -> encode -> append.
     Re-running adds nothing; a failed run leaves whole files only, and the
     next run embeds what is missing. With ``split_col`` all splits run in one
     job and the store is partitioned by split.
+
+    The filter lies in ``store/_bloom`` (a folder that readers of the store skip). Ids are added to it before their rows are
+    written, so it always covers the store; a store without one gets it from its ids.
     """
     spark = df.sparkSession
     t0 = time.time()
@@ -204,15 +288,24 @@ def embed_job(df: DataFrame, encoder, store: str, id_col: str = "protein_id",
     base = df.select(F.col(id_col).alias("_id"), F.col(seq_col).alias("_seq"), *extra) \
              .withColumn("_len", F.length("_seq"))
     counts = base.agg(F.count(F.lit(1)).alias("total")).first()
-    todo = pending(base, stored_ids(spark, store, split="split" if split_col else None), "_id", "split" if split_col else None)
+    split = "split" if split_col else None
+    done, filt = stored_ids(spark, store, split=split), _read_bloom(spark, store)
+    keys = ["_done"] + (["_done_split"] if split else [])
+    if filt is None and not done.isEmpty():  # a store of an earlier version
+        bloom(done, *keys).write.mode("append").parquet(f"{store}/_bloom")
+        filt = _read_bloom(spark, store)
+    todo = pending(base, done, "_id", split) if filt is None else pending_bloom(base, done, filt, "_id", split)
     kept = todo.where(F.col("_len") <= max_len)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = kept.repartitionByRange(n_parts, "_len", "_id").sortWithinPartitions("_len", "_id")
-    # counted before the write: afterwards the store already holds these ids
-    stats = todo.agg(F.count(F.lit(1)).alias("pending"),
-                     F.count_if(F.col("_len") > max_len).alias("skipped")).first()
+    # counted before the write (afterwards the store already holds these ids); at most max_len + 3 rows reach the driver
+    found = todo.groupBy(F.least("_len", F.lit(max_len + 1)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    skipped = sum(r.rows for r in found if r.n is not None and r.n > max_len)
+    stats = {"pending": sum(r.rows for r in found), "skipped": skipped}
+    ordered = by_cost(kept, "_len", "_id", n_parts, {r.n: r.rows for r in found if r.n is not None and r.n <= max_len})
+    names = kept.select(F.col("_id").cast("string").alias("_done"), *([F.col("split").cast("string").alias("_done_split")] if split else []))
+    bloom(names, *keys).write.mode("append").parquet(f"{store}/_bloom")
     obs = Observation("embed_job")
-    emb = embed(ordered, encoder, "_id", "_seq", batch_size, max_len, carry=["split"] if split_col else [])
+    emb = embed(ordered, encoder, "_id", "_seq", batch_size, max_len, carry=["split"] if split_col else [], batch_tokens=batch_tokens)
     emb = emb.observe(obs, F.count(F.lit(1)).alias("embedded"))
     writer = emb.write.mode("append")
     if split_col:

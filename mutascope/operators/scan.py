@@ -429,23 +429,49 @@ def top_positions_additive(df: DataFrame, id_col: str = "protein_id", seq_col: s
                                       "n_beneficial", "best_substitution"), k)
 
 
+CELL_BITS = 12  # a cell holds at most 4,096 distinct deltas (whole micro-units)
+
+
 def residue_summary(mut: DataFrame, by: str = "protein_id") -> DataFrame:
     """Per protein and mutant residue: mean, median, min delta, counts.
 
-    Two aggregation levels, both partial before their shuffle: first counts per
-    (group, delta) -- a codegen hash aggregate that collapses millions of
-    mutants to the few distinct deltas of a group -- then per group, where the
-    exact median is read off the sorted (delta, count) list. Means and medians
-    use exact micro-unit integers (deltas are 6-dp values), so results do not
-    depend on summation order or partitioning.
+    Rows are first counted per (group, delta), a hash aggregate with a map-side step. The exact median is
+    then selected by prefix sums, without a list per group: counts per cell of ``2 ** CELL_BITS`` neighbouring
+    deltas find the cells that hold the middle ranks, and only the deltas of those (one or two a group) are
+    ordered. A group's deltas are dealt over tasks by cell, so a scorer with millions of distinct
+    deltas in one group is no larger task. Means and medians use exact micro-unit integers (deltas are
+    6-dp values), so results do not depend on summation order or partitioning.
     """
+    keys = [by, "mutant_aa"]
     per_value = (mut.withColumn("_u", to_micro(F.col("delta")))
-                 .groupBy(by, "mutant_aa", "_u")
+                 .groupBy(*keys, F.shiftright("_u", CELL_BITS).alias("_cell"), "_u")
                  .agg(F.count(F.lit(1)).alias("_n")))
-    return _residue_summary_from_counts(per_value, by)
+    cells = per_value.groupBy(*keys, "_cell").agg(
+        F.sum("_n").alias("_n"), F.sum(F.col("_u") * F.col("_n")).alias("_sum_u"), F.min("_u").alias("_min_u"),
+        F.sum(F.when(F.col("_u") < 0, F.col("_n")).otherwise(0)).alias("_neg"))
+    group, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_cell")
+    placed = cells.select(
+        *keys, "_cell", F.sum("_n").over(group).alias("n_positions_tested"), F.sum("_sum_u").over(group).alias("_sum_u"),
+        F.min("_min_u").over(group).alias("_min_u"), F.sum("_neg").over(group).alias("n_beneficial"),
+        (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.col("_n").alias("_here"))
+    # ranks from 0 of the lower and upper middle
+    total = F.col("n_positions_tested")
+    low, high = F.floor((total - 1) / 2), F.floor(total / 2)
+    middle = placed.where((F.col("_before") <= high) & (F.col("_before") + F.col("_here") > low))
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_u")
+    ranked = per_value.join(middle, [*keys, "_cell"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    holds = lambda rank: F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_u"))
+    out = ranked.groupBy(*keys, "n_positions_tested", "_sum_u", "_min_u", "n_beneficial").agg(
+        F.max(holds(low)).alias("_low"), F.max(holds(high)).alias("_high"))
+    return out.select(
+        *keys, mean6(F.col("_sum_u"), total).alias("mean_delta"),
+        (F.bround((F.col("_low") + F.col("_high")) / F.lit(2.0), 0) / F.lit(float(MICRO))).alias("median_delta"),
+        (F.col("_min_u").cast("double") / F.lit(float(MICRO))).alias("min_delta"),
+        total.cast("long").alias("n_positions_tested"), F.col("n_beneficial").cast("long").alias("n_beneficial"))
 
 
 def _residue_summary_from_counts(per_value: DataFrame, by: str) -> DataFrame:
+    """The same from at most 42 (delta, count) pairs a group, as the additive scorer has."""
     agg = per_value.groupBy(by, "mutant_aa").agg(
         F.sum(F.col("_u") * F.col("_n")).alias("_sum_u"),
         F.sum("_n").alias("n_positions_tested"),
