@@ -26,10 +26,16 @@ Two scorers:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mutascope.functions.heads import CompositionHead, default_head
 from mutascope.functions.numeric import MICRO, mean6, to_micro
@@ -266,7 +272,10 @@ def _pick_mutants(rows: DataFrame) -> DataFrame:
 def _generic_mutations(df: DataFrame, id_col: str, seq_col: str, positions_col: str | None, head: CompositionHead,
                        scorer: Callable, max_len: int, chunk: int, partitions: int | None) -> DataFrame:
     """Flat mutation table of any scorer: each mutant window inside the model window is built and handed to
-    ``scorer`` (O(L) per mutant); past it no mutant differs from the wild type, so those rows are not scored."""
+    ``scorer`` (O(L) per mutant); past it no mutant differs from the wild type, so those rows are not scored.
+    A scorer with ``score_points`` gets its mutants built in the workers (``_worker_mutations``)."""
+    if hasattr(scorer, "score_points"):
+        return _worker_mutations(df, id_col, seq_col, positions_col, head, scorer, max_len, chunk, partitions)
     chunks = _chunk_rows(df, id_col, seq_col, positions_col, head, max_len, chunk, partitions, keep_window=True)
     # the wild type is scored by the same scorer, once per distinct protein id
     wins = protein_stats(df, id_col, seq_col, head, max_len).select(
@@ -288,6 +297,110 @@ def _generic_mutations(df: DataFrame, id_col: str, seq_col: str, positions_col:
         table(every.where(F.col("position") > F.col("win_length")), _round6(wt_d), F.lit(0.0)))
 
 
+CELLS = 1 << 21  # letters of mutant windows a worker holds at a time
+EMIT = 1 << 15  # rows of an Arrow batch that leaves a worker
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _letters(points: np.ndarray) -> pa.Array:
+    distinct, index = np.unique(points, return_inverse=True)
+    return pa.array([chr(x) for x in distinct], pa.string()).take(pa.array(index))
+
+
+def _mutant_blocks(points: np.ndarray, positions: np.ndarray, score: Callable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions (from 1), mutant letters and scores of a window's mutants, in blocks of at most ``CELLS`` letters (one position at least)."""
+    letters = _points(ALPHABET)
+    step = max(1, CELLS // (len(points) * len(letters)))
+    for k in range(0, len(positions), step):
+        at = positions[k:k + step] - 1
+        row, letter = np.nonzero(points[at][:, None] != letters)
+        mutants = np.tile(points, (len(row), 1))
+        mutants[np.arange(len(row)), at[row]] = letters[letter]
+        yield at[row] + 1, letters[letter], np.asarray(score(mutants), np.float32)
+
+
+def _worker_mutations(df: DataFrame, id_col: str, seq_col: str, positions_col: str | None, head: CompositionHead,
+                      scorer, max_len: int, chunk: int, partitions: int | None) -> DataFrame:
+    """Flat mutation table of a scorer of code-point matrices: one window per protein goes to a Python worker, which builds
+    the mutants as matrices, scores them block by block and gives a short row for each. Positions past the window
+    never leave Spark; they take the wild type's score."""
+    base = df.select(F.col(id_col).alias("protein_id"), F.substring(seq_col, 1, max_len).alias("window"), F.length(seq_col).alias("length"),
+                     (F.col(positions_col) if positions_col else F.lit(None)).cast("array<int>").alias("_req")).where(F.col("length") > 0)
+    wins = base.select("protein_id", "window", F.when(F.col("_req").isNotNull(), F.filter(
+        _position_array("_req"), lambda p: p <= max_len)).alias("positions"))
+    # an explicit count: windows are few bytes for much work, so adaptive execution would merge them into too few tasks
+    wins = wins.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "protein_id")
+    id_type = wins.schema["protein_id"]
+    fields = T._parse_datatype_string("position int, wildtype_aa string, mutant_aa string, wt_score float, score float").fields
+    schema = T.StructType([id_type, *fields])
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
+
+    def mutants(batches):
+        for batch in batches:
+            ids, texts, wanted = (batch.column(c) for c in ("protein_id", "window", "positions"))
+            held: list[tuple] = []
+            size = 0
+            for i, text in enumerate(texts):
+                points = _points(text.as_py())
+                some = wanted[i].as_py()
+                positions = np.arange(1, len(points) + 1) if some is None else np.array(some, int)
+                wild = np.float32(scorer.score_points(points[None])[0])
+                for at, letter, found in _mutant_blocks(points, positions, scorer.score_points):
+                    held.append((np.full(len(at), i), at, points[at - 1], letter, np.full(len(at), wild), found))
+                    size += len(at)
+                    if size >= EMIT:
+                        yield emit(ids, held)
+                        held, size = [], 0
+            if held:
+                yield emit(ids, held)
+
+    def emit(ids, held):
+        row, at, old, new, wild, found = map(np.concatenate, zip(*held))
+        parts = [ids.take(pa.array(row)), pa.array(at), _letters(old), _letters(new), pa.array(wild), pa.array(found)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(parts, arrow)], schema=arrow)
+
+    def wild_types(batches):
+        for batch in batches:
+            found = [np.float32(scorer.score_points(_points(t.as_py())[None])[0]) for t in batch.column("window")]
+            yield pa.RecordBatch.from_arrays([batch.column("protein_id").cast(arrow.field(0).type), pa.array(found, pa.float32())],
+                                             names=["protein_id", "wt_score"])
+
+    inside = wins.mapInArrow(mutants, schema)
+    far = base.where(F.col("length") > max_len)
+    wt = far.select("protein_id", "window").mapInArrow(wild_types, T.StructType([id_type, T.StructField("wt_score", T.FloatType())]))
+    rows = _explode_positions(_chunk_rows(df.where(F.length(seq_col) > max_len), id_col, seq_col, positions_col, head, max_len, chunk,
+                                          partitions), ["protein_id", "win_length"]).where(F.col("position") > F.col("win_length"))
+    alpha = F.array(*[F.lit(a) for a in ALPHABET])
+    past = rows.join(wt, "protein_id").select(
+        "*", F.explode(F.filter(alpha, lambda a: a != F.col("wildtype_aa"))).alias("mutant_aa")).withColumn("score", F.col("wt_score"))
+    names = ["protein_id", "position", "wildtype_aa", "mutant_aa", "wt_score", "score"]
+    wild, score = F.col("wt_score").cast("double"), F.col("score").cast("double")
+    return inside.select(*names).unionByName(past.select(*names)).select(
+        "protein_id", "position", "wildtype_aa", "mutant_aa", _round6(wild).alias("predicted_wildtype"),
+        _round6(score).alias("predicted_mutant"), _round6(score - wild).alias("delta"))
+
+
+@dataclass(frozen=True)
+class CompositionPoints:
+    """The composition head over code-point matrices, one sequence a row (all of one length)."""
+
+    head: CompositionHead
+
+    def score_points(self, points: np.ndarray) -> np.ndarray:
+        letters = _points(ALPHABET)
+        whole = all(float(v).is_integer() and abs(v) < 1 << 20 for v in self.head.k.values())
+        weight, standard = np.zeros(256, np.int32 if whole else np.float64), np.zeros(256, np.int8)
+        weight[letters] = [self.head.k[a] for a in ALPHABET]
+        standard[letters] = 1
+        codes = np.where(points < 256, points, 0).astype(np.uint8)
+        denom = np.maximum(standard[codes].sum(axis=1, dtype=np.int32), 1).astype(np.float64)
+        return (weight[codes].sum(axis=1, dtype=np.int64 if whole else np.float64) / (float(self.head.scale) * denom)
+                + float(self.head.length_weight) * float(points.shape[1]) + float(self.head.intercept))
+
+
 def head_scorer(head: CompositionHead | None = None, max_len: int = MAX_RESIDUES):
     """A generic scorer computing the composition head on a sequence column."""
     head = head or default_head()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,3 +83,25 @@ def encoder_head_scorer(encoder, weights: DataFrame, batch_size: int = 8):
         return df.mapInPandas(run, schema)
 
     return scorer
+
+
+def encoder_head_points(encoder, weights: DataFrame, batch_size: int = 8):
+    """The same model as a scorer of code-point matrices, for scans whose mutants are built in the workers
+    (``encoder``: an encoder, or a factory that is called once per Python worker)."""
+    from mutascope.operators.models import fold_layers
+    return EncoderPoints(encoder, fold_layers([r.asDict(recursive=True) for r in weights.collect()]), batch_size)
+
+
+@dataclass(frozen=True)
+class EncoderPoints:
+    encoder: object
+    layers: list
+    batch_size: int = 8
+
+    def score_points(self, points: np.ndarray) -> np.ndarray:
+        from mutascope.operators.embed import worker_encoder
+        from mutascope.operators.models import mlp_forward
+        model = worker_encoder(self.encoder)
+        seqs = [row.tobytes().decode("utf-32-le", "surrogatepass") for row in np.ascontiguousarray(points)]
+        vecs = [model.encode(seqs[i:i + self.batch_size]) for i in range(0, len(seqs), self.batch_size)]
+        return mlp_forward(np.concatenate(vecs), self.layers) if vecs else np.zeros(0, np.float32)

@@ -139,6 +139,25 @@ SQL_EMB_META_JOIN = """
 SELECT e.vec_id, e.label, d.source, d.n_chars FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id"""
 
 
+def q_store_labels(spark, sf):
+    """A bucketed vector store joined strictly to its last labels: each vector's own, then the labels table's.
+    The vectors stay in their buckets (S6, J1, J2)."""
+    from mutascope.sources.sinks import write_bucketed
+    emb = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    path = scratch_path(spark, "bucketed-store")
+    name = "store_" + path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+    write_bucketed(emb.select("doc_id", "embedding"), name, path, "doc_id", 16)
+    own = emb.select("doc_id", F.col("label").cast("long").alias("quality"), F.lit(0).alias("batch"))
+    given = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("long").alias("quality"), F.lit(1).alias("batch"))
+    j = MD.join_labels(spark.table(name), own.unionByName(given), "doc_id", order="batch", strict=True)
+    return j.select(F.col("doc_id").alias("vec_id"), "quality", F.size("embedding").cast("long").alias("dim"))
+
+
+SQL_STORE_LABELS = """
+SELECT e.vec_id, CAST(coalesce(l.quality, e.label) AS BIGINT) AS quality, CAST(len(e.embedding) AS BIGINT) AS dim
+FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id"""
+
+
 def q_resume_anti(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
     done = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("_done")).distinct()
@@ -368,6 +387,7 @@ SELECT p.design_name""", 1)
 
 QUERIES = {
     "embed_kmers": q_embed_kmers,
+    "store_labels": q_store_labels,
     "mean_pool": q_mean_pool,
     "masked_pool": q_masked_pool,
     "embed_splits": q_embed_splits,
@@ -388,6 +408,7 @@ QUERIES = {
 
 ORACLES = {
     "embed_kmers": SQL_EMBED_KMERS,
+    "store_labels": SQL_STORE_LABELS,
     "mean_pool": SQL_MEAN_POOL,
     "masked_pool": SQL_MASKED_POOL,
     "embed_splits": SQL_EMBED_SPLITS,

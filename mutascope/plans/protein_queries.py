@@ -166,6 +166,15 @@ def q_scan_mutant_classes(spark, sf):
     return S.mutant_classes(p, "design_name", "full_sequence", head=HEAD)
 
 
+def q_scan_workers(spark, sf):
+    """The same digest from the scan that builds and scores every mutant of every protein in the Python workers."""
+    p = proteins(spark, sf)
+    mut = S.scan(p, "design_name", "full_sequence", head=HEAD, scorer=S.CompositionPoints(HEAD))
+    return mut.groupBy("protein_id", "wildtype_aa", "mutant_aa").agg(
+        F.count(F.lit(1)).alias("n"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"),
+        F.sum(S.to_micro(F.col("delta"))).alias("sum_delta_micro"), F.count_if(F.col("delta") < 0).alias("n_beneficial"))
+
+
 def q_scan_top(spark, sf):
     p = proteins(spark, sf)
     top = S.top_mutations_additive(p, "design_name", "full_sequence", n=TOP_N, head=HEAD)
@@ -343,6 +352,7 @@ QUERIES = {
     "validate_sequences": q_validate_sequences,
     "position_spec": q_position_spec,
     "scan_mutant_classes": q_scan_mutant_classes,
+    "scan_workers": q_scan_workers,
     "scan_top": q_scan_top,
     "scan_positions": q_scan_positions,
     "scan_top_positions": q_scan_top_positions,
@@ -358,6 +368,7 @@ ORACLES = {
     "validate_sequences": SQL_VALIDATE,
     "position_spec": SQL_POSITION_SPEC,
     "scan_mutant_classes": SQL_SCAN_MUTANT_CLASSES,
+    "scan_workers": SQL_SCAN_MUTANT_CLASSES,
     "scan_top": SQL_SCAN_TOP,
     "scan_positions": SQL_SCAN_POSITIONS,
     "scan_top_positions": SQL_SCAN_TOP_POSITIONS,

@@ -16,34 +16,44 @@ METRICS_SCHEMA = T.StructType([
 ])
 
 
-def read_descriptor_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                        sample_rows: int = 10_000) -> DataFrame:
+# One bit per type that holds a value; a value's types are the ones it can be widened to.
+INT, LONG, DOUBLE, DATE, TIMESTAMP, BOOLEAN = (1 << k for k in range(6))
+_LATTICE = ((INT, T.IntegerType()), (LONG, T.LongType()), (DOUBLE, T.DoubleType()), (DATE, T.DateType()),
+            (TIMESTAMP, T.TimestampType()), (BOOLEAN, T.BooleanType()))
+
+
+def _types_of(name: str) -> F.Column:
+    """The types (as bits) that hold a text value: NULL for no value, 0 for text only."""
+    c = F.col(name)
+    stamp = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$"
+    whole = (F.lit(DOUBLE) + F.when(c.try_cast("long").isNotNull(), LONG).otherwise(0) + F.when(c.try_cast("int").isNotNull(), INT).otherwise(0))
+    return (F.when(c.isNull() | (F.length(c) == 0), F.lit(None).cast("int")).when(c.rlike(r"^[+-]?\d+$"), whole)
+            .when(c.rlike(r"^([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|NaN|-?Inf)$"), DOUBLE)
+            .when(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & c.try_cast("date").isNotNull(), DATE + TIMESTAMP)
+            .when(c.rlike(stamp) & c.try_cast("timestamp").isNotNull(), TIMESTAMP)
+            .when(F.lower(c).isin("true", "false"), BOOLEAN).otherwise(0))
+
+
+def infer_types(text: DataFrame) -> T.StructType:
+    """Per text column the least type that holds all its values, by one aggregate over every row.
+
+    Types form a lattice (int < long < double, date < timestamp, boolean; text holds all), so the types of a column are the
+    bits that all its values share: partial results merge in any order, and a column without values stays text.
+    """
+    names = [f"c{i}" for i in range(len(text.columns))]
+    found = text.toDF(*names).agg(*[F.bit_and(_types_of(c)).alias(c) for c in names]).first()
+    least = lambda bits: next((t for bit, t in _LATTICE if (bits or 0) & bit), T.StringType())
+    return T.StructType([T.StructField(c, least(found[n])) for c, n in zip(text.columns, names)])
+
+
+def read_descriptor_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Header CSV of per-design descriptors.
 
-    With a schema the read is typed and single-pass. Without one, types are
-    inferred from the first ``sample_rows`` lines (one small job). A longer file
-    is then parsed once to count the rows that do not fit them; if there are any,
-    types are inferred from every row, so a column is widened and no value is lost.
+    With a schema the read is typed and single-pass. Without one, every row is read once as text to find the
+    columns' types (``infer_types``), whatever the file's length, so no value is lost.
     """
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is None:
-        head = spark.read.text(path).limit(sample_rows)
-        lines = [r.value for r in head.collect()]
-        # several part files each start with the header line
-        sample = lines[:1] + [x for x in lines[1:] if x != lines[0]]
-        schema = spark.read.option("header", True).option("inferSchema", True).csv(
-            spark.sparkContext.parallelize(sample, 1)).schema
-        if len(lines) == sample_rows and _misfits(spark, path, schema):
-            schema = spark.read.option("header", True).option("inferSchema", True).csv(path).schema
-    return reader.schema(schema).csv(path)
-
-
-def _misfits(spark: SparkSession, path: str, schema: T.StructType) -> int:
-    """Rows with a value that ``schema`` cannot hold; every column is parsed, as unread ones are not checked."""
-    mark = "_misfit_record"
-    rows = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", mark)
-            .schema(T.StructType([*schema.fields, T.StructField(mark, T.StringType())])).csv(path))
-    return rows.agg(F.count(mark).alias("n"), *[F.count(f"`{c}`") for c in schema.names]).first().n
+    return reader.schema(schema or infer_types(reader.csv(path))).csv(path)
 
 
 def read_metrics_csv(spark: SparkSession, path: str, extra: T.StructType | None = None) -> DataFrame:

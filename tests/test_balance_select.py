@@ -97,3 +97,55 @@ def test_batches_by_tokens():
     assert [i for i, _ in cuts] == [0] + [j for _, j in cuts][:-1] and cuts[-1][1] == len(lengths)
     assert all(j - i == 1 or (j - i) * (max(lengths[i:j]) + 2) <= 200 for i, j in cuts)
     assert cuts[0] == (0, 4) and E.sub_batches([], 8, 200) == [] and E.sub_batches([5] * 9, 4, None) == [(0, 4), (4, 8), (8, 9)]
+
+
+def test_one_long_protein_is_several_files(spark, tmp_dir):
+    """No task of the writer holds over twice the median, and every bucket is complete and in position order."""
+    import glob
+
+    from mutascope.sources.sinks import mutation_bucket, write_mutations
+    sizes = {"long": 60_000, **{f"p{i}": 3000 for i in range(12)}}
+    ids = spark.createDataFrame(list(sizes.items()), "protein_id string, n int")
+    rows = ids.select("protein_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("position")).select(
+        "*", F.lit("A").alias("wildtype_aa"), F.lit("C").alias("mutant_aa"), F.lit(0.5).alias("predicted_wildtype"),
+        F.lit(0.25).alias("predicted_mutant"), F.lit(-0.25).alias("delta"))
+    path = f"{tmp_dir}/mutations"
+    write_mutations(rows, path, buckets=4, task_rows=6000, piece=250)
+    back = spark.read.option("header", True).csv(path, schema="safe_id string, protein_id string, position int")
+    assert {r.protein_id: r["count"] for r in back.groupBy("protein_id").count().collect()} == sizes
+    files = {f: [line.split(",") for line in open(f).read().splitlines()[1:]] for f in glob.glob(f"{path}/bucket=*/*.csv")}
+    counts = sorted(len(r) for r in files.values())
+    assert counts[-1] <= 2 * statistics.median(counts)
+    assert sum(any(r[1] == "long" for r in rows) for rows in files.values()) >= 8
+    for found in files.values():
+        assert [(r[1], int(r[2])) for r in found] == sorted((r[1], int(r[2])) for r in found)
+    bucket = {r.protein_id: r.b for r in ids.select("protein_id", mutation_bucket("protein_id", 4).alias("b")).collect()}
+    assert all(f"/bucket={bucket[r[1]]}/" in f for f, found in files.items() for r in found)
+    write_mutations(rows.limit(0), f"{tmp_dir}/none", buckets=4)
+
+
+def test_labels_meet_vectors_in_their_buckets(spark, tmp_dir):
+    """The vector side of the join has no exchange; a missing label stops a strict join."""
+    import pytest
+
+    from mutascope.operators.models import join_labels
+    from mutascope.sources.sinks import write_bucketed
+    vectors = spark.range(400).select("id", F.array_repeat(F.col("id").cast("float"), 8).alias("embedding"))
+    write_bucketed(vectors, "bucketed_test_store", f"{tmp_dir}/store", "id", 8)
+    labels = spark.range(400).select("id", (F.col("id") * 2).alias("y"), F.lit(1).alias("v")).unionByName(
+        spark.range(100).select("id", F.lit(-1).alias("y"), F.lit(2).alias("v")))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        store = spark.table("bucketed_test_store")
+        out = join_labels(store, labels, "id", order="v", strict=True)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        left = plan[plan.index("SortMergeJoin"):plan.index("Scan parquet")]
+        assert "Exchange" not in left and "bucketed" in plan.lower()
+        rows = {r.id: (r.y, len(r.embedding)) for r in out.collect()}
+        assert len(rows) == 400 and rows[5] == (-1, 8) and rows[399] == (798, 8)
+        with pytest.raises(ValueError, match="without a label"):
+            join_labels(store, labels.where("id < 399"), "id", order="v", strict=True)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE bucketed_test_store")

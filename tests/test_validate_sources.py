@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from mutascope.operators.validate import parse_positions, validate_sequences
 from mutascope.sources.fasta import read_fasta, write_fasta
@@ -80,10 +81,28 @@ def test_csv_values_after_the_sample_are_widened(spark, tmp_path):
     from mutascope.sources.tables import read_descriptor_csv
     lines = ["id,a,b,c"] + [f"r{i},{i},{i},{i}" for i in range(50)] + ["late,0.5,n/a,7", "none,,,"]
     (tmp_path / "long.csv").write_text("\n".join(lines) + "\n")
-    df = read_descriptor_csv(spark, str(tmp_path / "long.csv"), sample_rows=10)
+    df = read_descriptor_csv(spark, str(tmp_path / "long.csv"))
     assert dict(df.dtypes) == {"id": "string", "a": "double", "b": "string", "c": "int"}
     rows = {r.id: r for r in df.collect()}
     assert len(rows) == 52 and (rows["late"].a, rows["late"].b, rows["late"].c) == (0.5, "n/a", 7)
     assert rows["r3"].b == "3" and rows["none"].a is None
     (tmp_path / "fits.csv").write_text("\n".join(lines[:50]) + "\n")
-    assert dict(read_descriptor_csv(spark, str(tmp_path / "fits.csv"), sample_rows=10).dtypes)["b"] == "int"
+    assert dict(read_descriptor_csv(spark, str(tmp_path / "fits.csv")).dtypes)["b"] == "int"
+
+
+def test_least_type_of_every_column(spark, tmp_path):
+    """Widening along the lattice, over several files, whatever the order of the values."""
+    from mutascope.sources.tables import read_descriptor_csv
+    columns = {"i": ("1", "-2", "+3", ""), "l": ("1", "3000000000", "2", "4"), "d": ("1", "2.5", "1e-3", ".5"), "n": ("1", "NaN", "2.0", ""),
+               "big": ("1", "99999999999999999999", "2", "3"), "day": ("2024-01-31", "", "2024-02-29", "1999-12-01"),
+               "at": ("2024-01-31", "2024-01-31 10:20:30", "2024-01-31T10:20:30.5", ""), "b": ("true", "FALSE", "", "True"),
+               "mix": ("1", "true", "", "2"), "bad": ("2024-02-30", "2024-01-01", "", ""), "none": ("", "", "", ""), "t": ("1", "x", "2", "3"),
+               "sp": ("1 ", "2", "3", "4")}
+    for part, picks in enumerate(((0, 1), (2, 3))):
+        lines = [",".join(columns)] + [",".join(v[k] for v in columns.values()) for k in picks]
+        (tmp_path / f"part{part}.csv").write_text("\n".join(lines) + "\n")
+    df = read_descriptor_csv(spark, str(tmp_path))
+    assert dict(df.dtypes) == {"i": "int", "l": "bigint", "d": "double", "n": "double", "big": "double", "day": "date", "at": "timestamp",
+                               "b": "boolean", "mix": "string", "bad": "string", "none": "string", "t": "string", "sp": "string"}
+    for name, values in columns.items():
+        assert df.where(F.col(name).isNotNull()).count() == sum(v != "" for v in values), name
