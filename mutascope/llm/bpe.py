@@ -35,7 +35,7 @@ SHORT, NEVER = 40, 1 << 30
 STOP = "\u0100"  # the end of a word, beyond all byte characters
 GROUP = 20_000  # words proposed and verified at once
 FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-CACHE = 300_000  # words remembered by a Python worker
+CACHE = 120_000  # words remembered by a Python worker (about 200 bytes each), which later stages of its executor live with
 
 
 def vocabulary_file() -> str:
