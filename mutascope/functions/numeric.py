@@ -10,7 +10,7 @@ MICRO = 1_000_000
 
 def to_micro(c: Column) -> Column:
     """A value already rounded to 6 dp as an exact integer count of 1e-6."""
-    return F.round(c * F.lit(float(MICRO))).cast("long")
+    return F.rint(c * F.lit(float(MICRO))).cast("long")
 
 
 def half_even_div(num: Column, den: Column) -> Column:

@@ -74,26 +74,20 @@ def answer_scan_requests(planned: DataFrame, head: CompositionHead | None = None
     (top-N list + position summary) is bounded.
     """
     head = head or default_head()
-    valid = planned.where(F.col("error").isNull())
-    sp = S.scan_positions(valid.select("job_id", "sequence", "positions"), "job_id", "sequence",
-                          positions_col="positions", head=head, max_len=MAX_RESIDUES)
-    limits = valid.select(F.col("job_id").alias("protein_id"), "top_n")
-    docs = S.scan_documents(sp, max_top_n, limits).select("protein_id", F.col("result").alias("_doc"))
-    wt = S.protein_stats(valid.select("job_id", "sequence"), "job_id", "sequence", head) \
-        .select("protein_id", F.bround(F.col("wt_score").cast("double"), 6).alias("wildtype_predicted"))
-    # a request without positions has an empty document
-    doc = valid.select(F.col("job_id").alias("protein_id"), "length", "num_mutations").join(wt, "protein_id").join(docs, "protein_id", "left")
+    ok = F.col("error").isNull() & F.col("job_id").isNotNull()
+    # a failed request has nothing to scan; a request without positions has an empty document
+    rows = planned.withColumn("_sequence", F.when(ok, F.col("sequence"))).withColumn("_positions", F.when(ok, F.col("positions")))
+    docs = S.request_documents(rows, "job_id", "_sequence", "_positions", "top_n",
+                               ["job_id", "submitted_at", "estimated_seconds", "length", "num_mutations", "error"],
+                               head, MAX_RESIDUES, max_top_n)
     result = F.struct(
         F.col("wildtype_predicted").alias("wildtype_predicted"),
         F.col("length").alias("sequence_length"),
         F.col("num_mutations").alias("num_mutations_scanned"),
-        F.coalesce("_doc.top_mutations", F.array()).alias("top_mutations"),
-        F.coalesce("_doc.position_summary", F.array()).alias("position_summary"))
-    results = doc.select(F.col("protein_id").alias("job_id"), result.alias("result"))
-    return (planned.join(results, "job_id", "left")
-            .select("job_id", F.when(F.col("error").isNull(), F.lit("done")).otherwise(F.lit("failed"))
-                    .alias("status"), "submitted_at", "estimated_seconds",
-                    F.when(F.col("error").isNull(), F.col("result")).alias("result"), "error"))
+        F.col("top_mutations").alias("top_mutations"),
+        F.col("position_summary").alias("position_summary"))
+    return docs.select("job_id", F.when(F.col("error").isNull(), F.lit("done")).otherwise(F.lit("failed")).alias("status"),
+                       "submitted_at", "estimated_seconds", F.when(ok, result).alias("result"), "error")
 
 
 def answer_score_requests(req: DataFrame, head: CompositionHead | None = None,
