@@ -201,6 +201,7 @@ def pending(df: DataFrame, done: DataFrame, id_col: str, split_col: str | None =
     return df.join(done, same, "left_anti")
 
 
+PART_RESIDUES = 1 << 26  # residues that one task of an embedding job reads at most, longest sequences aside
 BLOOM_BLOCKS = 1 << 18  # 64 bytes each: 16 MB, whatever the store holds
 
 
@@ -254,8 +255,8 @@ def by_cost(df: DataFrame, len_col: str, id_col: str, parts: int, sizes: dict[in
 
     ``sizes`` counts the rows of each length. Lengths are laid end to end by their cost; a row's place is spread over its
     length's stretch by a hash of its id, so one very common length fills as many partitions as its cost asks for."""
-    if not sizes:
-        return df.coalesce(1)
+    if not sizes:  # no rows: an empty frame, else one task would read all of the input to find none
+        return df.where(F.lit(False))
     lengths = sorted(sizes)
     cost = np.array([sizes[n] * float(n + 2) ** 2 for n in lengths])
     end = np.cumsum(cost) / cost.sum() * parts
@@ -296,12 +297,13 @@ def embed_job(df: DataFrame, encoder, store: str, id_col: str = "protein_id",
         filt = _read_bloom(spark, store)
     todo = pending(base, done, "_id", split) if filt is None else pending_bloom(base, done, filt, "_id", split)
     kept = todo.where(F.col("_len") <= max_len)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # counted before the write (afterwards the store already holds these ids); at most max_len + 3 rows reach the driver
     found = todo.groupBy(F.least("_len", F.lit(max_len + 1)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
     skipped = sum(r.rows for r in found if r.n is not None and r.n > max_len)
     stats = {"pending": sum(r.rows for r in found), "skipped": skipped}
-    ordered = by_cost(kept, "_len", "_id", n_parts, {r.n: r.rows for r in found if r.n is not None and r.n <= max_len})
+    sizes = {r.n: r.rows for r in found if r.n is not None and r.n <= max_len}
+    n_parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(n * k for n, k in sizes.items()) // PART_RESIDUES))
+    ordered = by_cost(kept, "_len", "_id", n_parts, sizes)
     names = kept.select(F.col("_id").cast("string").alias("_done"), *([F.col("split").cast("string").alias("_done_split")] if split else []))
     bloom(names, *keys).write.mode("append").parquet(f"{store}/_bloom")
     obs = Observation("embed_job")
