@@ -1,8 +1,8 @@
 """Regression evaluation: metrics overall and by slice, histograms, density grids.
 
 All metrics come from one-pass aggregates (partial on the map side). Spearman's
-rho needs ranks: average ranks of y and of p are computed per group with the
-distributed ordinal helper (no single-task global window), then correlated.
+rho needs ranks: average ranks of y and of p are computed per group within
+ordered buckets (no single-task global window, no join of rows), then correlated.
 Undefined correlations (a constant side) are NULL rather than an ANSI error.
 """
 
@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutascope.operators.ordinal import cut_bucket, cut_points, rank_table, with_rank
+from mutascope.operators.ordinal import cut_points, rank_offsets, with_average_rank
 from mutascope.session import materialize
 
 METRIC_COLS = ["R2", "RMSE", "MAE", "Pearson_r", "Spearman_rho"]
@@ -47,12 +47,13 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = (),
     base = df.select(*by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")) \
              .where(F.col("_y").isNotNull() & F.col("_p").isNotNull())
     if spearman:
-        # The rows are read several times (two rank tables, their cut points, the
-        # join): cut them once so an expensive upstream (model scoring, joins) runs once.
+        # The rows are read several times (cut points, two tables of bucket offsets, the
+        # ranks): cut them once so an expensive upstream (model scoring, joins) runs once.
         base = materialize(base)
-        n, cuts = cut_points(base, ["_y", "_p"])
+        _, cuts = cut_points(base, ["_y", "_p"])
+        offsets = {value: rank_offsets(base, value, by, cuts[value]) for value in ("_y", "_p")}
         for value, name in (("_y", "_ry"), ("_p", "_rp")):
-            base = with_rank(base, rank_table(base, value, by, name, cut_bucket(value, cuts[value])), value, by, name, n=n)
+            base = with_average_rank(base, offsets[value], value, by, name, cuts[value])
     err = F.col("_p") - F.col("_y")
     aggs = [F.count(F.lit(1)).alias("n"),
             F.sum(err * err).alias("_ss_res"),

@@ -28,6 +28,8 @@ BUCKETS = 64       # ordered buckets per group; raise it with the data
 ACCURACY = 10_000  # of the approximate quantiles that serve as cut points
 DIRECT = 50_000    # rows whose values may reach the driver in a selection
 GRID = 500         # cells a bracket is cut into
+OFFSETS = 100_000  # rows of bucket offsets that may be broadcast
+SALTS = 1000       # parts that rows with a known rank are dealt into
 
 
 def cut_points(df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS) -> tuple[int, dict[str, list[float]]]:
@@ -230,3 +232,44 @@ def with_rank(df: DataFrame, ranked: DataFrame, value: str, by: Sequence[str], n
     marked = marked.withColumn("_salt", F.when(F.col(name).isNull(), 0).otherwise(spread))
     joined = _null_safe(marked, rest, [*keys, "_salt"], "left")
     return joined.withColumn(name, F.coalesce(name, "_rest")).drop("_rest", "_salt")
+
+
+def _with_rank_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
+    """``_v`` (the value; -0.0 and 0.0 are one) and its ordered ``_bucket``, in which each cut point has one of its own: a
+    common value is a cut point, so a bucket holds one value or at most about the rows between two neighbouring cut points."""
+    from pyspark.ml.feature import Bucketizer
+    df = df.withColumn("_v", F.col(value) + F.lit(0.0))
+    cuts = sorted({c + 0.0 for c in cuts if math.isfinite(c)})
+    if not cuts:
+        return df.withColumn("_bucket", F.lit(0))
+    found = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_v", outputCol="_place", handleInvalid="keep").transform(df)
+    bucket = F.col("_place").cast("int") * 2 + F.when(F.col("_v").isin(cuts), 0).otherwise(1)
+    return found.withColumn("_bucket", bucket).drop("_place")
+
+
+def rank_offsets(df: DataFrame, value: str, by: Sequence[str], cuts: Sequence[float]) -> DataFrame:
+    """Per (group, bucket): its rows, the rows of the group before it, and whether it holds several values."""
+    from mutascope.session import materialize
+    by = list(by)
+    totals = _with_rank_bucket(df, value, cuts).groupBy(*by, "_bucket").agg(
+        F.count(F.lit(1)).alias("_total"), (F.min("_v") < F.max("_v")).alias("_several"))
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(totals.withColumn("_offset", F.coalesce(F.sum("_total").over(earlier), F.lit(0))))
+    return F.broadcast(offsets) if offsets.count() <= OFFSETS else offsets
+
+
+def with_average_rank(df: DataFrame, offsets: DataFrame, value: str, by: Sequence[str], name: str, cuts: Sequence[float]) -> DataFrame:
+    """Rows with the average rank of ``value`` (a double, not NULL) in their group, by one exchange and no join of rows.
+
+    ``offsets`` and ``cuts`` are those of ``rank_offsets``. All rows of a bucket of one value tie, so their rank follows from
+    the offset and they are dealt out by a salt; the others are ranked within their bucket.
+    """
+    by = list(by)
+    marked = _null_safe(_with_rank_bucket(df, value, cuts), offsets, [*by, "_bucket"])
+    marked = marked.withColumn(
+        "_salt", F.when(F.col("_several"), F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1))
+    keys = [*by, "_bucket", "_salt"]
+    ranked = marked.withColumn("_at", F.rank().over(Window.partitionBy(*keys).orderBy("_v"))).withColumn(
+        "_ties", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_v")))
+    inside = F.when(F.col("_several"), F.col("_at") - 1 + (F.col("_ties") + 1) / 2.0).otherwise((F.col("_total") + 1) / 2.0)
+    return ranked.select(*df.columns, (F.col("_offset") + inside).alias(name))
