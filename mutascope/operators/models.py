@@ -130,6 +130,9 @@ GBT_DEFAULTS = dict(maxDepth=6, maxIter=500, stepSize=0.05, subsamplingRate=0.8,
                     cacheNodeIds=True, checkpointInterval=10)
 
 
+ROWS_PER_PART = 8192  # training rows a task holds on average, however many there are
+
+
 def _patience_stop(rmse: list[float], patience: int) -> tuple[int, bool]:
     """(best round count, whether the patience rule fired within ``rmse``)."""
     best, best_i, since = float("inf"), 0, 0
@@ -167,9 +170,10 @@ def fit_gbt(train: DataFrame, features: str | Sequence[str], label: str, key: st
     patience rule applied; the result is the best prefix of the longest fit.
 
     Row sampling is drawn per partition in row order, so training rows are dealt
-    into ``num_partitions`` partitions by ``key`` (unique) and sorted by it: the
-    same rows give the same model however the input was partitioned. Raise
-    ``num_partitions`` with the data; it is a parameter of the model.
+    into partitions by ``key`` (unique) and sorted by it: the same rows give the
+    same model however the input was partitioned. There are ``num_partitions``,
+    or as many as give each ``ROWS_PER_PART`` rows if those are more, so that
+    the work of a task stays bounded; their number is a parameter of the model.
     Returns ``(model, best_rounds, val_rmse_per_round)``.
     """
     p = dict(GBT_DEFAULTS)
@@ -180,7 +184,8 @@ def fit_gbt(train: DataFrame, features: str | Sequence[str], label: str, key: st
     def rows(df: DataFrame) -> DataFrame:
         return _vector(df, features).select(F.col(key).alias("_key"), "_features", F.col(label).cast("double").alias("_y"))
 
-    tr = rows(train).repartition(num_partitions, "_key").sortWithinPartitions("_key").cache()
+    parts = max(num_partitions, -(-train.count() // ROWS_PER_PART))
+    tr = rows(train).repartition(parts, "_key").sortWithinPartitions("_key").cache()
     max_iter = p["maxIter"]
 
     def fit(rounds):
