@@ -124,8 +124,12 @@ def candidates(classes: DataFrame, reach: int = REACH, region: int = REGION, rat
         return classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     sizes = region_sizes(classes) if sizes is None else sizes
     rows = _forest(classes, "component")
+    wide = None
     if hops[0] > 1:  # a region of two has first neighbours only
-        rows = rows.withColumn("key", _key(STEP)).join(X.small(sizes.select("key"), HEAVY_BROADCAST), "key", "left_semi")
+        if sizes.count() <= HEAVY_BROADCAST:
+            rows = rows.withColumn("key", _key(STEP)).join(F.broadcast(sizes.select("key")), "key", "left_semi")
+        else:
+            wide = sizes.select("key")
 
     def following(depth: int, k: int):
         """Values 4k to 4k+3 after the prefix (16 bits of each), packed into one sortable number."""
@@ -150,6 +154,8 @@ def candidates(classes: DataFrame, reach: int = REACH, region: int = REGION, rat
             light = here.join(heavy, "key", "left_anti")
         sort = [f"o{k}" for k in range(ORDER)]
         light = light.select("key", *[following(depth, k).alias(o) for k, o in enumerate(sort)], "rep", "n", "component")
+        if wide is not None and level == 0:  # keys are unique: an inner join, which stays above the short columns that it moves
+            light = light.join(wide, "key")
         order = Window.partitionBy("key").orderBy(*sort, "rep")
         ahead = F.struct(F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("far"))
         near = light.select("rep", "n", "component", *[F.lead(ahead, k).over(order).alias(f"next{k}") for k in hops])
@@ -238,7 +244,7 @@ def crowded(classes: DataFrame, reach: int = REACH) -> DataFrame:
     """rep of the classes in a region of more than ``reach + 1``: smaller regions are compared whole."""
     rows = _forest(classes).select("rep", _key(STEP).alias("key"))
     full = X.written(rows.groupBy("key").count().where(F.col("count") > reach + 1).select("key"), "crowded")
-    return rows.join(X.small(full, HEAVY_BROADCAST), "key", "left_semi").select("rep").distinct()
+    return rows.join(X.small(full, HEAVY_BROADCAST), "key").select("rep").distinct()  # keys are unique; a semi-join would move signatures
 
 
 def prefix_candidates(reps: DataFrame, docs: DataFrame, labels: DataFrame, width: int, ratio: int = 80) -> DataFrame:
