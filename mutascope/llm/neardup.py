@@ -154,8 +154,8 @@ def candidates(classes: DataFrame, reach: int = REACH, region: int = REGION, rat
             light = here.join(heavy, "key", "left_anti")
         sort = [f"o{k}" for k in range(ORDER)]
         light = light.select("key", *[following(depth, k).alias(o) for k, o in enumerate(sort)], "rep", "n", "component")
-        if wide is not None and level == 0:  # keys are unique: an inner join, which stays above the short columns that it moves
-            light = light.join(wide, "key")
+        if wide is not None and level == 0:  # no semi-join, which would sink below the short columns and move signatures
+            light = X.found(light, wide, ["key"], HEAVY_BROADCAST)
         order = Window.partitionBy("key").orderBy(*sort, "rep")
         ahead = F.struct(F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("far"))
         near = light.select("rep", "n", "component", *[F.lead(ahead, k).over(order).alias(f"next{k}") for k in hops])
@@ -188,7 +188,7 @@ def promising(pairs: DataFrame, classes: DataFrame, agree: int = AGREE) -> DataF
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, ratio: int = 80) -> DataFrame:
     """Pairs whose full shingle sets have 100 * intersection >= ratio * union, with both numbers."""
     ids = X.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    texts = docs.select("doc_id", "text").join(X.small(ids, IDS_BROADCAST), "doc_id", "left_semi")
+    texts = X.found(docs.select("doc_id", "text"), ids, ["doc_id"], IDS_BROADCAST)
 
     def work(part: pa.RecordBatch) -> list:
         grams, of = shingles(part, width)
@@ -222,14 +222,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, ratio: int = 80) ->
 
 def placed(classes: DataFrame, labels: DataFrame) -> DataFrame:
     """``classes`` with their component so far."""
-    return classes.select("rep", "n", "signature").join(labels, F.col("rep") == F.col("node"), "left").select(
-        "rep", "n", "signature", F.coalesce("component", "rep").alias("component"))
+    known = X.looked_up(classes.select("rep", "n", "signature"), labels.withColumnRenamed("node", "rep"), ["rep"], HEAVY_BROADCAST)
+    return known.withColumn("component", F.coalesce("component", "rep"))
 
 
 def centre_candidates(classes: DataFrame, links: DataFrame, labels: DataFrame, ratio: int = 80) -> DataFrame:
     """Pairs (a < b) of a class and the best-linked class of one of its regions, in different components."""
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-    known = X.written(placed(classes, labels).join(ends, "rep", "left"), "centres")
+    known = X.written(X.looked_up(placed(classes, labels), X.written(ends, "ends"), ["rep"], HEAVY_BROADCAST), "centres")
     rows = known.select("rep", "n", "signature", "component", "degree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     rows = rows.select("rep", "n", "component", "degree", _key(CENTRE).alias("key"))
     centres = (rows.where("degree is not null").groupBy("key")
@@ -244,7 +244,7 @@ def crowded(classes: DataFrame, reach: int = REACH) -> DataFrame:
     """rep of the classes in a region of more than ``reach + 1``: smaller regions are compared whole."""
     rows = _forest(classes).select("rep", _key(STEP).alias("key"))
     full = X.written(rows.groupBy("key").count().where(F.col("count") > reach + 1).select("key"), "crowded")
-    return rows.join(X.small(full, HEAVY_BROADCAST), "key").select("rep").distinct()  # keys are unique; a semi-join would move signatures
+    return X.found(rows, full, ["key"], HEAVY_BROADCAST).select("rep").distinct()
 
 
 def prefix_candidates(reps: DataFrame, docs: DataFrame, labels: DataFrame, width: int, ratio: int = 80) -> DataFrame:
@@ -255,7 +255,7 @@ def prefix_candidates(reps: DataFrame, docs: DataFrame, labels: DataFrame, width
     of the shorter tail can be common. Shingles of one set only join nothing and are counted, not moved.
     """
     ids = X.written(reps.select(F.col("rep").alias("doc_id")), "ids")
-    texts = docs.select("doc_id", "text").join(X.small(ids, IDS_BROADCAST), "doc_id", "left_semi")
+    texts = X.found(docs.select("doc_id", "text"), ids, ["doc_id"], IDS_BROADCAST)
 
     def work(part: pa.RecordBatch) -> list:
         grams, of = shingles(part, width)
@@ -354,6 +354,5 @@ def keep_one(docs: DataFrame, width: int = 5, ratio: int = 80) -> DataFrame:
     rows = rows.withColumn("_text", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.coalesce("text", F.lit("")))))
     named = rows.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_text")).alias("doc_id"), "text")
     gone = near_duplicates(named, width, ratio).where("not kept").select(
-        F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._text").alias("_gone")).distinct()
-    gone = X.written(gone, "copies")
-    return rows.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_gone")), "left_anti").select(*back)
+        F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id._text").alias("_text")).distinct()
+    return X.found(rows, X.written(gone, "copies"), ["doc_id", "_text"], IDS_BROADCAST, present=False).select(*back)

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from mutascope.session import ensure_checkpoint_dir
 
 SLICE = 1 << 20
+MARKS = 1 << 28  # bits of the largest broadcast bitmap (32 MB)
 U = np.uint64
 
 #: word characters as byte tables: everything but ASCII white space / ASCII letters, digits and all non-ASCII
@@ -196,6 +197,38 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def _marked(df: DataFrame, keys: DataFrame, on: list[str], n: int) -> DataFrame:
+    """``df`` with ``_may``: false only where the ``on`` columns are not among the ``n`` keys. Each key sets one bit of a
+    broadcast bitmap of 16 bits a key, in pieces of 4 KB."""
+    place = F.pmod(F.xxhash64(*on), F.lit(min(16 * n, MARKS)))
+    piece, bit = F.shiftright(place, 15).alias("_piece"), place.bitwiseAND(F.lit(32767))
+    marks = keys.select(piece, bit.alias("_bit")).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_marks"))
+    byte = F.conv(F.hex(F.substring("_marks", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    for c in on:
+        hit = hit & F.col(c).isNotNull()
+    return (df.select("*", piece).join(F.broadcast(written(marks, "marks")), "_piece", "left")
+            .select(*df.columns, F.coalesce(hit, F.lit(False)).alias("_may")))
+
+
+def looked_up(df: DataFrame, table: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """Left join of ``df`` with a written table of unique ``on`` values. At most ``rows`` rows are broadcast; of a larger
+    table a bitmap is, and only rows of ``df`` that may have a partner are shuffled: the others' long columns stay."""
+    n = table.count()
+    if n <= rows:
+        return df.join(F.broadcast(table), on, "left").select(*df.columns, *[c for c in table.columns if c not in on])
+    more = [f for f in table.schema if f.name not in on]
+    seen = _marked(df, table, on, n)
+    met = seen.where("_may").drop("_may").join(table, on, "left").select(*df.columns, *[f.name for f in more])
+    return met.union(seen.where("not _may").select(*df.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in more]))
+
+
+def found(df: DataFrame, keys: DataFrame, on: list[str], rows: int, present: bool = True) -> DataFrame:
+    """Rows of ``df`` whose ``on`` columns are (or are not) in ``keys``, a written table of unique keys."""
+    hit = looked_up(df, keys.select(*on, F.lit(True).alias("_hit")), on, rows)
+    return hit.where(F.col("_hit").isNotNull() if present else F.col("_hit").isNull()).drop("_hit")
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

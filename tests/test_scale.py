@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mutascope.llm import neardup
+from mutascope.llm import text as X
 from mutascope.operators import embed as E
 from mutascope.operators import metrics as M
 from mutascope.operators import models as MD
@@ -94,3 +95,49 @@ def test_wider_neighbours_move_no_signatures(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     moved = [lines[i + 1] for i, x in enumerate(lines[:-1]) if "Exchange hashpartitioning" in x]
     assert moved and not any(re.search(r"[\[ ]signature#\d+[,\]]", x) for x in moved)
+
+
+@pytest.fixture()
+def no_auto_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_dropping_copies_moves_no_texts_of_others(spark, monkeypatch, no_auto_broadcast):
+    """The last join of near_dedup shuffled every row with its text once the dropped ids passed the session's threshold."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(30)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:20] + [None, "", "one word"])]
+    rows += [(3, texts[3]), (4, "another text under a known id"), (None, texts[0]), (None, None), (82, "one word"), (90, "one word")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(((i, t) for i, t in rows if not (60 <= (i or 0) < 80 or i == 90)), key=str)
+    few = neardup.keep_one(docs)
+    assert not [x for x in planned(few) if "SortMergeJoin" in x or "Exchange hashpartitioning" in x]
+    assert sorted(map(tuple, few.collect()), key=str) == want
+    monkeypatch.setattr(neardup, "IDS_BROADCAST", 0)
+    monkeypatch.setattr(neardup, "HEAVY_BROADCAST", 0)
+    many = neardup.keep_one(docs)
+    lines = planned(many)
+    wide = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(doc_id" in x and any("Scan ExistingRDD" in y for y in lines[i:i + 9])]
+    assert wide and all(any("BroadcastHashJoin" in y for y in lines[i:i + 5]) for i in wide)  # the bitmap is asked first
+    assert sorted(map(tuple, many.collect()), key=str) == want
+
+
+def test_lookup_by_bitmap_equals_a_join(spark, no_auto_broadcast):
+    """Few and many keys, null and nested keys, full and empty bitmaps; more than one piece of a bitmap."""
+    key = F.when(F.col("id") % 11 != 0, F.struct((F.col("id") % 5000).alias("x"), F.lit("s").alias("y")))
+    df = spark.range(12000).select("id", key.alias("k")).cache()
+    table = spark.range(0, 5000, 2).select(F.struct(F.col("id").alias("x"), F.lit("s").alias("y")).alias("k"), (F.col("id") + 1).alias("v")).cache()
+    for keys in (table, table.limit(1), table.limit(0)):
+        want = sorted(map(tuple, df.join(keys, "k", "left").select("id", "k", "v").collect()))
+        there = {r[0] for r in want if r[2] is not None}
+        for rows in (1 << 20, -1 if keys.count() else 0):
+            assert sorted(map(tuple, X.looked_up(df, keys, ["k"], rows).collect())) == want
+            assert {r.id for r in X.found(df, keys.select("k"), ["k"], rows).collect()} == there
+            assert {r.id for r in X.found(df, keys.select("k"), ["k"], rows, present=False).collect()} == {r[0] for r in want} - there
