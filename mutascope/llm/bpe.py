@@ -337,14 +337,9 @@ class Coder:
         return " ".join(self.names[i] for i in map(int, ids) if i < len(self.names))
 
 
-_coders: dict[str, Coder] = {}
-
-
 def coder(path: str) -> Coder:
-    """The worker's coder for a vocabulary file, read once per Python worker."""
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+    """The worker's coder for a vocabulary file, kept for its next tasks."""
+    return X.tool("bpe", path, lambda: Coder(path))
 
 
 def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -222,17 +222,12 @@ def _step(df: DataFrame, carried: list[str], first: bool, compute) -> DataFrame:
     return X.map_rows(renamed, [*carried, "_w", "_i"], fields, again).drop("_w", "_i")
 
 
-_built: dict[str, Automaton] = {}
 KEPT = 2  # automata a Python worker keeps, so that chained shards of one query do not rebuild in turn
 
 
 def _automaton(shared, name: str, width: int) -> Automaton:
     """Built once per Python worker, by the shard's own name."""
-    if name not in _built:
-        while len(_built) >= KEPT:
-            _built.pop(next(iter(_built)))
-        _built[name] = Automaton(shared.value, width)
-    return _built[name]
+    return X.tool("decontam", name, lambda: Automaton(shared.value, width), KEPT)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -216,7 +216,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, ratio: int = 80) ->
             X.tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return (both.select("a", "b", "sa", "sb").mapInArrow(compare, f"a {kind}, b {kind}, common long, total long")
+    return (X.in_batches(both.select("a", "b", "sa", "sb"), compare, f"a {kind}, b {kind}, common long, total long")
             .where(100 * F.col("common") >= ratio * F.col("total")))
 
 

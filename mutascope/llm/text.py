@@ -6,12 +6,15 @@ counts. Fingerprints are 64-bit (polynomial over the bytes, then mixed); two dif
 of one corpus share one with a probability of about ``n**2 / 2**65``.
 
 Null texts are empty texts everywhere. Batches are cut into slices of about ``SLICE`` bytes, so
-memory is bounded by a slice or by the longest single document.
+memory is bounded by a slice or by the longest single document. Spark sends batches of at most about ``BATCH`` bytes:
+each is held several times over (Arrow vectors and a send buffer in the executor, two batches in the worker).
+A worker outlives its task; it keeps the tools (automata, vocabularies) of its present task only.
 """
 
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -25,6 +28,8 @@ from pyspark.sql import types as T
 from mutascope.session import ensure_checkpoint_dir
 
 SLICE = 1 << 20
+BATCH = 8 << 20  # bytes of a batch sent to a Python worker, where the session does not set it
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"  # Spark's own default is 64 MB
 MARKS = 1 << 28  # bits of the largest broadcast bitmap (32 MB)
 U = np.uint64
 
@@ -42,6 +47,8 @@ LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 _libc = ctypes.CDLL(None)
+_tools: dict[str, dict] = {}  # by kind and key
+_asked: set[str] = set()  # kinds that the present task asked for
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -122,6 +129,37 @@ def tidy() -> None:
         trim(0)
 
 
+def tool(kind: str, key: str, build: Callable[[], object], most: int = 1) -> object:
+    """What ``build`` gives, built once per Python worker; of each kind the ``most`` last built are kept."""
+    _asked.add(kind)
+    mine = _tools.setdefault(kind, {})
+    if key not in mine:
+        while len(mine) >= most:
+            mine.pop(next(iter(mine)))
+        mine[key] = build()
+    return mine[key]
+
+
+def prepared(compute: Callable[[], Compute]) -> Compute:
+    """The function of a task. Tools of earlier tasks that this one did not ask for are let go."""
+    _asked.clear()
+    work = compute()
+    if _tools.keys() - _asked:
+        for kind in _tools.keys() - _asked:
+            del _tools[kind]
+        gc.collect()
+        tidy()
+    return work
+
+
+def in_batches(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches of ``BATCH`` bytes, or of what the session sets itself."""
+    conf = df.sparkSession.conf
+    if BATCH_CONF not in conf.getAll:
+        conf.set(BATCH_CONF, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Row slices of about ``size`` text bytes, of one row at least."""
     if not batch.num_rows:
@@ -154,7 +192,7 @@ def map_rows(df: DataFrame, keep: list[str], fields: str, compute: Callable[[],
     arrow = to_arrow_schema(schema, prefers_large_types=False)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = compute()
+        work = prepared(compute)
         for batch in batches:
             for part in slices(batch, column, size):
                 cols = [part.column(c) for c in keep] + work(part)
@@ -163,7 +201,7 @@ def map_rows(df: DataFrame, keep: list[str], fields: str, compute: Callable[[],
                     schema=arrow)
             tidy()
 
-    return df.select(*need).mapInArrow(run, schema)
+    return in_batches(df.select(*need), run, schema)
 
 
 def hidden(df: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:

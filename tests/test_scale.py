@@ -2,11 +2,12 @@
 
 import random
 import re
+import weakref
 
 import pytest
 from pyspark.sql import functions as F
 
-from mutascope.llm import neardup
+from mutascope.llm import bpe, neardup
 from mutascope.llm import text as X
 from mutascope.operators import embed as E
 from mutascope.operators import metrics as M
@@ -141,3 +142,37 @@ def test_lookup_by_bitmap_equals_a_join(spark, no_auto_broadcast):
             assert sorted(map(tuple, X.looked_up(df, keys, ["k"], rows).collect())) == want
             assert {r.id for r in X.found(df, keys.select("k"), ["k"], rows).collect()} == there
             assert {r.id for r in X.found(df, keys.select("k"), ["k"], rows, present=False).collect()} == {r[0] for r in want} - there
+
+
+@pytest.mark.parametrize("size", [30, 6000])
+def test_workers_get_small_batches(spark, size):
+    """24 MB of texts, short or long, reach a Python worker in batches of about ``X.BATCH`` bytes, and none is lost (pipeline)."""
+    n = 24_000_000 // size if size > 1000 else 25_000
+    docs = spark.range(n, numPartitions=1).select("id", F.repeat(F.lit("a"), size).alias("text"))
+    held = X.map_rows(docs, ["id"], "held long", lambda: lambda part: [[part.column("text").buffers()[2].size] * part.num_rows])
+    got = held.agg(F.count("held"), F.countDistinct("id"), F.max("held")).first()
+    assert got[0] == got[1] == n and got[2] <= X.BATCH + size
+
+
+def test_batch_size_of_the_session_stays(spark):
+    session = spark.newSession()
+    session.conf.set(X.BATCH_CONF, "1234567b")
+    docs = session.range(9).select("id", F.lit("b").alias("text"))
+    assert X.map_rows(docs, ["id"], "n long", lambda: lambda part: [[1] * part.num_rows]).count() == 9
+    assert session.conf.get(X.BATCH_CONF) == "1234567b"
+
+
+def test_worker_keeps_the_tools_of_its_present_task_only():
+    """A vocabulary of an earlier stage is let go when the worker starts a stage that does not use it (pipeline)."""
+    def task():
+        coder = bpe.coder(bpe.vocabulary_file())
+        return lambda part: coder
+
+    first = X.prepared(task)(None)
+    assert X.prepared(task)(None) is first  # the next task of its stage finds it
+    left = weakref.ref(first)
+    del first
+    work = X.prepared(lambda: lambda part: [])
+    assert left() is None and work(None) == []
+    X.prepared(lambda: [X.tool("t", k, object, 2) for k in "abc"])
+    assert X.prepared(lambda: X.tool("t", "c", lambda: "new", 2)) != "new" and X.prepared(lambda: X.tool("t", "a", lambda: "new", 2)) == "new"
