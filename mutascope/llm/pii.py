@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,9 +215,10 @@ def train(candidates: DataFrame) -> list[float] | None:
     if not rows:
         return None
     p, _ = reliabilities(rows)
-    data = [(float(y), max(w, 1e-6) * r["count"], Vectors.dense(_inputs(r)))
+    data = [{"label": float(y), "weight": max(w, 1e-6) * r["count"], "features": _inputs(r)}
             for r, q in zip(rows, p) for y, w in ((1, q), (0, 1 - q))]
-    frame = spark.createDataFrame(data, ["label", "weight", "features"]).coalesce(1)
+    # as an Arrow table: a list would start Python workers of a second kind in the executors
+    frame = spark.createDataFrame(pa.Table.from_pylist(data)).withColumn("features", array_to_vector("features")).coalesce(1)
     model = LogisticRegression(weightCol="weight", regParam=0.001, maxIter=50).fit(frame)
     return [*map(float, model.coefficients), float(model.intercept)]
 

@@ -7,7 +7,7 @@ import weakref
 import pytest
 from pyspark.sql import functions as F
 
-from mutascope.llm import bpe, neardup
+from mutascope.llm import bpe, neardup, pii
 from mutascope.llm import text as X
 from mutascope.operators import embed as E
 from mutascope.operators import metrics as M
@@ -176,3 +176,13 @@ def test_worker_keeps_the_tools_of_its_present_task_only():
     assert left() is None and work(None) == []
     X.prepared(lambda: [X.tool("t", k, object, 2) for k in "abc"])
     assert X.prepared(lambda: X.tool("t", "c", lambda: "new", 2)) != "new" and X.prepared(lambda: X.tool("t", "a", lambda: "new", 2)) == "new"
+
+
+def test_span_classifier_starts_no_other_workers(spark, monkeypatch):
+    """Its few training rows reach Spark as an Arrow table, not through a Python RDD, whose workers would stay beside those of mapInArrow (pipeline)."""
+    docs = spark.createDataFrame([("write to a.b@example.com or call +1 202 555 0143, 10.0.0.7, ph 202 555 0143",), (None,)], "text string")
+    found = pii.with_candidates(docs).drop("text").cache()
+    found.count()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    weights = pii.train(found)
+    assert len(weights) == len(pii.KINDS) + len(pii.FEATURES) + 2 * len(pii.VOTES) + 1 and any(weights)
