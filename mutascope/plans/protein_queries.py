@@ -169,10 +169,11 @@ def q_scan_mutant_classes(spark, sf):
 def q_scan_workers(spark, sf):
     """The same digest from the scan that builds and scores every mutant of every protein in the Python workers."""
     p = proteins(spark, sf)
-    mut = S.scan(p, "design_name", "full_sequence", head=HEAD, scorer=S.CompositionPoints(HEAD))
+    mut = S.scan(p, "design_name", "full_sequence", head=HEAD, scorer=S.CompositionPoints(HEAD), counted=True)
     return mut.groupBy("protein_id", "wildtype_aa", "mutant_aa").agg(
-        F.count(F.lit(1)).alias("n"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"),
-        F.sum(S.to_micro(F.col("delta"))).alias("sum_delta_micro"), F.count_if(F.col("delta") < 0).alias("n_beneficial"))
+        F.sum("n").alias("n"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"),
+        F.sum(S.to_micro(F.col("delta")) * F.col("n")).alias("sum_delta_micro"),
+        F.sum(F.when(F.col("delta") < 0, F.col("n")).otherwise(0)).alias("n_beneficial"))
 
 
 def q_scan_top(spark, sf):
