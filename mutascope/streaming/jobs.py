@@ -1,8 +1,9 @@
 """Keyed state of request streams: which jobs are known, and a bounded log of their status.
 
-``first_requests`` lets the requests of a job through when the job is new to the stream. The state is one flag per job
-in the state store, so an epoch's cost follows its own requests, not the results stored so far; results of
-other streams seed the state once, when a checkpoint is new.
+``marked_requests`` and ``new_requests`` let the requests of a job through when the job is new to the stream. The state is the job
+ids in the state store, so an epoch's cost follows its own requests, not the results stored so far; no Python runs for a job.
+Jobs known at the start come as a stream of their own. ``first_requests`` does the same within a streaming
+frame and can forget jobs, at a call of Python for each.
 
 ``job_log`` keeps the latest jobs of each shard by submit time, from request and result events. Events may come in
 any order and again: an entry takes the furthest status seen, and which jobs stay depends on their submit times alone.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -28,6 +29,8 @@ _ENTRY = T.StructType([T.StructField("status", T.StringType()), T.StructField("s
                        T.StructField("finished_at", T.TimestampType()), T.StructField("error", T.StringType())])
 EVENT = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("job_id", T.StringType()), *_ENTRY.fields])
 BODY = "request_body_json"  # columns with a leading underscore lose their name on the way to the workers
+MARK = "request_mark"  # of a streamed row: a request, the first sight of its key, or a key known at the start
+REQUEST, FIRST, KNOWN = 0, 1, 2
 #: a job's status never goes back; ``evicted`` ends the log's knowledge of it
 STAGES = ("queued", "running", "done", "failed", "evicted")
 
@@ -79,6 +82,25 @@ def first_requests(stream: DataFrame, key: str, answered: DataFrame | None = Non
     return parsed.select(*[F.col(f.name) if f.name == key or f.name in times else F.col(BODY)[f.name].alias(f.name) for f in stream.schema])
 
 
+def marked_requests(stream: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
+    """All requests of the stream, marked ``REQUEST``, and beside them each ``key`` when it is first seen, marked ``FIRST``.
+
+    ``known``: a stream of the keys known at the first start, which must come with the first epoch; they are marked ``KNOWN``.
+    Only keys are deduplicated, so request bodies do not pass the state."""
+    use_rocksdb(stream.sparkSession)
+    keys = stream.select(key) if known is None else stream.select(key).union(known.select(key))
+    out = stream.withColumn(MARK, F.lit(REQUEST)).unionByName(
+        keys.dropDuplicates([key]).withColumn(MARK, F.lit(FIRST)), allowMissingColumns=True)
+    return out if known is None else out.unionByName(known.select(key, F.lit(KNOWN).alias(MARK)), allowMissingColumns=True)
+
+
+def new_requests(batch: DataFrame, key: str) -> DataFrame:
+    """Of one epoch's ``marked_requests``: all requests of the keys that no earlier epoch has had. Reads ``batch`` once."""
+    own = Window.partitionBy(key)
+    seen = batch.withColumn("_first", F.max(F.col(MARK) == FIRST).over(own)).withColumn("_known", F.max(F.col(MARK) == KNOWN).over(own))
+    return seen.where((F.col(MARK) == REQUEST) & F.col("_first") & ~F.col("_known")).drop(MARK, "_first", "_known")
+
+
 class JobLog(StatefulProcessor):
     """The ``keep`` latest jobs of a shard by (submit time, id); emits every change of status, and evictions."""
 

@@ -73,3 +73,37 @@ def test_a_lost_epoch_is_replayed_without_reading_stored_results(spark, tmp_dir)
     again = read_results(spark, f"{d}/out")
     assert again.count() == 2 and {r.job_id: r.result.wildtype_predicted for r in again.collect()} == first
     assert again.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").count() == 0
+
+
+def test_known_jobs_are_a_native_state_and_epochs_pass_whole_jobs(spark, tmp_dir):
+    """No call of Python per job; all requests of a new id pass together, null id included, later ones and answered ones do not."""
+    d = tmp_dir
+    _put(spark, f"{d}/other", [("x", 1, "MKV"), ("y", 1, "MKV")])
+    scan_request_stream(spark, f"{d}/other", f"{d}/out", f"{d}/ck0").awaitTermination()
+    _put(spark, f"{d}/in", [("a", 1, "MKV"), ("a", 2, "ACD"), (None, 1, "MKV"), (None, 2, "MKB"), ("x", 5, "WWW")])
+    q = scan_request_stream(spark, f"{d}/in", f"{d}/out", f"{d}/ck")
+    q.awaitTermination()
+    state = q.lastProgress["stateOperators"] if q.lastProgress["stateOperators"] else q.recentProgress[0]["stateOperators"]
+    assert [s["operatorName"] for s in state] == ["dedupe"]
+    assert state[0]["numRowsTotal"] == 4  # a, null, x and y
+
+    def found():
+        return sorted((str(r.job_id), r.status, r.submitted_at.second) for r in read_results(spark, f"{d}/out").collect())
+
+    first = [("None", "failed", 2), ("a", "done", 1), ("a", "failed", 2), ("x", "done", 1), ("y", "done", 1)]
+    assert [r for r in found() if r[0] != "None" or r[2] == 2] == first and len(found()) == 6
+    _put(spark, f"{d}/in", [("a", 7, "MKV"), ("y", 8, "MKV"), (None, 9, "MKV"), ("b", 9, "MKV")])
+    scan_request_stream(spark, f"{d}/in", f"{d}/out", f"{d}/ck").awaitTermination()
+    assert sorted(set(found()) - {("None", "done", 1)}) == sorted([*first, ("b", "done", 9)]) and len(found()) == 7
+
+
+def test_a_lost_first_epoch_is_answered_again(spark, tmp_dir):
+    """Its own results, already stored, do not count as known before it."""
+    d = tmp_dir
+    _put(spark, f"{d}/in", [("a", 1, "MKV"), ("b", 2, "ACD")])
+    scan_request_stream(spark, f"{d}/in", f"{d}/out", f"{d}/ck").awaitTermination()
+    os.remove(f"{d}/ck/commits/0")
+    if os.path.exists(f"{d}/ck/commits/.0.crc"):
+        os.remove(f"{d}/ck/commits/.0.crc")
+    scan_request_stream(spark, f"{d}/in", f"{d}/out", f"{d}/ck").awaitTermination()
+    assert sorted(r.job_id for r in read_results(spark, f"{d}/out").collect()) == ["a", "b"]
